@@ -159,7 +159,7 @@ def remove_shared(docs: DataFrame, window: int = 50, key: str = "doc_id", column
                 before = np.concatenate([[0], np.cumsum(gone)])[first]
                 size = np.where(gone, 0, e - s + 1)
                 end = np.cumsum(size)
-                data = np.append(buf, 0x20)[ranges(s[~gone], size[~gone])]
+                data = np.append(buf, np.uint8(0x20))[ranges(s[~gone], size[~gone])]
                 data[end[~gone] - 1] = 0x20
                 total = np.concatenate([[0], end])[first]
                 text = data.tobytes()
