@@ -23,6 +23,19 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import allocate
+
+    out = allocate(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import SIGNALS, judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *SIGNALS, "base_failed", "kept")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -38,5 +51,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe)}
 ORACLE: dict[str, str] = {}
