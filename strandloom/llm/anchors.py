@@ -31,6 +31,8 @@ from .common import U64, materialised, mix, shuffle_partitions, text_slices
 
 RECORD = "bucket int, lead1 long, lead2 long, print long, doc long, rk long, lo int, hi int, at int"
 TOP = U64(1 << 63)
+#: Quantiles are doubles: leads are compared with splitters without the bits that a double lacks.
+SHIFT = 11
 #: Groups of at most so many rows are ended by numpy's sort.
 SMALL = 4096
 #: Rows of contexts that are compared at once; whole groups only.
@@ -111,10 +113,11 @@ def _records(rows: DataFrame, kind: Kind, splitters: np.ndarray | None) -> DataF
             doc, rk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, lead1, lead2, mark, lo, hi, at in kind.records(batch.column(2)):
                 if splitters is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(lead1)], names=["lead1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lead1 >> SHIFT)], names=["lead1"])
                     continue
-                left = np.searchsorted(splitters, lead1, "left")
-                width = np.searchsorted(splitters, lead1, "right") - left
+                top = lead1 >> SHIFT
+                left = np.searchsorted(splitters, top, "left")
+                width = np.searchsorted(splitters, top, "right") - left
                 spread = (mix(rk[row].view(U64) + lo.astype(U64)) % (width + 1).astype(U64)).astype(np.int64)
                 bucket = left + np.where(width > 1, spread, 0)
                 yield pa.RecordBatch.from_arrays(
@@ -137,7 +140,7 @@ def _bucket(kind: Kind, hot: np.ndarray) -> Callable:
             return
         _, lead1, lead2, mark, doc, rk, lo, hi, at = (np.concatenate([b.column(i).to_numpy() for b in every]) for i in range(9))
         del every
-        burning = np.isin(lead1, hot)
+        burning = np.isin(lead1 >> SHIFT, hot)
         order = multikey_quicksort([lead1, lead2, mark, doc]) if len(lead1) else np.zeros(0, np.int64)
         order = order[~burning[order]]
         a, b, c, d = lead1[order], lead2[order], mark[order], doc[order]
@@ -286,7 +289,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     if not len(hot):
         return done.union(contexts.repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2").mapInArrow(_compare(kind), "rk long, lo int, hi int"))
     contexts = materialised(contexts)
-    is_hot = F.col("lead1").isin(hot.tolist())
+    is_hot = F.shiftright("lead1", SHIFT).isin(hot.tolist())
     cold = contexts.where(~is_hot).repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2").mapInArrow(_compare(kind), "rk long, lo int, hi int")
     each = contexts.where(is_hot).mapInArrow(_window_rows(kind), "key long, doc long, rk long, lo int, weight int")
     if kind.by_order:

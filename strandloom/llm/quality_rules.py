@@ -6,8 +6,8 @@ window hash is not distinct are the positions sorted to count the words such win
 
 Votes are one of good, bad or abstain for each rule. The corpus is reduced to counts of vote
 patterns (3 to the number of rules at most, pre-aggregated), EM over these counts gives each
-rule's accuracy and the share of good texts, and the posterior becomes a lookup expression
-over the votes: a sum of log-odds.
+rule's accuracy (its rates of votes on good and on bad texts) and the share of good texts,
+and the posterior becomes an expression over the votes: a sum of log-odds.
 
 Null text counts as empty: no words, base_failed. Other columns stay; names that a result
 needs are replaced.
@@ -28,9 +28,10 @@ SYMBOLS = "[#*$%&|<>]"
 SIGNALS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Posterior probability of being good from which a text is kept.
 KEEP_FROM = 0.5
-ROUNDS, START_ACCURACY, START_GOOD = 40, 0.8, 0.85
-#: Bounds that keep every rule better than chance and every class possible.
-LEAST, MOST = 0.55, 0.995
+#: EM starts from this share of good texts and these rates of bad votes, abstentions and good votes, for good and for bad texts.
+ROUNDS, START_GOOD, START = 60, 0.85, ((0.02, 0.28, 0.7), (0.4, 0.3, 0.3))
+#: Votes of each kind that a rule has beforehand, and the bound that keeps both classes possible.
+SMOOTH, MOST = 1.0, 0.995
 
 
 def signals(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -59,7 +60,7 @@ def rules() -> dict[str, tuple[Column, Column]]:
     text = F.col("_text")
     upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    marks = F.regexp_count(text, F.lit(r"[!?]{2,}|\|"))
+    marks = F.regexp_count(text, F.lit(r"[!?#*$%&]{2,}|\|"))
     return {
         "length": (F.col("n_words") < 20, F.col("n_words") >= 60),
         "word_length": ((chars < 3 * n) | (chars > 12 * n), (chars >= 4 * n) & (chars <= 9 * n)),
@@ -78,36 +79,38 @@ def vote(docs: DataFrame, column: str = "text") -> DataFrame:
     return out.withColumns(votes).drop("_text")
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts and, for each rule, its accuracy among good and among bad texts where it votes, by EM over pattern counts."""
+Votes = tuple[float, float, float]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[Votes, Votes]]]:
+    """Share of good texts and, for each rule, how often it votes bad, abstains and votes good on good and on bad texts, by EM over pattern counts."""
     if not patterns:
         return START_GOOD, []
     width = len(patterns[0][0])
-    good, accuracy = START_GOOD, [(START_ACCURACY, START_ACCURACY)] * width
+    good, rates = START_GOOD, [(START[0], START[1])] * width
     for _ in range(ROUNDS):
-        hit = [[1.0, 1.0, 1.0, 1.0] for _ in range(width)]  # right and all, for good and bad; one of each beforehand
+        hits = [([SMOOTH] * 3, [SMOOTH] * 3) for _ in range(width)]
         total = mass = 0.0
         for votes, count in patterns:
-            p = posterior(votes, good, accuracy) * count
-            q = count - p
+            p = posterior(votes, good, rates) * count
             mass, total = mass + p, total + count
             for k, v in enumerate(votes):
-                if v:
-                    h = hit[k]
-                    h[0], h[1] = h[0] + p * (v > 0), h[1] + p
-                    h[2], h[3] = h[2] + q * (v < 0), h[3] + q
+                hits[k][0][v + 1] += p
+                hits[k][1][v + 1] += count - p
         good = min(MOST, max(1 - MOST, mass / total))
-        accuracy = [tuple(min(MOST, max(LEAST, x)) for x in (h[0] / h[1], h[2] / h[3])) for h in hit]
-    return good, accuracy
+        rates = [tuple(tuple(x / sum(side) for x in side) for side in h) for h in hits]
+        # no rule is worse than chance: a bad vote is never likelier on good texts, a good one never on bad texts
+        rates = [(a, b) if a[0] <= b[0] and a[2] >= b[2] else ((x := tuple((p + q) / 2 for p, q in zip(a, b, strict=True))), x) for a, b in rates]
+    return good, rates
 
 
-def weight(v: int, a: tuple[float, float]) -> float:
-    """Log-odds for good that a vote adds."""
-    return 0.0 if not v else math.log(a[0] / (1 - a[1])) if v > 0 else math.log((1 - a[0]) / a[1])
+def weight(v: int, rate: tuple[Votes, Votes]) -> float:
+    """Log-odds for good that a vote, or abstaining, adds."""
+    return math.log(rate[0][v + 1] / rate[1][v + 1])
 
 
-def posterior(votes: tuple[int, ...], good: float, accuracy: list[tuple[float, float]]) -> float:
-    x = math.log(good / (1 - good)) + sum(weight(v, a) for v, a in zip(votes, accuracy, strict=True))
+def posterior(votes: tuple[int, ...], good: float, rates: list[tuple[Votes, Votes]]) -> float:
+    x = math.log(good / (1 - good)) + sum(weight(v, a) for v, a in zip(votes, rates, strict=True))
     return 1 / (1 + math.exp(-max(-500, min(500, x))))
 
 
@@ -116,10 +119,10 @@ def judge(docs: DataFrame, column: str = "text") -> DataFrame:
     voted = vote(docs, column)
     names = [f"vote_{k}" for k in rules()]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(names) rows at most
-    good, accuracy = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts))
+    good, rates = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts))
     odds = F.lit(math.log(good / (1 - good)))
-    for name, a in zip(names, accuracy or [(START_ACCURACY,) * 2] * len(names), strict=True):
-        odds = odds + F.when(F.col(name) > 0, weight(1, a)).when(F.col(name) < 0, weight(-1, a)).otherwise(0.0)
+    for name, rate in zip(names, rates or [START] * len(names), strict=True):
+        odds = odds + F.when(F.col(name) > 0, weight(1, rate)).when(F.col(name) < 0, weight(-1, rate)).otherwise(weight(0, rate))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
