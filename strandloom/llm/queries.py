@@ -51,5 +51,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    out = archived(table(spark, sf_dir, "pages"), with_payload=False, least=0)
+    number = lambda c: F.regexp_extract(c, r":(-?[0-9]+)>$", 1).cast("long")
+    return out.select(
+        F.regexp_extract("metadata.fields", r"pageId: (-?[0-9]+)", 1).cast("long").alias("page_id"),
+        F.coalesce("main.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        F.col("main.digest").alias("payload_digest"),
+        F.col("main.record_type").alias("record_type"),
+        number("main.refers_to").alias("refers_to"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
 ORACLE: dict[str, str] = {}
