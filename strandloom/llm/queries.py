@@ -23,6 +23,24 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+#: Verdict, host and path of each rule.
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "bad")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    out = classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import allocate
 
@@ -65,5 +83,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
 ORACLE: dict[str, str] = {}
