@@ -34,6 +34,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "bad")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify
 
@@ -83,5 +89,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
 ORACLE: dict[str, str] = {}
