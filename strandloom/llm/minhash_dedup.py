@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, components, materialised, mix, randoms, shuffle_partitions, slice_hashes, text_slices, words
@@ -241,9 +241,20 @@ def _confirm(num: int, den: int) -> Callable:
     return run
 
 
+def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """docs, one row of each component of near duplicates."""
+    chosen = near_duplicates(docs, shingle, percent, key, column).where("representative").groupBy("rk").agg(F.max("n_shingles").alias("n"))  # null ids and texts included
+    rows = docs.select(F.struct(*(docs[n] for n in docs.columns)).alias("row"), F.xxhash64(docs[key], docs[column]).alias("rk"))
+    kept = rows.join(chosen.hint("shuffle_hash"), "rk")
+    # of equal rows, which share rk, one stays: all are numbered within their partition of rk
+    number = F.row_number().over(Window.partitionBy("rk").orderBy("n"))
+    return kept.withColumn("number", number).where("number = 1").select(*(F.col("row")[n].alias(n) for n in docs.columns))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """key, n_shingles, component_id (smallest key reachable by links) and kept of each row; links are pairs with
-    100 * |both| >= percent * |any| on shingles of so many words."""
+    """key, rk (hash of key and text), n_shingles, component_id (smallest key reachable by links), kept and representative of each
+    row; links are pairs with 100 * |both| >= percent * |any| on shingles of so many words. kept goes by key; representative
+    marks one text of each component, also where rows share a key."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     num, den = percent, 100
@@ -271,10 +282,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     links = materialised(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_confirm(num, den), "a long, b long"))
     found = components(links).withColumnRenamed("node", "print")
     # smallest id of each component, and of each class
-    first = F.min(F.struct(F.col("m.none"), F.col("m.doc_id")))
+    first = F.min("m")
     known = classes.join(found, "print", "left").where("n_rows > 1 or component is not null").withColumn("component", F.coalesce("component", "print"))
-    top = known.groupBy("component").agg(first.alias("first")).select("component", F.col("first.doc_id").alias("component_id"))
-    named = known.join(top, "component").select("print", "component_id")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    top = known.groupBy("component").agg(first.alias("first")).select("component", F.col("first.doc_id").alias("component_id"), F.col("first.rk").alias("first_rk"))
+    named = known.join(top, "component").select("print", "component_id", "first_rk")
+    out = signed.select("doc_id", "rk", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("print")).alias("print")).join(named, "print", "left")
+    out = out.select("doc_id", "rk", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("first_rk") == F.col("rk"), F.lit(True)).alias("representative"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("doc_id", key)

@@ -20,7 +20,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Verdict, host and path of each rule.

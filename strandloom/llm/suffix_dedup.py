@@ -77,8 +77,9 @@ def byte_kind(window: int) -> Kind:
     return Kind(window, records, contexts, hashes, by_order=False)
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """docs with kept (binary: the remaining bytes), n_bytes, n_removed and spans (array of start, end: maximal removed runs)."""
+def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", column: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with kept (binary: the remaining bytes), n_bytes, n_removed and spans (array of start, end: maximal removed runs).
+    as_text: kept is a string, without what is left of characters that were cut in two."""
     extra = ["kept", "n_bytes", "n_removed", "spans"]
     names = [n for n in docs.columns if n not in extra]
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), F.lit(0).cast("long").alias("doc"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
@@ -103,8 +104,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", colu
                 kept = buf[~gone]
                 place = (offsets - before).astype(np.int64)
                 out = pa.Array.from_buffers(pa.large_binary(), to - row, [None, pa.py_buffer(place), pa.py_buffer(np.ascontiguousarray(kept))]).cast(pa.binary())
+                if as_text:
+                    out = pa.array([x.decode(errors="ignore") for x in out.to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), batch.column(1).slice(row, to - row), out, pa.array(np.diff(offsets)), pa.array(np.diff(before)), spans], names=["rest", "text", *extra])
 
-    shape = joined.select("rest", "text", F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(null as array<struct<start: bigint, end: bigint>>)").alias("spans")).schema
+    shape = joined.select("rest", "text", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(null as array<struct<start: bigint, end: bigint>>)").alias("spans")).schema
     out = joined.mapInArrow(run, shape)
     return out.select(*(F.col("text").alias(n) if n == column else F.col("rest")[n].alias(n) for n in names), *extra)
