@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialised
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -114,9 +114,10 @@ def posterior(votes: tuple[int, ...], good: float, rates: list[tuple[Votes, Vote
     return 1 / (1 + math.exp(-max(-500, min(500, x))))
 
 
-def judge(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with signals, votes, base_failed, quality (posterior) and kept."""
-    voted = vote(docs, column)
+def judge(docs: DataFrame, column: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with signals, votes, base_failed, quality (posterior) and kept. Votes are needed twice, for the rates and for the
+    result: without keep_text they are materialised, else the second pass computes them again."""
+    voted = vote(docs, column) if keep_text else materialised(vote(docs, column).drop(column))
     names = [f"vote_{k}" for k in rules()]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(names) rows at most
     good, rates = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts))

@@ -58,7 +58,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import SIGNALS, judge
 
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *SIGNALS, "base_failed", "kept")
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", *SIGNALS, "base_failed", "kept")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
