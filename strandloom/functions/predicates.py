@@ -15,7 +15,7 @@ c = F.col
 
 def normalised(aln: DataFrame) -> DataFrame:
     """s2 <= e2 in all rows; strand keeps what was swapped."""
-    return aln.withColumn("strand", F.when(c("s2") > c("e2"), "d").otherwise("p")).withColumn("s2", F.least(aln["s2"], aln["e2"])).withColumn("e2", F.greatest(aln["s2"], aln["e2"]))
+    return aln.withColumns({"strand": F.when(c("s2") > c("e2"), "d").otherwise("p"), "s2": F.least("s2", "e2"), "e2": F.greatest("s2", "e2")})
 
 
 def embedded(mode: str = "LR") -> Column:

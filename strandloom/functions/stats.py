@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..schemas import ALPHA
 
@@ -33,7 +34,7 @@ def binomial_p(x: float, n: float, p: float) -> float:
     return float(min(1.0, np.exp(pmf[pmf <= pmf[x] + np.log1p(1e-7)]).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_test(x: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_p(a, b, q) for a, b, q in zip(x, n, p, strict=True)])
 

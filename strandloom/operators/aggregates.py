@@ -55,7 +55,7 @@ def depth_segments(spans: DataFrame, group: str, start: str, end: str) -> DataFr
 def depth_in_ranges(segments: DataFrame, ranges: DataFrame, group: str, width: int) -> DataFrame:
     """Sum of depth times overlap in each range (group, rs, re: half-open), by bins of `width` on both sides."""
     bins = lambda s, e: F.sequence(F.floor(c(s) / width), F.floor((c(e) - 1) / width))
-    r = ranges.where("re > rs").withColumn("_b", F.explode(bins("rs", "re")))
+    r = ranges.select(group, "rs", "re").distinct().where("re > rs").withColumn("_b", F.explode(bins("rs", "re")))
     s = segments.select(c(group).alias("_g"), "start", "end", "depth", F.explode(bins("start", "end")).alias("_c"))
     on = (c(group) == c("_g")) & (c("_b") == c("_c"))
     low = F.greatest("rs", "start", c("_b") * width)
@@ -114,7 +114,8 @@ def mixing_shares(matched: DataFrame, template: str, bases: str) -> DataFrame:
 def votes(pairs: DataFrame, key: str, a1: str = "a1", a2: str = "a2") -> DataFrame:
     """Votes (key, pos on a1 without gaps, kind sub, ins, del or same, offset in an insertion, base, n) of aligned pairs (gap: -)."""
     z = F.arrays_zip(F.split(c(a1), "").alias("x"), F.split(c(a2), "").alias("y"))
-    each = pairs.select(key, F.monotonically_increasing_id().alias("_id"), F.posexplode(z).alias("i", "z")).select(key, "_id", "i", c("z.x").alias("x"), c("z.y").alias("y"))
+    numbered = pairs.withColumn("_id", F.monotonically_increasing_id())
+    each = numbered.select(key, "_id", F.posexplode(z).alias("i", "z")).select(key, "_id", "i", c("z.x").alias("x"), c("z.y").alias("y"))
     w = Window.partitionBy("_id").orderBy("i")
     each = each.withColumn("pos", F.count_if(c("x") != "-").over(w)).withColumn("offset", F.when(c("x") == "-", F.row_number().over(Window.partitionBy("_id", "pos").orderBy("i")) - 1).otherwise(0))
     kind = F.when(c("x") == "-", "ins").when(c("y") == "-", "del").when(c("x") == c("y"), "same").otherwise("sub")

@@ -120,7 +120,7 @@ def choices(points: DataFrame) -> DataFrame:
     rev = inner.select(c("ko").alias("ki"), c("ki").alias("ko"), c("co").alias("ci"), c("ci").alias("co"), c("next").alias("prev"), c("prev").alias("next"))
     both = inner.select("ki", "ko", "ci", "co", "prev", "next").union(rev)
     # a pair is taken in the order in which its smaller cluster comes first
-    both = both.where(c("ci").cast("long") <= c("co").cast("long"))
+    both = both.where(F.expr("try_cast(ci as bigint) <= try_cast(co as bigint)"))
     both = both.join(free, (c("ci") == c("a")) & (c("co") == c("b")), "left_anti")
     both = both.join(free.select(c("a").alias("pa"), c("b").alias("pb"), F.lit(1).alias("fin")), (c("prev") == c("pa")) & (c("ci") == c("pb")), "left")
     both = both.join(free.select(c("a").alias("na"), c("b").alias("nb"), F.lit(1).alias("fout")), (c("co") == c("na")) & (c("next") == c("nb")), "left")

@@ -67,21 +67,22 @@ def union(spans: DataFrame, group: str, start: str, end: str, gap: int = 0) -> D
 def cover_fold(spans: Column, tolerance: int = 0) -> Column:
     """A minimal cover of sorted intervals (array of struct start, end), as a fold: of those that start within the cover so far
     (give or take tolerance) the one that reaches furthest. Intervals inside the cover are not used."""
-    ordered = F.array_sort(spans)
-    kind = "array<struct<start: bigint, end: bigint>>"
-    start = F.struct(F.lit(None).cast(kind).alias("done"), F.lit(None).cast("bigint").alias("reach"), F.lit(None).cast("struct<start: bigint, end: bigint>").alias("best"))
+    one, many = "struct<start: bigint, end: bigint>", "array<struct<start: bigint, end: bigint>>"
+    nothing = F.lit(None).cast(one)
+
+    def state(done: Column, reach: Column, best: Column) -> Column:
+        return F.struct(done.alias("done"), reach.cast("bigint").alias("reach"), best.alias("best"))
 
     def step(acc: Column, x: Column) -> Column:
-        x = F.struct(x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"))
-        done = F.coalesce(acc["done"], F.array().cast(kind))
-        better = F.when(acc["best"].isNull() | (x["end"] > acc["best"]["end"]), x).otherwise(acc["best"])
-        within = acc["reach"].isNull() | (x["start"] <= acc["reach"] + tolerance)
-        # x starts behind what the chosen ones reach: the best so far is taken
-        return F.when(acc["best"].isNull(), F.struct(done.alias("done"), x["start"].alias("reach"), x.alias("best"))).when(within, F.struct(done.alias("done"), acc["reach"].alias("reach"), better.alias("best"))).otherwise(
-            F.struct(F.concat(done, F.array(acc["best"])).alias("done"), F.when(x["start"] <= acc["best"]["end"] + tolerance, acc["best"]["end"]).otherwise(x["start"]).alias("reach"), x.alias("best"))
-        )
-
-    return F.aggregate(ordered, start, step, lambda acc: F.when(acc["best"].isNull(), F.array().cast(kind)).otherwise(F.concat(F.coalesce(acc["done"], F.array().cast(kind)), F.array(acc["best"]))))
+        done, reach, best = acc["done"], acc["reach"], acc["best"]
+        longer = F.when(x["end"] > F.coalesce(best["end"], reach), x).otherwise(best)
+        taken = F.concat(done, F.array(best))
+        behind = F.when(x["start"] <= best["end"] + tolerance, state(taken, best["end"], F.when(x["end"] > best["end"], x).otherwise(nothing))).otherwise(state(taken, x["start"], x))
+        return F.when(x["start"] <= reach + tolerance, state(done, reach, longer)).when(best.isNotNull(), behind).otherwise(state(done, x["start"], x))
+
+    start = state(F.array().cast(many), F.lit(None), nothing)
+    last = lambda acc: F.when(acc["best"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"])))
+    return F.aggregate(F.array_sort(spans).cast(many), start, step, last)
 
 
 def minimal_cover(spans: DataFrame, group: str, start: str, end: str, tolerance: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.sequence import reverse_complement, twin
 from ..schemas import OVERLAP_CLIP, OVERLAP_END
@@ -123,7 +124,7 @@ def overlap_length(left: str, right: str, seed: int = 12, end: int = OVERLAP_END
     return best
 
 
-@F.pandas_udf("left int, right int")
+@F.pandas_udf(StructType([StructField("left", IntegerType()), StructField("right", IntegerType())]))
 def overlaps(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([overlap_length(a or "", b or "") for a, b in zip(left, right, strict=True)], columns=["left", "right"], dtype="int32")
 
