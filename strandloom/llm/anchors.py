@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialised, mix, shuffle_partitions, text_slices
+from .common import U64, materialised, mix, shuffle_partitions, small_batches, text_slices
 
 RECORD = "bucket int, lead1 long, lead2 long, print long, doc long, rk long, lo int, hi int, at int"
 TOP = U64(1 << 63)
@@ -36,7 +36,7 @@ SHIFT = 11
 #: Groups of at most so many rows are ended by numpy's sort.
 SMALL = 4096
 #: Rows of contexts that are compared at once; whole groups only.
-CONTEXTS = 50_000
+CONTEXTS = 10_000
 #: Share of rows from which splitters come, and the accuracy of their quantiles.
 SPLIT_SAMPLE, SPLIT_ACCURACY = 0.02, 10_000
 
@@ -261,6 +261,7 @@ def _window_rows(kind: Kind) -> Callable:
 def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     """Runs of repeated windows (rk, lo, hi: first and last start) in rows (doc long, rk long, text); rk identifies a row's doc and text."""
     spark = rows.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     fractions = F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))) if parts > 1 else F.array(F.lit(0.5))
     found = _records(rows.sample(SPLIT_SAMPLE, seed=7), kind, None).agg(F.percentile_approx("lead1", fractions, SPLIT_ACCURACY)).first()[0]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, ranges, slice_hashes, text_slices
+from .common import U64, mix, ranges, slice_hashes, small_batches, text_slices
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Unicode White_Space.
@@ -262,6 +262,7 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
                 part = batch.slice(row, to - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), lists], names=[*names, "input_ids"])
 
+    small_batches(docs.sparkSession)
     kept = docs.select(*(docs[n] for n in names))
     return kept.mapInArrow(run, kept.withColumn("input_ids", _null_ids()).schema)
 
@@ -290,6 +291,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", column: str = "t
                     pa.array([hashlib.sha256(data[c:d]).hexdigest() for _, _, c, d in spans]),
                 ], names=["k", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(docs[key], docs[column]).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Word separators: the characters outside `[^\x20\x09-\x0D]`.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -88,9 +88,12 @@ def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int
     """(first row, row behind the last, bytes, offsets of rows in them) for consecutive rows of about limit bytes. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and len(column) else np.zeros(0, np.uint8)
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, content = column.buffers()
+    offsets = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(content, np.uint8) if content is not None and len(column) else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
         to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
@@ -125,6 +128,13 @@ def materialised(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of some MB, unless the session says otherwise: they are held by the executor and by the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "64MB", "64m", "67108864", "67108864b", "268435456", "268435456b", "256MB"):
+        spark.conf.set(name, "4m")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

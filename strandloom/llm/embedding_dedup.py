@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialised, shuffle_partitions
+from .common import components, materialised, shuffle_partitions, small_batches
 from .minhash_dedup import bounds, forest, groups
 
 SAMPLE, SHARD, MOST_SHARDS, OVERLAP = 20_000, 600, 1024, 2
@@ -272,6 +272,7 @@ def by_width(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
     """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept of each row."""
     spark = vectors.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     unit = materialised(vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("embedding")).mapInArrow(_unit, "id long, node long, vec binary"))
     classes = materialised(unit.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("rows"), F.min("id").alias("first")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, materialised, mix, randoms, shuffle_partitions, slice_hashes, text_slices, words
+from .common import U64, components, materialised, mix, randoms, shuffle_partitions, slice_hashes, small_batches, text_slices, words
 
 COORDINATES, MATCHES = 40, 17
 #: Members of a posting list or a family's block that one task compares at once, and shingles of a block.
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     row; links are pairs with 100 * |both| >= percent * |any| on shingles of so many words. kept goes by key; representative
     marks one text of each component, also where rows share a key."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = shuffle_partitions(spark)
     num, den = percent, 100
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))

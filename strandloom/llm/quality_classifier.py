@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, randoms, slice_hashes, text_slices, words
+from .common import U64, mix, randoms, slice_hashes, small_batches, text_slices, words
 
 #: Rows of each kind, at most, that are fitted on.
 SAMPLE = 6000
@@ -146,6 +146,7 @@ def _score(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality") -> DataFrame:
     """docs with held_out, score (0 to 1, higher is likelier good) and predicted (1 from THRESHOLD)."""
     names = [n for n in docs.columns if n not in ("held_out", "score", "predicted")]
+    small_batches(docs.sparkSession)
     model = train(docs, labels, key, column, label)
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), docs[column].alias("text"))
     out = rows.mapInArrow(_score(model), rows.withColumn("score", F.lit(0.0)).schema)
