@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialised, mix, shuffle_partitions, small_batches, text_slices
+from .common import U64, map_batches, materialised, mix, shuffle_partitions, small_batches, text_slices
 
 RECORD = "bucket int, lead1 long, lead2 long, print long, doc long, rk long, lo int, hi int, at int"
 TOP = U64(1 << 63)
@@ -125,7 +125,7 @@ def _records(rows: DataFrame, kind: Kind, splitters: np.ndarray | None) -> DataF
                     names=[x.split()[0] for x in RECORD.split(", ")],
                 )
 
-    return rows.mapInArrow(run, "lead1 long" if splitters is None else RECORD)
+    return map_batches(rows, run, "lead1 long" if splitters is None else RECORD)
 
 
 GROUPED = "kind int, lead1 long, lead2 long, print long, doc long, rk long, lo int, hi int, at int, weight int"
@@ -268,7 +268,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     splitters = np.array(sorted(found or []), np.int64)
     hot = np.unique(splitters[1:][splitters[1:] == splitters[:-1]])
     dealt = _records(rows, kind, splitters).repartitionById(parts, "bucket")
-    table = materialised(dealt.mapInArrow(_bucket(kind, hot), GROUPED))
+    table = materialised(map_batches(dealt, _bucket(kind, hot), GROUPED))
     done = table.where("kind = 0").select("rk", "lo", "hi")
     open_ = table.where("kind = 1").drop("kind")
     if len(hot):
@@ -286,13 +286,13 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
         open_ = open_.unionByName(rest.select(*open_.columns))
     lists = open_.groupBy("rk").agg(F.collect_list(F.struct("lead1", "lead2", "doc", "rk", "lo", "hi", "weight")).alias("list"))
     texts = rows.select("rk", "text").join(lists.hint("shuffle_hash"), "rk").select("text", "list")
-    contexts = texts.mapInArrow(_contexts(kind), CONTEXT)
+    contexts = map_batches(texts, _contexts(kind), CONTEXT)
     if not len(hot):
-        return done.union(contexts.repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2").mapInArrow(_compare(kind), "rk long, lo int, hi int"))
+        return done.union(map_batches(contexts.repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2"), _compare(kind), "rk long, lo int, hi int"))
     contexts = materialised(contexts)
     is_hot = F.shiftright("lead1", SHIFT).isin(hot.tolist())
-    cold = contexts.where(~is_hot).repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2").mapInArrow(_compare(kind), "rk long, lo int, hi int")
-    each = contexts.where(is_hot).mapInArrow(_window_rows(kind), "key long, doc long, rk long, lo int, weight int")
+    cold = map_batches(contexts.where(~is_hot).repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2"), _compare(kind), "rk long, lo int, hi int")
+    each = map_batches(contexts.where(is_hot), _window_rows(kind), "key long, doc long, rk long, lo int, weight int")
     if kind.by_order:
         warm = each.join(each.groupBy("key").agg(F.min("doc").alias("m")), "key").where("doc > m")
     else:

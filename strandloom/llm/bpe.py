@@ -23,15 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, ranges, slice_hashes, small_batches, text_slices
+from .common import U64, map_batches, mix, ranges, slice_hashes, small_batches, text_slices
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Unicode White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What follows an apostrophe in a piece of its own.
 SHORT, LONG = "stmd", ("re", "ve", "ll")
-#: Pieces that a worker keeps; beyond that it starts anew, which changes no result.
-CACHE = 1 << 20
+#: Pieces that a task keeps; beyond that it starts anew, which changes no result.
+CACHE = 1 << 17
 
 
 @lru_cache(1)
@@ -255,16 +255,18 @@ def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
+        vocab.reset()
         for batch in batches:
             for row, to, buf, offsets in text_slices(batch.column(batch.schema.get_field_index(column))):
                 ids, before = encode_slice(vocab, buf, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 part = batch.slice(row, to - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), lists], names=[*names, "input_ids"])
+        vocab.reset()
 
     small_batches(docs.sparkSession)
     kept = docs.select(*(docs[n] for n in names))
-    return kept.mapInArrow(run, kept.withColumn("input_ids", _null_ids()).schema)
+    return map_batches(kept, run, kept.withColumn("input_ids", _null_ids()).schema)
 
 
 def _null_ids():
@@ -278,6 +280,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", column: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
+        vocab.reset()
         for batch in batches:
             for row, to, buf, offsets in text_slices(batch.column(1)):
                 ids, before = encode_slice(vocab, buf, offsets)
@@ -290,8 +293,9 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", column: str = "t
                     pa.array([hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b, _, _ in spans]),
                     pa.array([hashlib.sha256(data[c:d]).hexdigest() for _, _, c, d in spans]),
                 ], names=["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.reset()
 
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(docs[key], docs[column]).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = map_batches(docs.select(docs[key], docs[column]), run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("k", key)

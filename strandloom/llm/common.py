@@ -6,10 +6,13 @@ Python code runs per byte or per word and a worker's memory does not depend on t
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +131,26 @@ def materialised(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers are kept for later tasks, beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """mapInArrow with a function from batches to batches, after which the worker's free memory is released."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Batches for Python workers of some MB, unless the session says otherwise: they are held by the executor and by the worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -167,7 +190,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     rounds alternate until nothing changes; each round's edges are materialised. A hot
     node costs no skewed group: minima are pre-aggregated and joined back.
     """
-    now = materialised(edges.where("a <> b").mapInArrow(local_forest, "a long, b long").distinct())
+    now = materialised(map_batches(edges.where("a <> b"), local_forest, "a long, b long").distinct())
     state = None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))

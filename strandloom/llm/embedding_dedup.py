@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialised, shuffle_partitions, small_batches
+from .common import components, map_batches, materialised, shuffle_partitions, small_batches
 from .minhash_dedup import bounds, forest, groups
 
 SAMPLE, SHARD, MOST_SHARDS, OVERLAP = 20_000, 600, 1024, 2
@@ -274,7 +274,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     spark = vectors.sparkSession
     small_batches(spark)
     parts = shuffle_partitions(spark)
-    unit = materialised(vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("embedding")).mapInArrow(_unit, "id long, node long, vec binary"))
+    unit = materialised(map_batches(vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("embedding")), _unit, "id long, node long, vec binary"))
     classes = materialised(unit.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("rows"), F.min("id").alias("first")))
     total = classes.count()
     picked = classes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(4))).limit(SAMPLE).collect()
@@ -284,19 +284,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     audited = {n: (names[:AUDIT], x[:AUDIT]) for n, (names, x) in sample.items()}
     exact = None
     while True:
-        routed = materialised(classes.select("node", "rows", "vec").mapInArrow(_route(centres, overlap), "node long, rows long, vec binary, shards array<int>"))
+        routed = materialised(map_batches(classes.select("node", "rows", "vec"), _route(centres, overlap), "node long, rows long, vec binary, shards array<int>"))
         member = routed.withColumn("shard", F.explode("shards"))
         size = member.groupBy("shard").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
         member = member.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = member.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "vec", "rows", "shards")
         cell = ["shard", "i", "j"]
-        built = cells.select(*cell, "block", "node", "vec").repartition(parts, *cell).sortWithinPartitions(*cell).mapInArrow(_build, "node long, near array<long>")
+        built = map_batches(cells.select(*cell, "block", "node", "vec").repartition(parts, *cell).sortWithinPartitions(*cell), _build, "node long, near array<long>")
         union = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
         searched = cells.join(union, "node", "left").select(*cell, "block", "node", "vec", "rows", "shards", "near").repartition(parts, *cell).sortWithinPartitions(*cell)
-        found = materialised(searched.mapInArrow(_search(least), "kind int, node long, value long"))
+        found = materialised(map_batches(searched, _search(least), "kind int, node long, value long"))
         counts = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("n"))
         if exact is None:
-            rows = classes.select("node", "rows", "vec").mapInArrow(_brute({n: x for n, (_, x) in audited.items()}, {n: k for n, (k, _) in audited.items()}, least), "node long, n long")
+            rows = map_batches(classes.select("node", "rows", "vec"), _brute({n: x for n, (_, x) in audited.items()}, {n: k for n, (k, _) in audited.items()}, least), "node long, n long")
             exact = {r["node"]: r["n"] for r in rows.groupBy("node").agg(F.sum("n").alias("n")).collect()}
         got = {r["node"]: r["n"] for r in counts.where(F.col("node").isin([int(k) for k in exact])).collect()} if exact else {}
         recall = sum(min(got.get(k, 0), n) for k, n in exact.items()) / max(1, sum(exact.values()))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, materialised, mix, randoms, shuffle_partitions, slice_hashes, small_batches, text_slices, words
+from .common import U64, components, map_batches, materialised, mix, randoms, shuffle_partitions, slice_hashes, small_batches, text_slices, words
 
 COORDINATES, MATCHES = 40, 17
 #: Members of a posting list or a family's block that one task compares at once, and shingles of a block.
@@ -260,16 +260,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     parts = shuffle_partitions(spark)
     num, den = percent, 100
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
-    signed = materialised(rows.mapInArrow(_signatures(shingle), "doc_id long, rk long, n_shingles long, print long, sig binary"))
+    signed = materialised(map_batches(rows, _signatures(shingle), "doc_id long, rk long, n_shingles long, print long, sig binary"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk"))
     classes = materialised(signed.where("n_shingles > 0").groupBy("print").agg(least.alias("m"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     # posting lists, and the prefix of each class
-    posted = classes.select("print", "sig").mapInArrow(_postings, "print long, key long")
+    posted = map_batches(classes.select("print", "sig"), _postings, "print long, key long")
     common = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     mine = posted.join(common, "key").groupBy("print").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("k")).where(F.size("k") >= MATCHES)
     prefix = materialised(mine.select("print", F.explode(F.expr(f"slice(k, 1, size(k) - {MATCHES - 1})")).alias("k")).select("k.key", "k.f", "print"))
     short = prefix.where(F.col("f") <= LONG_LIST).join(classes.select("print", "n", "sig"), "print").select("key", "print", "n", "sig")
-    edges = short.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_merge(num, den), "a long, b long")
+    edges = map_batches(short.repartition(parts, "key").sortWithinPartitions("key"), _merge(num, den), "a long, b long")
     long = prefix.where(F.col("f") > LONG_LIST)
     edges = edges.union(long.join(long.groupBy("key").agg(F.min("print").alias("b")), "key").select(F.col("print").alias("a"), "b"))
     families = materialised(components(edges).withColumnRenamed("node", "print").withColumnRenamed("component", "family"))
@@ -278,9 +278,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     size = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = member.join(size, "family").select("family", "blocks", "print", "rk")
     texts = rows.select("rk", "text").join(member.hint("shuffle_hash"), "rk").select("family", "blocks", "print", "text")
-    sets = texts.mapInArrow(_sets(shingle), "family long, blocks int, print long, set binary").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
+    sets = map_batches(texts, _sets(shingle), "family long, blocks int, print long, set binary").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
     dealt = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "print", "set")
-    links = materialised(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_confirm(num, den), "a long, b long"))
+    links = materialised(map_batches(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j"), _confirm(num, den), "a long, b long"))
     found = components(links).withColumnRenamed("node", "print")
     # smallest id of each component, and of each class
     first = F.min("m")

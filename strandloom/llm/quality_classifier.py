@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, randoms, slice_hashes, small_batches, text_slices, words
+from .common import U64, map_batches, mix, randoms, slice_hashes, small_batches, text_slices, words
 
 #: Rows of each kind, at most, that are fitted on.
 SAMPLE = 6000
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str =
     order = F.xxhash64("k", F.lit(5))
     chosen = known.where("good = 1").orderBy(order, "k").limit(SAMPLE).withColumn("good", F.lit(1))
     other = usable.select("k").orderBy(F.xxhash64("k", F.lit(6)), "k").limit(SAMPLE).withColumn("good", F.lit(0))
-    rows = chosen.unionByName(other).join(usable, "k").select("good", "text").mapInArrow(_extract, "good int, x binary").collect()
+    rows = map_batches(chosen.unionByName(other).join(usable, "k").select("good", "text"), _extract, "good int, x binary").collect()
     x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(len(rows), STYLE + PAIRS)
     good = np.array([r[0] for r in rows], bool)
     if not good.any() or good.all():
@@ -149,6 +149,6 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: st
     small_batches(docs.sparkSession)
     model = train(docs, labels, key, column, label)
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), docs[column].alias("text"))
-    out = rows.mapInArrow(_score(model), rows.withColumn("score", F.lit(0.0)).schema)
+    out = map_batches(rows, _score(model), rows.withColumn("score", F.lit(0.0)).schema)
     out = out.select(*(F.col("text").alias(n) if n == column else F.col("rest")[n].alias(n) for n in names), "score")
     return out.withColumn("held_out", held_out(F.col(key))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

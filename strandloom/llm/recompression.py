@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, coverage, repeated_windows, runs, sliding_minimum, with_runs
-from .common import SLICE, U64, mix, randoms, ranges, slice_hashes, text_slices, words
+from .common import SLICE, U64, map_batches, mix, randoms, ranges, slice_hashes, text_slices, words
 
 #: Longest run that is named, and the length up to which symbols are joined in each pair round.
 LONGEST_RUN, PAIR_LIMITS = 3, (2, 2)
@@ -167,5 +167,5 @@ def remove_shared(docs: DataFrame, window: int = 50, key: str = "doc_id", column
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), batch.column(1).slice(row, to - row), pa.array(kept, pa.string()), pa.array(np.diff(first)), pa.array(np.diff(before))], names=["rest", "text", *extra])
 
     shape = joined.select("rest", "text", F.lit("").alias("kept"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
-    out = joined.mapInArrow(run, shape)
+    out = map_batches(joined, run, shape)
     return out.select(*(F.col("text").alias(n) if n == column else F.col("rest")[n].alias(n) for n in names), *extra)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, coverage, ordered, repeated_windows, runs, sliding_minimum, with_runs
-from .common import BASE, BYTE, SLICE, U64, mix, ranges, slice_hashes, text_slices
+from .common import BASE, BYTE, SLICE, U64, map_batches, mix, ranges, slice_hashes, text_slices
 
 GRAM = 16
 #: Texts longer than this are handled in pieces that overlap by a window.
@@ -109,5 +109,5 @@ def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", colu
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), batch.column(1).slice(row, to - row), out, pa.array(np.diff(offsets)), pa.array(np.diff(before)), spans], names=["rest", "text", *extra])
 
     shape = joined.select("rest", "text", F.lit("" if as_text else b"").alias("kept"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("cast(null as array<struct<start: bigint, end: bigint>>)").alias("spans")).schema
-    out = joined.mapInArrow(run, shape)
+    out = map_batches(joined, run, shape)
     return out.select(*(F.col("text").alias(n) if n == column else F.col("rest")[n].alias(n) for n in names), *extra)

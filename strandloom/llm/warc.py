@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import map_batches, shared_folder
 
 END = "\r\n\r\n"
 DATE = "2026-01-01T00:00:00Z"
@@ -139,7 +139,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives below path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(_read, RECORD)
+    return map_batches(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content"), _read, RECORD)
 
 
 def captures(rows: DataFrame, with_payload: bool = True) -> DataFrame:
