@@ -591,3 +591,220 @@ def _(t):
 def _(t):
     rows = _segments(t).withColumn("end", c("seg_idx") * 60)
     return B.cut_list(rows, B.count_test(_segments(t)))
+
+
+# sets, order and limits
+
+
+@query("ordered_spans", "select grp, s, e, row_number() over (partition by grp order by s, e desc) n from (select distinct grp, s, e from {spans})")
+def _(t):
+    from pyspark.sql import Window
+
+    return t("spans").distinct().withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("s", c("e").desc())).cast("long"))
+
+
+@query("top_three_reads", "select ref, qry, len1 from (select ref, qry, len1, row_number() over (partition by ref order by len1 desc, qry, s1, s2, e1) n from {aln}) where n <= 3")
+def _(t):
+    from pyspark.sql import Window
+
+    return t("aln").withColumn("n", F.row_number().over(Window.partitionBy("ref").orderBy(c("len1").desc(), "qry", "s1", "s2", "e1"))).where("n <= 3").select("ref", "qry", "len1")
+
+
+@query("set_union_all", "select name, len from {contigs} union all select name, len from {reads}")
+def _(t):
+    return t("contigs").unionByName(t("reads"))
+
+
+@query("set_intersect", "select c_nationkey k from customer intersect select s_nationkey from supplier")
+def _(t):
+    return t("customer").select(c("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
+
+
+@query("set_complement", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
+def _(t):
+    return J.without(t("part").select("p_partkey"), t("lineitem").where("l_quantity > 45").select(c("l_partkey").alias("p_partkey")), "p_partkey")
+
+
+@query("distinct_pairs", "select distinct l_returnflag a, l_linestatus b from lineitem")
+def _(t):
+    return t("lineitem").select(c("l_returnflag").alias("a"), c("l_linestatus").alias("b")).distinct()
+
+
+@query("choice_products", "select a.r_name a, b.r_name b, d.r_name d from region a cross join region b cross join region d where a.r_name <> b.r_name and b.r_name <> d.r_name and a.r_name <> d.r_name")
+def _(t):
+    # all matchings of three of the five regions: a fixed, factorial table
+    r = lambda k: t("region").select(c("r_name").alias(k))
+    return r("a").join(r("b"), c("a") != c("b")).join(r("d"), (c("a") != c("d")) & (c("b") != c("d")))
+
+
+@query("selected_records", "select name, len from {reads} where name in (select distinct concat('Read', cast(l_orderkey as varchar(9))) from lineitem where l_tax > 0.07)")
+def _(t):
+    from .sources.fasta import selected
+
+    return selected(t("reads"), t("lineitem").where("l_tax > 0.07").select(F.concat(F.lit("Read"), "l_orderkey").alias("name")))
+
+
+@query("balanced_parts", "select doc_id, cast(least(3, floor(coalesce(sum(len) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) * 4 / sum(len) over ())) as int) part from (select doc_id, length(text) len from {lines})")
+def _(t):
+    return I.balanced_parts(t("lines").select("doc_id", F.length("text").alias("len")), 4, "len", "doc_id").select("doc_id", "part")
+
+
+@query("renumbered_records", "select cast(row_number() over (order by doc_id) - 1 as bigint) seq_idx, concat('Segkk', row_number() over (order by doc_id) - 1) name, doc_id from {lines} where length(text) >= 400")
+def _(t):
+    from .sources.fasta import renumbered
+
+    rows = t("lines").select(c("doc_id").alias("seq_idx"), "doc_id", c("text").alias("seq"), F.lit("").alias("name"))
+    return renumbered(rows, least=400).select("seq_idx", "name", "doc_id")
+
+
+@query("fasta_lines", "select concat('>Contig', item_id, chr(10), text) line from benchmark where not contains(text, '>')")
+def _(t):
+    from .sources.fasta import record
+
+    return t("benchmark").select(F.concat(F.lit("Contig"), "item_id").alias("name"), c("text").alias("seq")).where(~F.contains("seq", F.lit(">"))).select(record().alias("line"))
+
+
+@query("edit_counts", "select o_orderkey, cast(len(list_filter(range(1, 8), lambda i: substr(a, i, 1) <> substr(b, i, 1))) as int) sub from (select o_orderkey, cast(1000000 + o_orderkey as varchar) a, cast(1000000 + o_custkey as varchar) b from orders)")
+def _(t):
+    rows = t("orders").select("o_orderkey", (c("o_orderkey") + 1000000).cast("string").alias("a"), (c("o_custkey") + 1000000).cast("string").alias("b"))
+    return rows.select("o_orderkey", S.edit_counts("a", "b")["sub"].alias("sub"))
+
+
+# more aggregates
+
+
+@query("extents", "select ref, cast(min(s1) as int) lo, cast(max(e1) as int) hi from {aln} group by ref")
+def _(t):
+    return t("aln").groupBy("ref").agg(F.min("s1").alias("lo"), F.max("e1").alias("hi"))
+
+
+@query("coverage_estimate", "select round((select sum(len) from {reads}) / (select sum(len) from {contigs}), 6) depth")
+def _(t):
+    return t("reads").agg(F.sum("len").alias("r")).crossJoin(t("contigs").agg(F.sum("len").alias("c"))).select(F.round(c("r") / c("c"), 6).alias("depth"))  # one row each
+
+
+@query("reads_per_contig", "select ref, count(distinct qry) n from {full} where s1 <= 200 or e1 >= lr - 200 group by ref")
+def _(t):
+    rows = full(t).where("s1 <= 200 or e1 >= lr - 200")
+    return rows.groupBy("ref").agg(F.size(F.collect_set("qry")).cast("long").alias("n"))
+
+
+@query("read_expansion", "with recursive seed as (select distinct qry from {aln} where ref = 'Contig1'), c1 as (select distinct ref from {aln} where qry in (select qry from seed)) select distinct qry from {aln} where ref in (select ref from c1 where ref < 'Contig2')")
+def _(t):
+    aln = t("aln")
+    seed = aln.where("ref = 'Contig1'").select("qry").distinct()
+    refs = aln.join(seed, "qry", "left_semi").select("ref").distinct().where("ref < 'Contig2'")
+    return aln.join(refs, "ref", "left_semi").select("qry").distinct()
+
+
+@query("unique_pairs", f"with p as (select distinct l, r from ({UNIQUE})) select l, r from p where l in (select l from p group by l having count(distinct r) = 1) and r in (select r from p group by r having count(distinct l) = 1)")
+def _(t):
+    from .operators.resolve import unique_partners
+
+    return unique_partners(t(UNIQUE).distinct())
+
+
+@query("precision_recall", "with p as (select quality, case when length(text) > 800 then 1 else 0 end q from labels join documents using (doc_id)) select sum(case when quality = 1 and q = 1 then 1 else 0 end) tp, round(sum(case when quality = 1 and q = 1 then 1 else 0 end) / sum(q), 6) \"precision\", round(sum(case when quality = 1 and q = 1 then 1 else 0 end) / sum(quality), 6) recall from p".replace("select sum(case", "select cast(sum(case", 1).replace("end) tp", "end) as bigint) tp", 1))
+def _(t):
+    from .plans.evaluate import scores
+
+    p = t("labels").join(t("documents"), "doc_id").select("quality", (F.length("text") > 800).cast("int").alias("q"))
+    s = p.agg(F.sum(c("quality") * c("q")).cast("long").alias("tp"), F.sum("q").alias("found"), F.sum("quality").alias("true"))
+    return s.select("tp", *(x for x in scores(c("tp"), c("found"), c("true")))).select("tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("stage_scores", "with e as (select l_linenumber stage, l_partkey src, l_suppkey dst from lineitem), f as (select src, dst, min(stage) stage from e group by 1, 2), g as (select distinct l_partkey src, l_suppkey dst from lineitem where l_returnflag = 'A'), m as (select f.stage, g.src is not null ok from f left join g on f.src = g.src and f.dst = g.dst), p as (select stage, count(*) found, cast(sum(case when ok then 1 else 0 end) as bigint) tp from m group by stage) select stage, found, tp, round(tp / found, 6) \"precision\", round(sum(tp) over (order by stage) / (select count(*) from g), 6) recall from p")
+def _(t):
+    from .plans.evaluate import stage_scores
+
+    rows = t("lineitem").select(c("l_linenumber").alias("stage"), c("l_partkey").alias("src"), c("l_suppkey").alias("dst"))
+    truth = t("lineitem").where("l_returnflag = 'A'").select(c("l_partkey").alias("src"), c("l_suppkey").alias("dst"))
+    return stage_scores(rows, truth).select("stage", "found", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("tandem_copies", "with r as (select l_orderkey, max(l_quantity) n from lineitem group by l_orderkey) select round(sum(n) / (10 * 25.0), 6) copies from r")
+def _(t):
+    from .operators.phasing import copies
+
+    return copies(t("lineitem").select(c("l_orderkey").alias("qry"), c("l_quantity").alias("len1")), 10, 25.0).select(F.round("copies", 6).alias("copies"))
+
+
+@query("template_bins", "select doc_id, b bin, substr(text, cast(b * 500 + 1 as int), 500) seq from (select doc_id, text, unnest(range(0, (greatest(length(text), 1) - 1) // 500 + 1)) b from {lines})")
+def _(t):
+    from .operators.phasing import binned
+
+    return binned(t("lines").select("doc_id", c("text").alias("seq")), 500)
+
+
+@query("abundance_window", "select date_trunc('hour', ts) start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def _(t):
+    from .streaming.abundance import windowed
+
+    return windowed(t("events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# more graphs
+
+
+@query("reverse_graph", "select dst src, src dst, wt, ord from {edges}")
+def _(t):
+    return G.reverse(t("edges"))
+
+
+@query("edge_removal", "select src, dst, wt, ord from {edges} where (src, dst) not in (select c_custkey, c_custkey + 1 from customer where c_acctbal > 5000)")
+def _(t):
+    return G.remove(t("edges"), t("select c_custkey src, c_custkey + 1 dst from {customer} where c_acctbal > 5000"))
+
+
+REPS = "select cast(n_nationkey as bigint) rep_id, n_nationkey * 100 i1, n_nationkey * 100 + 2 i2, n_nationkey * 100 + 4 o1, n_nationkey * 100 + 6 o2 from {nation}"
+
+
+def _repeats(t) -> DataFrame:
+    return t(REPS).select("rep_id", F.array(c("i1").cast("long"), c("i2").cast("long")).alias("ins"), F.array(c("o1").cast("long"), c("o2").cast("long")).alias("outs"))
+
+
+NODE_DEPTH = "select c_custkey * 2 id, c_acctbal depth from {customer}"
+
+
+@query("abundance_match", f"with d as ({NODE_DEPTH}), p as (select rep_id, l, r, a.depth x, b.depth y from (select rep_id, unnest([i1, i2]) l from ({REPS})) join (select rep_id, unnest([o1, o2]) r from ({REPS})) using (rep_id) join d a on a.id = l join d b on b.id = r where l // 2 <> r // 2), w as (select *, abs(x - y) d, sum(case when abs(x - y) <= 4000 then 1 else 0 end) over (partition by rep_id, l) nl, sum(case when abs(x - y) <= 4000 then 1 else 0 end) over (partition by rep_id, r) nr from p) select rep_id, cast(l as bigint) l, cast(r as bigint) r from w where d <= 2000 and nl = 1 and nr = 1")
+def _(t):
+    from .operators.resolve import abundance_match
+
+    return abundance_match(_repeats(t), t(NODE_DEPTH), 1000.0, 2.0, 4.0)
+
+
+BRIDGES = "select cast(l_suppkey % 25 * 100 + case when l_linenumber % 2 = 0 then 2 else 0 end as bigint) src, 1000000 + l_orderkey % 400 dst from {lineitem} union all select 1000000 + l_orderkey % 400, cast(l_suppkey % 25 * 100 + case when l_partkey % 2 = 0 then 4 else 6 end as bigint) from {lineitem}"
+
+
+@query("bridge_support", f"with e as (select distinct src, dst from ({BRIDGES})), a as (select rep_id, l, dst read from (select rep_id, unnest([i1, i2]) l from ({REPS})) join e on l = src), b as (select rep_id, r, src read from (select rep_id, unnest([o1, o2]) r from ({REPS})) join e on r = dst), a1 as (select rep_id, read, min(l) l from a group by 1, 2 having count(*) = 1), b1 as (select rep_id, read, min(r) r from b group by 1, 2 having count(*) = 1) select rep_id, cast(l as bigint) l, cast(r as bigint) r, count(*) n from a1 join b1 using (rep_id, read) group by 1, 2, 3 having count(*) >= 2")
+def _(t):
+    from .operators.resolve import bridge_match
+
+    return bridge_match(_repeats(t), t(BRIDGES), 1000000)
+
+
+@query("bipartite_resolve", f"with r as (select rep_id, i1, i2, o1, o2 from ({REPS})), e as (select c_custkey % 2500 src, c_custkey % 2500 + 4 dst, c_nationkey wt from customer) select src, dst, wt from e where src not in (select i1 from r union select i2 from r) and dst not in (select o1 from r union select o2 from r) union all select i1, o2, 0 from r")
+def _(t):
+    edges = t("select c_custkey % 2500 src, c_custkey % 2500 + 4 dst, c_nationkey wt from {customer}")
+    return G.bipartite_resolve(edges, _repeats(t), t(REPS).select(c("i1").cast("long").alias("src"), c("o2").cast("long").alias("dst"), F.lit(0).alias("wt")))
+
+
+@query("containment", "with d as (select distinct text from {lines}) select count(*) texts, cast(sum(case when n > 1 then n - 1 else 0 end) as bigint) copies from (select text, count(*) n from {lines} group by text)")
+def _(t):
+    n = t("lines").groupBy("text").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("texts"), F.sum(F.when(c("n") > 1, c("n") - 1).otherwise(0)).alias("copies"))
+
+
+@query("redundant_sequences", "with f as (select * from {full}), k as (select distinct qry small, ref large from f where least(s2, e2) <= 10 and greatest(s2, e2) >= lq - 10) select name, len from {reads} where name not in (select small from k)")
+def _(t):
+    from .operators.resolve import without_redundant
+
+    return without_redundant(t("reads"), full(t)).select("name", "len")
+
+
+@query("dovetail_edges", "with f as (select regexp_extract(ref, '[0-9]+')::bigint * 2 r, regexp_extract(qry, '[0-9]+')::bigint * 2 + 1000 q, s2 > e2 t, * from {full}), g as (select r, case when t then xor(q, 1) else q end q, s1, e1, case when t then lq - s2 + 1 else s2 end s, case when t then lq - e2 + 1 else e2 end e, lr, lq, least(len1, len2) wt from f), h as (select r src, q dst, wt from g where e1 >= lr - 60 and s <= 60 union all select q, r, wt from g where s1 <= 60 and e >= lq - 60), m as (select * from h union all select xor(dst, 1), xor(src, 1), wt from h) select src, dst, max(wt) wt from m group by 1, 2")
+def _(t):
+    from .operators.resolve import overlap_edges
+
+    number = lambda n: F.regexp_extract(n, "([0-9]+)", 1).cast("long") * 2
+    return overlap_edges(full(t), number("ref"), number("qry") + 1000, 60)
