@@ -84,14 +84,18 @@ def chains(edges: DataFrame, rounds: int = 60) -> DataFrame:
     only_in = edges.groupBy("dst").agg(F.min("src").alias("src"), F.count("*").alias("n")).where("n = 1").select("src", "dst")
     step = materialised(only_out.join(only_in, ["src", "dst"]).where("src <> dst"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    closed = components(step).join(step.select(c("src").alias("id")), "id", "left_semi")
-    size = components(step).groupBy("component").agg(F.count("*").alias("n"))
+    label = materialised(components(step))
+    closed = label.join(step.select(c("src").alias("id")), "id", "left_semi")
+    size = label.groupBy("component").agg(F.count("*").alias("n"))
     ring = closed.groupBy("component").agg(F.count("*").alias("k")).join(size, "component").where("n = k").select("component")
     step = step.join(ring, step["dst"] == ring["component"], "left_anti")
     now = materialised(nodes.join(step.select(c("dst").alias("id"), c("src").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(c("up").isNull(), 0).otherwise(1).cast("long").alias("d")))
     for _ in range(rounds):
         up = now.select(c("id").alias("up"), c("up").alias("up2"), c("d").alias("d2"))
-        now = materialised(now.join(up, "up").select("id", c("up2").alias("up"), (c("d") + c("d2")).alias("d"), (c("up2") != c("up")).alias("moved")))
+        once = now.join(up, "up").select("id", c("up2").alias("up"), (c("d") + c("d2")).alias("d"))
+        # the nodes above have moved as well: a second jump in the same job
+        next_up = once.select(c("id").alias("up"), c("up").alias("up2"), c("d").alias("d2"))
+        now = materialised(once.join(next_up, "up").select("id", c("up2").alias("up"), (c("d") + c("d2")).alias("d"), (c("up2") != c("up")).alias("moved")))
         if not now.where("moved").limit(1).count():
             break
         now = now.drop("moved")

@@ -226,7 +226,7 @@ def _(t):
     return A.support(t(PAIRS))
 
 
-UNIQUE = "select o_custkey l, l_suppkey r from {orders} join {lineitem} on o_orderkey = l_orderkey where o_orderpriority = '1-URGENT' and l_linenumber = 1"
+UNIQUE = "select o_orderkey l, l_partkey r from {orders} join {lineitem} on o_orderkey = l_orderkey where o_orderpriority = '1-URGENT' and l_linenumber = 1"
 
 
 @query("conflict_free", f"with p as (select distinct l, r from ({UNIQUE})) select l, r from p where l in (select l from p group by l having count(*) = 1) and r in (select r from p group by r having count(*) = 1)")
@@ -404,9 +404,9 @@ def _(t):
     return J.read_bridges(rows, 10).select("read", "l", "r", "len")
 
 
-@query("supported_edges", "select src, dst, wt, ord from {edges} e where exists (select 1 from (select c_custkey s, c_custkey + 1 d, c_nationkey l1, c_custkey % 30 l2 from customer) x where s = src and d = dst and least(l1, l2) >= wt)")
+@query("supported_edges", "select src, dst, wt, ord from {edges} e where exists (select 1 from (select c_custkey s, c_custkey + 1 d, c_nationkey + 3 l1, c_custkey % 30 l2 from customer) x where s = src and d = dst and least(l1, l2) >= wt)")
 def _(t):
-    return J.supported(t("edges"), t("select c_custkey src, c_custkey + 1 dst, c_nationkey l1, c_custkey % 30 l2 from {customer}"))
+    return J.supported(t("edges"), t("select c_custkey src, c_custkey + 1 dst, c_nationkey + 3 l1, c_custkey % 30 l2 from {customer}"))
 
 
 @query("two_hop_best", "select a, max_by(b, (n, b)) b, max(n) n from (select x.ref a, y.ref b, count(distinct x.qry) n from {aln} x join {aln} y on x.qry = y.qry and x.ref <> y.ref group by 1, 2) group by a")
@@ -438,9 +438,11 @@ def _(t):
 
 @query("seed_join")
 def _(t):
-    docs = t("lines").select(F.concat(F.lit("Read"), "doc_id").alias("name"), S.clean("text").alias("seq"))
-    items = t("benchmark").select(F.concat(F.lit("Contig"), "item_id").alias("name"), S.clean("text").alias("seq"))
-    return J.align(items, docs, k=16, least=24)
+    """The similarity join on all texts, their letters read as bases."""
+    base = F.regexp_replace(F.translate(F.lower("text"), "etaoinsrhldcu", "ACGTACGTACGTA"), "[^ACGT]", "")
+    docs = t("lines").select(F.concat(F.lit("Read"), "doc_id").alias("name"), base.alias("seq"))
+    items = t("benchmark").select(F.concat(F.lit("Contig"), "item_id").alias("name"), base.alias("seq"))
+    return J.align(items, docs, k=24, least=40)
 
 
 # graph
@@ -535,7 +537,7 @@ def _(t):
 # breaks
 
 VIEWS["repeats"] = """select cast(l_partkey * 7 + 1 as int) s1, cast(l_partkey * 7 + l_quantity * 60 as int) e1, cast(l_suppkey * 700 + case when l_returnflag = 'R' then l_quantity * 60 else 1 end as int) s2,
-    cast(l_suppkey * 700 + case when l_returnflag = 'R' then 1 else l_quantity * 60 end as int) e2, concat('Contig', cast(l_partkey % 997 as varchar(9))) ref, concat('Other', cast(l_suppkey % 997 as varchar(9))) qry,
+    cast(l_suppkey * 700 + case when l_returnflag = 'R' then 1 else l_quantity * 60 end as int) e2, concat('Contig', cast(l_orderkey % 9973 as varchar(9))) ref, concat('Other', cast(l_partkey % 9973 as varchar(9))) qry,
     l_orderkey * 8 + l_linenumber rep from {lineitem}"""
 
 
