@@ -39,6 +39,8 @@ SMALL = 4096
 CONTEXTS = 10_000
 #: Share of rows from which splitters come, and the accuracy of their quantiles.
 SPLIT_SAMPLE, SPLIT_ACCURACY = 0.02, 10_000
+#: Tasks over which the rows of one key are dealt where keys are known to be hot.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -258,6 +260,13 @@ def _window_rows(kind: Kind) -> Callable:
     return run
 
 
+def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (with rk and lo) joined with the one row of table for their keys; a key's rows are dealt over SALTS tasks."""
+    left = rows.withColumn("_s", F.pmod(F.xxhash64("rk", "lo"), F.lit(SALTS)).cast("int"))
+    right = table.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*keys, "_s"]).drop("_s")
+
+
 def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     """Runs of repeated windows (rk, lo, hi: first and last start) in rows (doc long, rk long, text); rk identifies a row's doc and text."""
     spark = rows.sparkSession
@@ -276,7 +285,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
         one = ["lead1", "lead2", "print"]
         size = burning.groupBy(*one).agg(F.count("*").alias("n"), F.min("doc").alias("m"), F.min(F.struct("rk", "lo")).alias("one"))
         kinds = size.groupBy("lead1", "lead2").agg(F.count("*").alias("k"))
-        both = burning.join(size, one).join(kinds, ["lead1", "lead2"])
+        both = _salted(burning, size.join(kinds, ["lead1", "lead2"]), one)
         if kind.by_order:
             repeated, rest = both.where("doc > m"), both.where("k > 1 and doc = m").withColumn("weight", F.lit(1))
         else:
@@ -294,9 +303,9 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     cold = map_batches(contexts.where(~is_hot).repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2"), _compare(kind), "rk long, lo int, hi int")
     each = map_batches(contexts.where(is_hot), _window_rows(kind), "key long, doc long, rk long, lo int, weight int")
     if kind.by_order:
-        warm = each.join(each.groupBy("key").agg(F.min("doc").alias("m")), "key").where("doc > m")
+        warm = _salted(each, each.groupBy("key").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).where("x > m"), ["key"]).where("doc > m")
     else:
-        warm = each.join(each.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1"), "key")
+        warm = _salted(each, each.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1"), ["key"])
     return done.union(cold).union(warm.select("rk", "lo", F.col("lo").alias("hi")))
 
 
