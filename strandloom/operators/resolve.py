@@ -38,7 +38,7 @@ def without_redundant(seqs: DataFrame, aln: DataFrame, near: int = REDUNDANT) ->
 
 
 def without_covered(queries: DataFrame, aln: DataFrame, near: int = REDUNDANT) -> DataFrame:
-    """Queries that no reference covers from end to end."""
+    """Queries that no target covers from end to end."""
     return queries.join(inside(aln, near).select(c("small").alias("name")).distinct(), "name", "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""Joining contigs through repeats: string graph, abundance, surgery, resolving, read-out; and the core finisher."""
+"""Joining contigs through repeats: string graph, abundance, surgery, resolving, read-out; and joining by best neighbours."""
 
 from __future__ import annotations
 
@@ -86,7 +86,7 @@ def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOpt
 
 
 def finish(contigs: DataFrame, reads: DataFrame, k: int = 20) -> DataFrame:
-    """The core finisher: redundancy, best successors and predecessors, gaps filled by one read, chains, read-out."""
+    """Joining by best neighbours: redundancy, best successors and predecessors, gaps filled by one read, chains, read-out."""
     lengths = lambda df: df.select("name", F.length("seq").alias("len"))
     contigs = materialised(R.without_redundant(contigs, J.with_lengths(J.align(contigs, contigs, k), lengths(contigs))))
     con, rd = materialised(numbered(contigs, "Contig")), materialised(numbered(reads, "Read"))
@@ -101,5 +101,5 @@ def finish(contigs: DataFrame, reads: DataFrame, k: int = 20) -> DataFrame:
     graph = materialised(G.symmetric(G.resolve_by_weight(direct.union(bridged.select(c("l").alias("src"), c("r").alias("dst"), "wt")).groupBy("src", "dst").agg(F.max("wt").alias("wt")))))
     nodes = materialised(G.condense(graph)[0])
     seqs = materialised(R.oriented(con).union(R.oriented(rd).select((c("id") + n).alias("id"), "seq")))
-    gaps = R.gap_contents(R.paths_between(graph.select(c("src").alias("l"), c("dst").alias("r")), materialised(edges.unionByName(graph.select("src", "dst", c("wt").cast("int").alias("wt")))), n, 3), seqs)
+    gaps = R.gap_contents(R.paths_between(graph.select(c("src").alias("l"), c("dst").alias("r")), materialised(edges.unionByName(direct.select("src", "dst", c("wt").cast("int").alias("wt")))), n, 3), seqs)
     return R.read_out(nodes, seqs.where(c("id") < n), materialised(gaps)).select(F.concat(F.lit("Segkk"), "node").alias("name"), "seq")

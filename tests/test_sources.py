@@ -30,7 +30,7 @@ def test_many_files_keep_order(spark, tmp_path):
 
 
 def test_alignments(spark, tmp_path):
-    text = "header\nNUCMER\n\n    [S1]     [E1]  |\n=====\n       1     1000  |     1000        1  |     1000     1000  |    99.50  | Contig1\tRead2\n"
+    text = "header\nsecond\n\n    [S1]     [E1]  |\n=====\n       1     1000  |     1000        1  |     1000     1000  |    99.50  | Contig1\tRead2\n"
     (tmp_path / "x.coords").write_text(text)
     aln = tables.read_alignments(spark, f"file://{tmp_path}/x.coords")
     want = (1, 1000, 1000, 1, 1000, 1000, 99.5, "Contig1", "Read2")
