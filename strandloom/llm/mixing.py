@@ -88,9 +88,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: flo
     return out.select("source", "source_size", F.least(cap.cast("double"), F.coalesce(F.col("w") * F.col("final"), cap.cast("double"))).alias("target"))
 
 
-def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2, shards: int = 16, key: str = "doc_id", column: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2, shards: int | None = None, key: str = "doc_id", column: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """A row per document: id, rk, size, source_size, target, taken, and draws (array of shard and place, one for each time it is taken)."""
     spark = docs.sparkSession
+    shards = shards or shuffle_partitions(spark)
     rows = materialised(sized(docs, key, column, source, seed), shuffle_partitions(spark))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     per_source = blocks.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n_blocks"))
@@ -109,7 +110,8 @@ def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: floa
     upto = {i: [sum(shard[i] for shard in dealt[: j + 1]) for j in range(shards)] for i in range(len(quota))}
     plan = json.dumps([{"s": s, "upto": upto[i]} for i, (s, _) in enumerate(quota)])
     plan = spark.range(1).select(F.explode(F.from_json(F.lit(plan), "array<struct<s: string, upto: array<bigint>>>")).alias("p")).select("p.s", "p.upto")
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    shard = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda t: F.size(F.filter("upto", lambda c: c <= t * F.col("n_blocks") + F.col("rank"))))
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("shards", shard).drop("s", "upto")
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("rk", F.lit(seed + 2)), "rk", "id")
     docs_in = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     p = placed.withColumnRenamed("source", "s").withColumnRenamed("block", "b")
@@ -119,17 +121,19 @@ def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: floa
     draw = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda t: t < F.col("times")),
         lambda t: F.struct(
-            F.size(F.filter("upto", lambda c: c <= t * F.col("n_blocks") + F.col("rank"))).alias("shard"),
+            F.get("shards", t).alias("shard"),
             F.xxhash64("rk", t, F.lit(seed + 3)).alias("place"),
         ),
     )
     return out.select("id", "rk", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), draw.alias("draws")).withColumnRenamed("id", key)
 
 
-def mix(docs: DataFrame, shards: int = 16, key: str = "doc_id", column: str = "text", **options) -> DataFrame:
-    """The mixed documents: columns of docs, a row for each time that a document is taken, shards together and shuffled."""
+def mix(docs: DataFrame, shards: int | None = None, key: str = "doc_id", column: str = "text", **options) -> DataFrame:
+    """The mixed documents: columns of docs, a row for each time that a document is taken. A shard is a partition, shuffled
+    within; there are as many as shuffle partitions unless shards says otherwise."""
+    shards = shards or shuffle_partitions(docs.sparkSession)
     drawn = allocate(docs, shards=shards, key=key, column=column, **options).where(F.size("draws") > 0).select("rk", "draws").dropDuplicates(["rk"])
     rows = docs.select(F.struct(*(docs[n] for n in docs.columns)).alias("row"), F.xxhash64(docs[key], docs[column]).alias("rk"))
     each = rows.join(drawn.hint("shuffle_hash"), "rk").select("row", F.explode("draws").alias("d"))
-    mixed = each.repartition(shards, F.col("d.shard")).sortWithinPartitions("d.shard", "d.place")
+    mixed = each.repartitionById(shards, F.col("d.shard")).sortWithinPartitions("d.place")
     return mixed.select(*(F.col("row")[n].alias(n) for n in docs.columns))
