@@ -170,7 +170,8 @@ def hypothesis(scored: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 def phase(reads: DataFrame) -> DataFrame:
     """(rep_id, result): 0 if in1 goes with out1, 1 if in1 goes with out2. reads (rep_id, side l, m or r, seq, v1, v2): v1 and v2 are the two variants of the
-    stretch that a read covers; a read votes by the difference of their likelihoods, and the signs of left and right have to agree through the middle."""
+    stretch that a read covers
+    (for m the variants that link left and right alike or crosswise); a read votes by the difference of their likelihoods, and the signs of left, middle and right decide."""
     ll = reads.withColumn("d", read_likelihood("v1", "seq", F.lit(0.05)) - read_likelihood("v2", "seq", F.lit(0.05)))
     side = ll.groupBy("rep_id").agg(*(F.sum(F.when(c("side") == k, c("d")).otherwise(0.0)).alias(k) for k in ("l", "m", "r")))
     sign = lambda k: F.when(c(k) < 0, -1).otherwise(1)

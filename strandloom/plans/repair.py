@@ -84,3 +84,60 @@ def fix(contigs: DataFrame, reads: DataFrame, options: RepairOptions = RepairOpt
     pieces = materialised(I.cut(contigs.select("name", "seq"), cuts).select(F.concat("name", F.lit("_"), "piece").alias("name"), "seq"))
     again = J.with_lengths(J.align(pieces, pieces, k), lengths(pieces))
     return without_redundant(pieces, again)
+
+
+def coverage_breaks(depth: DataFrame, lengths: DataFrame, t: int = 1000, multiple: float = 5, confirm: float = 5, step: int | None = None) -> DataFrame:
+    """(contig, at): where the mean depth of the t bases behind differs most from that of the t bases before, by `multiple` standard deviations (those of
+    the middle half of differences), and the mean depths up to the next breaks differ too. Means are taken every t / 10 bases from depth
+    segments, never per base. Contigs of 12 t or less have none; peaks suppress others within 6 t."""
+    step = step or max(1, t // 10)
+    long = lengths.where(c("len") > 12 * t).select(c("name").alias("contig"), "len")
+    points = long.select("contig", F.explode(F.sequence(F.lit(t), (c("len") - t).cast("int"), F.lit(step))).alias("at"))
+    back = points.select("contig", (c("at") - t).alias("rs"), c("at").alias("re"))
+    ahead = points.select("contig", c("at").alias("rs"), (c("at") + t).alias("re"))
+    sums = materialised(A.depth_in_ranges(depth, back.union(ahead).distinct(), "contig", 10 * t))
+    b = sums.select("contig", c("re").alias("at"), (c("total") / t).alias("b"))
+    a = sums.select("contig", c("rs").alias("at"), (c("total") / t).alias("a"))
+    diff = materialised(points.join(b, ["contig", "at"]).join(a, ["contig", "at"]).select("contig", "at", (c("a") - c("b")).alias("diff")))
+    sd = A.interquartile_std(diff, "diff").first()["sd"] or 0.0
+    found = materialised(I.peaks(diff, "contig", "at", "diff", multiple * sd, 6 * t))
+    return I.confirmed(found, depth, "contig", "at", confirm * sd, t // 4, 10 * t)
+
+
+def cut_extended(contigs: DataFrame, breaks: DataFrame) -> DataFrame:
+    """(name, piece, seq): contigs cut at two-sided breaks (name, left, right, left_more, right_more): the piece before ends at left and goes on with left_more, what a
+    read adds; the piece behind begins with right_more at right. A null side ends or begins where the other side is."""
+    b = breaks.withColumn("left", F.coalesce("left", "right")).withColumn("right", F.coalesce(breaks["right"], breaks["left"]))
+    rows = b.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("left", "right", F.coalesce("left_more", F.lit("")).alias("lm"), F.coalesce("right_more", F.lit("")).alias("rm")))).alias("b"))
+    x = contigs.select("name", "seq").join(rows, "name", "left").withColumn("b", F.coalesce("b", F.array().cast("array<struct<left: int, right: int, lm: string, rm: string>>")))
+    n = F.size("b")
+    piece = F.transform(
+        F.sequence(F.lit(0), n),
+        lambda i: F.concat(
+            F.when(i > 0, F.get("b", i - 1)["rm"]).otherwise(""),
+            F.substr(c("seq"), F.when(i > 0, F.get("b", i - 1)["right"]).otherwise(0) + 1, F.greatest(F.lit(0), F.when(i < n, F.get("b", i)["left"]).otherwise(F.length("seq")) - F.when(i > 0, F.get("b", i - 1)["right"]).otherwise(0))),
+            F.when(i < n, F.get("b", i)["lm"]).otherwise(""),
+        ),
+    )
+    return x.select("name", F.posexplode(piece).alias("piece", "seq"))
+
+
+def fix_with_short(long_contigs: DataFrame, short_contigs: DataFrame, short_reads: DataFrame, long_reads: DataFrame, options: RepairOptions = RepairOptions(), t: int = 1000, k: int = 20) -> DataFrame:  # noqa: B008
+    """Two sets of contigs, each checked with the other kind of reads, and merged: long contigs are cut where the coverage by short reads changes, short ones where long
+    reads map in two far parts; short contigs that a long one covers go."""
+    lengths = lambda df: df.select("name", F.length("seq").alias("len"))
+    mapped = J.with_lengths(J.align(long_contigs, short_reads, k), lengths(long_contigs).union(lengths(short_reads)))
+    placed = A.placement(mapped, embedded("SR") | embedded())
+    depth = materialised(A.depth_segments(placed.select(c("ref").alias("contig"), (c("s1") - 1).alias("s"), c("e1").alias("e")), "contig", "s", "e"))
+    at = coverage_breaks(depth, lengths(long_contigs), t, 13)
+    lc = materialised(I.cut(long_contigs.select("name", "seq"), at.select(c("contig").alias("name"), "at")).select(F.concat("name", F.lit("_"), "piece").alias("name"), "seq"))
+    split = J.with_lengths(J.align(short_contigs, long_reads, k), lengths(short_contigs).union(lengths(long_reads)))
+    found = B.split_mapping_breaks(split, 30, t, 50 * t)
+    ends = found.select(c("contig_l").alias("name"), c("left").alias("at")).union(found.select("contig_r", "right")).groupBy("name", "at").agg(F.count("*").alias("n"))
+    near = I.spaced(F.collect_set("at"), t)
+    sc_at = ends.groupBy("name").agg(near.alias("a")).select("name", F.explode("a").cast("int").alias("at"))
+    sc = materialised(I.cut(short_contigs.select("name", "seq"), sc_at).select(F.concat("name", F.lit("_"), "piece").alias("name"), "seq"))
+    from ..operators.resolve import without_covered
+
+    covered = J.with_lengths(J.align(lc, sc, k), lengths(lc).union(lengths(sc)))
+    return lc.union(without_covered(sc, covered).select("name", "seq"))
