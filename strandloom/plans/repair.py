@@ -107,7 +107,7 @@ def coverage_breaks(depth: DataFrame, lengths: DataFrame, t: int = 1000, multipl
 def cut_extended(contigs: DataFrame, breaks: DataFrame) -> DataFrame:
     """(name, piece, seq): contigs cut at two-sided breaks (name, left, right, left_more, right_more): the piece before ends at left and goes on with left_more, what a
     read adds; the piece behind begins with right_more at right. A null side ends or begins where the other side is."""
-    b = breaks.withColumn("left", F.coalesce("left", "right")).withColumn("right", F.coalesce(breaks["right"], breaks["left"]))
+    b = breaks.withColumns({"left": F.coalesce("left", "right"), "right": F.coalesce("right", "left")})
     rows = b.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("left", "right", F.coalesce("left_more", F.lit("")).alias("lm"), F.coalesce("right_more", F.lit("")).alias("rm")))).alias("b"))
     x = contigs.select("name", "seq").join(rows, "name", "left").withColumn("b", F.coalesce("b", F.array().cast("array<struct<left: int, right: int, lm: string, rm: string>>")))
     n = F.size("b")
