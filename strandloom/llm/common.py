@@ -9,9 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import shared_folder
+
 #: Bytes of text that are turned into arrays at once.
 SLICE = 1 << 19
 #: Word separators: the characters outside `[^\x20\x09-\x0D]`.
@@ -113,16 +112,6 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - before, length)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; a local one is set only where a local session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def materialised(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: later jobs neither recompute it nor depend on an executor's disk."""
     spark = df.sparkSession
