@@ -5,6 +5,10 @@ Nodes come in twins: x ^ 1 is the other strand of x. Reads have ids from `contig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +60,33 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return out.withColumn("kind", kind)
 
 
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each batch as stars with the same components, a > b: minimum labels with pointer jumping."""
+    for batch in batches:
+        a, b = (batch.column(k).to_numpy() for k in (0, 1))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        more = label != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest node reachable in either direction. Large-star and small-star rounds until nothing
-    changes; minima are pre-aggregated and joined back, so a hot node makes no large group."""
-    now = materialised(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    """(id, component): the smallest node reachable in either direction. Edges are dealt by ranges of ids and shrunk to stars batch by
+    batch, which ends most chains; then large-star and small-star rounds until nothing changes. Minima are pre-aggregated
+    and joined back, so a hot node makes no large group."""
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b")).distinct()
+    now = materialised(pairs.repartitionByRange("b").mapInArrow(_contract, "a long, b long"))
     loops = edges.where("src = dst").select(c("src").alias("id"), c("src").alias("component"))
     state = None
     for _ in range(rounds):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +25,24 @@ def session(name: str = "strandloom", **settings: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | settings).getOrCreate()
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    """A folder of this process, removed at its end."""
+    base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    os.makedirs(base, exist_ok=True)
+    folder = tempfile.mkdtemp(dir=base)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir; a local one is used only where a local session has none."""
+    """A new folder's path below spark.checkpoint.dir; a local one is used only where a local session has none. What is written there is
+    for the owner of that folder to remove, as results may still be read from it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+        base = f"file://{_local_folder()}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
