@@ -2,15 +2,19 @@
 
 1. Equal vectors are one class; classes carry how many rows they stand for.
 2. Centroids are fitted on a bounded sample (SAMPLE, by hash); there are at most MOST_SHARDS. Every class
-   goes to the shards of its OVERLAP nearest centroids. A shard of more than LIMIT classes is dealt into blocks,
+   goes to the shards of its nearest centroids: OVERLAP of them, or as many more as it takes for a share of MEET of planted
+   pairs to meet in a shard. Planted pairs are sampled vectors that no centroid was fitted on, each with a partner at a cosine of
+   exactly the threshold. A shard of more than LIMIT classes is dealt into blocks,
    and each pair of blocks is a cell of its own, so that no task holds an unbounded shard.
 3. In each cell every class gets the neighbours that robust pruning leaves of its nearest ones, and the
    reverse edges. The adjacency lists of a class from all its cells are united.
 4. In each cell all its classes search from the cell's medoid: a greedy search with a beam, then expansion along edges
    from vectors in range for as long as new ones are in range. Every hit is verified in double precision. A pair counts in one cell
    only, the first that both are in; counts and spanning links leave a task, never pairs.
-5. Recall is audited: AUDIT classes by hash are compared with all others by brute force. Below
-   LEAST_RECALL the search is done again with more overlap.
+5. Recall is audited: classes by hash are compared with all others by brute force, AUDIT at first and then in growing blocks, until
+   LINKED of them have links or AUDIT_MOST or a fiftieth of all classes (whichever is more) are done. Recall is the mean over audited classes
+   with links of the share found of each one's links. Below LEAST_RECALL the search is done again with twice the overlap; so
+   it is once if no audited class has a link, unless all classes were audited. A recall that stays below at full overlap is warned of.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of different
 lengths. Rows with a null id take part but never name a component.
@@ -18,6 +22,7 @@ lengths. Rows with a null id take part but never name a component.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +38,8 @@ from .minhash_dedup import bounds, forest, groups
 SAMPLE, SHARD, MOST_SHARDS, OVERLAP = 20_000, 600, 1024, 2
 LIMIT = 2048
 NEAREST, DEGREE, ALPHA, BEAM, STEPS = 64, 24, 1.2, 24, 48
-AUDIT, LEAST_RECALL = 64, 0.9
+AUDIT, LINKED, AUDIT_MOST, AUDIT_BLOCK, LEAST_RECALL = 256, 200, 4096, 4096, 0.9
+PLANTED, MEET = 2000, 0.95
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +81,18 @@ def centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def planted_overlap(x: np.ndarray, c: np.ndarray, least: float) -> int:
+    """The overlap at which a share of MEET of the pairs (row of x, random partner at a cosine of least) have one of their nearest centroids in common."""
+    if len(c) < 2 or x.shape[1] < 2 or not len(x):
+        return 1
+    u = np.random.default_rng(13).normal(size=x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * u / np.linalg.norm(u, axis=1)[:, None]
+    rank = lambda z: np.argsort(np.argsort(-(z @ c.T), 1, kind="stable"), 1, kind="stable")
+    need = np.maximum(rank(x), rank(y)).min(1) + 1
+    return int(np.quantile(need, MEET, method="higher"))
+
+
 def _route(centres: dict[int, np.ndarray], overlap: int) -> Callable:
     base = {n: i * MOST_SHARDS for i, n in enumerate(sorted(centres))}
 
@@ -255,9 +273,15 @@ def _brute(x: dict[int, np.ndarray], names: dict[int, np.ndarray], least: float)
                 if int(n) not in x:
                     continue
                 part = batch.take(pa.array(np.flatnonzero(width == n)))
-                hit = x[int(n)] @ matrix(part.column(2)).T >= least
-                hit &= names[int(n)][:, None] != part.column(0).to_numpy()[None]
-                yield pa.RecordBatch.from_arrays([pa.array(names[int(n)]), pa.array(hit @ part.column(1).to_numpy())], names=["node", "n"])
+                own, other, rows = names[int(n)], part.column(0).to_numpy(), part.column(1).to_numpy()
+                total = np.zeros(len(own), np.int64)
+                v = matrix(part.column(2))
+                step = max(1, (1 << 21) // len(own))
+                for a in range(0, len(v), step):
+                    q, k = np.nonzero(x[int(n)] @ v[a : a + step].T >= least)
+                    new = own[q] != other[a + k]
+                    np.add.at(total, q[new], rows[a + k[new]])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["node", "n"])
 
     return run
 
@@ -269,6 +293,27 @@ def by_width(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array([r["node"] for r in v], np.int64), np.stack([np.frombuffer(bytes(r["vec"]), np.float64) for r in v])) for n, v in out.items()}
 
 
+def audit(classes: DataFrame, total: int, least: float) -> tuple[dict[int, int], bool]:
+    """Exact numbers of linked rows of the audited classes that have any, and whether all classes were audited."""
+    place = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(max(1, total)))
+    most = min(total, max(AUDIT_MOST, total // 50))
+    exact: dict[int, int] = {}
+    done, size = 0, AUDIT
+    while done < most and len(exact) < LINKED:
+        upto = min(most, done + size)
+        block = by_width(classes.where((place >= done) & (place < upto)).select("node", "vec").collect())
+        if block:
+            rows = map_batches(classes.select("node", "rows", "vec"), _brute({n: x for n, (_, x) in block.items()}, {n: k for n, (k, _) in block.items()}, least), "node long, n long")
+            exact |= {r["node"]: r["n"] for r in rows.groupBy("node").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+        done, size = upto, min(AUDIT_BLOCK, 4 * size)
+    return exact, done >= total
+
+
+def mean_recall(exact: dict[int, int], got: dict[int, int]) -> float | None:
+    """Mean over classes with links of the share of their links that was found; None without any."""
+    return float(np.mean([min(got.get(k, 0), n) / n for k, n in exact.items()])) if exact else None
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
     """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept of each row."""
     spark = vectors.sparkSession
@@ -277,12 +322,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     unit = materialised(map_batches(vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("embedding")), _unit, "id long, node long, vec binary"))
     classes = materialised(unit.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("rows"), F.min("id").alias("first")))
     total = classes.count()
-    picked = classes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(4))).limit(SAMPLE).collect()
+    picked = classes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(4))).limit(SAMPLE + PLANTED).collect()
     sample = by_width(picked)
     shards = max(1, min(MOST_SHARDS, -(-total // SHARD)))
-    centres = {n: centroids(x, max(1, shards * len(x) // max(1, len(picked)))) for n, (_, x) in sample.items()}
-    audited = {n: (names[:AUDIT], x[:AUDIT]) for n, (names, x) in sample.items()}
-    exact = None
+    aside = {n: min(PLANTED, len(x) // 10) for n, (_, x) in sample.items()}
+    centres = {n: centroids(x[: len(x) - aside[n]], max(1, shards * len(x) // max(1, len(picked)))) for n, (_, x) in sample.items()}
+    overlap = min(shards, max([overlap, *(planted_overlap(x[len(x) - aside[n] :], centres[n], least) for n, (_, x) in sample.items())]))
+    exact, everything = audit(classes, total, least)
+    again = False
     while True:
         routed = materialised(map_batches(classes.select("node", "rows", "vec"), _route(centres, overlap), "node long, rows long, vec binary, shards array<int>"))
         member = routed.withColumn("shard", F.explode("shards"))
@@ -295,14 +342,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
         searched = cells.join(union, "node", "left").select(*cell, "block", "node", "vec", "rows", "shards", "near").repartition(parts, *cell).sortWithinPartitions(*cell)
         found = materialised(map_batches(searched, _search(least), "kind int, node long, value long"))
         counts = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("n"))
-        if exact is None:
-            rows = map_batches(classes.select("node", "rows", "vec"), _brute({n: x for n, (_, x) in audited.items()}, {n: k for n, (k, _) in audited.items()}, least), "node long, n long")
-            exact = {r["node"]: r["n"] for r in rows.groupBy("node").agg(F.sum("n").alias("n")).collect()}
-        got = {r["node"]: r["n"] for r in counts.where(F.col("node").isin([int(k) for k in exact])).collect()} if exact else {}
-        recall = sum(min(got.get(k, 0), n) for k, n in exact.items()) / max(1, sum(exact.values()))
-        if not exact or not sum(exact.values()) or recall >= LEAST_RECALL or overlap >= shards:
+        got = {r["node"]: r["n"] for r in counts.where(F.col("node").isin(list(exact))).collect()} if exact else {}
+        recall = mean_recall(exact, got)
+        if overlap >= shards or (recall is not None and recall >= LEAST_RECALL) or (recall is None and (everything or again)):
             break
-        overlap = min(shards, 2 * overlap)
+        again, overlap = True, min(shards, 2 * overlap)
+    if recall is not None and recall < LEAST_RECALL:
+        warnings.warn(f"recall of links is {recall:.3f} on {len(exact)} audited vectors, with each in all {shards} shards", stacklevel=2)
     links = found.where("kind = 1").select(F.col("node").alias("a"), F.col("value").alias("b"))
     joined = classes.select("node", "rows", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -171,3 +171,32 @@ def test_embeddings(spark):
     assert all(g[1] <= n for g, n in zip(got, links, strict=True))
     assert sum(g[2] == c for g, c in zip(got, comp, strict=True)) >= 0.95 * len(rows)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_links_are_rare_and_shards_many(spark, monkeypatch):
+    """With links of few vectors only and many shards, pairs just above the threshold are found all the same."""
+    for name, value in {"SHARD": 5, "AUDIT": 1, "SAMPLE": 500, "PLANTED": 100}.items():
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=(60, 64))
+    u -= (u * x[:60]).sum(1)[:, None] * x[:60]
+    y = 0.901 * x[:60] + np.sqrt(1 - 0.901**2) * u / np.linalg.norm(u, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).where("n_links > 0").collect()}
+    assert set(got) <= {*range(60), *range(2000, 2060)} and len(got) >= 0.9 * 120
+
+
+def test_embedding_audit(spark, monkeypatch):
+    """The audit goes on until enough vectors with links are seen; recall counts each of them alike."""
+    monkeypatch.setattr(embedding_dedup, "AUDIT", 2)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 16))
+    x = np.concatenate([x, x[:3] * [[1.0]] + 1e-3])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "node long, rows long, vec binary")
+    want = {i: int((x @ x[i] >= 0.9).sum()) - 1 for i in range(303)}
+    assert embedding_dedup.audit(classes, 303, 0.9) == ({i: n for i, n in want.items() if n}, True)
+    assert embedding_dedup.audit(classes.where("node between 3 and 299"), 297, 0.95) == ({}, True)
+    assert embedding_dedup.mean_recall({1: 1000, 2: 1}, {1: 1000}) == 0.5 and embedding_dedup.mean_recall({}, {}) is None
