@@ -6,6 +6,7 @@ Nodes come in twins: x ^ 1 is the other strand of x. Reads have ids from `contig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -179,14 +180,18 @@ def reach_through_reads(edges: DataFrame, contigs: int | Column, rounds: int = 6
     return seen.where(c("dst") < limit).where("src <> dst")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 60, through: Column | None = None) -> DataFrame:
-    """(source, id, dist, parent) by breadth-first search from sources (id); of equal parents the smallest. Nodes that can't be
-    reached have no row. through: only nodes that fulfil it (a condition on id) are passed on from."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None, through: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(source, id, dist, parent) by breadth-first search from sources (id), to the end unless rounds says otherwise; of equal parents the
+    smallest. Nodes that can't be reached have no row. through: only nodes that fulfil it (a condition on id) are passed on from.
+    wanted: (source, id) to be reached; a source without any that is still missing is searched no further."""
     step = edges.select(c("src").alias("m"), c("dst").alias("n")).distinct()
     seen = materialised(sources.select(c("id").alias("source"), c("id"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
     front = seen
-    for k in range(1, rounds + 1):
+    for k in count(1) if rounds is None else range(1, rounds + 1):
         go = front if through is None or k == 1 else front.where(through)
+        if wanted is not None:
+            missing = wanted.select("source", "id").join(seen.select("source", "id"), ["source", "id"], "left_anti")
+            go = go.join(missing.select("source").distinct(), "source", "left_semi")
         new = go.join(step, go["id"] == step["m"]).groupBy("source", c("n").alias("id")).agg(F.min("m").alias("parent")).join(seen.select("source", "id"), ["source", "id"], "left_anti")
         front = materialised(new.select("source", "id", F.lit(k).alias("dist"), "parent"))
         if not front.limit(1).count():

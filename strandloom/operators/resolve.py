@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, twin
+from ..plans.runtime import materialised
 from ..schemas import DOVETAIL, REDUNDANT
 from .aggregates import conflict_free
 from .graph import components, shortest_paths
@@ -117,18 +120,21 @@ def x_nodes(edges: DataFrame, depth: DataFrame, sd: float, lower: float, upper:
 # sequences of paths
 
 
-def paths_between(pairs: DataFrame, edges: DataFrame, contigs: int, rounds: int = 12) -> DataFrame:
-    """(l, r, path): for each pair the shortest way through reads, by parent links of breadth-first searches from all l."""
-    tree = shortest_paths(edges, pairs.select(c("l").alias("id")).distinct(), rounds, through=c("id") >= contigs)
-    step = tree.select("source", c("id").alias("at"), "parent", "dist")
-    now = pairs.join(step, (c("l") == c("source")) & (c("r") == c("at"))).select("l", "r", F.array("r").alias("path"), c("parent").alias("p"), "dist")
-    done = now.where("p is null or p = l")
-    rest = now.where("p <> l")
-    for _ in range(rounds):
-        rest = rest.join(step, (c("l") == c("source")) & (c("p") == c("at"))).select("l", "r", F.concat(F.array("p"), c("path")).alias("path"), c("parent").alias("q")).select("l", "r", "path", c("q").alias("p"), F.lit(0).alias("dist"))
-        done = done.union(rest.where("p = l"))
-        rest = rest.where("p <> l")
-    return done.select("l", "r", F.concat(F.array("l"), "path").alias("path"))
+def paths_between(pairs: DataFrame, edges: DataFrame, contigs: int) -> DataFrame:
+    """(l, r, path): for each pair the shortest way through reads, however long, by parent links of breadth-first searches from all l.
+    Pairs without a way have no row and are warned of."""
+    pairs = pairs.select("l", "r").distinct()
+    wanted = pairs.select(c("l").alias("source"), c("r").alias("id"))
+    tree = shortest_paths(edges, pairs.select(c("l").alias("id")).distinct(), through=c("id") >= contigs, wanted=wanted)
+    lost = wanted.join(tree, ["source", "id"], "left_anti")
+    if some := lost.limit(5).collect():
+        warnings.warn(f"{lost.count()} pairs have no way through reads between them, among them {[tuple(x) for x in some]}", stacklevel=2)
+    step = tree.select("source", c("id").alias("at"), c("parent").alias("q"))
+    now = materialised(pairs.join(step, (c("l") == c("source")) & (c("r") == c("at"))).select("l", "r", F.array("r").alias("path"), c("q").alias("p")))
+    while now.where("p <> l").limit(1).count():
+        rest = now.where("p <> l").join(step, (c("l") == c("source")) & (c("p") == c("at"))).select("l", "r", F.concat(F.array("p"), c("path")).alias("path"), c("q").alias("p"))
+        now = materialised(now.where("p is null or p = l").union(rest))
+    return now.select("l", "r", F.concat(F.array("l"), "path").alias("path"))
 
 
 def gap_contents(paths: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -194,12 +200,12 @@ def filled(pairs: DataFrame, seqs: DataFrame, reads: DataFrame) -> DataFrame:
 # labels around a repeat
 
 
-def reach_labels(edges: DataFrame, repeats: DataFrame, contigs: int, rounds: int = 20) -> DataFrame:
+def reach_labels(edges: DataFrame, repeats: DataFrame, contigs: int) -> DataFrame:
     """(rep_id, id, from_ins, to_outs): reads on the way from ins and to outs of a repeat, with the sets they are reached from and lead to."""
     ins, outs = repeats.select("rep_id", F.explode("ins").alias("x")), repeats.select("rep_id", F.explode("outs").alias("x"))
     through = c("id") >= contigs
-    ahead = shortest_paths(edges, ins.select(c("x").alias("id")).distinct(), rounds, through)
-    back = shortest_paths(edges.select(c("dst").alias("src"), c("src").alias("dst")), outs.select(c("x").alias("id")).distinct(), rounds, through)
+    ahead = shortest_paths(edges, ins.select(c("x").alias("id")).distinct(), through=through)
+    back = shortest_paths(edges.select(c("dst").alias("src"), c("src").alias("dst")), outs.select(c("x").alias("id")).distinct(), through=through)
     a = ins.join(ahead.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("from_ins"))
     b = outs.join(back.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("to_outs"))
     return a.join(b, ["rep_id", "id"], "full_outer")

@@ -101,5 +101,5 @@ def finish(contigs: DataFrame, reads: DataFrame, k: int = 20) -> DataFrame:
     graph = materialised(G.symmetric(G.resolve_by_weight(direct.union(bridged.select(c("l").alias("src"), c("r").alias("dst"), "wt")).groupBy("src", "dst").agg(F.max("wt").alias("wt")))))
     nodes = materialised(G.condense(graph)[0])
     seqs = materialised(R.oriented(con).union(R.oriented(rd).select((c("id") + n).alias("id"), "seq")))
-    gaps = R.gap_contents(R.paths_between(graph.select(c("src").alias("l"), c("dst").alias("r")), materialised(edges.unionByName(direct.select("src", "dst", c("wt").cast("int").alias("wt")))), n, 3), seqs)
+    gaps = R.gap_contents(R.paths_between(graph.select(c("src").alias("l"), c("dst").alias("r")), materialised(edges.unionByName(direct.select("src", "dst", c("wt").cast("int").alias("wt")))), n), seqs)
     return R.read_out(nodes, seqs.where(c("id") < n), materialised(gaps)).select(F.concat(F.lit("Segkk"), "node").alias("name"), "seq")

@@ -9,6 +9,7 @@ from strandloom.functions import sequence as S
 from strandloom.operators import graph as G
 from strandloom.operators import intervals as I
 from strandloom.operators import joins as J
+from strandloom.operators import resolve as R
 from strandloom.schemas import RepairOptions, SplitOptions
 
 
@@ -98,6 +99,19 @@ def test_shortest_paths(spark):
     assert got == {(1, 0, None), (2, 1, 1), (3, 1, 1), (4, 2, 3)}
 
 
+def test_ways_through_many_reads(spark):
+    """Contigs 0 and 2 are joined by 22 reads in a row; 0 and 3 by none, which is said."""
+    way = [0, *range(10, 32), 2]
+    edges = spark.createDataFrame(list(zip(way[:-1], way[1:], strict=True)), "src long, dst long")
+    pairs = spark.createDataFrame([(0, 2), (0, 3)], "l long, r long")
+    with pytest.warns(UserWarning, match="1 pairs have no way"):
+        got = R.paths_between(pairs, edges, 10)
+    assert [tuple(x) for x in got.collect()] == [(0, 2, way)]
+    repeats = spark.createDataFrame([(0, [0], [2])], "rep_id long, ins array<long>, outs array<long>")
+    labels = {x.id: (x.from_ins, x.to_outs) for x in R.reach_labels(edges, repeats, 10).collect()}
+    assert labels == {k: ([0], [2]) for k in way[1:-1]}
+
+
 def test_greedy_pairs_equal_one_at_a_time(spark):
     r = random.Random(3)
     pairs = list({(r.randrange(12), r.randrange(12)): r.randrange(6) for _ in range(60)}.items())
