@@ -128,12 +128,24 @@ def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: floa
     return out.select("id", "rk", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), draw.alias("draws")).withColumnRenamed("id", key)
 
 
-def mix(docs: DataFrame, shards: int | None = None, key: str = "doc_id", column: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, key: str = "doc_id", column: str = "text", allocated: DataFrame | None = None, **options) -> DataFrame:
     """The mixed documents: columns of docs, a row for each time that a document is taken. A shard is a partition, shuffled
-    within; there are as many as shuffle partitions unless shards says otherwise."""
+    within; there are as many as shuffle partitions unless shards says otherwise. allocated: what allocate returned for docs, if known."""
     shards = shards or shuffle_partitions(docs.sparkSession)
-    drawn = allocate(docs, shards=shards, key=key, column=column, **options).where(F.size("draws") > 0).select("rk", "draws").dropDuplicates(["rk"])
+    allocated = allocate(docs, shards=shards, key=key, column=column, **options) if allocated is None else allocated
+    drawn = allocated.where(F.size("draws") > 0).select("rk", "draws").dropDuplicates(["rk"])
     rows = docs.select(F.struct(*(docs[n] for n in docs.columns)).alias("row"), F.xxhash64(docs[key], docs[column]).alias("rk"))
     each = rows.join(drawn.hint("shuffle_hash"), "rk").select("row", F.explode("draws").alias("d"))
     mixed = each.repartitionById(shards, F.col("d.shard")).sortWithinPartitions("d.place")
     return mixed.select(*(F.col("row")[n].alias(n) for n in docs.columns))
+
+
+def mixed_amounts(docs: DataFrame, key: str = "doc_id", column: str = "text", **options) -> DataFrame:
+    """As allocate, but taken is counted in the texts that mix returns."""
+    each = materialised(allocate(docs, key=key, column=column, **options))
+    mixed = mix(docs, key=key, column=column, allocated=each)
+    words = F.coalesce(F.regexp_count(mixed[column], F.lit(WORD)), F.lit(0))
+    found = mixed.select(F.xxhash64(mixed[key], mixed[column]).alias("rk"), words.alias("w")).groupBy("rk").agg(F.sum("w").alias("words"))
+    copies = each.groupBy("rk").agg(F.count("*").alias("k"))  # equal rows are drawn alike
+    taken = copies.join(found, "rk").select("rk", F.expr("words div k").alias("taken"))
+    return each.drop("taken").join(taken, "rk", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))

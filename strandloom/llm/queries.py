@@ -49,9 +49,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import allocate
+    from .mixing import mixed_amounts
 
-    out = allocate(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
+    out = mixed_amounts(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import bpe, mixing, quality_classifier, quality_rules, url_filter, warc
+from strandloom.llm import bpe, mixing, quality_classifier, quality_rules, queries, url_filter, warc
 
 from . import brute
 
@@ -85,6 +85,19 @@ def test_mixing(spark):
     assert mixing.allocate(df.limit(0)).count() == 0
 
 
+def test_taken_is_counted_in_the_mix(spark, tmp_path, monkeypatch):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2]) for i in range(60)] + [(60, "w w w", "a")] * 2 + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    query = lambda: sorted(map(str, queries.op6_source_mixing(spark, str(tmp_path)).collect()))
+    assert query() == sorted(map(str, mixing.allocate(df).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda *a, **k: whole(*a, **k).where("source = 'a'"))
+    lost = queries.op6_source_mixing(spark, str(tmp_path)).join(df.select("doc_id", "source").distinct(), "doc_id").groupBy("source").sum("taken")
+    lost = {r[0]: r[1] for r in lost.collect()}
+    assert lost["b"] == 0 < lost["a"]
+
+
 def test_splitting_tree():
     quota = [100, 3, 0, 57]
     out = mixing.split(quota, 8, "s")
