@@ -79,10 +79,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
-    out = archived(table(spark, sf_dir, "pages"), with_payload=False, least=0)
+    out = archived(table(spark, sf_dir, "pages"), with_payload=False, least=0, unnamed=True)
     number = lambda c: F.regexp_extract(c, r":(-?[0-9]+)>$", 1).cast("long")
     return out.select(
-        F.regexp_extract("metadata.fields", r"pageId: (-?[0-9]+)", 1).cast("long").alias("page_id"),
+        F.nullif(F.regexp_extract("metadata.fields", r"pageId: (-?[0-9]+)", 1), F.lit("")).cast("long").alias("page_id"),
         F.coalesce("main.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
         F.col("main.digest").alias("payload_digest"),
         F.col("main.record_type").alias("record_type"),

@@ -10,8 +10,8 @@ Reading: archives are read as whole (bounded) files, since each holds at most RE
 Content-Length, never by searching in payloads. Request, response or revisit, and metadata records
 are joined through the ids they name as concurrent, giving one nested row per capture.
 
-Null payloads count as empty; a null url is written as urn:absent. Keys are expected to be distinct; rows without a
-key are not written, as nothing could name them. Payloads may hold any text, record headers included. Other columns are ignored.
+Null payloads count as empty; a null url is written as urn:absent. Keys are expected to be distinct. Rows without a
+key are written if unnamed is set, under random record ids and without a pageId in their metadata; they are never what others refer to. Payloads may hold any text, record headers included. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +41,15 @@ def base32(hexed):
     return F.concat(*(letter(i, k) for i in range(8) for k in range(4)))
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, unnamed: bool = False) -> DataFrame:
     """A row with column value, a WARC record without its separator, for each record of pages."""
     text = F.coalesce(pages[payload], F.lit(""))
-    rows = pages.where(pages[key].isNotNull()).select(pages[key].cast("long").alias("id"), F.coalesce(pages[url], F.lit("urn:absent")).alias("uri"), text.alias("body"))
+    rows = (pages if unnamed else pages.where(pages[key].isNotNull())).select(pages[key].cast("long").alias("id"), F.coalesce(pages[url], F.lit("urn:absent")).alias("uri"), text.alias("body"))
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("sha", F.sha1(F.encode("body", "utf-8")))
     first = rows.where(F.col("bytes") >= least).groupBy("sha").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("s"), "response")
     rows = rows.join(first, F.col("sha") == F.col("s"), "left")
-    rows = rows.withColumn("original", F.when((F.col("bytes") >= least) & (F.col("response") != F.col("id")), F.col("response")))
+    rows = rows.withColumn("original", F.when((F.col("bytes") >= least) & ~F.col("response").eqNullSafe(F.col("id")), F.col("response")))
+    rows = rows.withColumn("name", F.coalesce(F.col("id").cast("string"), F.uuid()) if unnamed else F.col("id").cast("string"))
     urn = lambda kind, k: F.concat(F.lit(f"<urn:page:{kind}:"), k.cast("string"), F.lit(">"))
     uri = F.regexp_replace("uri", r"[\r\n]", "%0A")
 
@@ -65,14 +66,14 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     main = record(
         F.when(revisit, "revisit").otherwise("response"),
         {
-            "WARC-Record-ID": urn("capture", F.col("id")), "WARC-Target-URI": uri, "WARC-Payload-Digest": digest,
+            "WARC-Record-ID": urn("capture", F.col("name")), "WARC-Target-URI": uri, "WARC-Payload-Digest": digest,
             "WARC-Profile": F.when(revisit, REVISIT), "WARC-Refers-To": F.when(revisit, urn("capture", F.col("original"))), "Content-Type": F.lit("application/http;msgtype=response"),
         },
         F.concat(http, F.when(revisit, "").otherwise(F.col("body"))),
     )
-    concurrent = {"WARC-Concurrent-To": urn("capture", F.col("id")), "WARC-Target-URI": uri}
-    request = record(F.lit("request"), {"WARC-Record-ID": urn("request", F.col("id")), **concurrent, "Content-Type": F.lit("application/http;msgtype=request")}, F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + END)))
-    about = record(F.lit("metadata"), {"WARC-Record-ID": urn("metadata", F.col("id")), **concurrent, "Content-Type": F.lit("application/warc-fields")}, F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit("\r\npayloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n")))
+    concurrent = {"WARC-Concurrent-To": urn("capture", F.col("name")), "WARC-Target-URI": uri}
+    request = record(F.lit("request"), {"WARC-Record-ID": urn("request", F.col("name")), **concurrent, "Content-Type": F.lit("application/http;msgtype=request")}, F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1" + END)))
+    about = record(F.lit("metadata"), {"WARC-Record-ID": urn("metadata", F.col("name")), **concurrent, "Content-Type": F.lit("application/warc-fields")}, F.concat(F.coalesce(F.concat(F.lit("pageId: "), F.col("id").cast("string"), F.lit("\r\n")), F.lit("")), F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit("\r\n")))
     return rows.select(F.explode(F.array(request, main, about)).alias("value"))
 
 

@@ -203,6 +203,13 @@ def test_warc(spark):
     assert F
 
 
+def test_pages_without_id_are_archived(spark, tmp_path):
+    rows = [(1, "u", "same"), (2, "u", "same"), (None, "u", "same"), (None, "u", "same"), (None, "v", "own"), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((x.page_id or 0, x.payload_bytes, x.record_type, x.refers_to) for x in queries.op10_warc(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "response", None), (0, 3, "response", None), (0, 4, "revisit", 2), (0, 4, "revisit", 2), (1, 4, "revisit", 2), (2, 4, "response", None)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
