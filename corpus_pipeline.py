@@ -20,9 +20,9 @@ from strandloom.llm.suffix_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts as good."""
+    """Documents that the classifier predicts as good; all of them if the labels have no positive to train it on."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    return classify(docs, labels).where("predicted = 1 or predicted is null").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ keys that are absent, are ignored; a key labelled twice counts twice.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -115,7 +116,8 @@ def held_out(key) -> object:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Weights, and mean and scale of features; None if no document that may be trained on is labelled 1, or there is none besides."""
     usable = docs.select(docs[key].alias("k"), docs[column].alias("text")).where(~held_out(F.col("k")))
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("good")).where(~held_out(F.col("k"))).where("k is not null and good is not null")
     prior = known.agg(F.avg("good")).first()[0]
@@ -127,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str =
     x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(len(rows), STYLE + PAIRS)
     good = np.array([r[0] for r in rows], bool)
     if not good.any() or good.all():
-        return np.zeros(STYLE + PAIRS), np.zeros(STYLE + PAIRS), np.ones(STYLE + PAIRS)
+        return None
     return fit(x[good], x[~good], prior)
 
 
@@ -144,11 +146,16 @@ def _score(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable:
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality") -> DataFrame:
-    """docs with held_out, score (0 to 1, higher is likelier good) and predicted (1 from THRESHOLD)."""
+    """docs with held_out, score (0 to 1, higher is likelier good) and predicted (1 from THRESHOLD). Without any usable positive label there
+    is no model: every score is 0.5 and predicted is null, with a warning."""
     names = [n for n in docs.columns if n not in ("held_out", "score", "predicted")]
     small_batches(docs.sparkSession)
     model = train(docs, labels, key, column, label)
+    trained = model is not None
+    if not trained:
+        warnings.warn("no usable document is labelled 1: nothing is predicted", stacklevel=2)
+        model = np.zeros(STYLE + PAIRS), np.zeros(STYLE + PAIRS), np.ones(STYLE + PAIRS)
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), docs[column].alias("text"))
     out = map_batches(rows, _score(model), rows.withColumn("score", F.lit(0.0)).schema)
     out = out.select(*(F.col("text").alias(n) if n == column else F.col("rest")[n].alias(n) for n in names), "score")
-    return out.withColumn("held_out", held_out(F.col(key))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return out.withColumn("held_out", held_out(F.col(key))).withColumn("predicted", F.when(F.lit(trained), (F.col("score") >= THRESHOLD).cast("int")))

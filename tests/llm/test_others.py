@@ -153,6 +153,17 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_no_positive_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "some words " * (i + 1)) for i in range(20)], "doc_id long, text string")
+    path = corpus_pipeline.shared_folder(spark)
+    spark.createDataFrame([(i, 0, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    with pytest.warns(UserWarning, match="labelled 1"):
+        assert {x.predicted for x in quality_classifier.classify(docs, spark.read.parquet(f"{path}/labels.parquet")).collect()} == {None}
+        assert corpus_pipeline.quality(spark, docs, path).count() == 20
+
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
