@@ -117,6 +117,25 @@ def x_nodes(edges: DataFrame, depth: DataFrame, sd: float, lower: float, upper:
     return abundance_match(rep, depth, sd, lower, upper).select(c("rep_id").alias("node"), c("l").alias("src"), c("r").alias("dst"))
 
 
+# reads around contigs
+
+
+def expand_reads(aln: DataFrame, seeds: DataFrame, rounds: int, among: Column | None = None) -> DataFrame:
+    """(qry): the reads (qry) of seeds and those that so many rounds add, each with all reads aligned to a contig (ref) that the reads so far are
+    aligned to; it ends early when a round adds none. among: only contigs that fulfil it are expanded."""
+    pairs = aln.select("ref", "qry").distinct()
+    now = materialised(seeds.select("qry").distinct())
+    n = now.count()
+    for _ in range(rounds):
+        refs = pairs.join(now, "qry", "left_semi").select("ref").distinct()
+        refs = refs if among is None else refs.where(among)
+        now = materialised(pairs.join(refs, "ref", "left_semi").select("qry").union(now).distinct())
+        n, before = now.count(), n
+        if n == before:
+            break
+    return now
+
+
 # sequences of paths
 
 

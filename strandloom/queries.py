@@ -693,10 +693,10 @@ def _(t):
 
 @query("read_expansion", "with recursive seed as (select distinct qry from {aln} where ref = 'Contig1'), c1 as (select distinct ref from {aln} where qry in (select qry from seed)) select distinct qry from {aln} where ref in (select ref from c1 where ref < 'Contig2')")
 def _(t):
+    from .operators.resolve import expand_reads
+
     aln = t("aln")
-    seed = aln.where("ref = 'Contig1'").select("qry").distinct()
-    refs = aln.join(seed, "qry", "left_semi").select("ref").distinct().where("ref < 'Contig2'")
-    return aln.join(refs, "ref", "left_semi").select("qry").distinct()
+    return expand_reads(aln, aln.where("ref = 'Contig1'"), 1, among=c("ref") < "Contig2")  # the round and the contigs of the SQL
 
 
 @query("unique_pairs", f"with p as (select distinct l, r from ({UNIQUE})) select l, r from p where l in (select l from p group by l having count(distinct r) = 1) and r in (select r from p group by r having count(distinct l) = 1)")

@@ -112,6 +112,16 @@ def test_ways_through_many_reads(spark):
     assert labels == {k: ([0], [2]) for k in way[1:-1]}
 
 
+def test_read_expansion(spark):
+    """Reads 0, 1, 2, ... each lie on contigs i and i + 1: a round adds the next read, over any contig."""
+    aln = spark.createDataFrame([(f"Contig{i + k}", f"r{i}") for i in range(5) for k in (0, 1)], "ref string, qry string")
+    seeds = spark.createDataFrame([("r0",)], "qry string")
+    got = lambda *a, **k: sorted(x.qry for x in R.expand_reads(aln, seeds, *a, **k).collect())
+    assert got(0) == ["r0"] and got(1) == ["r0", "r1"] and got(3) == ["r0", "r1", "r2", "r3"]
+    assert got(60) == [f"r{i}" for i in range(5)]
+    assert got(60, among=F.col("ref") < "Contig3") == ["r0", "r1", "r2"]
+
+
 def test_greedy_pairs_equal_one_at_a_time(spark):
     r = random.Random(3)
     pairs = list({(r.randrange(12), r.randrange(12)): r.randrange(6) for _ in range(60)}.items())
