@@ -172,7 +172,7 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a long, b long); component is the smallest node reachable.
 
     Partitions first shrink their edges to star forests. Then large-star and small-star
@@ -181,7 +181,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = materialised(map_batches(edges.where("a <> b"), local_forest, "a long, b long").distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -82,7 +82,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node reachable in either direction. Edges are dealt by ranges of ids and shrunk to stars batch by
     batch, which ends most chains; then large-star and small-star rounds until nothing changes. Minima are pre-aggregated
     and joined back, so a hot node makes no large group."""
@@ -90,7 +90,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialised(pairs.repartitionByRange("b").mapInArrow(_contract, "a long, b long"))
     loops = edges.where("src = dst").select(c("src").alias("id"), c("src").alias("component"))
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), c("a")).alias("m"))
         large = both.join(low, "a").where("b > a and b <> m").select(c("b").alias("a"), c("m").alias("b")).distinct()
@@ -105,7 +105,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return known.groupBy("id").agg(F.min("component").alias("component"))
 
 
-def chains(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def chains(edges: DataFrame) -> DataFrame:
     """(id, head, pos): nodes of unitigs, merged over edges that are the only way out of src and into dst. Pointer
     jumping doubles the distance each round. A pure cycle is cut at its smallest node."""
     only_out = edges.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("n")).where("n = 1").select("src", "dst")
@@ -118,7 +118,7 @@ def chains(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ring = closed.groupBy("component").agg(F.count("*").alias("k")).join(size, "component").where("n = k").select("component")
     step = step.join(ring, step["dst"] == ring["component"], "left_anti")
     now = materialised(nodes.join(step.select(c("dst").alias("id"), c("src").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(c("up").isNull(), 0).otherwise(1).cast("long").alias("d")))
-    for _ in range(rounds):
+    while True:
         up = now.select(c("id").alias("up"), c("up").alias("up2"), c("d").alias("d2"))
         once = now.join(up, "up").select("id", c("up2").alias("up"), (c("d") + c("d2")).alias("d"))
         # the nodes above have moved as well: a second jump in the same job
@@ -164,14 +164,14 @@ def transitive_reduction(edges: DataFrame, depth: int = 3) -> DataFrame:
     return edges.join(longer.distinct(), ["src", "dst"], "left_anti")
 
 
-def reach_through_reads(edges: DataFrame, contigs: int | Column, rounds: int = 60) -> DataFrame:
+def reach_through_reads(edges: DataFrame, contigs: int | Column) -> DataFrame:
     """Edges src to dst between contigs (below `contigs`) with a direct edge or a way through reads only."""
     limit = F.lit(contigs)
     step = materialised(edges.select("src", "dst").distinct())
     seen = materialised(step.where(c("src") < limit))
     front = seen
     through = step.where(c("src") >= limit).select(c("src").alias("m"), c("dst").alias("n"))
-    for _ in range(rounds):
+    while True:
         new = front.where(c("dst") >= limit).join(through, c("dst") == c("m")).select("src", c("n").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
         front = materialised(new)
         if not front.limit(1).count():
@@ -229,17 +229,18 @@ def split_nodes(edges: DataFrame, pairs: DataFrame, first_id: int) -> tuple[Data
     return kept.union(new.withColumn("wt", F.lit(0))), copies.select("copy", "node")
 
 
-def resolve_by_weight(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def resolve_by_weight(edges: DataFrame) -> DataFrame:
     """Edges that win by weight, round by round: an edge that is the heaviest out of src and into dst (ties: smaller ids) commits and its
     rivals go, until no node has two edges on a side."""
-    now = edges.select("src", "dst", "wt")
-    for _ in range(rounds):
+    now, n = edges.select("src", "dst", "wt").distinct(), None
+    while True:
         rank = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(c("wt").desc(), "src", "dst"))
         marked = materialised(now.withColumn("o", rank("src")).withColumn("i", rank("dst")))
         best = marked.where("o = 1 and i = 1")
         rest = marked.where("not (o = 1 and i = 1)").join(best.select("src"), "src", "left_anti").join(best.select("dst"), "dst", "left_anti")
         now = materialised(best.select("src", "dst", "wt").union(rest.select("src", "dst", "wt")))
-        if not rest.limit(1).count():
+        n, before = rest.count(), n
+        if n in (0, before):
             break
     return now
 

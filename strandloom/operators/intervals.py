@@ -136,18 +136,19 @@ def balanced_parts(seqs: DataFrame, parts: int, size: str = "len", order: str =
     return out.withColumn("part", F.least(F.lit(parts - 1), F.floor(c("_x") * parts / F.greatest("_all", F.lit(1)))).cast("int")).drop("_b", "_before", "_all", "_x")
 
 
-def greedy_pairs(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """Assignment by weight, each l and r once: pairs that are best for both sides commit, their rivals go, until none is left.
     This gives what taking pairs by (weight desc, l, r) one at a time gives."""
     from ..plans.runtime import materialised
 
     rank = lambda k: F.row_number().over(Window.partitionBy(k).orderBy(c("wt").desc(), "l", "r"))
-    left, done = pairs.select("l", "r", "wt"), None
-    for _ in range(rounds):
+    left, done, n = pairs.select("l", "r", "wt").distinct(), None, None
+    while True:
         marked = materialised(left.withColumn("_o", rank("l")).withColumn("_i", rank("r")))
         best = marked.where("_o = 1 and _i = 1").select("l", "r", "wt")
         done = best if done is None else done.union(best)
         left = marked.where("_o > 1 or _i > 1").join(best.select("l"), "l", "left_anti").join(best.select("r"), "r", "left_anti").select("l", "r", "wt")
-        if not left.limit(1).count():
+        n, before = left.count(), n
+        if n in (0, before):
             break
     return done

@@ -515,7 +515,7 @@ def _(t):
 @query("shortest_path", f"with recursive b as (select 1::bigint id, 0 dist union select e.dst, b.dist + 1 from b join {E} e on e.src = b.id where b.dist < 25) select id, cast(min(dist) as int) dist from b group by id")
 def _(t):
     start = t("select c_custkey id from {customer} where c_custkey = 1")
-    return G.shortest_paths(t("edges"), start, rounds=25).select("id", "dist")
+    return G.shortest_paths(t("edges"), start).select("id", "dist")
 
 
 @query("bipartite_repeats", f"with recursive h as (select src * 2 a, dst * 2 + 1 b from {E}), e as (select a, b from h union select b, a from h), r as (select a id, a r from e union select r.id, e.b from r join e on e.a = r.r), k as (select id, min(r) rep_id from r group by id) select rep_id, string_agg(case when id % 2 = 0 then cast(id // 2 as varchar) end, ',' order by id) ins, string_agg(case when id % 2 = 1 then cast(id // 2 as varchar) end, ',' order by id) outs from k group by rep_id")

@@ -112,6 +112,13 @@ def test_ways_through_many_reads(spark):
     assert labels == {k: ([0], [2]) for k in way[1:-1]}
 
 
+def test_reach_over_more_than_60_reads(spark, monkeypatch):
+    monkeypatch.setattr(G, "materialised", lambda df: spark.createDataFrame(df.collect(), df.schema))
+    way = [0, *range(10, 73), 2]
+    edges = spark.createDataFrame(list(zip(way[:-1], way[1:], strict=True)), "src long, dst long").coalesce(1)
+    assert [tuple(x) for x in G.reach_through_reads(edges, 10).collect()] == [(0, 2)]
+
+
 def test_read_expansion(spark):
     """Reads 0, 1, 2, ... each lie on contigs i and i + 1: a round adds the next read, over any contig."""
     aln = spark.createDataFrame([(f"Contig{i + k}", f"r{i}") for i in range(5) for k in (0, 1)], "ref string, qry string")
