@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,32 +45,48 @@ def randoms(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-BYTE = randoms(256, 1)
-BASE = int(randoms(1, 2)[0]) | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, for n places at least."""
-    size = 1 << max(12, (n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        out = []
-        for base in (BASE, BASE_INVERSE):
-            x = np.full(size, base, dtype=U64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _powers[size] = (out[0], out[1])
-    return _powers[size]
-
-
-def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], equal for equal bytes wherever they stand."""
-    up, down = powers(len(buf))
-    total = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(BYTE[buf] * up[: len(buf)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+SEED = randoms(4, 2)
+#: Slices longer than this are hashed one by one.
+LONG_SLICE = 64
+#: Of a word of eight bytes the first k, for k = 0 to 8.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def words_of_eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf as one value; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(buf) + 1,), (1,))
+
+
+def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of buf[start:end], equal for equal bytes wherever they stand. Slices of seven bytes or less never share one
+    among themselves; longer ones are chained through a non-linear step, those beyond LONG_SLICE go through xxh3."""
+    size = end - start
+    eight = words_of_eight(buf)
+    out = mix((eight[start] & FIRST[np.minimum(size, 7)]) + (np.minimum(size, 8).astype(U64) << U64(56)) + SEED[0] * U64(seed))
+    at = np.flatnonzero((size > 7) & (size <= LONG_SLICE))
+    place, left = start[at] + 7, size[at] - 7
+    while len(at):
+        out[at] = mix((out[at] ^ (eight[place] & FIRST[np.minimum(left, 8)])) * SEED[1] + left.astype(U64))
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    at = np.flatnonzero(size > LONG_SLICE)
+    if len(at):
+        view, digest = memoryview(np.ascontiguousarray(buf)), xxhash.xxh3_64_intdigest
+        out[at] = [digest(view[a:b], seed) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+    return out
+
+
+def window_hashes(x: np.ndarray, width: int, span: int = 1) -> np.ndarray:
+    """Hashes of x[i : i + width] for each i that has so many, by doubling: x holds hashes of the span units from each place. Every step is
+    non-linear, so no pattern of units cancels."""
+    n = len(x) - (width - span)
+    if n <= 0:
+        return x[:0]
+    while span * 2 <= width:
+        x = mix(x[:-span] * SEED[2] + mix(x[span:]))
+        span *= 2
+    return x[:n] if span == width else mix(x[:n] * SEED[3] + mix(x[width - span : width - span + n]))
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,13 +1,19 @@
 """Substring dedup by recompression: removes words of passages that a document with a smaller id has too.
 
-Words are symbols. A run round names short runs of one symbol, then pair rounds name
-adjacent pairs: a symbol's name puts it on the left or right side in a round, and a left symbol
-followed by a right one becomes one new symbol. Names are fingerprints of what they stand for,
-so every executor gives equal content the same name and a round needs no exchange of a
-dictionary. Only short symbols are joined (restricted recompression): whether a symbol begins
-at a place depends on REACH words to either side, so equal windows have equal
-interior symbols. The name of the words from a symbol's start is the high-level symbol
-whose shared occurrences reveal repeats; anchors.py then verifies them window by window.
+Words are symbols. Rounds shorten a document's sequence of symbols until its windows are used up: a run round names each
+run of one symbol, a pair round names each left symbol that a right one follows, where a symbol's own name puts it on the left or
+right side, anew in every round. Names are fingerprints of what they stand for, so equal content gets one name wherever it is, and no
+round has to send names back. Symbols grow without a limit: what is limited is what a window looks at.
+
+A window of so many words sees of a round's symbols only those whose making depends on nothing outside it: a run
+round takes off the runs at its two ends, a pair round a right symbol at its left end and a left symbol at its right
+end. What is left, round by round, is a function of the window's words alone, so equal windows have the same interior symbols.
+The high-level symbol of a window is the longest of those in its last rounds; of symbols with LONG words or more, and of equally long
+ones, the one with the least hash, so that neighbouring windows mostly agree. Every RUNS-th round is a run round.
+
+Then symbols are exchanged (anchors.py): windows of one document in a row with the same symbol are one record under
+the symbol's name; names that only one record has reveal that its windows are unique; shared ones are expanded to their windows, which
+are compared as records of 128-bit fingerprints of all words they cover, then window by window.
 
 Null text counts as empty; texts with fewer words than a window lose nothing; a row
 with a null id comes after all others; rows with one id don't remove each other's words.
@@ -19,59 +25,96 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, coverage, repeated_windows, runs, sliding_minimum, with_runs
-from .common import SLICE, U64, map_batches, mix, randoms, ranges, slice_hashes, text_slices, words
+from .anchors import Kind, coverage, prints, repeated_windows, runs, with_runs
+from .common import SEED, SLICE, U64, map_batches, mix, randoms, ranges, slice_hashes, text_slices, window_hashes, words
 
-#: Longest run that is named, and the length up to which symbols are joined in each pair round.
-LONGEST_RUN, PAIR_LIMITS = 3, (2, 2)
-#: Words of a high-level symbol.
-NAMED = 8
+#: Words of a text that are taken as one sequence; longer texts are handled in pieces that overlap by a window.
 PIECE = 1 << 22
-LOW = U64((1 << 24) - 1)
+#: Words from which on a symbol's length no longer counts, symbols that a window sees in a last round at most, distance of run rounds.
+LONG, FEW, RUNS = 8, 12, 6
+RUN, PAIR = randoms(2, 9) | U64(1)
+SIDES = randoms(64, 10)
 NONE = ~U64(0)
 
 
-def reach() -> int:
-    """Words to either side on which a symbol's start depends: each round adds the longest symbol before it."""
-    out, longest = LONGEST_RUN, LONGEST_RUN
-    for limit in PAIR_LIMITS:
-        out, longest = out + longest, max(longest, 2 * limit)
-    return out
-
-
-REACH = reach()
-MIX = randoms(16, 9)
-
-
-def symbol_starts(names: np.ndarray) -> np.ndarray:
-    """Places (in words) where symbols begin after the rounds."""
-    at, size = np.arange(len(names)), np.ones(len(names), np.int64)
-    if not len(names):
-        return at
-    # runs
-    head = np.concatenate([[True], names[1:] != names[:-1]])
-    first = np.flatnonzero(head)
-    length = np.diff(np.append(first, len(names)))
-    stay = head | np.repeat(length > LONGEST_RUN, length)
-    named = np.repeat(np.where(length <= LONGEST_RUN, length, 1), length)
-    names = np.where(named > 1, mix(names * MIX[0] + named.astype(U64)), names)
-    at, size, names = at[stay], named[stay], names[stay]
-    # pairs
-    for k, limit in enumerate(PAIR_LIMITS):
-        right = mix(names + MIX[2 + k]) >> U64(63) == 1
-        short = size <= limit
-        join = np.flatnonzero(~right[:-1] & right[1:] & short[:-1] & short[1:])
-        names, size = names.copy(), size.copy()
-        names[join] = mix(names[join] * MIX[6 + k] + mix(names[join + 1]))
-        size[join] += size[join + 1]
-        stay = np.ones(len(at), bool)
-        stay[join + 1] = False
-        at, size, names = at[stay], size[stay], names[stay]
-    return at
+def run_round(names: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names and heads (whether a row begins there) after naming runs, and the new number of each old symbol."""
+    first = head.copy()
+    first[1:] |= names[1:] != names[:-1]
+    at = np.flatnonzero(first)
+    length = np.diff(np.append(at, len(names)))
+    out = names[at]
+    many = np.flatnonzero(length > 1)
+    out[many] = mix(out[many] * RUN + length[many].astype(U64))
+    return out, head[at], np.cumsum(first) - 1
+
+
+def sides(names: np.ndarray, k: int) -> np.ndarray:
+    """Whether symbols are right ones in pair round k."""
+    return mix(names ^ SIDES[k % len(SIDES)]) >> U64(63) == 1
+
+
+def pair_round(names: np.ndarray, head: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As run_round: each left symbol is joined with a right one behind it."""
+    join = np.flatnonzero(~right[:-1] & right[1:] & ~head[1:])
+    out = names.copy()
+    out[join] = mix(mix(names[join]) * PAIR + names[join + 1])
+    stay = np.ones(len(names), bool)
+    stay[join + 1] = False
+    return out[stay], head[stay], np.cumsum(stay) - 1
+
+
+def preference(names: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Less is better: length in words up to LONG, then hash."""
+    length = np.minimum(np.diff(place), LONG).astype(U64)
+    return (U64(LONG) - length) << U64(56) | mix(names ^ SEED[3]) >> U64(8)
+
+
+def best_symbol(value: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol with the least value in each [a, b), the first of equal ones, and that value."""
+    best, least = a.copy(), value[a]
+    at, live = a + 1, np.flatnonzero(a + 1 < b)
+    while len(live):
+        x = value[at[live]]
+        less = x < least[live]
+        best[live[less]], least[live[less]] = at[live[less]], x[less]
+        at[live] += 1
+        live = live[at[live] < b[live]]
+    return best, least
+
+
+def high_symbols(names: np.ndarray, first: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows that start at the given words: name, first word and number of words of the high-level symbol. names are the
+    words' names, first the places where rows begin, with the end."""
+    head = np.zeros(len(names) + 1, bool)
+    head[first] = True
+    head, place = head[:-1], np.arange(len(names) + 1)
+    a, b = start.copy(), start + window  # the symbols that a window sees
+    which = np.arange(len(start))
+    name, at, size, value = np.zeros(len(start), U64), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.full(len(start), NONE)
+    k = 0
+    while len(which):
+        if k % RUNS == 0:
+            names2, head2, new = run_round(names, head)
+            a2, b2 = new[a] + 1, new[b - 1]
+        else:
+            right = sides(names, k)
+            names2, head2, new = pair_round(names, head, right)
+            a2, b2 = new[a] + right[a], new[b - 1] + right[b - 1]
+        seen = a2 < b2
+        look = (b - a <= FEW) | ~seen
+        if look.any():
+            best, x = best_symbol(preference(names, place), a[look], b[look])
+            better = x < value[which[look]]
+            w, best = which[look][better], best[better]
+            value[w], name[w], at[w], size[w] = x[better], names[best], place[best], place[best + 1] - place[best]
+        a, b, which = a2[seen], b2[seen], which[seen]
+        place = place[np.append(np.flatnonzero(np.diff(new, prepend=-1)), len(place) - 1)]
+        names, head, k = names2, head2, k + 1
+    return name, at, size
 
 
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,24 +122,9 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return slice_hashes(buf, s, e), first
 
 
-def sequence_hashes(x: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of x[start : start + length] for word hashes x."""
-    return slice_sums(x, start, start + length)
-
-
-def slice_sums(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from .common import powers
-
-    up, down = powers(len(x))
-    total = np.zeros(len(x) + 1, U64)
-    np.cumsum(mix(x) * up[: len(x)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
-
-
 def word_kind(window: int) -> Kind:
-    if window < 2 * REACH + NAMED:
-        raise ValueError(f"a window needs {2 * REACH + NAMED} words at least")
-    zone = min(window - REACH, window - NAMED) - REACH + 1
+    if window < 3:
+        raise ValueError("a window needs three words at least")
 
     def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for row, _, buf, offsets in text_slices(column, SLICE):
@@ -110,37 +138,36 @@ def word_kind(window: int) -> Kind:
 
     def records(column: pa.Array) -> Iterator[tuple]:
         for row0, shift, x, first in pieces(column):
-            n = len(x)
-            if n < window:
+            n = len(x) - window + 1
+            if n <= 0:
                 continue
-            start = symbol_starts(x)
-            start = start[start + NAMED <= n]
-            name = sequence_hashes(x, start, NAMED)
-            value = np.full(n, NONE)
-            value[start] = (name & ~LOW) | start.astype(U64)
-            best = sliding_minimum(value[REACH:], zone)[: n - window + 1]
-            anchor = (best & LOW).astype(np.int64)
-            row = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(best)]
-            valid = np.arange(len(best)) + window <= first[1:][row]
-            lo, hi = runs(anchor, row, valid)
-            at, row = anchor[lo], row[lo]
-            full = np.zeros(n, U64)
-            full[start] = name
-            view, digest = memoryview(x.view(np.uint8)), xxhash.xxh3_64_intdigest
-            marks = [digest(view[8 * a : 8 * b], c) for a, b, c in zip(lo.tolist(), (hi + window).tolist(), (at - lo).tolist(), strict=True)]
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
+            valid = np.arange(n) + window <= first[1:][row]
+            start = np.flatnonzero(valid)
+            if not len(start):
+                continue
+            name, at, size = (np.zeros(n, t) for t in (U64, np.int64, np.int64))
+            name[start], at[start], size[start] = high_symbols(x, first, start, window)
+            lo, hi = runs(at * (window + 1) + size, row, valid)
+            row = row[lo]
+            marks = prints(x, lo, hi + window, at[lo] - lo)
             base = first[row] - shift
-            yield row + row0, full[at].view(np.int64), np.zeros(len(at), np.int64), np.array(marks, U64).view(np.int64), lo - base, hi - base, at - base
+            yield row + row0, name[lo].view(np.int64), size[lo], marks, lo - base, hi - base
 
     def contexts(buf: np.ndarray, offsets: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
         x, first = word_hashes(buf, offsets)
         count = (hi - lo + 1).astype(np.int64)
-        data = sequence_hashes(x, ranges(first[which] + lo, count), window).view(np.uint8)
-        return pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(8 * count)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+        place = ranges(first[which] + lo, count)
+        data = np.stack([window_hashes(mix(x ^ SEED[k]), window)[place] for k in (0, 1)], 1)
+        return pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(16 * count)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+    def hashes(data: np.ndarray, offsets: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+        return np.frombuffer(data.tobytes(), U64)[seed::2]
 
-    def hashes(data: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.frombuffer(data.tobytes(), U64)
+    def contents(offsets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+        return 16 * np.arange(int(count.sum())), 16
 
-    return Kind(window, records, contexts, hashes, by_order=True)
+    return Kind(window, records, contexts, hashes, contents, by_order=True)
 
 
 def remove_shared(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -149,7 +176,7 @@ def remove_shared(docs: DataFrame, window: int = 50, key: str = "doc_id", column
     names = [n for n in docs.columns if n not in extra]
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
     found = repeated_windows(rows.select("doc", "rk", "text"), word_kind(window))
-    joined = with_runs(rows.select("rk", "rest", "text"), found).select("rest", "text", "runs")
+    joined = with_runs(rows.select("doc", "rk", "rest", "text"), found).select("rest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

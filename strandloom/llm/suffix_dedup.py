@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, coverage, ordered, repeated_windows, runs, sliding_minimum, with_runs
-from .common import BASE, BYTE, SLICE, U64, map_batches, mix, ranges, slice_hashes, text_slices
+from .anchors import Kind, coverage, ordered, prints, repeated_windows, runs, sliding_minimum, with_runs
+from .common import SEED, SLICE, U64, map_batches, mix, ranges, text_slices, window_hashes, words_of_eight
 
 GRAM = 16
 #: Texts longer than this are handled in pieces that overlap by a window.
@@ -29,12 +28,9 @@ LOW = U64((1 << 24) - 1)
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """Hashes of the 16 bytes from each place, by doubling."""
-    out, span, power = BYTE[buf], 1, BASE
-    while span < GRAM:
-        out = out[:-span] + U64(power) * out[span:]
-        span, power = 2 * span, power * power % (1 << 64)
-    return mix(out)
+    """Hashes of the 16 bytes from each place."""
+    eight = words_of_eight(buf)[: len(buf) - GRAM // 2 + 1]
+    return mix(mix(eight[:-8]) * SEED[1] + eight[8:])
 
 
 def byte_kind(window: int) -> Kind:
@@ -60,21 +56,23 @@ def byte_kind(window: int) -> Kind:
             at, row = anchor[lo], row[lo]
             ends = np.lib.stride_tricks.sliding_window_view(buf, 8)
             lead = [ordered(np.ascontiguousarray(ends[at + k]).view(">u8").ravel().astype(U64)) for k in (0, 8)]
-            view, digest = memoryview(np.ascontiguousarray(buf)), xxhash.xxh3_64_intdigest
-            marks = [digest(view[a:b], c) for a, b, c in zip(lo.tolist(), (hi + window).tolist(), (at - lo).tolist(), strict=True)]
+            marks = prints(buf, lo, hi + window, at - lo)
             base = offsets[row] - shift
-            yield row + row0, *lead, np.array(marks, U64).view(np.int64), lo - base, hi - base, at - base
+            yield row + row0, *lead, marks, lo - base, hi - base
 
     def contexts(buf: np.ndarray, offsets: np.ndarray, which: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
         size = (hi - lo + window).astype(np.int64)
         data = buf[ranges(offsets[which] + lo, size)]
         return pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
-    def hashes(data: np.ndarray, offsets: np.ndarray, count: np.ndarray) -> np.ndarray:
-        start = ranges(offsets[:-1], count)
-        return slice_hashes(data, start, start + window)
+    def hashes(data: np.ndarray, offsets: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+        eight = words_of_eight(data)[: max(0, len(data) - 7)]
+        return window_hashes(mix(eight ^ SEED[seed]), window, 8)[ranges(offsets[:-1], count)]
 
-    return Kind(window, records, contexts, hashes, by_order=False)
+    def contents(offsets: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, int]:
+        return ranges(offsets[:-1], count), window
+
+    return Kind(window, records, contexts, hashes, contents, by_order=False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", column: str = "text", as_text: bool = False) -> DataFrame:
@@ -82,10 +80,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, key: str = "doc_id", colu
     as_text: kept is a string, without what is left of characters that were cut in two."""
     extra = ["kept", "n_bytes", "n_removed", "spans"]
     names = [n for n in docs.columns if n not in extra]
-    rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), F.lit(0).cast("long").alias("doc"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
+    rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
     kind = byte_kind(window)
     found = repeated_windows(rows.select("doc", "rk", "text"), kind)
-    joined = with_runs(rows.select("rk", "rest", "text"), found).select("rest", "text", "runs")
+    joined = with_runs(rows.select("doc", "rk", "rest", "text"), found).select("rest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strandloom.llm import anchors, embedding_dedup, minhash_dedup, recompression
+from strandloom.llm.common import mix
 from strandloom.llm.minhash_dedup import near_duplicates, representatives
 from strandloom.llm.recompression import remove_shared
 from strandloom.llm.suffix_dedup import remove_repeats
@@ -104,24 +105,81 @@ def test_long_text_in_pieces(spark, monkeypatch):
 
     monkeypatch.setattr(kind, "PIECE", 500)
     windows = {}
-    for _, l1, l2, mark, lo, hi, at in kind.byte_kind(200).records(pa.array([base])):
+    for _, l1, l2, mark, lo, hi in kind.byte_kind(200).records(pa.array([base])):
         for a, b in zip(lo, hi, strict=True):
             windows.update({k: 1 for k in range(a, b + 1)})
     assert sorted(windows) == list(range(len(base) - 199))
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("abcd"), min_size=50, max_size=160), st.integers(0, 40), st.integers(0, 40))
-def test_symbols_depend_on_their_reach_only(middle, left, right):
-    """Where a symbol starts is the same in any text, from REACH words inside a common part on."""
+@given(st.lists(st.sampled_from("abcd"), min_size=50, max_size=90), st.integers(0, 40), st.integers(0, 40), st.sampled_from(["ab", "abcd"]))
+def test_symbols_of_a_window_depend_on_it_only(middle, left, right, letters):
+    """A window's high-level symbol is the same in any text."""
     r = random.Random(left * 100 + right)
-    code = lambda w: np.array([hash(x) & 0xFFFFFFFFFFFF for x in w], np.uint64)
-    with np.errstate(over="ignore"):
-        a = code([r.choice("abcd") for _ in range(left)] + middle + [r.choice("abcd") for _ in range(right)])
-        b = code([r.choice("abcd") for _ in range(right)] + middle + [r.choice("abcd") for _ in range(left)])
-        k, n = recompression.REACH, len(middle)
-        inner = lambda x, at: {int(s) - at for s in recompression.symbol_starts(x) if at + k <= s <= at + n - k}
-        assert inner(a, left) == inner(b, right)
+    code = lambda w: mix(np.array([ord(x) for x in w], np.uint64))
+    found = []
+    for a, b in ((left, right), (right, left)):
+        x = code([r.choice(letters) for _ in range(a)] + middle + [r.choice(letters) for _ in range(b)])
+        start = np.arange(a, a + len(middle) - 49)
+        name, at, size = recompression.high_symbols(x, np.array([0, len(x)]), start, 50)
+        assert (at >= start).all() and (at + size <= start + 50).all()
+        found.append((name.tolist(), (at - start).tolist(), size.tolist()))
+    assert found[0] == found[1]
+
+
+def test_symbols_grow_and_rows_end_them():
+    """Symbols of many words come up, and none spans two rows."""
+    r = random.Random(3)
+    x = mix(np.array([r.randrange(10**6) for _ in range(4000)], np.uint64))
+    first = np.array([0, 1000, 1000, 1060, 4000])
+    start = np.array([i for a, b in zip(first[:-1], first[1:], strict=True) for i in range(a, b - 49)])
+    _, at, size = recompression.high_symbols(x, first, start, 50)
+    assert size.max() > 16 and size.mean() > recompression.LONG
+    row = np.searchsorted(first, at, "right")
+    assert (row == np.searchsorted(first, at + size - 1, "right")).all()
+
+
+def test_patterned_words_are_told_apart(spark):
+    """Words and sequences made of two letters in the order of Thue and Morse, and its complement, are different ones."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    base = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([*base, word])), (2, " ".join([*base, other])), (3, " ".join("xy"[c == "a"] for c in word)), (4, " ".join("xy"[c == "a"] for c in other)), (5, word), (6, other), (7, word[:1024]), (8, other[:1024])]
+    from pyspark.sql import functions as F
+
+    got = remove_shared(frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256)).collect()
+    assert sorted(map(tuple, got)) == brute.shared_words(rows, 50)
+    got = remove_repeats(frame(spark, rows)).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == brute.repeated_bytes(rows, 200)
+    got = near_duplicates(frame(spark, rows), 4).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute.near(rows, 4, 80)
+
+
+def test_content_decides_where_hashes_agree(spark, monkeypatch):
+    """With hashes of few values the results of op8 are the same: windows of one hash are grouped by their bytes."""
+    data = np.frombuffer(b"abcabcabdabcabd" * 3, np.uint8)
+    at = np.arange(len(data) - 5)
+    which = np.array([d % 2 for d in data[at]])
+    names, first = np.unique(which, return_index=True)
+    got = anchors.by_content(names, first, which, data, at, 6)
+    want = [bytes(data[i : i + 6]) for i in at]
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(at)) for j in range(len(at)))
+    name = {w: k for k, w in enumerate(dict.fromkeys(want))}
+    which = np.array([name[w] for w in want])
+    names, first = np.unique(which, return_index=True)
+    assert anchors.by_content(names, first, which, data, at, 6) is which
+
+
+def test_copies_of_rows(spark):
+    """Rows with one id and text, many times: every copy loses what the contract says, and no list holds the runs of all copies."""
+    t = texts(11, 4)
+    rows = [(1, t[0] + " " + t[1])] * 30 + [(2, t[0] + " end " + t[1])] * 30
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_shared(frame(spark, rows)).collect())
+    assert got == sorted(x[:3] for x in brute.shared_words(rows, 50))
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in remove_repeats(frame(spark, rows)).collect())
+    assert got == sorted(x[:3] for x in brute.repeated_bytes(rows, 200))
 
 
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3), st.integers(0, 50)), max_size=300))
