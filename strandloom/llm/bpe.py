@@ -1,19 +1,24 @@
 """Byte-level BPE encoding and decoding.
 
-Pre-tokenisation works on whole slices of text as arrays: every code point gets a class
-(letter, number, white space, other), starts of class runs are carried along by an
-associative maximum scan, and the places where a piece begins follow from the classes to the
-left and right of a place, without a regular expression. Pieces are hashed where they
-stand; those not in the worker's cache are merged pair by pair, all at once. Byte offsets of
-pieces and tokens are kept, so ids decode to the same bytes.
-
-Null text counts as empty and encodes to no tokens; rows keep their other columns.
+Pre-tokenisation works on whole slices of text as arrays, without a regular expression. Every code point gets a
+class: its kind (letter, number, blank, other white space, apostrophe, other) and what the array says of its
+neighbours (whether it is the last white space before text, whether letters of a contraction follow an apostrophe). Every class is a
+function from the state before a code point to the state behind it. Blocks of text are reduced to composed functions,
+composition being associative those are scanned over all blocks by doubling, and with each block's first state known, all
+blocks run at once and tell where pieces begin.
+
+Pieces are hashed where they stand; those not in the worker's cache are merged pair by pair, all at once, long ones by a heap in time
+that grows with their length alone, but for a logarithm. A piece that the cache knows is compared with it byte by byte; if two pieces share a hash, the
+task goes on with another hash function. Byte offsets of pieces and tokens are kept, so ids decode to the same bytes.
+
+Null text counts as empty and encodes to no tokens; rows keep their other columns, repeated rows and null ids included.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -23,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, map_batches, mix, ranges, slice_hashes, small_batches, text_slices
+from .common import FIRST, U64, map_batches, mix, ranges, slice_hashes, small_batches, text_slices, words_of_eight
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Unicode White_Space.
@@ -32,6 +37,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 #: Pieces that a task keeps; beyond that it starts anew, which changes no result.
 CACHE = 1 << 17
+#: Pieces of more bytes are merged one by one, with a heap.
+LONG_PIECE = 64
 
 
 @lru_cache(1)
@@ -45,49 +52,88 @@ def classes() -> np.ndarray:
     return out
 
 
-def piece_starts(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where pieces begin in code points; rows holds the places where texts begin, and the end."""
+#: States: between pieces, in letters, numbers, other text, white space, behind a blank that text takes, one or two letters before the end of a contraction.
+FREE, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACE, TAKEN, ONE_LEFT, TWO_LEFT = range(8)
+#: Classes of code points beside their kinds: apostrophes before contractions, and white space before text (a blank, or other).
+APOSTROPHE_ONE, APOSTROPHE_TWO, LAST_BLANK, LAST_SPACE = range(4, 8)
+#: Added to the class of a text's first code point.
+HEAD = 8
+#: Code points of a block.
+BLOCK = 128
+
+
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """For each class and state: the state behind, and whether a piece begins."""
+    run = {LETTER: IN_LETTERS, NUMBER: IN_NUMBERS, OTHER: IN_OTHER, APOSTROPHE_ONE: IN_OTHER, APOSTROPHE_TWO: IN_OTHER}
+    fresh = {APOSTROPHE_ONE: ONE_LEFT, APOSTROPHE_TWO: TWO_LEFT, SPACE: IN_SPACE, LAST_BLANK: TAKEN, LAST_SPACE: FREE}
+    to, begins = np.zeros((2 * HEAD, 8), np.uint8), np.ones((2 * HEAD, 8), bool)
+    for kind in range(HEAD):
+        new = fresh.get(kind, run.get(kind))
+        to[kind], to[kind + HEAD] = new, new  # a text's first code point begins a piece in any state
+        if kind in run:
+            for state in (run[kind], TAKEN):
+                to[kind, state], begins[kind, state] = run[kind], False
+        if kind == SPACE:
+            begins[kind, IN_SPACE] = False
+        to[kind, TWO_LEFT], to[kind, ONE_LEFT] = ONE_LEFT, FREE
+        begins[kind, [TWO_LEFT, ONE_LEFT]] = False
+    return to, begins
+
+
+TO, BEGINS = _table()
+
+
+def code_classes(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class of each code point; rows holds the places where texts begin, and the end."""
     n = len(codes)
-    if not n:
-        return np.zeros(0, np.int64)
     kind = classes()[codes]
     head = np.zeros(n + 1, bool)
     head[rows] = True
-    run = head[:n].copy()
-    run[1:] |= kind[1:] != kind[:-1]
-    blank = codes == 0x20
     white = kind == SPACE
-    begins = run.copy()
-    # a run of other than white space takes a blank before it
-    after = np.zeros(n, bool)
-    after[1:] = blank[:-1] & ~head[1:n]
-    lends = run & ~white & after
-    begins[lends] = False
-    begins[np.flatnonzero(lends) - 1] = True
-    # the last white space of a run before text stands alone, unless the text takes it
-    ends = np.zeros(n, bool)
-    ends[:-1] = white[:-1] & ~white[1:] & ~head[1:n]
-    begins |= ends
-    # contractions: an apostrophe that begins a piece, and its letters
-    at = np.flatnonzero((codes == 0x27) & run & ~lends)
+    last = np.zeros(n, bool)
+    last[:-1] = white[:-1] & ~white[1:] & ~head[1:n]
+    out = kind.copy()
+    out[last] = np.where(codes[last] == 0x20, LAST_BLANK, LAST_SPACE)
+    at = np.flatnonzero(codes == 0x27)
     if len(at):
-        run_start = np.maximum.accumulate(np.where(head[:n], np.arange(n), 0))  # of each place's text
-        padded = np.concatenate([codes, np.zeros(2, codes.dtype)])
-        text = run_start[at]
+        padded, ends = np.concatenate([codes, np.zeros(2, codes.dtype)]), np.concatenate([head, [True, True]])
         one, two = padded[at + 1], padded[at + 2]
-        inside = lambda k: (at + k < n) & (run_start[np.minimum(at + k, n - 1)] == text)
-        short = np.isin(one, [ord(c) for c in SHORT]) & inside(1)
+        inside = ~ends[at + 1]
+        short = np.isin(one, [ord(c) for c in SHORT]) & inside
         longer = np.zeros(len(at), bool)
         for a, b in LONG:
             longer |= (one == ord(a)) & (two == ord(b))
-        longer &= inside(2)
-        for hit, size in ((short, 2), (longer & ~short, 3)):
-            p = at[hit]
-            begins[p + 1] = False
-            nxt = p + size
-            nxt = nxt[nxt < n]
-            begins[nxt[(kind[nxt] == LETTER) & ~head[nxt]]] = True
-    return np.flatnonzero(begins)
+        out[at[longer & inside & ~ends[at + 2]]] = APOSTROPHE_TWO
+        out[at[short]] = APOSTROPHE_ONE
+    return out + HEAD * head[:n].astype(np.uint8)
+
+
+def piece_starts(codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where pieces begin in code points; rows holds the places where texts begin, and the end."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    blocks = -(-n // BLOCK)
+    kind = np.zeros(blocks * BLOCK, np.uint8)
+    kind[:n] = code_classes(codes, rows)
+    step = np.ascontiguousarray(kind.reshape(blocks, BLOCK).T).astype(np.intp) * 8
+    to, begins = TO.ravel(), BEGINS.ravel()
+    # each block as a function: the state behind it for every state before it
+    whole = np.broadcast_to(np.arange(8, dtype=np.uint8), (blocks, 8))
+    for k in range(BLOCK):
+        whole = to[step[k][:, None] + whole]
+    # composed with all blocks before, by doubling
+    span = 1
+    while span < blocks:
+        whole = np.concatenate([whole[:span], np.take_along_axis(whole[span:], whole[:-span], 1)])
+        span *= 2
+    state = np.concatenate([[FREE], whole[:-1, FREE]]).astype(np.uint8)
+    out = np.zeros((BLOCK, blocks), bool)
+    for k in range(BLOCK):
+        at = step[k] + state
+        out[k] = begins[at]
+        state = to[at]
+    return np.flatnonzero(out.T.ravel()[:n])
 
 
 class Vocabulary:
@@ -132,13 +178,16 @@ class Vocabulary:
             left = np.ones(len(key), bool)
             left[first] = False
             key, value, place = key[left], value[left], (place[left] + U64(1)) & self.mask
+        self.pairs = pairs
         self.cache: dict[int, int] = {}
+        self.seed = 0
         self.reset()
 
     def reset(self) -> None:
         self.cache.clear()
         self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
+        self.byte_at, self.byte_size, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token of each pair, or -1."""
@@ -156,6 +205,29 @@ class Vocabulary:
                 break
         return out
 
+    def merge_long(self, data: bytes) -> list[int]:
+        """Tokens of one piece: the lowest pair is taken from a heap, neighbours are linked."""
+        token, pairs = [int(self.single[b]) for b in data], self.pairs.get
+        n = len(token)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := pairs(token[i] << 32 | token[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if token[i] < 0 or j >= n or pairs(token[i] << 32 | token[j]) != rank:
+                continue
+            token[i], token[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := pairs(rank << 32 | token[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            h = before[i]
+            if h >= 0 and (r := pairs(token[h] << 32 | rank)) is not None:
+                heapq.heappush(heap, (r, h))
+        return [t for t in token if t >= 0]
+
     def merge(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of many pieces, and their number in each: the lowest pair of every piece is merged, again and again."""
         piece = np.repeat(np.arange(len(start)), size)
@@ -196,33 +268,69 @@ class Vocabulary:
         order = np.lexsort([place, piece])
         return token[order], np.bincount(piece, minlength=len(start))
 
+    def learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> None:
+        """Adds pieces that differ from each other to the cache."""
+        data, size = buf.tobytes(), end - start
+        whole = np.fromiter((self.ranks.get(data[x:y], -1) for x, y in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(start))
+        part, long = np.flatnonzero((whole < 0) & (size <= LONG_PIECE)), np.flatnonzero((whole < 0) & (size > LONG_PIECE))
+        ids, counts = [whole[whole >= 0]], np.ones(len(start), np.int64)
+        slots = np.concatenate([np.flatnonzero(whole >= 0), part, long])
+        if len(part):
+            tokens, counts[part] = self.merge(buf, start[part], size[part])
+            ids.append(tokens)
+        for k in long.tolist():
+            tokens = np.array(self.merge_long(data[start[k] : end[k]]), np.int64)
+            counts[k] = len(tokens)
+            ids.append(tokens)
+        at = np.cumsum(counts[slots]) - counts[slots] + len(self.ids)
+        self.cache.update(zip(names[slots].tolist(), range(len(self.at), len(self.at) + len(slots)), strict=True))
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, counts[slots]])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.byte_at = np.concatenate([self.byte_at, np.cumsum(size[slots]) - size[slots] + len(self.known)])
+        self.byte_size = np.concatenate([self.byte_size, size[slots]])
+        self.known = np.concatenate([self.known, buf[ranges(start[slots], size[slots])]])
+
     def encode(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the pieces buf[start:end] one behind the other, and their number in each."""
-        names, first, which = np.unique(slice_hashes(buf, start, end), return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE:
+        while True:
+            names, first, which = np.unique(slice_hashes(buf, start, end, self.seed), return_index=True, return_inverse=True)
+            if same_content(buf, start, end, buf, start[first[which]], end[first[which]]):
+                if len(self.cache) > CACHE:
+                    self.reset()
+                get = self.cache.get
+                use = np.fromiter((get(x, -1) for x in names.tolist()), np.int64, len(names))
+                old, new = np.flatnonzero(use >= 0), np.flatnonzero(use < 0)
+                at, size = self.byte_at[use[old]], self.byte_size[use[old]]
+                if same_content(buf, start[first[old]], end[first[old]], self.known, at, at + size):
+                    break
+            self.seed += 1  # two pieces share a hash: another function tells them apart
             self.reset()
-        get = self.cache.get
-        known = np.fromiter((get(x, -1) for x in names.tolist()), np.int64, len(names))
-        new = np.flatnonzero(known < 0)
         if len(new):
-            s, e = start[first[new]], end[first[new]]
-            data = buf.tobytes()
-            whole = np.fromiter((self.ranks.get(data[x:y], -1) for x, y in zip(s.tolist(), e.tolist(), strict=True)), np.int64, len(new))
-            ids, counts = [whole[whole >= 0]], np.ones(len(new), np.int64)
-            part = np.flatnonzero(whole < 0)
-            slots = np.concatenate([np.flatnonzero(whole >= 0), part])
-            if len(part):
-                tokens, counts[part] = self.merge(buf, s[part], e[part] - s[part])
-                ids.append(tokens)
-            at = np.cumsum(counts[slots]) - counts[slots] + len(self.ids)
-            known[new[slots]] = len(self.at) + np.arange(len(slots))
-            self.cache.update(zip(names[new[slots]].tolist(), range(len(self.at), len(self.at) + len(slots)), strict=True))
-            self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, counts[slots]])
-            self.ids = np.concatenate([self.ids, *ids])
-        use = known[which]
+            self.learn(buf, start[first[new]], end[first[new]], names[new])
+            use[new] = np.fromiter((get(x) for x in names[new].tolist()), np.int64, len(new))
+        use = use[which]
         return self.ids[ranges(self.at[use], self.size[use])], self.size[use]
 
 
+def same_content(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bool:
+    """Whether buf[start:end] and other[begin:stop] are equal for all of them. Seven bytes or less that share a hash are."""
+    size = end - start
+    if not np.array_equal(size, stop - begin):
+        return False
+    at = np.flatnonzero(size > 7)
+    if not len(at):
+        return True
+    left, x, y, a, b = size[at], start[at], begin[at], words_of_eight(buf), words_of_eight(other)
+    while len(left):
+        if not np.array_equal(a[x] & FIRST[np.minimum(left, 8)], b[y] & FIRST[np.minimum(left, 8)]):
+            return False
+        more = left > 8
+        left, x, y = left[more] - 8, x[more] + 8, y[more] + 8
+        if len(left) < 4:  # a few long ones
+            return all(np.array_equal(buf[i : i + k], other[j : j + k]) for i, j, k in zip(x.tolist(), y.tolist(), left.tolist(), strict=True))
+    return True
+
+
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)

@@ -63,7 +63,7 @@ def slice_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     among themselves; longer ones are chained through a non-linear step, those beyond LONG_SLICE go through xxh3."""
     size = end - start
     eight = words_of_eight(buf)
-    out = mix((eight[start] & FIRST[np.minimum(size, 7)]) + (np.minimum(size, 8).astype(U64) << U64(56)) + SEED[0] * U64(seed))
+    out = mix((eight[start] & FIRST[np.minimum(size, 7)]) + (np.minimum(size, 8).astype(U64) << U64(56)) + U64(int(SEED[0]) * seed % (1 << 64)))
     at = np.flatnonzero((size > 7) & (size <= LONG_SLICE))
     place, left = start[at] + 7, size[at] - 7
     while len(at):

@@ -5,6 +5,8 @@ import random
 import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, mixing, quality_classifier, quality_rules, queries, url_filter, warc
@@ -38,6 +40,63 @@ def test_bpe(spark, encoding):
     assert bpe.round_trip(df.limit(0), PATH).count() == 0
 
 
+def thue_morse(n, letters="ab"):
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_bpe_of_long_and_patterned_pieces(spark, encoding):
+    """Pieces that a weak hash confuses, and long ones without a blank: in a time that grows with their length."""
+    import time
+
+    r = random.Random(8)
+    other = str.maketrans("ab", "ba")
+    rows = [thue_morse(n) + " " + thue_morse(n).translate(other) for n in (64, 1024, 2048)]
+    rows += ["".join(r.choice("abcdefgh") for _ in range(200_000)), "".join(r.choice("ab") for _ in range(65)), "中文" * 20_000, "-" * 3000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    ids = {x.doc_id: x.input_ids for x in bpe.encode(df, PATH).collect()}
+    assert all(ids[i] == encoding.encode_ordinary(t) for i, t in enumerate(rows))
+    vocab = bpe.vocabulary(PATH)
+    took = []
+    for n in (50_000, 400_000):
+        data = "".join(r.choice("abcdefgh") for _ in range(n)).encode()
+        began = time.time()
+        vocab.merge_long(data)
+        took.append(time.time() - began)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_bpe_hashes_that_agree(encoding, monkeypatch):
+    """Pieces with one hash are told apart by their bytes."""
+    import pyarrow as pa
+
+    from strandloom.llm.common import text_slices
+
+    real = bpe.slice_hashes
+    monkeypatch.setattr(bpe, "slice_hashes", lambda b, s, e, seed=0: real(b, s, e, seed) if seed > 1 else (real(b, s, e, seed) % 3 if len(b) else real(b, s, e)))
+    vocab = bpe.Vocabulary(PATH)
+    for t in ["international internationalism constitution", "constitution a b c institutions", "international"]:
+        for _, _, buf, offsets in text_slices(pa.array([t])):
+            assert bpe.encode_slice(vocab, buf, offsets)[0].tolist() == encoding.encode_ordinary(t)
+
+
+@given(st.lists(st.text(alphabet="ab1's  \n\tvlre.é中", max_size=60), max_size=6), st.integers(1, 9))
+def test_piece_starts(texts, block):
+    import numpy as np
+    import regex
+
+    codes = np.array([ord(c) for t in texts for c in t], np.uint32)
+    rows = np.cumsum([0, *map(len, texts)])
+    want = [int(rows[i]) + m.start() for i, t in enumerate(texts) for m in regex.finditer(tokenizers.PATTERN, t)]
+    old, bpe.BLOCK = bpe.BLOCK, block
+    try:
+        assert bpe.piece_starts(codes, rows).tolist() == want
+    finally:
+        bpe.BLOCK = old
+
+
 def test_bpe_cache_limit(encoding, monkeypatch):
     import pyarrow as pa
 
