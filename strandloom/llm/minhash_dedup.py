@@ -6,11 +6,13 @@
    class has leave the lists. A pair must collide in MATCHES coordinates at least (a pair at
    the threshold fails that once in 28 million), so each class needs to be posted only under a prefix:
    its rarest values, all but MATCHES - 1 of them (prefix merging).
-3. Posting lists are merged: members whose set sizes exclude the threshold are skipped, collisions are
-   counted, pairs with enough stay. Lists of more than BLOCK members link to their first
-   member; that only makes the next step's families larger.
-4. Families (components of such pairs) bring their full sets together, in bounded blocks, each
-   pair of blocks in its own task, and every pair within is compared exactly.
+3. Posting lists are merged, those of any length: members whose set sizes exclude the threshold are skipped, collisions are
+   counted, and pairs with enough are links. A list is searched from one member outwards: those that it collides with leave the
+   list and are searched from in turn, so members that collide with one another make no pairs. Long lists are dealt into
+   blocks, each pair of blocks being a cell of its own.
+4. Families (components of such links) bring their full sets together. Large families are first compared with a few of
+   their own members (leaders), one of those not linked so far at a time; what no leader reaches is compared with the whole family, in blocks,
+   each pair of blocks in its own cell, searched in the same way. Sets are compared exactly.
    Only spanning links leave a task, so large groups of near copies make no pairs.
 
 Null or empty texts, and texts without words, have no shingles and link with nothing. Rows with one
@@ -27,13 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, map_batches, materialised, mix, randoms, shuffle_partitions, slice_hashes, small_batches, text_slices, words
+from .common import U64, components, map_batches, materialised, mix, randoms, ranges, shuffle_partitions, slice_hashes, small_batches, text_slices, words
 
 COORDINATES, MATCHES = 40, 17
-#: Members of a posting list or a family's block that one task compares at once, and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 1024, 500_000
-#: Posting lists longer than this are linked by a pre-aggregated join instead of in one task.
-LONG_LIST = 20_000
+#: Members of a posting list, and of a family, that make a block, and shingles of a family's block.
+LIST, BLOCK, BLOCK_SHINGLES = 8192, 1024, 500_000
+#: Members that a large family is compared with before its blocks are.
+LEADERS = 4
+#: Members that are searched from at once.
+FRONT = 16
+#: Tasks over which a large family is dealt where it meets its leader.
+SALTS = 32
 A = randoms(COORDINATES, 21) | U64(1)
 B = randoms(COORDINATES, 22)
 MIX = randoms(64, 23) | U64(1)
@@ -143,34 +149,56 @@ def bounds(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(edge) + 1, [len(columns[0])]])
 
 
+def expand(n: int, near: Callable) -> np.ndarray:
+    """For nodes 0 to n - 1: the least node of each one's component. near(x, y) says which of the nodes y are linked with one of x;
+    nodes are searched from one after the other, and those found are left out of later searches."""
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            hit = near(front[:FRONT], left)
+            label[left[hit]] = root
+            front, left = np.concatenate([front[FRONT:], left[hit]]), left[~hit]
+    return label
+
+
+def _stars(names: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    more = label != np.arange(len(names))
+    return pa.RecordBatch.from_arrays([pa.array(names[more]), pa.array(names[label[more]])], names=["a", "b"])
+
+
+def _distinct(names: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Places a to b - 1, one for each name."""
+    return a + np.sort(np.unique(names[a:b], return_index=True)[1])
+
+
 def _merge(num: int, den: int) -> Callable:
-    """Posting lists (key, print, n, sig) sorted by key: candidate links, as a forest."""
+    """Posting lists (key, i, j, print, n, sig) sorted by the first three: candidate links, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, 1, 20_000):
-            key, name, n = (batch.column(i).to_numpy() for i in range(3))
-            table = _table(batch.column(3))
+        for batch in groups(batches, 3, 20_000):
+            key, i, j, name, n = (batch.column(k).to_numpy() for k in range(5))
+            table = _table(batch.column(5))
             nodes, of = np.unique(name, return_inverse=True)
             xs, ys = [], []
-            edge = bounds(key)
+            edge = bounds(key, i, j)
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
-                if b - a > BLOCK:
-                    xs.append(np.full(b - a - 1, of[a])), ys.append(of[a + 1 : b])
-                    continue
-                order = a + np.argsort(n[a:b], kind="stable")
-                size = n[order]
-                reach = np.searchsorted(size, size * den // num, "right")  # sizes beyond can't reach the threshold
-                for i in range(len(order) - 1):
-                    rest = order[i + 1 : reach[i]]
-                    if len(rest):
-                        hit = rest[(table[rest] == table[order[i]]).sum(1) >= MATCHES]
-                        xs.append(np.full(len(hit), of[order[i]])), ys.append(of[hit])
+                size, sig = n[a:b], table[a:b]
+
+                def near(x: np.ndarray, y: np.ndarray, size=size, sig=sig) -> np.ndarray:
+                    out = np.zeros(len(y), bool)
+                    for k in x.tolist():
+                        fits = np.flatnonzero(~out & (den * np.minimum(size[k], size[y]) >= num * np.maximum(size[k], size[y])))
+                        out[fits[(sig[y[fits]] == sig[k]).sum(1) >= MATCHES]] = True
+                    return out
+
+                label = expand(b - a, near)
+                more = np.flatnonzero(label != np.arange(b - a))
+                xs.append(of[a + more]), ys.append(of[a + label[more]])
             if xs:
-                label = forest(len(nodes), np.concatenate(xs), np.concatenate(ys))
-                more = label != np.arange(len(nodes))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
+                yield _stars(nodes, forest(len(nodes), np.concatenate(xs), np.concatenate(ys)))
 
     return run
 
@@ -185,62 +213,96 @@ def _sets(size: int) -> Callable:
     return run
 
 
-def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right, as numbers of sets) with den * |both| >= num * |any|, by multiplying incidence matrices in pieces."""
+def exact_forest(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least set of each one's component under links den * |both| >= num * |any|; sets of one side are not compared, unless it is 0."""
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    of = np.repeat(np.arange(len(sets)), size)
-    names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[at] > 1
-    at, of = (np.cumsum(count > 1) - 1)[at[shared]], of[shared]
-    wide = int((count > 1).sum())
-    both = np.zeros((len(left), len(right)), np.float32)
-    step = 4096
-    order = np.argsort(at, kind="stable")
-    at, of = at[order], of[order]
-    for lo in range(0, wide, step):
-        a, b = np.searchsorted(at, [lo, lo + step])
-        m = np.zeros((len(sets), min(step, wide - lo)), np.float32)
-        m[of[a:b], at[a:b] - lo] = 1
-        both += m[left] @ m[right].T
-    any_ = size[left][:, None] + size[right][None] - both
-    i, j = np.nonzero((den * both >= num * any_) & (left[:, None] != right[None]))
-    return left[i], right[j]
+    start = np.cumsum(size) - size
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    end, mark = start + size, np.zeros(len(names), bool)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y), bool)
+        for k in x.tolist():
+            fits = np.flatnonzero(~out & ((side[k] == 0) | (side[y] != side[k])) & (den * np.minimum(size[k], size[y]) >= num * np.maximum(size[k], size[y])))
+            if not len(fits):
+                continue
+            mine = at[start[k] : end[k]]
+            mark[mine] = True
+            z = y[fits]
+            both = np.add.reduceat(mark[at[ranges(start[z], size[z])]], np.cumsum(size[z]) - size[z], dtype=np.int64)
+            mark[mine] = False
+            out[fits[den * both >= num * (size[k] + size[z] - both)]] = True
+        return out
+
+    return expand(len(sets), near)
 
 
 def _confirm(num: int, den: int) -> Callable:
-    """Sets sorted by (family, i, j), block: links (a, b) of prints, as a forest. Within a block all pairs, else those between the two."""
+    """Sets (family, i, j, print, side, set) sorted by the first three: links (a, b) of prints, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups(batches, 3, 2000):
-            family, i, j, block, name = (batch.column(k).to_numpy() for k in range(5))
-            sets = [np.frombuffer(x, U64) for x in batch.column(5).to_pylist()]
+            family, i, j, name, side = (batch.column(k).to_numpy() for k in range(5))
             edge = bounds(family, i, j)
-            xs, ys = [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a < 2:
-                    continue
-                at = np.arange(b - a)
-                if i[a] == j[a]:
-                    left = right = at
-                else:
-                    left, right = at[block[a:b] == i[a]], at[block[a:b] == j[a]]
-                if b - a == 2 and len(left) and len(right):
-                    p, q = sets[a], sets[a + 1]
-                    both = len(p) + len(q) - len(np.union1d(p, q))
-                    if den * both >= num * (len(p) + len(q) - both):
-                        xs.append(np.array([a])), ys.append(np.array([a + 1]))
-                elif len(left) and len(right):
-                    x, y = exact_links(sets[a:b], left, right, num, den)
-                    xs.append(a + x), ys.append(a + y)
-            if xs:
-                label = forest(len(name), np.concatenate(xs), np.concatenate(ys))
-                more = label != np.arange(len(name))
-                yield pa.RecordBatch.from_arrays([pa.array(name[more]), pa.array(name[label[more]])], names=["a", "b"])
+                at = _distinct(name, a, b)
+                if len(at) > 1:
+                    yield _stars(name[at], exact_forest([np.frombuffer(x, U64) for x in batch.column(5).take(pa.array(at)).to_pylist()], side[at], num, den))
+
+    return run
+
+
+def _led(num: int, den: int) -> Callable:
+    """(print, set, leader, leader's set): those that are linked with their leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = ([np.frombuffer(x, U64) for x in batch.column(k).to_pylist()] for k in (1, 3))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(p, q, strict=True)], np.int64)
+            every = np.array([len(x) + len(y) for x, y in zip(p, q, strict=True)], np.int64) - both
+            hit = pa.array(den * both >= num * every)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(2).filter(hit)], names=["a", "b"])
 
     return run
 
 
+def family_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that span the components of sets (family, blocks, print, set), comparing within families only."""
+    parts = shuffle_partitions(sets.sparkSession)
+    cell = ["family", "i", "j"]
+    schema = "a long, b long"
+    small = sets.where("blocks = 1").select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), "print", F.lit(0).alias("side"), "set")
+    large = sets.where("blocks > 1")
+    found = None
+    if large.limit(1).count():
+        for _ in range(LEADERS):
+            # the least of those in each family that no leader has reached
+            open_ = large if found is None else large.join(found.select(F.explode(F.array("a", "b")).alias("print")).distinct(), "print", "left_anti")
+            leader = open_.groupBy("family").agg(F.min(F.struct(F.xxhash64("print").alias("h"), "print", "set")).alias("x")).select("family", F.col("x.print").alias("leader"), F.col("x.set").alias("leader_set"))
+            dealt = large.withColumn("_s", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int"))
+            both = dealt.join(leader.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["family", "_s"])
+            more = materialised(map_batches(both.select("print", "set", "leader", "leader_set"), _led(num, den), schema))
+            if not more.limit(1).count():
+                break
+            found = more if found is None else found.union(more)
+        # a leader is linked with itself, so what is left was never reached, and is compared with all of its family
+        label = components(found.where("a <> b")).withColumnRenamed("node", "print")
+        known = large.join(label, "print", "left").withColumn("label", F.coalesce("component", "print"))
+        most = known.groupBy("family", "label").agg(F.count("*").alias("k")).groupBy("family").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("family", F.col("m.label").alias("main"))
+        rest = known.join(most, "family").withColumn("is_main", F.col("label") == F.col("main"))
+        rest = materialised(rest.withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")).select("family", "blocks", "print", "set", "block", "is_main"))
+        # cells: each block of those outside the largest component with every block of it, and with one another
+        others = rest.where("not is_main").groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("others"))
+        rest = rest.join(others, "family").withColumn("own", F.pmod(F.xxhash64("print"), F.col("others")).cast("int"))
+        mains = rest.where("is_main").select("family", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), (F.col("block") + 1).alias("j"), "print", F.lit(1).alias("side"), "set")
+        each = rest.where("not is_main")
+        with_mains = each.select("family", F.col("own").alias("i"), F.explode(F.sequence(F.lit(1), F.col("blocks"))).alias("j"), "print", F.lit(2).alias("side"), "set")
+        among = each.select("family", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("o"), "print", "set").select("family", (-1 - F.least("own", "o")).alias("i"), (-1 - F.greatest("own", "o")).alias("j"), "print", F.lit(0).alias("side"), "set")
+        small = small.unionByName(mains).unionByName(with_mains).unionByName(among)
+    links = map_batches(small.repartition(parts, *cell).sortWithinPartitions(*cell), _confirm(num, den), schema)
+    return links if found is None else links.union(found.where("a <> b"))
+
+
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text") -> DataFrame:
     """docs, one row of each component of near duplicates."""
     chosen = near_duplicates(docs, shingle, percent, key, column).where("representative").groupBy("rk").agg(F.max("n_shingles").alias("n"))  # null ids and texts included
@@ -268,19 +330,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     common = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     mine = posted.join(common, "key").groupBy("print").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("k")).where(F.size("k") >= MATCHES)
     prefix = materialised(mine.select("print", F.explode(F.expr(f"slice(k, 1, size(k) - {MATCHES - 1})")).alias("k")).select("k.key", "k.f", "print"))
-    short = prefix.where(F.col("f") <= LONG_LIST).join(classes.select("print", "n", "sig"), "print").select("key", "print", "n", "sig")
-    edges = map_batches(short.repartition(parts, "key").sortWithinPartitions("key"), _merge(num, den), "a long, b long")
-    long = prefix.where(F.col("f") > LONG_LIST)
-    edges = edges.union(long.join(long.groupBy("key").agg(F.min("print").alias("b")), "key").select(F.col("print").alias("a"), "b"))
+    # a list of several blocks: each member comes to the cells of its own block with every other one
+    lists = prefix.withColumn("lists", F.ceil(F.col("f") / LIST).cast("int")).withColumn("own", F.pmod(F.xxhash64("print", F.lit(7)), F.col("lists")).cast("int"))
+    cells = lists.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "print")
+    posted = cells.join(classes.select("print", "n", "sig"), "print").select("key", "i", "j", "print", "n", "sig")
+    edges = map_batches(posted.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j"), _merge(num, den), "a long, b long")
     families = materialised(components(edges).withColumnRenamed("node", "print").withColumnRenamed("component", "family"))
     # exact comparison
-    member = families.join(classes.select("print", "n", F.col("m.rk").alias("rk")), "print")
+    member = families.join(classes.select("print", "n", "m"), "print").select("family", "print", "n", F.col("m.rk").alias("rk"), F.col("m.doc_id").alias("doc_id"))
     size = member.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    member = member.join(size, "family").select("family", "blocks", "print", "rk")
-    texts = rows.select("rk", "text").join(member.hint("shuffle_hash"), "rk").select("family", "blocks", "print", "text")
-    sets = map_batches(texts, _sets(shingle), "family long, blocks int, print long, set binary").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    dealt = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "print", "set")
-    links = materialised(map_batches(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j"), _confirm(num, den), "a long, b long"))
+    member = member.join(size, "family").select("family", "blocks", "print", F.col("rk").alias("r"), F.col("doc_id").alias("d"))
+    texts = rows.join(member.hint("shuffle_hash"), (F.col("rk") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("family", "blocks", "print", "text")
+    sets = materialised(map_batches(texts, _sets(shingle), "family long, blocks int, print long, set binary"))
+    links = materialised(family_links(sets, num, den))
     found = components(links).withColumnRenamed("node", "print")
     # smallest id of each component, and of each class
     first = F.min("m")
