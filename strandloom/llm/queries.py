@@ -79,16 +79,45 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
-    out = archived(table(spark, sf_dir, "pages"), with_payload=False, least=0, unnamed=True)
-    number = lambda c: F.regexp_extract(c, r":(-?[0-9]+)>$", 1).cast("long")
+    out = archived(table(spark, sf_dir, "pages"), with_payload=False, least=0)
+    number = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit("")).cast("long")
     return out.select(
-        F.nullif(F.regexp_extract("metadata.fields", r"pageId: (-?[0-9]+)", 1), F.lit("")).cast("long").alias("page_id"),
+        number("metadata.fields", r"pageId: (-?[0-9]+)").alias("page_id"),
         F.coalesce("main.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
         F.col("main.digest").alias("payload_digest"),
         F.col("main.record_type").alias("record_type"),
-        number("main.refers_to").alias("refers_to"),
+        number("main.refers_to", r":capture:(-?[0-9]+):").alias("refers_to"),
     )
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
-ORACLE: dict[str, str] = {}
+
+#: DuckDB SQL of the queries whose whole result the contract fixes.
+WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": f"""with d as (select doc_id, {WORDS.format("text")} w from documents),
+        s as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) k from (select doc_id, w, unnest(range(1, len(w) - 48)) i from d)),
+        f as (select doc_id, i, min(doc_id) over (partition by k) < doc_id hit from s),
+        x as (select doc_id, unnest(range(1, len(w) + 1)) i, unnest(w) word from d),
+        c as (select doc_id, i, word, coalesce(max(case when hit then 1 else 0 end) over (partition by doc_id order by i rows between 49 preceding and current row), 0) gone from x left join f using (doc_id, i))
+        select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(r, 0) as bigint) n_removed, sha256(coalesce(kept, '')) kept_sha256
+        from d left join (select doc_id, sum(gone) r, string_agg(word, ' ' order by i) filter (gone = 0) kept from c group by doc_id) using (doc_id)""",
+    "op2_minhash_near_dedup": f"""with recursive d as (select doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} w from documents),
+        g as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) end) s from d),
+        n as (select doc_id, len(s) n from g), x as (select doc_id, unnest(s) k from g),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from x a join x b using (k) where a.doc_id < b.doc_id group by 1, 2),
+        e as (select a, b from p join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 80 * (u.n + v.n - c)),
+        h as (select a, b from e union select b, a from e), r as (select a id, a r from h union select r.id, h.b from r join h on h.a = r.r), m as (select id, min(r) m from r group by id)
+        select doc_id, cast(n as bigint) n_shingles, coalesce(m, doc_id) component_id, coalesce(m, doc_id) = doc_id kept from n left join m on id = doc_id""",
+    "op8_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+        b as (select doc_id, h, unnest(range(0, length(h) // 2)) i from d),
+        s as (select doc_id, i, substr(h, 2 * i + 1, 2) x, case when 2 * i + 400 <= length(h) then md5(substr(h, 2 * i + 1, 400)) end k from b),
+        f as (select doc_id, i, x, case when k is not null and count(*) over (partition by k) > 1 then 1 else 0 end hit from s),
+        c as (select doc_id, i, x, max(hit) over (partition by doc_id order by i rows between 199 preceding and current row) gone from f),
+        t as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by i), 0) = 0 head from c)
+        select doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(r, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256
+        from d left join (select doc_id, sum(gone) r, count(*) filter (head) spans, string_agg(x, '' order by i) filter (gone = 0) kept from t group by doc_id) using (doc_id)""",
+    "op10_warc": """with p as (select page_id, coalesce(html, '') b from pages), s as (select page_id, cast(strlen(b) as bigint) n, sha1(b) h, max(page_id) over (partition by b) m from p),
+        t as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(5 * (i // 4) + 1 as int), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31 as int) + 1, 1)), '') digest from s)
+        select page_id, n payload_bytes, digest payload_digest, case when page_id = m then 'response' else 'revisit' end record_type, case when page_id <> m then m end refers_to from t""",
+}
