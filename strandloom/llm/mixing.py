@@ -3,14 +3,14 @@
 Targets: weights share a budget of words; a target stops at a multiple of its source's size, and what
 exceeds that is shared again by weight until none is above (one level, found by prefix sums over sources).
 
-Draws: the documents of a source are dealt into BLOCKS blocks by hash, and its blocks are permuted. A
+Draws: the documents of a source are dealt into blocks by hash, so many that a block has about BLOCK_ROWS of all rows at most, and its blocks are permuted. A
 source's target is so many whole passes over its blocks plus a part of one more pass, which ends
 within a block, at the document whose middle passes the target. So a source has an exact
 quota of blocks. A tree over the output shards splits all sources' quotas: at each node the
 left half of the shards gets a multivariate-hypergeometric share of the node's blocks. A shard
 then takes the next blocks of each source's permutation, disjoint from all other shards', and is shuffled
-locally by hash. The tree has one number per source and shard and runs on the driver; everything with
-a row per block or document is DataFrame code on rows without text.
+locally by hash. The tree has one number per source and shard and runs on the driver, which is its bound on the number of sources
+(some ten thousand times the shards of a job); everything with a row per block or document is DataFrame code on rows without text.
 
 All draws are functions of seed and keys, so reruns agree. Null text has size 0; documents of size 0 are in a draw like
 others but add no words; null is a source of its own, last in order; repeated rows with equal key and text are drawn alike.
@@ -22,13 +22,17 @@ import json
 import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialised, shuffle_partitions
+from .common import WORD, materialised, shared_folder, shuffle_partitions
 
-BLOCKS = 1024
+#: Blocks at least, and rows of a block if there are more.
+BLOCKS, BLOCK_ROWS = 1024, 1 << 16
+#: Numbers of the tree that are written in one job.
+SHARES = 100_000
 SEED = 20
 
 
@@ -64,11 +68,15 @@ def split(quota: Sequence[int], shards: int, seed: str) -> list[list[int]]:
     return split(left, half, f"{seed}l") + split(right, shards - half, f"{seed}r")
 
 
-def sized(docs: DataFrame, key: str, column: str, source: str, seed: int) -> DataFrame:
-    """Rows without text: key, rk, source, size, block."""
+def sized(docs: DataFrame, key: str, column: str, source: str) -> DataFrame:
+    """Rows without text: id, rk, source, size."""
     rk = F.xxhash64(docs[key], docs[column])
-    rows = docs.select(docs[key].alias("id"), rk.alias("rk"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[column], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    return rows.withColumn("block", F.pmod(F.xxhash64("rk", F.lit(seed)), F.lit(BLOCKS)).cast("int"))
+    return docs.select(docs[key].alias("id"), rk.alias("rk"), docs[source].alias("source"), F.coalesce(F.regexp_count(docs[column], F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
+
+def block_count(rows: int) -> int:
+    """A power of two that goes by the number of rows alone, so that neither reruns nor the cluster's settings change a draw."""
+    return max(BLOCKS, 1 << (rows // BLOCK_ROWS).bit_length())
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: float) -> DataFrame:
@@ -88,11 +96,24 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, most: flo
     return out.select("source", "source_size", F.least(cap.cast("double"), F.coalesce(F.col("w") * F.col("final"), cap.cast("double"))).alias("target"))
 
 
+def _shares(spark: SparkSession, shares: Sequence[tuple[str | None, list[int]]]) -> DataFrame:
+    """(s, shard, at): the places in a source's sequence of blocks that each shard takes, from what each takes of it."""
+    path = shared_folder(spark)
+    kind = "array<struct<s: string, ends: array<bigint>>>"
+    several = max(1, SHARES // max(1, len(shares[0][1]))) if shares else 1
+    for k in range(0, max(1, len(shares)), several):  # some sources at a time, as text in a small job of its own
+        text = json.dumps([{"s": s, "ends": list(accumulate(x))} for s, x in shares[k : k + several]])
+        rows = spark.range(0, 1, 1, 1).select(F.explode(F.from_json(F.lit(text), kind)).alias("x")).select("x.s", F.posexplode("x.ends").alias("shard", "high"), "x.ends")
+        rows.select("s", "shard", F.coalesce(F.get("ends", F.col("shard") - 1), F.lit(0)).alias("low"), "high").where("low < high").write.mode("append").parquet(path)
+    return spark.read.schema("s string, shard int, low long, high long").parquet(path).select("s", "shard", F.explode(F.expr("sequence(low, high - 1)")).alias("at"))
+
+
 def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5, most: int = 2, shards: int | None = None, key: str = "doc_id", column: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """A row per document: id, rk, size, source_size, target, taken, and draws (array of shard and place, one for each time it is taken)."""
     spark = docs.sparkSession
     shards = shards or shuffle_partitions(spark)
-    rows = materialised(sized(docs, key, column, source, seed), shuffle_partitions(spark))
+    rows = materialised(sized(docs, key, column, source), shuffle_partitions(spark))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rk", F.lit(seed)), F.lit(block_count(rows.count()))).cast("int"))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
     per_source = blocks.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n_blocks"))
     goal = targets(per_source.select("source", "source_size"), weights, budget, most)
@@ -107,11 +128,12 @@ def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: floa
     quota = placed.groupBy("source").agg((F.max("n_blocks") * F.max("passes") + F.sum((F.col("start") < F.col("rest")).cast("int"))).cast("long").alias("k"))
     quota = sorted(((r["source"], r["k"]) for r in quota.collect()), key=lambda x: (x[0] is None, x[0] or ""))
     dealt = split([k for _, k in quota], shards, str(seed))
-    upto = {i: [sum(shard[i] for shard in dealt[: j + 1]) for j in range(shards)] for i in range(len(quota))}
-    plan = json.dumps([{"s": s, "upto": upto[i]} for i, (s, _) in enumerate(quota)])
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(plan), "array<struct<s: string, upto: array<bigint>>>")).alias("p")).select("p.s", "p.upto")
-    shard = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda t: F.size(F.filter("upto", lambda c: c <= t * F.col("n_blocks") + F.col("rank"))))
-    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("shards", shard).drop("s", "upto")
+    # the places in a source's sequence of blocks that each shard takes: a row per place
+    plan = _shares(spark, [(name, [shard[i] for shard in dealt]) for i, (name, _) in enumerate(quota)])
+    turns = placed.select("source", "block", "rank", "n_blocks", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("t")).withColumn("place", F.col("t") * F.col("n_blocks") + F.col("rank"))
+    taken = turns.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("at"))).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("t", "shard"))).alias("k"))
+    taken = taken.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("k.shard").alias("shards"))
+    placed = placed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("rk", F.lit(seed + 2)), "rk", "id")
     docs_in = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     p = placed.withColumnRenamed("source", "s").withColumnRenamed("block", "b")
@@ -121,7 +143,7 @@ def allocate(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: floa
     draw = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(most - 1)), lambda t: t < F.col("times")),
         lambda t: F.struct(
-            F.get("shards", t).alias("shard"),
+            F.coalesce(F.get("shards", t), F.pmod(F.xxhash64("rk"), F.lit(shards)).cast("int")).alias("shard"),  # rows without words, behind the last block
             F.xxhash64("rk", t, F.lit(seed + 3)).alias("place"),
         ),
     )
