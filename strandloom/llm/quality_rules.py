@@ -9,8 +9,8 @@ patterns (3 to the number of rules at most, pre-aggregated), EM over these count
 rule's accuracy (its rates of votes on good and on bad texts) and the share of good texts,
 and the posterior becomes an expression over the votes: a sum of log-odds.
 
-Null text counts as empty: no words, base_failed. Other columns stay; names that a result
-needs are replaced.
+Null text counts as empty: no words, base_failed. Rows are judged one by one, so repeated rows and keys, null keys included, have each their
+result. Other columns stay, whatever their names; those that a result has are replaced.
 """
 
 from __future__ import annotations
@@ -117,8 +117,11 @@ def posterior(votes: tuple[int, ...], good: float, rates: list[tuple[Votes, Vote
 def judge(docs: DataFrame, column: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with signals, votes, base_failed, quality (posterior) and kept. Votes are needed twice, for the rates and for the
     result: without keep_text they are materialised, else the second pass computes them again."""
-    voted = vote(docs, column) if keep_text else materialised(vote(docs, column).drop(column))
     names = [f"vote_{k}" for k in rules()]
+    mine = {*SIGNALS, *names, "quality", "base_failed", "kept"} | (set() if keep_text else {column})
+    others = [n for n in docs.columns if n not in mine]
+    rows = docs.select(F.struct(*(docs[n] for n in others or [column])).alias("row"), docs[column].alias("text"))
+    voted = vote(rows, "text") if keep_text else materialised(vote(rows, "text").drop("text"))
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(names) rows at most
     good, rates = estimate(sorted((tuple(r[:-1]), r[-1]) for r in counts))
     odds = F.lit(math.log(good / (1 - good)))
@@ -126,4 +129,5 @@ def judge(docs: DataFrame, column: str = "text", keep_text: bool = True) -> Data
         odds = odds + F.when(F.col(name) > 0, weight(1, rate)).when(F.col(name) < 0, weight(-1, rate)).otherwise(weight(0, rate))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = voted.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
+    return out.select(*(F.col("row")[n].alias(n) for n in others), *SIGNALS, *names, "quality", "base_failed", "kept")

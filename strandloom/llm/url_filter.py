@@ -6,7 +6,8 @@ Training: features of a bounded sample of labelled URLs (SAMPLE, a fixed choice
 from sums over these bins. Suffix statistics are the shares of bad URLs by host suffix in that sample.
 
 A url is null or has no "://": host and path are empty, no rule applies and the model judges the empty text. Ties between
-rules of equal length go to the one that is later in code-point order. Other columns stay.
+rules of equal length go to the one that is later in code-point order. Rows are judged one by one, so repeated rows and keys, null keys included,
+have each their result. Other columns stay, whatever their names; those of RESULT are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 TREES, DEPTH, RATE, LEAST_LEAF, BINS = 24, 3, 0.3, 5, 16
 BLOCK_FROM = 0.5
+RESULT = ("host", "path", "rule", "bad", "verdict")
 #: Words of hosts that label a URL as bad where no list of labelled URLs is given.
 BAD_WORDS = ("spam", "pills", "casino", "ads", "track", "win", "free", "xxx", "porn", "bet", "loan", "viagra", "malware", "phish")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
@@ -161,15 +163,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Dat
     binned = [[sum(x >= c for c in cut) for x in v] for v, cut in zip(values, cuts, strict=True)]
     start, trees = boost(binned, [int(r["bad"]) for r in rows])
     known = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"s": k, "v": v} for k, v in sorted(shares.items())])), "array<struct<s: string, v: double>>")).alias("p")).select(F.col("p.s").alias("_s"), F.col("p.v").alias("_share"))
-    host, path = split_url(pages[url])
-    taken = {"host", "path", "rule", "bad", "verdict"} - {url}
-    out = pages.drop(*(taken & set(pages.columns))).withColumn("host", host).withColumn("path", path)
-    numbers = lexical(F.col(url), F.col("host"), F.col("path"))
+    others = [n for n in pages.columns if n not in RESULT]
+    host, path = split_url(F.col("url"))
+    out = pages.select(F.struct(*(pages[n] for n in pages.columns)).alias("row"), pages[url].alias("url")).withColumn("host", host).withColumn("path", path)
+    numbers = lexical(F.col("url"), F.col("host"), F.col("path"))
     out = out.withColumns({f"_{k}": c for k, c in numbers.items()}).withColumn("_suffix", suffix(F.col("host")))
     out = out.join(known, F.col("_suffix") == F.col("_s"), "left")  # one row per suffix of the bounded sample
     columns = [F.col(f"_{k}") for k in numbers] + [F.coalesce("_share", F.lit(base))]
     score = sum((expression(t, columns, cuts) for t in trees), F.lit(start))
-    fit = longest_rule(F.col("host"), F.col("path"), rules)
-    out = out.withColumn("_fit", fit).withColumn("bad", 1 / (1 + F.exp(-score)))
-    verdict = F.coalesce("_fit.verdict", F.when(F.col("bad") >= BLOCK_FROM, "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_fit.rule")).withColumn("verdict", verdict).drop("_fit", "_s", "_share", "_suffix", *(f"_{k}" for k in numbers))
+    out = out.withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules)).withColumn("bad", 1 / (1 + F.exp(-score)))
+    verdict = F.coalesce("fit.verdict", F.when(F.col("bad") >= BLOCK_FROM, "block").otherwise("allow"))
+    return out.select(*(F.col("row")[n].alias(n) for n in others), "host", "path", F.col("fit.rule").alias("rule"), "bad", verdict.alias("verdict"))
