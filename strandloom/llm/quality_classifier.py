@@ -2,15 +2,18 @@
 
 A linear model on features of whole texts minimises the non-negative unbiased risk: with class prior p,
 risk = p * loss of positives as good + max(0, loss of unlabelled as bad - p * loss of positives as bad).
-Positives are trusted rows labelled good; unlabelled rows are web text of any kind.
-The prior is the share of good rows among trusted labelled ones. Each sample is bounded (SAMPLE), a fixed choice by hash, and is
+Positives are trusted rows labelled good; unlabelled rows are web text of any kind, rows without a label (all rows
+that may be trained on, if each has one). Labels of bad rows are not used at all. The prior, the share of good rows among unlabelled
+ones, is estimated from these two samples: a model fitted on half of each ranks the other halves, and where its best scores hold
+a share p of the positives and u of the unlabelled, the prior is u / p at most; the least such bound counts, less reliable ones being
+those with few rows. Each sample is bounded (SAMPLE), a fixed choice by hash, and is
 all that reaches the driver; scoring is one pass over all texts without a shuffle.
 
 Features never use keys, labels, language or source: shares of character classes, hashed pairs of bytes, word
 lengths, and how much of words, five-word sequences and lines repeats.
 
 Null and empty texts get the score of a text without features. Rows without a key are never held out. Labels that are null, or of
-keys that are absent, are ignored; a key labelled twice counts twice.
+keys that are absent, are ignored. Of rows that share a key one is trained on, the least text; each is scored by its own text.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, map_batches, mix, randoms, slice_hashes, small_batches, text_slices, words
+from .common import U64, map_batches, materialised, mix, randoms, slice_hashes, small_batches, text_slices, words
 
 #: Rows of each kind, at most, that are fitted on.
 SAMPLE = 6000
 PAIRS = 256
 STYLE = 20
 STEPS, RATE, DECAY = 400, 0.05, 3e-3
+#: Chance of an error beyond what the prior's estimate allows for.
+DOUBT = 0.1
 THRESHOLD = 0.7
 UPPER, LOWER, DIGIT, BLANK, NEWLINE, STOP, LOUD, PIPE, SYMBOL, HIGH, REST = range(11)
 KIND = np.full(256, REST, np.uint8)
@@ -112,6 +117,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.
     return w, mean, scale
 
 
+def scores(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    w, mean, scale = model
+    z = np.clip((x - mean) / scale, -8, 8).astype(np.float64) @ w
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of good rows among unlabelled ones, from scores of positives and unlabelled rows that no model was fitted on: the least ratio of
+    the shares of both above a score, where an error of either share (with a chance of DOUBT) makes a ratio worse."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cut = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(x, cut, "left") / len(x)
+    share_p, share_u = above(p), above(u)
+    error = np.sqrt(np.log(4 / DOUBT) / 2 / len(p)) + np.sqrt(np.log(4 / DOUBT) / 2 / len(u))
+    best = int(np.argmin((share_u + error) / share_p))
+    return float(min(0.99, max(0.01, share_u[best] / share_p[best])))
+
+
+def fit_with_prior(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """The model, and the prior that it was fitted with."""
+    half = fit(positive[::2], unlabelled[::2], 0.5)
+    prior = class_prior(scores(positive[1::2], half), scores(unlabelled[1::2], half))
+    return fit(positive, unlabelled, prior), prior
+
+
 def held_out(key) -> object:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -120,27 +152,27 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str =
     """Weights, and mean and scale of features; None if no document that may be trained on is labelled 1, or there is none besides."""
     usable = docs.select(docs[key].alias("k"), docs[column].alias("text")).where(~held_out(F.col("k")))
     known = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("good")).where(~held_out(F.col("k"))).where("k is not null and good is not null")
-    prior = known.agg(F.avg("good")).first()[0]
-    prior = min(0.99, max(0.01, 0.5 if prior is None else prior))
     order = F.xxhash64("k", F.lit(5))
-    chosen = known.where("good = 1").orderBy(order, "k").limit(SAMPLE).withColumn("good", F.lit(1))
-    other = usable.select("k").orderBy(F.xxhash64("k", F.lit(6)), "k").limit(SAMPLE).withColumn("good", F.lit(0))
-    rows = map_batches(chosen.unionByName(other).join(usable, "k").select("good", "text"), _extract, "good int, x binary").collect()
+    chosen = known.where("good = 1").select("k").distinct().orderBy(order, "k").limit(SAMPLE).withColumn("good", F.lit(1))
+    free = usable.where("k is not null").select("k").join(known.select("k").distinct(), "k", "left_anti")
+    other = free.distinct().orderBy(F.xxhash64("k", F.lit(6)), "k").limit(SAMPLE)
+    pairs = materialised(chosen.unionByName(other.withColumn("good", F.lit(0))), 1)
+    if not pairs.where("good = 0").limit(1).count():  # every row has a label
+        pairs = pairs.unionByName(usable.where("k is not null").select("k").distinct().orderBy(F.xxhash64("k", F.lit(6)), "k").limit(SAMPLE).withColumn("good", F.lit(0)))
+    texts = pairs.join(usable, "k").groupBy("good", "k").agg(F.min("text").alias("text")).orderBy("good", "k")
+    rows = map_batches(texts.select("good", "text"), _extract, "good int, x binary").collect()
     x = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.float32).reshape(len(rows), STYLE + PAIRS)
     good = np.array([r[0] for r in rows], bool)
     if not good.any() or good.all():
         return None
-    return fit(x[good], x[~good], prior)
+    return fit_with_prior(x[good], x[~good])[0]
 
 
 def _score(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Callable:
-    w, mean, scale = model
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, x in features(batch.column(1)):
-                z = np.clip((x - mean) / scale, -8, 8).astype(np.float64) @ w
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), batch.column(1).slice(row, to - row), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["rest", "text", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), batch.column(1).slice(row, to - row), pa.array(scores(x, model))], names=["rest", "text", "score"])
 
     return run
 
