@@ -1,28 +1,29 @@
 """Near-duplicate embeddings: a robust-pruned flat graph over overlapping cluster shards, searched by range.
 
 1. Equal vectors are one class; classes carry how many rows they stand for.
-2. Centroids are fitted on a bounded sample (SAMPLE, by hash); there are at most MOST_SHARDS. Every class
-   goes to the shards of its nearest centroids: OVERLAP of them, or as many more as it takes for a share of MEET of planted
-   pairs to meet in a shard. Planted pairs are sampled vectors that no centroid was fitted on, each with a partner at a cosine of
+2. Shards are made top down: a shard of more than SPLIT classes is split by centroids fitted on a bounded sample of its own (SAMPLE, by
+   hash), FAN at most, and its classes are dealt in groups of ROUTED to be routed, so a shard may have any size and there may be any number of shards.
+   Every class goes to the shards of its nearest centroids: OVERLAP of them, or as many more as it takes for a share of MEET of planted
+   pairs to meet in one. Planted pairs are sampled vectors that no centroid was fitted on, each with a partner at a cosine of
    exactly the threshold. A shard of more than LIMIT classes is dealt into blocks,
-   and each pair of blocks is a cell of its own, so that no task holds an unbounded shard.
-3. In each cell every class gets the neighbours that robust pruning leaves of its nearest ones, and the
-   reverse edges. The adjacency lists of a class from all its cells are united.
-4. In each cell all its classes search from the cell's medoid: a greedy search with a beam, then expansion along edges
+   and each pair of blocks is a cell of its own, so that no task holds an unbounded shard; shards that centroids can't split end so as well.
+3. In each cell every class gets the neighbours that robust pruning leaves of its nearest ones (found by a matrix product, which for so few
+   vectors costs less than any search), and the reverse edges. The adjacency lists of a class from all its cells are united.
+4. In each cell all its classes search from the cell's medoids (the vector next to the mean, and ENTRIES - 1 that are far from each other): a greedy
+   search with a beam, then expansion along edges
    from vectors in range for as long as new ones are in range. Every hit is verified in double precision. A pair counts in one cell
    only, the first that both are in; counts and spanning links leave a task, never pairs.
 5. Recall is audited: classes by hash are compared with all others by brute force, AUDIT at first and then in growing blocks, until
    LINKED of them have links or AUDIT_MOST or a fiftieth of all classes (whichever is more) are done. Recall is the mean over audited classes
-   with links of the share found of each one's links. Below LEAST_RECALL the search is done again with twice the overlap; so
-   it is once if no audited class has a link, unless all classes were audited. A recall that stays below at full overlap is warned of.
+   with links of the share found of each one's links; it is a column of the result (null if no audited class has a link). Below LEAST_RECALL the search is done again with twice the overlap; so
+   it is once if no audited class has a link, unless all classes were audited. If the last overlap does not reach it either, all pairs of every cell are compared.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of different
-lengths. Rows with a null id take part but never name a component.
+lengths. Rows with a null id take part but never name a component; rows that share an id are vectors of their own.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,8 +36,13 @@ from pyspark.sql import functions as F
 from .common import components, map_batches, materialised, shuffle_partitions, small_batches
 from .minhash_dedup import bounds, forest, groups
 
-SAMPLE, SHARD, MOST_SHARDS, OVERLAP = 20_000, 600, 1024, 2
-LIMIT = 2048
+SAMPLE, SHARD, FAN, OVERLAP = 20_000, 600, 1024, 2
+LIMIT, SPLIT, ROUTED = 2048, 8192, 20_000
+#: A split is given up if a child has more than this share of its parent; overlap stops at this share of the children.
+SHRINK, WIDEST = 0.7, 0.25
+#: Times that overlap is doubled, at most.
+AGAIN = 3
+ENTRIES = 8
 NEAREST, DEGREE, ALPHA, BEAM, STEPS = 64, 24, 1.2, 24, 48
 AUDIT, LINKED, AUDIT_MOST, AUDIT_BLOCK, LEAST_RECALL = 256, 200, 4096, 4096, 0.9
 PLANTED, MEET = 2000, 0.95
@@ -93,22 +99,69 @@ def planted_overlap(x: np.ndarray, c: np.ndarray, least: float) -> int:
     return int(np.quantile(need, MEET, method="higher"))
 
 
-def _route(centres: dict[int, np.ndarray], overlap: int) -> Callable:
-    base = {n: i * MOST_SHARDS for i, n in enumerate(sorted(centres))}
+def _fit(least: float, wanted: int) -> Callable:
+    """Of one shard (shard, size, vec; a sample): its children (shard, child, children, overlap, centre)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            width = pc.binary_length(batch.column(2)).to_numpy() // 8
-            for n in np.unique(width):
-                part = batch.take(pa.array(np.flatnonzero(width == n)))
-                x = matrix(part.column(2))
-                c = centres.get(int(n), np.ones((1, int(n))))
-                near = np.argsort(-(x @ c.T), 1, kind="stable")[:, :overlap] + base.get(int(n), -int(n))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(list(np.sort(near, 1).astype(np.int32)), pa.list_(pa.int32()))], names=["node", "rows", "vec", "shards"])
+    def run(table: pa.Table) -> pa.Table:
+        x = matrix(table.column("vec").combine_chunks())
+        k = min(FAN, -(-table.column("size")[0].as_py() // SHARD), len(x))
+        aside = min(PLANTED, len(x) // 10)
+        c = centroids(x[: len(x) - aside], k)
+        most = max(1, int(len(c) * WIDEST))
+        overlap = max(1, min(most, max(wanted, planted_overlap(x[len(x) - aside :], c, least))))
+        n = len(c)
+        return pa.table({
+            "shard": pa.array(np.full(n, table.column("shard")[0].as_py())), "child": pa.array(np.arange(n, dtype=np.int32)),
+            "overlap": pa.array(np.full(n, overlap, np.int32)), "centre": pa.array([v.tobytes() for v in c], pa.binary()),
+        })
 
     return run
 
 
+def _routed(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """Rows (shard, part, node, vec) of one part of a shard, once for each of its nearest children."""
+    empty = pa.table({"node": pa.array([], pa.int64()), "shard": pa.array([], pa.int64())})
+    if not len(rows) or not len(centres):
+        return empty
+    centres = centres.sort_by("child")
+    c, overlap, parent = matrix(centres.column("centre").combine_chunks()), centres.column("overlap")[0].as_py(), centres.column("shard")[0].as_py()
+    x = matrix(rows.column("vec").combine_chunks())
+    near = np.concatenate([np.argpartition(-(x[a : a + 2048] @ c.T), overlap - 1, 1)[:, :overlap] for a in range(0, len(x), 2048)]) if overlap < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+    return pa.table({"node": pa.array(np.repeat(rows.column("node").to_numpy(), near.shape[1])), "shard": pa.array(parent * FAN + 1 + near.ravel().astype(np.int64))})
+
+
+def shards(classes: DataFrame, least: float, overlap: int) -> DataFrame:
+    """(node, shard): the shards of each class (node, vec), several for most."""
+    first = materialised(classes.select("node", (F.octet_length("vec") / 8).cast("long").alias("shard")))
+    now, done = first, None
+    given_up = None
+    while True:
+        size = materialised(now.groupBy("shard").agg(F.count("*").alias("size")))
+        large = size.where(F.col("size") > SPLIT)
+        if given_up is not None:
+            large = large.join(given_up, "shard", "left_anti")
+        ready = now.join(large, "shard", "left_anti").select("node", "shard")
+        done = ready if done is None else done.union(ready)
+        if not large.limit(1).count():
+            return done
+        rows = materialised(now.join(large, "shard").join(classes.select("node", "vec"), "node"))
+        rate = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(1 << 40)) < F.lit(float((1 << 40) * SAMPLE)) / F.col("size")
+        centres = materialised(rows.where(rate).select("shard", "size", "vec").groupBy("shard").applyInArrow(_fit(least, overlap), "shard long, child int, overlap int, centre binary"))
+        parts = F.ceil(F.col("size") / ROUTED).cast("int")
+        dealt = rows.select("shard", F.pmod(F.xxhash64("node", F.lit(6)), parts).cast("int").alias("part"), "node", "vec")
+        copies = centres.join(large, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shard", "part", "child", "overlap", "centre")
+        routed = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_routed, "node long, shard long")
+        new = materialised(routed)
+        # shards of vectors that centroids can't tell apart stay as they are
+        child = new.groupBy("shard").agg(F.count("*").alias("n")).select(((F.col("shard") - 1) / FAN).cast("long").alias("parent"), "n")
+        stuck = child.groupBy("parent").agg(F.max("n").alias("n")).join(large.withColumnRenamed("shard", "parent"), "parent").where(F.col("n") > F.col("size") * SHRINK).select(F.col("parent").alias("shard"))
+        stuck = materialised(stuck)
+        given_up = stuck if given_up is None else given_up.union(stuck)
+        back = now.join(stuck, "shard").select("node", "shard")
+        kept = new.withColumn("parent", ((F.col("shard") - 1) / FAN).cast("long")).join(stuck.withColumnRenamed("shard", "parent"), "parent", "left_anti").select("node", "shard")
+        now = materialised(back.union(kept))
+
+
 def nearest(x: np.ndarray, k: int) -> np.ndarray:
     """The k most similar others of each row, most similar first."""
     out = np.zeros((len(x), k), np.int32)
@@ -159,13 +212,23 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.ListArray.from_arrays(pa.array(begin), pa.array(node[a + v]))], names=["node", "near"])
 
 
-def greedy(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarray) -> np.ndarray:
+def medoids(x: np.ndarray) -> np.ndarray:
+    """The vector next to the mean, and those that are farthest from all before them."""
+    out = [int((x @ x.mean(0)).argmax())]
+    near = x @ x[out[0]]
+    while len(out) < min(ENTRIES, len(x)):
+        out.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[out[-1]])
+    return np.unique(out)
+
+
+def greedy(x: np.ndarray, table: np.ndarray, start: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Beams (node numbers) after a greedy search from start for x[queries]; table pads neighbours with -1."""
     n = len(queries)
     rows = np.arange(n)
     beam = np.full((n, BEAM), -1, np.int64)
     worth = np.full((n, BEAM), -np.inf, np.float32)
-    beam[:, 0], worth[:, 0] = start, x[queries] @ x[start]
+    beam[:, : len(start)], worth[:, : len(start)] = start, x[queries] @ x[start].T
     seen = np.zeros((n, len(x)), bool)
     seen[:, start] = True
     done = np.zeros((n, BEAM), bool)
@@ -192,19 +255,18 @@ def greedy(x: np.ndarray, table: np.ndarray, start: int, queries: np.ndarray) ->
 def range_search(x: np.ndarray, table: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query, hit) with a cosine of least or more, found by expansion from what a greedy search reaches."""
     f = x.astype(np.float32)
-    medoid = int((f @ f.mean(0)).argmax())
+    start = medoids(f)
     links = np.zeros((len(x), len(x)), np.float32)
     u, k = np.nonzero(table >= 0)
     links[u, table[u, k]] = 1
     for a in range(0, len(x), 256):
         queries = np.arange(a, min(a + 256, len(x)))
-        beam = greedy(f, table, medoid, queries)
+        beam = greedy(f, table, start, queries)
         seen = np.zeros((len(queries), len(x)), bool)
         hit = np.zeros_like(seen)
         r, c = np.nonzero(beam >= 0)
         new = np.zeros_like(seen)
         new[r, beam[r, c]] = True
-        new[queries - a, queries] = True
         while new.any():
             seen |= new
             r, c = np.nonzero(new)
@@ -218,7 +280,24 @@ def range_search(x: np.ndarray, table: np.ndarray, least: float) -> Iterator[tup
         yield queries[r[keep]], c[keep]
 
 
-def _search(least: float) -> Callable:
+def all_pairs(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a in range(0, len(x), 256):
+        u, v = np.nonzero(x[a : a + 256] @ x.T >= least)
+        yield u[u + a != v] + a, v[u + a != v]
+
+
+FAR = np.iinfo(np.int64).max
+
+
+def padded(lists: pa.Array) -> np.ndarray:
+    """Lists of shards as a matrix; what is missing is unlike anything else."""
+    size = lists.value_lengths().to_numpy()
+    out = np.full((len(lists), max(1, int(size.max()))), FAR)
+    out[np.repeat(np.arange(len(lists)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+    return out
+
+
+def _search(least: float, every: bool = False) -> Callable:
     """Cells (shard, i, j, block, node, vec, rows, shards, near) sorted: kind 0 (node, number of linked rows) and kind 1 (links as a forest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +309,7 @@ def _search(least: float) -> Callable:
                 if n < 2:
                     continue
                 x = matrix(batch.column(5).slice(a, n))
-                rows, member = batch.column(6).slice(a, n).to_numpy(), np.array(batch.column(7).slice(a, n).to_pylist())
+                rows, member = batch.column(6).slice(a, n).to_numpy(), padded(batch.column(7).slice(a, n))
                 lists = batch.column(8).slice(a, n)
                 order = np.argsort(node[a:b])
                 flat = lists.flatten().to_numpy()
@@ -243,12 +322,12 @@ def _search(least: float) -> Callable:
                 table[of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)] = to
                 count = np.zeros(n, np.int64)
                 us, vs = [], []
-                for u, v in range_search(x, table, least):
+                for u, v in all_pairs(x, least) if every else range_search(x, table, least):
                     us.append(u), vs.append(v)
                 u, v = np.concatenate(us), np.concatenate(vs)
                 pair = np.unique(np.minimum(u, v) * n + np.maximum(u, v))
                 u, v = pair // n, pair % n
-                common = np.where((member[u][:, :, None] == member[v][:, None, :]).any(2), member[u], np.iinfo(np.int32).max).min(1)
+                common = np.concatenate([np.where((member[p][:, :, None] == member[q][:, None, :]).any(2), member[p], FAR).min(1) for p, q in zip(np.array_split(u, len(u) // 65536 + 1), np.array_split(v, len(u) // 65536 + 1), strict=True)])
                 ours = (common == shard[a]) & ((i[a] == j[a]) | (block[a:b][u] != block[a:b][v]))
                 u, v = u[ours], v[ours]
                 np.add.at(count, u, rows[v])
@@ -315,43 +394,39 @@ def mean_recall(exact: dict[int, int], got: dict[int, int]) -> float | None:
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", column: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
-    """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept of each row."""
+    """key, n_links (other rows linked directly), component_id (smallest key reachable) and kept of each row, and the audited recall."""
     spark = vectors.sparkSession
     small_batches(spark)
     parts = shuffle_partitions(spark)
     unit = materialised(map_batches(vectors.select(vectors[key].cast("long").alias("id"), vectors[column].alias("embedding")), _unit, "id long, node long, vec binary"))
     classes = materialised(unit.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.count("*").alias("rows"), F.min("id").alias("first")))
     total = classes.count()
-    picked = classes.select("node", "vec").orderBy(F.xxhash64("node", F.lit(4))).limit(SAMPLE + PLANTED).collect()
-    sample = by_width(picked)
-    shards = max(1, min(MOST_SHARDS, -(-total // SHARD)))
-    aside = {n: min(PLANTED, len(x) // 10) for n, (_, x) in sample.items()}
-    centres = {n: centroids(x[: len(x) - aside[n]], max(1, shards * len(x) // max(1, len(picked)))) for n, (_, x) in sample.items()}
-    overlap = min(shards, max([overlap, *(planted_overlap(x[len(x) - aside[n] :], centres[n], least) for n, (_, x) in sample.items())]))
     exact, everything = audit(classes, total, least)
-    again = False
+    again, every = 0, False
     while True:
-        routed = materialised(map_batches(classes.select("node", "rows", "vec"), _route(centres, overlap), "node long, rows long, vec binary, shards array<int>"))
-        member = routed.withColumn("shard", F.explode("shards"))
-        size = member.groupBy("shard").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
-        member = member.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = member.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "vec", "rows", "shards")
-        cell = ["shard", "i", "j"]
-        built = map_batches(cells.select(*cell, "block", "node", "vec").repartition(parts, *cell).sortWithinPartitions(*cell), _build, "node long, near array<long>")
-        union = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        if not every:
+            member = materialised(shards(classes, least, overlap))
+            lists = member.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+            member = member.join(lists, "node").join(classes.select("node", "rows", "vec"), "node")
+            size = member.groupBy("shard").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
+            member = member.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            cells = member.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "vec", "rows", "shards")
+            cell = ["shard", "i", "j"]
+            cells = materialised(cells.repartition(parts, *cell))
+            built = map_batches(cells.select(*cell, "block", "node", "vec").repartition(parts, *cell).sortWithinPartitions(*cell), _build, "node long, near array<long>")
+            union = materialised(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
         searched = cells.join(union, "node", "left").select(*cell, "block", "node", "vec", "rows", "shards", "near").repartition(parts, *cell).sortWithinPartitions(*cell)
-        found = materialised(map_batches(searched, _search(least), "kind int, node long, value long"))
+        found = materialised(map_batches(searched, _search(least, every), "kind int, node long, value long"))
         counts = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("n"))
         got = {r["node"]: r["n"] for r in counts.where(F.col("node").isin(list(exact))).collect()} if exact else {}
         recall = mean_recall(exact, got)
-        if overlap >= shards or (recall is not None and recall >= LEAST_RECALL) or (recall is None and (everything or again)):
+        if every or (recall is not None and recall >= LEAST_RECALL) or (recall is None and (everything or again)):
             break
-        again, overlap = True, min(shards, 2 * overlap)
-    if recall is not None and recall < LEAST_RECALL:
-        warnings.warn(f"recall of links is {recall:.3f} on {len(exact)} audited vectors, with each in all {shards} shards", stacklevel=2)
+        every = again == AGAIN
+        again, overlap = again + 1, overlap * 2
     links = found.where("kind = 1").select(F.col("node").alias("a"), F.col("value").alias("b"))
     joined = classes.select("node", "rows", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(least_id, "component").join(counts, "node", "left").select("node", "component_id", (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     out = unit.select("id", "node").join(named, "node", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", key)
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(recall).cast("double")).withColumnRenamed("id", key)
