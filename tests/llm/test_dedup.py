@@ -196,6 +196,7 @@ def test_multikey_quicksort(rows):
 @pytest.mark.parametrize("block", [1024, 3])
 def test_near_duplicates(spark, block, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "LIST", block)
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
     rows, base = [], [[r.choice(vocab) for _ in range(r.randint(3, 70))] for _ in range(12)]
@@ -212,6 +213,28 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert kept.count() == 0
 
 
+@pytest.mark.parametrize("leaders", [1, 4])
+def test_large_families(spark, leaders, monkeypatch):
+    """Chains and rings of near copies that no leader spans, in families of many blocks, and lists of several blocks."""
+    for name, value in {"BLOCK": 4, "LIST": 5, "LEADERS": leaders, "FRONT": 2}.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    r = random.Random(12)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(60)]
+        for k in range(45):  # a window that moves: neighbours are near, far ones are not
+            rows.append((len(rows), " ".join(base[k % 45 // 3 :] + [f"c{c}x{i}" for i in range(k % 45 // 3)])))
+        for _ in range(15):
+            w = list(base)
+            w[r.randrange(60)] = "edit"
+            w[r.randrange(60)] = "other"
+            rows.append((len(rows), " ".join(w)))
+    r.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = sorted(map(tuple, near_duplicates(frame(spark, rows), 4).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute.near(rows, 4, 80)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
@@ -233,8 +256,8 @@ def test_embeddings(spark):
 
 def test_embedding_links_are_rare_and_shards_many(spark, monkeypatch):
     """With links of few vectors only and many shards, pairs just above the threshold are found all the same."""
-    for name, value in {"SHARD": 5, "AUDIT": 1, "SAMPLE": 500, "PLANTED": 100}.items():
-        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    for name, value in {"SHARD": 5, "AUDIT": 1, "SAMPLE": 500, "PLANTED": 100, "FAN": 20, "SPLIT": 40, "LIMIT": 30, "ROUTED": 300}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -246,6 +269,31 @@ def test_embedding_links_are_rare_and_shards_many(spark, monkeypatch):
     assert set(got) <= {*range(60), *range(2000, 2060)} and len(got) >= 0.9 * 120
 
 
+def test_embedding_shards_that_nothing_splits(spark, monkeypatch):
+    """One dense group of vectors, larger than a shard may be, beside others: blocks in pairs compare it, and recall is told."""
+    for name, value in {"SHARD": 8, "SAMPLE": 200, "FAN": 16, "SPLIT": 60, "LIMIT": 40, "ROUTED": 100, "SHRINK": 0.2}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=24)
+    x = np.concatenate([base + 0.02 * rng.normal(size=(150, 24)), rng.normal(size=(150, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = [int(k) - 1 for k in (u @ u.T >= 0.9).sum(1)]
+    got = sorted(embedding_dedup.near_duplicates(df).collect())
+    assert sum(r.n_links for r in got) >= 0.9 * sum(want) and all(r.n_links <= w for r, w in zip(got, want, strict=True))
+    assert {r.recall for r in got} and got[0].recall >= 0.9 and len({r.component_id for r in got[:150]}) == 1
+
+
+def test_embedding_exact_way_out(spark, monkeypatch):
+    """If the search stays below the recall asked for, the pairs of all cells are compared."""
+    monkeypatch.setattr(embedding_dedup, "range_search", lambda x, table, least: iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
+    monkeypatch.setattr(embedding_dedup, "AGAIN", 0)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(30, 8)), 2, 0) + 1e-3 * rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert all(r.n_links >= 1 and r.recall == 1 and r.component_id == r.vec_id // 2 * 2 for r in embedding_dedup.near_duplicates(df).collect())
+
+
 def test_embedding_audit(spark, monkeypatch):
     """The audit goes on until enough vectors with links are seen; recall counts each of them alike."""
     monkeypatch.setattr(embedding_dedup, "AUDIT", 2)
