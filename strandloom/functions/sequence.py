@@ -92,3 +92,28 @@ def stitched(pieces, overlaps) -> Column:
     """Pieces of a path joined, each after the first without its overlap with the one before (0 keeps it whole)."""
     cut = F.transform(F.arrays_zip(col(pieces).alias("p"), col(overlaps).alias("o")), lambda z, i: F.when(i == 0, z["p"]).otherwise(F.substr(z["p"], z["o"] + 1)))
     return F.array_join(cut, "")
+
+
+def around_last_difference(a, b, span: int) -> Column:
+    """Both of an aligned pair (a, b) cut to the letters up to span before and behind the last place where they differ; without one, to the first span letters."""
+    x, y = col(a), col(b)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.substr(x, i, F.lit(1)) != F.substr(y, i, F.lit(1)))
+    at = F.coalesce(F.array_max(places) - 1, F.lit(-1))
+    start = F.greatest(at - span, F.lit(0))
+    size = F.greatest(F.least(at + span + 1, F.length(x)) - start, F.lit(0))
+    return F.struct(F.substr(x, start + 1, size).alias("a"), F.substr(y, start + 1, size).alias("b"))
+
+
+def beside_run(seq, pos, least: int = 5) -> Column:
+    """Whether so many equal letters stand directly before or directly behind a place (1-based): what is read there is often a letter too few or too many."""
+    s, p = col(seq), col(pos).cast("int")
+    equal = lambda x: x.rlike(r"^(.)\1*$")
+    before = (p > least) & equal(F.substr(s, F.greatest(p - least, F.lit(1)), F.lit(least)))
+    behind = (p + least <= F.length(s)) & equal(F.substr(s, p + 1, F.lit(least)))
+    return before | behind
+
+
+def by_length(seqs, limit: int):
+    """Sequences (seq) longer than limit, and the others."""
+    long = F.length("seq") > limit
+    return seqs.where(long), seqs.where(~F.coalesce(long, F.lit(False)))

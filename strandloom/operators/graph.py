@@ -82,22 +82,32 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
 
 
+#: Edges of a node from which it is joined by a broadcast: so many, or a share of all edges, so there are at most 2 * HEAVY_SHARE such nodes.
+HEAVY, HEAVY_SHARE = 1000, 10_000
+
+
+def _with_least(rows: DataFrame, edges: int, itself: bool) -> DataFrame:
+    """rows (a, b) with m, the least b of a's rows (or a itself). Nodes with many rows, of which there are few, are joined by a broadcast."""
+    least = F.least(F.min("b"), c("a")) if itself else F.min("b")
+    low = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
+    many = max(HEAVY, edges // HEAVY_SHARE)
+    heavy = F.broadcast(low.where(c("n") >= many).drop("n"))
+    return rows.join(heavy, "a").union(rows.join(heavy.select("a"), "a", "left_anti").join(low.where(c("n") < many).drop("n"), "a").select("a", "b", "m"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node reachable in either direction. Edges are dealt by ranges of ids and shrunk to stars batch by
     batch, which ends most chains; then large-star and small-star rounds until nothing changes. Minima are pre-aggregated
-    and joined back, so a hot node makes no large group."""
+    and joined back, so a hot node makes no large group, and those of the hottest are broadcast. A round's table goes when the next is written."""
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b")).distinct()
     now = materialised(pairs.repartitionByRange("b").mapInArrow(_contract, "a long, b long"))
     loops = edges.where("src = dst").select(c("src").alias("id"), c("src").alias("component"))
-    state = None
+    state = (now.count(),)
     while True:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), c("a")).alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(c("b").alias("a"), c("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(c("b").alias("a"), c("m").alias("b")).union(low)
-        now = materialised(small.distinct())
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        large = _with_least(now.union(now.select("b", "a")), 2 * state[0], True).where("b > a and b <> m").select(c("b").alias("a"), c("m").alias("b")).distinct()
+        small = _with_least(large, 2 * state[0], False)
+        now = materialised(small.where("b <> m").select(c("b").alias("a"), c("m").alias("b")).union(small.select("a", "m")).distinct(), now)
+        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == state:
             break
         state = new
@@ -249,3 +259,85 @@ def no_go_nodes(edges: DataFrame, nodes: DataFrame, contigs: int) -> DataFrame:
     """(id, side): contigs without a way on to the right (R, nothing out) or left (L, nothing in)."""
     d = degrees(edges, nodes).where(c("id") < contigs)
     return d.where("n_out = 0").select("id", F.lit("R").alias("side")).union(d.where("n_in = 0").select("id", F.lit("L").alias("side")))
+
+
+def no_go_zone(reads_graph: DataFrame, graph: DataFrame, nodes: DataFrame, contigs: int) -> DataFrame:
+    """(id, side): for each contig that the contig graph leaves without a way on, the contig that shares most reads with it on that side (ties to the
+    larger id): where one of the two ends, a link of the other is doubtful. Reads on a side come from the graph of contigs and reads."""
+    e = reads_graph.select("src", "dst").distinct()
+    on = e.where((c("src") < contigs) & (c("dst") >= contigs)).select(c("src").alias("id"), F.lit("R").alias("side"), c("dst").alias("read"))
+    on = on.union(e.where((c("dst") < contigs) & (c("src") >= contigs)).select(c("dst"), F.lit("L"), c("src")))
+    dead = no_go_nodes(graph, nodes, contigs).join(on, ["id", "side"])
+    other = on.select(c("id").alias("other"), "side", "read")
+    shared = dead.join(other, ["side", "read"]).where("id <> other").groupBy("id", "side", "other").agg(F.count("*").alias("n"))
+    best = shared.groupBy("id", "side").agg(F.max(F.struct("n", "other")).alias("m"))
+    return best.select(c("m.other").alias("id"), "side").distinct()
+
+
+def single_links(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) that are the only way out of src and into dst."""
+    e = edges.select("src", "dst").distinct()
+    one = lambda k: e.groupBy(k).agg(F.count("*").alias("n")).where("n = 1").select(k)
+    return e.join(one("src"), "src", "left_semi").join(one("dst"), "dst", "left_semi").select("src", "dst")
+
+
+def walk_counts(edges: DataFrame, pairs: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """(src, dst, n): for given pairs how many walks of least to most edges lead from src to dst. Walks are summed up node by node, not listed."""
+    step = edges.select(c("src").alias("m"), c("dst").alias("n")).distinct()
+    asked = pairs.select("src", "dst").distinct()
+    now = asked.select("src", c("src").alias("at"), F.lit(1.0).alias("k")).distinct()
+    found = asked.withColumn("k", F.lit(0.0))
+    for length in range(1, most + 1):
+        now = now.join(step, c("at") == c("m")).groupBy("src", c("n").alias("at")).agg(F.sum("k").alias("k"))
+        if length >= least:
+            found = found.union(now.withColumnRenamed("at", "dst").join(asked, ["src", "dst"], "left_semi").select("src", "dst", "k"))
+    return found.groupBy("src", "dst").agg(F.sum("k").alias("n"))
+
+
+def doubtful_links(graph: DataFrame, reads_graph: DataFrame, zone: DataFrame, paths: int, overlap: int, length: int) -> DataFrame:
+    """Edges of the contig graph to be cut: single links that at most so many walks of 2 to length edges through the graph of contigs and reads support, and
+    whose src has a doubtful right side or dst a doubtful left one (zone), or whose contigs overlap directly by more than overlap."""
+    links = materialised(single_links(graph))
+    weak = walk_counts(reads_graph, links, length, 2).where(c("n") <= paths).select("src", "dst")
+    right, left = zone.where("side = 'R'").select(c("id").alias("src")), zone.where("side = 'L'").select(c("id").alias("dst"))
+    direct = reads_graph.where(c("wt") > overlap).select("src", "dst").distinct()
+    bad = weak.join(right, "src", "left_semi").unionByName(weak.join(left, "dst", "left_semi")).unionByName(weak.join(direct, ["src", "dst"], "left_semi"))
+    return bad.select("src", "dst").distinct()
+
+
+def first_paths(pairs: DataFrame, edges: DataFrame, contigs: int) -> DataFrame:
+    """(l, r, path): of the ways of one to three edges through reads the first in order of ids."""
+    asked = pairs.select("l", "r").distinct()
+    step = edges.select(c("src").alias("m"), c("dst").alias("n")).distinct()
+    now = asked.select("l", "r", F.array("l").alias("path"))
+    found = None
+    for _ in range(3):
+        now = now.join(step, F.element_at("path", -1) == c("m")).select("l", "r", F.concat("path", F.array("n")).alias("path"))
+        end = F.element_at("path", -1)
+        hit = now.where(end == c("r"))
+        found = hit if found is None else found.union(hit)
+        now = now.where((end >= contigs) & (end != c("r")))
+    return found.groupBy("l", "r").agg(F.min("path").alias("path"))
+
+
+def report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: edges, loops, edges given more than once, ends that are no nodes, nodes without an edge, and edges without their mirror on the other strand."""
+    each = edges.groupBy("src", "dst").agg(F.count("*").alias("k"))
+    every = each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("edges"), F.count_if(c("src") == c("dst")).alias("loops"), F.coalesce(F.sum(c("k") - 1), F.lit(0)).alias("repeated"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = nodes.select("id").distinct()
+    strange = ends.join(known, "id", "left_anti").agg(F.count("*").alias("strange"))
+    idle = known.join(ends, "id", "left_anti").agg(F.count("*").alias("idle"))
+    pairs = each.select("src", "dst")
+    lone = pairs.join(symmetric(pairs), ["src", "dst"], "left_anti").agg(F.count("*").alias("one_sided"))
+    return every.crossJoin(strange).crossJoin(idle).crossJoin(lone)  # one row each
+
+
+def path_lengths(paths: DataFrame, lengths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(l, r, len): letters that a path (l, r, path) spells: the lengths (id, len) of its nodes without the overlaps (wt) of neighbours."""
+    at = paths.select("l", "r", F.posexplode("path").alias("i", "id"))
+    whole = at.join(lengths.select("id", "len"), "id").groupBy("l", "r").agg(F.sum("len").alias("letters"))
+    z = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))).alias("dst"))
+    steps = paths.select("l", "r", F.explode(z).alias("s")).select("l", "r", "s.src", "s.dst")
+    shared = steps.join(edges.groupBy("src", "dst").agg(F.max("wt").alias("wt")), ["src", "dst"]).groupBy("l", "r").agg(F.sum("wt").alias("shared"))
+    return whole.join(shared, ["l", "r"], "left").select("l", "r", (c("letters") - F.coalesce("shared", F.lit(0))).alias("len"))

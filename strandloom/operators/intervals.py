@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -22,13 +23,13 @@ def moving_difference(points: DataFrame, group: str, at: str, value: str, t: int
 
 def _peaks(at: str, value: str, level: float, apart: float) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort([pdf[at], -pdf[value].abs()])
+        place, height = pdf[at].to_numpy(), pdf[value].abs().to_numpy()
         taken: list[float] = []
         keep = []
-        for i in order:
-            x = pdf[at].iloc[i]
-            if all(abs(x - y) > apart for y in taken):
-                taken.append(x)
+        for i in np.lexsort([place, -height]).tolist():
+            k = bisect_left(taken, place[i])
+            if (k == 0 or place[i] - taken[k - 1] > apart) and (k == len(taken) or taken[k] - place[i] > apart):
+                taken.insert(k, place[i])
                 keep.append(i)
         return pdf.iloc[sorted(keep)]
 
@@ -86,7 +87,11 @@ def cover_fold(spans: Column, tolerance: int = 0) -> Column:
 
 
 def minimal_cover(spans: DataFrame, group: str, start: str, end: str, tolerance: int = 0) -> DataFrame:
-    rows = spans.groupBy(group).agg(F.collect_set(F.struct(c(start).cast("long").alias("start"), c(end).cast("long").alias("end"))).alias("_s"))
+    """A minimal cover of each group. Intervals within one that begins no later are left out first, by a running maximum, so only the others meet in a row."""
+    before = Window.partitionBy(group).orderBy(c(start), c(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max(end).over(before)
+    outer = spans.withColumn("_t", top).where(c("_t").isNull() | (c(end) > c("_t")))
+    rows = outer.groupBy(group).agg(F.collect_set(F.struct(c(start).cast("long").alias("start"), c(end).cast("long").alias("end"))).alias("_s"))
     return rows.select(group, F.explode(cover_fold(c("_s"), tolerance)).alias("_c")).select(group, c("_c.start").alias(start), c("_c.end").alias(end))
 
 

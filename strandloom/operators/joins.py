@@ -104,11 +104,12 @@ def overlap_length(left: str, right: str, seed: int = 12, end: int = OVERLAP_END
     a, b = left[-clip:], right[:clip]
     if not a or not b:
         return 0, 0
-    for n in range(min(len(a), len(b)), 0, -1):  # exact overlap
-        if a.endswith(b[:n]):
-            if n > seed or n == min(len(a), len(b)):
-                return n, n
-            break
+    k = min(seed + 1, len(a), len(b))
+    at = a.find(b[:k], max(0, len(a) - len(b)))
+    while at >= 0:  # exact overlap
+        if a[at:] == b[: len(a) - at]:
+            return len(a) - at, len(a) - at
+        at = a.find(b[:k], at + 1)
     best = (0, 0)
     for off in range(min(end, max(0, len(b) - seed)) + 1):
         probe = b[off : off + seed]

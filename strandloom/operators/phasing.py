@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignment import global_alignment, read_likelihood
+from ..functions.sequence import beside_run
 from ..plans.runtime import materialised
 from .aggregates import mixing_shares, votes
 
@@ -208,6 +209,31 @@ def in_long_run(seq: str, pos: int, least: int = 5) -> bool:
     return False
 
 
+def coordinate_map(pairs: DataFrame, key: str, a1: str = "a1", a2: str = "a2") -> DataFrame:
+    """(key, pos, other): for each letter of a1 (1-based, gaps left out) the place of the letter of a2 aligned to it, null at a gap. One row of pairs a key."""
+    z = F.arrays_zip(F.split(c(a1), "").alias("x"), F.split(c(a2), "").alias("y"))
+    each = pairs.select(key, F.posexplode(z).alias("i", "z")).select(key, "i", c("z.x").alias("x"), c("z.y").alias("y"))
+    w = Window.partitionBy(key).orderBy("i")
+    told = each.withColumn("pos", F.count_if(c("x") != "-").over(w)).withColumn("other", F.when(c("y") != "-", F.count_if(c("y") != "-").over(w)))
+    return told.where("x <> '-'").select(key, "pos", "other")
+
+
+def cleaned(reads: DataFrame, rounds: int = 2) -> DataFrame:
+    """reads (rep_id, read, seq) corrected by the votes of all other reads of their repeat, so many rounds; it ends early when a round changes nothing. Edits beside
+    a run of equal letters are left out, as reads err there alike."""
+    now = materialised(reads.select("rep_id", "read", "seq"))
+    for _ in range(rounds):
+        named = now.withColumn("k", F.concat_ws("/", c("rep_id").cast("string"), "read"))
+        pairs = named.join(named.select("rep_id", c("read").alias("r"), c("seq").alias("other")), "rep_id").where("read <> r").select("k", "seq", "other")
+        edits = consensus_edits(pair_votes(pairs, "k"), "k").join(named.select("k", "seq"), "k").where(~beside_run("seq", "pos")).drop("seq")
+        fixed = corrected(named.select("k", "seq"), edits, "k").withColumnRenamed("seq", "new")
+        out = materialised(named.join(fixed, "k").select("rep_id", "read", c("new").alias("seq"), (c("new") != c("seq")).alias("changed")))
+        now = out.drop("changed")
+        if not out.where("changed").limit(1).count():
+            break
+    return now
+
+
 # tandem repeats
 
 

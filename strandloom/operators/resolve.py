@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, twin
 from ..plans.runtime import materialised
-from ..schemas import DOVETAIL, REDUNDANT
+from ..schemas import DOVETAIL, PHASE_CONTIG, REDUNDANT
 from .aggregates import conflict_free
 from .graph import components, shortest_paths
 from .joins import overlaps
@@ -89,17 +89,63 @@ def abundance_match(repeats: DataFrame, depth: DataFrame, sd: float | Column, lo
     return good.select("rep_id", "l", "r")
 
 
-def bridge_match(repeats: DataFrame, edges: DataFrame, contigs: int, least: int = 2) -> DataFrame:
-    """(rep_id, l, r, n): an in and an out of a repeat that so many reads join, each reached from just one of the ins and leading to one of the outs."""
+def sole_contig(edges: DataFrame, contigs: int) -> DataFrame:
+    """(read, contig): reads from which ways through reads lead to one contig only, however long. Each read passes on the least and the largest
+    contig that it knows of, until nothing changes."""
+    step = edges.select("src", "dst").distinct()
+    now = materialised(step.where((c("src") >= contigs) & (c("dst") < contigs)).groupBy(c("src").alias("id")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")))
+    links = materialised(step.where((c("src") >= contigs) & (c("dst") >= contigs)))
+    state = None
+    while True:
+        told = links.join(now.withColumnRenamed("id", "dst"), "dst").select(c("src").alias("id"), "lo", "hi")
+        now = materialised(now.union(told).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        new = now.agg(F.count("*"), F.sum((c("hi") - c("lo")).cast("decimal(38,0)"))).first()  # both only grow
+        if new == state:
+            break
+        state = new
+    return now.where("lo = hi").select(c("id").alias("read"), c("lo").alias("contig"))
+
+
+def bridge_match(repeats: DataFrame, edges: DataFrame, contigs: int, least: int = 2, both_ways: bool = False) -> DataFrame:
+    """(rep_id, l, r, n): an in and an out of a repeat that so many reads join, each reached from just one of the ins and leading to one of the outs.
+    both_ways: only reads that no other contig is reached from, onwards and backwards, through any number of reads."""
     ins, outs = repeats.select("rep_id", F.explode("ins").alias("l")), repeats.select("rep_id", F.explode("outs").alias("r"))
     e = edges.select("src", "dst").distinct()
     a = ins.join(e, c("l") == c("src")).where(c("dst") >= contigs).select("rep_id", "l", c("dst").alias("read"))
     b = outs.join(e, c("r") == c("dst")).where(c("src") >= contigs).select("rep_id", "r", c("src").alias("read"))
     one = lambda df, k: df.groupBy("rep_id", "read").agg(F.min(k).alias(k), F.count("*").alias("n")).where("n = 1").drop("n")
     pairs = one(a, "l").join(one(b, "r"), ["rep_id", "read"]).where(F.floor(c("l") / 2) != F.floor(c("r") / 2))
+    if both_ways:
+        pairs = pairs.join(sole_contig(e, contigs).select("read"), "read", "left_semi")
+        pairs = pairs.join(sole_contig(e.select(c("dst").alias("src"), c("src").alias("dst")), contigs).select("read"), "read", "left_semi")
     return pairs.groupBy("rep_id", "l", "r").agg(F.count("*").alias("n")).where(c("n") >= least)
 
 
+def long_contig_edges(edges: DataFrame, lengths: DataFrame, least: int = PHASE_CONTIG) -> DataFrame:
+    """Edges between contigs (node id // 2 is the idx of lengths: idx, len) of so many letters at least, without those of a contig with itself."""
+    long = lengths.where(c("len") >= least).select("idx")
+    near, far = long.select(c("idx").alias("_s")), long.select(c("idx").alias("_d"))
+    kept = edges.where(F.floor(c("src") / 2) != F.floor(c("dst") / 2))
+    return kept.join(near, F.floor(c("src") / 2) == c("_s"), "left_semi").join(far, F.floor(c("dst") / 2) == c("_d"), "left_semi")
+
+
+def one_strand(repeats: DataFrame) -> DataFrame:
+    """Repeats (rep_id, ins, outs) without those that are another one seen from the other strand: its outs turned are the ins, its ins turned the outs. The
+    smaller spelling stays, of equal ones the smaller rep_id."""
+    turned = lambda x: F.array_sort(F.transform(x, lambda i: i.bitwiseXOR(F.lit(1).cast("long"))))
+    spelled = repeats.withColumn("own", F.struct(F.array_sort("ins").alias("i"), F.array_sort("outs").alias("o"))).withColumn("other", F.struct(turned("outs").alias("i"), turned("ins").alias("o")))
+    best = spelled.groupBy(F.least("own", "other").alias("key")).agg(F.min(F.struct((c("own") > c("other")).alias("back"), "rep_id", "ins", "outs")).alias("m"))
+    return best.select("m.rep_id", "m.ins", "m.outs")
+
+
+def separate_paths(paths: DataFrame) -> DataFrame:
+    """(rep_id, l1, r1, l2, r2): of the paths (rep_id, l, r) of a repeat the first two, in order of l and r, that differ at both ends."""
+    a = paths.select("rep_id", c("l").alias("l1"), c("r").alias("r1")).distinct()
+    b = paths.select("rep_id", c("l").alias("l2"), c("r").alias("r2")).distinct()
+    both = a.join(b, "rep_id").where("l1 < l2 and r1 <> r2")  # ins times outs of one repeat
+    return both.groupBy("rep_id").agg(F.min(F.struct("l1", "r1", "l2", "r2")).alias("m")).select("rep_id", "m.*")
+
+
 def resolved_pairs(*found: DataFrame) -> DataFrame:
     """(l, r) of all methods without those in conflict, and their mirrors."""
     every = found[0].select("l", "r")
@@ -169,20 +215,25 @@ def gap_contents(paths: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def read_out(nodes: DataFrame, seqs: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """(node, seq): each node's members joined, one strand of each twin pair: the one whose smallest member comes first. Members that no node
-    has are appended by themselves. nodes (id, members, overlaps), seqs (id, seq) for all oriented sequences."""
+    has are appended by themselves. nodes (id, members, overlaps), seqs (id, seq) for all oriented sequences. Where gaps are given and lack one, what lies
+    between two members is not known: the node ends there, and its rest is one of its own (node id, _ and a number)."""
     keyed = nodes.withColumn("k", F.array_join(F.transform("members", lambda m: F.lpad(m.cast("string"), 20, "0")), ",")).withColumn("t", F.array_join(F.transform(F.reverse("members"), lambda m: F.lpad(m.bitwiseXOR(F.lit(1).cast("long")).cast("string"), 20, "0")), ","))
     one = keyed.withColumn("canon", F.least("k", "t")).withColumn("n", F.row_number().over(Window.partitionBy("canon").orderBy("k"))).where("n = 1")
     each = one.select("id", F.posexplode(F.arrays_zip("members", "overlaps")).alias("i", "m")).select("id", "i", c("m.members").alias("m"), c("m.overlaps").alias("o"))
     each = each.withColumn("before", F.lag("m").over(Window.partitionBy("id").orderBy("i")))
     if gaps is not None:
         each = each.join(gaps.select(c("l").alias("before"), c("r").alias("m"), "start", "middle"), ["before", "m"], "left")
+        lost = (c("before").isNotNull() & c("start").isNull()).cast("int")
+        each = each.withColumn("part", F.sum(lost).over(Window.partitionBy("id").orderBy("i")))
     else:
-        each = each.withColumn("start", F.lit(None).cast("int")).withColumn("middle", F.lit(None).cast("string"))
-    piece = F.concat(F.coalesce("middle", F.lit("")), F.substr(c("seq"), F.coalesce("start", "o") + 1))
+        each = each.withColumn("start", F.lit(None).cast("int")).withColumn("middle", F.lit(None).cast("string")).withColumn("part", F.lit(0).cast("long"))
+    alone = c("start").isNull() if gaps is not None else F.lit(False)
+    piece = F.concat(F.coalesce("middle", F.lit("")), F.when(alone, c("seq")).otherwise(F.substr(c("seq"), F.coalesce("start", "o") + 1)))
     joined = each.join(seqs.select(c("id").alias("m"), "seq"), "m").withColumn("piece", piece)
-    out = joined.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("seq")).select(c("id").alias("node"), "seq")
+    out = joined.groupBy("id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), "").alias("seq"))
+    out = out.select(F.concat(c("id").cast("string"), F.when(c("part") > 0, F.concat(F.lit("_"), "part")).otherwise("")).alias("node"), "seq")
     used = nodes.select(F.explode("members").alias("m")).select(F.floor(c("m") / 2).alias("u")).distinct()
-    rest = seqs.where(c("id") % 2 == 0).join(used, F.floor(c("id") / 2) == c("u"), "left_anti").select(c("id").alias("node"), "seq")
+    rest = seqs.where(c("id") % 2 == 0).join(used, F.floor(c("id") / 2) == c("u"), "left_anti").select(c("id").cast("string").alias("node"), "seq")
     return out.union(rest)
 
 

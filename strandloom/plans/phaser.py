@@ -6,22 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alignment import global_alignment
+from ..functions.sequence import beside_run
+from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import phasing as P
+from ..operators import resolve as R
 from ..operators.aggregates import votes
 from .runtime import materialised
 
 c = F.col
 
 
-def variants(reads: DataFrame, low: float = 0.2, least: int = 4) -> DataFrame:
+def repeats_of(edges: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(rep_id, ins, outs): repeats between long contigs, one strand of each. lengths (idx, len)."""
+    found = G.bipartite_repeats(R.long_contig_edges(edges, lengths)).where("size(ins) > 0 and size(outs) > 0")
+    return R.one_strand(found)
+
+
+def variants(reads: DataFrame, low: float = 0.2, least: int = 4, run: int = 5) -> DataFrame:
     """(rep_id, v1, v2): the two variants of the stretch that reads (rep_id, read, seq) of a repeat cover from end to end. The longest read is the
-    template; places where two letters are frequent differ; letters that occur with the first (second) letter of the first such place make v1 (v2)."""
+    template; places where two letters are frequent differ, but for those beside a run of so many equal letters; letters that occur with the first (second) letter of the first such place make v1 (v2)."""
     w = Window.partitionBy("rep_id").orderBy(F.length("seq").desc(), "read")
     temp = reads.withColumn("n", F.row_number().over(w)).where("n = 1").select("rep_id", c("seq").alias("template"))
     both = reads.join(temp, "rep_id").withColumn("a", global_alignment("template", "seq"))
     each = materialised(votes(both.select(F.struct("rep_id", "read").alias("k"), c("a.a").alias("a1"), c("a.b").alias("a2")), "k").select("k.rep_id", "k.read", "pos", "kind", "offset", "base", "n"))
     places = materialised(P.differing_places(each.groupBy("rep_id", "pos", "kind", "offset", "base").agg(F.sum("n").alias("n")), "rep_id", low, least))
+    places = places.join(temp, "rep_id").where(~beside_run("template", "pos", run)).drop("template")
     first = places.groupBy("rep_id").agg(F.min(F.struct("pos", "first", "second")).alias("f"))
     seen = each.where("kind in ('same', 'sub')").join(places.select("rep_id", "pos"), ["rep_id", "pos"]).select("rep_id", "read", "pos", "base")
     side = seen.join(first, "rep_id").where("pos = f.pos").select("rep_id", "read", F.when(c("base") == c("f.first"), 1).when(c("base") == c("f.second"), 2).alias("v")).where("v is not null")

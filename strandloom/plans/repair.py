@@ -122,6 +122,18 @@ def cut_extended(contigs: DataFrame, breaks: DataFrame) -> DataFrame:
     return x.select("name", F.posexplode(piece).alias("piece", "seq"))
 
 
+def with_overhangs(contigs: DataFrame, breaks: DataFrame, reads: DataFrame) -> DataFrame:
+    """breaks (name, left, right, left_read, right_read) with left_more and right_more for cut_extended: what the read on the left goes on with behind the end of the
+    piece before (its overlap with that piece's end left out), and what the read on the right has before the piece behind. Without an overlap or a read: null."""
+    read = lambda k, out: reads.select(c("name").alias(k), c("seq").alias(out))
+    rows = breaks.join(contigs.select("name", "seq"), "name").join(read("left_read", "lr"), "left_read", "left").join(read("right_read", "rr"), "right_read", "left")
+    rows = rows.withColumn("o", J.overlaps(F.substr(c("seq"), F.lit(1), F.coalesce("left", F.lit(0))), F.coalesce("lr", F.lit(""))))
+    rows = rows.withColumn("p", J.overlaps(F.coalesce("rr", F.lit("")), F.when(c("right").isNull(), "").otherwise(F.substr(c("seq"), c("right") + 1))))
+    more = F.when(c("o.right") > 0, F.substr(c("lr"), c("o.right") + 1))
+    before = F.when(c("p.left") > 0, F.substr(c("rr"), F.lit(1), F.length("rr") - c("p.left")))
+    return rows.select("name", "left", "right", more.alias("left_more"), before.alias("right_more"))
+
+
 def fix_with_short(long_contigs: DataFrame, short_contigs: DataFrame, short_reads: DataFrame, long_reads: DataFrame, options: RepairOptions = RepairOptions(), t: int = 1000, k: int = 20) -> DataFrame:  # noqa: B008
     """Two sets of contigs, each checked with the other kind of reads, and merged: long contigs are cut where the coverage by short reads changes, short ones where long
     reads map in two far parts; short contigs that a long one covers go."""

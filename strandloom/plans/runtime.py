@@ -46,8 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so later jobs neither recompute it nor depend on an executor's disk."""
+def materialised(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """df written to the shared folder and read again, so later jobs neither recompute it nor depend on an executor's disk. replaces: a materialised
+    table of which nothing is read any more once df is written; its folder is removed."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    if replaces is not None:
+        remove_folder(df.sparkSession, replaces._folder)
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark can write."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

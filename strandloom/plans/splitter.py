@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import twin
 from ..operators import aggregates as A
 from ..operators import graph as G
+from ..operators import intervals as I
 from ..operators import joins as J
 from ..operators import resolve as R
-from ..schemas import SplitOptions
+from ..schemas import DOVETAIL, EDGE_LENGTH, EDGE_OVERLAP, EDGE_PATHS, SplitOptions
 from .runtime import materialised
 
 c = F.col
@@ -33,19 +35,31 @@ def aligned(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def surgery(edges: DataFrame, contigs: int, options: SplitOptions) -> DataFrame:
     """The contig graph: reach through reads, then the filters of edges in turn."""
     now = G.reach_through_reads(edges, contigs).withColumn("wt", F.lit(0))
-    now = G.symmetric(G.without_adaptor_pairs(now))
+    now = materialised(G.without_adaptor_pairs(now))
+    zone = materialised(G.no_go_zone(edges, now, edges.sparkSession.range(contigs), contigs))
+    now = materialised(G.symmetric(now))
+    if options.toRunCondenseRemove:
+        now = materialised(G.remove(now, G.doubtful_links(now, edges, zone, EDGE_PATHS, EDGE_OVERLAP, EDGE_LENGTH)))
     if options.toRunDoublePtr:
-        now = G.without_double(now)
-    now = materialised(now)
+        now = materialised(G.without_double(now))
     return materialised(G.transitive_reduction(now, int(options.kthres))) if options.toRunTransitive else now
 
 
+def inherited(aln: DataFrame, edges: DataFrame, contigs: int, end: int = DOVETAIL) -> DataFrame:
+    """edges and those that contigs inside a read inherit from it, for both strands. aln: alignments of reads on contigs with lengths and idx."""
+    turned = c("s2") > c("e2")
+    whole = aln.where((c("s1") <= end) & (c("e1") >= c("lr") - end)).select((c("ref_idx") * 2).alias("node"), (c("qry_idx") * 2 + F.when(turned, 1).otherwise(0) + contigs).alias("read_node"))
+    both = whole.union(whole.select(twin("node"), twin("read_node"))).distinct()
+    more = J.embedded_edges(both, edges.select("src", "dst", "wt"))
+    return edges.select("src", "dst", "wt").union(more).groupBy("src", "dst").agg(F.max("wt").alias("wt"))
+
+
 def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOptions(), k: int = 20) -> DataFrame:  # noqa: B008
     """Joined contigs (node, seq)."""
     con, rd = materialised(numbered(contigs, "Contig")), materialised(numbered(reads, "Read"))
     n = 2 * con.count()
     cc, cr = materialised(aligned(con, con, k)), materialised(aligned(con, rd, k))
-    edges = materialised(R.string_graph(cc, cr, n))
+    edges = materialised(inherited(cr, R.string_graph(cc, cr, n), n))
     depth = materialised(A.abundance(A.best_hit(cr), con.select("name", "len")))
     node_depth = depth.withColumn("num", F.regexp_extract("contig", "([0-9]+)$", 1).cast("long")).select(F.explode(F.array(c("num") * 2, c("num") * 2 + 1)).alias("id"), "depth")
     sd = A.distinct_std(depth, "depth").first()["sd"] or 0.0
@@ -57,7 +71,7 @@ def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOpt
         if options.AbunB:
             found.append(R.abundance_match(inner, node_depth, float(sd), options.AbunLower, options.AbunUpper))
         if options.BRB:
-            found.append(R.bridge_match(inner, edges, n, int(options.BRThres)))
+            found.append(R.bridge_match(inner, edges, n, int(options.BRThres), both_ways=True))
         if found:
             pairs = materialised(R.resolved_pairs(*found).select(c("l").alias("src"), c("r").alias("dst"), F.lit(0).alias("wt")))
             touched = inner.join(pairs, F.array_contains("ins", c("src")), "left_semi")
@@ -103,3 +117,28 @@ def finish(contigs: DataFrame, reads: DataFrame, k: int = 20) -> DataFrame:
     seqs = materialised(R.oriented(con).union(R.oriented(rd).select((c("id") + n).alias("id"), "seq")))
     gaps = R.gap_contents(R.paths_between(graph.select(c("src").alias("l"), c("dst").alias("r")), materialised(edges.unionByName(direct.select("src", "dst", c("wt").cast("int").alias("wt")))), n), seqs)
     return R.read_out(nodes, seqs.where(c("id") < n), materialised(gaps)).select(F.concat(F.lit("Segkk"), "node").alias("name"), "seq")
+
+
+def fill_gaps(contigs: DataFrame, reads: DataFrame, open_ends: DataFrame | None = None, k: int = 20) -> DataFrame:
+    """(name, seq): contigs joined by one read each. Reads that hang on the right end of one contig and on the left end of another link the two, if both ends are
+    open (open_ends: name, no_prev, no_next; all are without it) and no read links them elsewhere; of several reads that with the longest shorter overlap counts, of
+    several links the heaviest first. Names of contigs in open_ends are theirs in contigs."""
+    con, rd = materialised(numbered(contigs, "Contig")), materialised(numbered(reads, "Read"))
+    n = 2 * con.count()
+    edges = materialised(R.string_graph(aligned(con, con, k), aligned(con, rd, k), n))
+    on = edges.where((c("src") < n) & (c("dst") >= n)).select(c("dst").alias("read"), c("src").alias("contig"), F.lit("R").alias("side"), c("wt").alias("len"))
+    on = on.union(edges.where((c("dst") < n) & (c("src") >= n)).select(c("src"), c("dst"), F.lit("L"), c("wt")))
+    if open_ends is not None:
+        known = open_ends.join(con.select(c("old").alias("name"), "idx"), "name")
+        ends = known.select((c("idx") * 2).alias("name"), "no_prev", "no_next").union(known.select(c("idx") * 2 + 1, c("no_next"), c("no_prev")))
+        on, _ = R.usable_ends(on, ends)
+    # read_bridges has the contig behind as l and the one before as r
+    links = J.read_bridges(on.withColumnRenamed("contig", "node")).select(c("r").alias("l"), c("l").alias("r"), "read", "len")
+    best = R.unique_partners(links).groupBy("l", "r").agg(F.max(F.struct("len", (-c("read")).alias("k"))).alias("m")).select("l", "r", c("m.len").cast("long").alias("wt"), (-c("m.k")).alias("read"))
+    best = materialised(best)
+    chosen = I.greedy_pairs(best.select("l", "r", "wt"))
+    graph = materialised(G.symmetric(chosen.select(c("l").alias("src"), c("r").alias("dst"), "wt")))
+    paths = best.join(graph.select(c("src").alias("l"), c("dst").alias("r")), ["l", "r"], "left_semi").select("l", "r", F.array("l", "read", "r").alias("path"))
+    seqs = materialised(R.oriented(con).union(R.oriented(rd).select((c("id") + n).alias("id"), "seq")))
+    gaps = materialised(R.gap_contents(paths, seqs))
+    return R.read_out(materialised(G.condense(graph)[0]), seqs.where(c("id") < n), gaps).select(F.concat(F.lit("Segkk"), "node").alias("name"), "seq")

@@ -308,10 +308,10 @@ def _(t):
     return I.moving_difference(rows, "event_type", "h", "n", 5).withColumn("diff", F.round("diff", 6))
 
 
-@query("peaks")
+@query("peaks", "with recursive p as (select event_type, cast(floor(epoch(ts) / 600) as bigint) h, count(*) n from events group by 1, 2), w as (select *, avg(n) over b x, count(*) over b bx, avg(n) over a y, count(*) over a ay from p window b as (partition by event_type order by h rows between 5 preceding and 1 preceding), a as (partition by event_type order by h rows between 1 following and 5 following)), d as (select event_type, h, case when bx = 5 and ay = 5 then y - x else 0 end diff from w), r as (select event_type, list(struct_pack(h := h, diff := diff) order by abs(diff) desc, h) l, null::struct(h bigint, diff double) best from d where abs(diff) > 1 group by event_type union all select event_type, list_filter(l, lambda x: abs(x.h - l[1].h) > 5), l[1] from r where len(l) > 0) select event_type, best.h h, round(best.diff, 6) diff from r where best is not null")
 def _(t):
     rows = t("events").groupBy("event_type", F.floor(F.unix_timestamp("ts") / 600).alias("h")).agg(F.count("*").alias("n"))
-    return I.peaks(I.moving_difference(rows, "event_type", "h", "n", 5).select("event_type", "h", "diff"), "event_type", "h", "diff", 1.0, 5)
+    return I.peaks(I.moving_difference(rows, "event_type", "h", "n", 5).select("event_type", "h", "diff"), "event_type", "h", "diff", 1.0, 5).withColumn("diff", F.round("diff", 6))
 
 
 ISLANDS = "(select grp, s, e, sum(new) over (partition by grp order by s, e rows unbounded preceding) i from (select *, case when s < max(e) over (partition by grp order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end new from {spans}))"
@@ -363,7 +363,7 @@ def _(t):
     return I.successors(rows.withColumn("o", F.struct("s1", "qry", "e1", "s2")), "ref", "o", "qry")
 
 
-@query("greedy_pairs")
+@query("greedy_pairs", "with recursive p as (select l_partkey l, l_suppkey r, cast(sum(l_quantity) as bigint) wt from lineitem group by 1, 2), g as (select list(struct_pack(l := l, r := r, wt := wt) order by wt desc, l, r) o, null::struct(l bigint, r bigint, wt bigint) best from p union all select list_filter(o, lambda x: x.l <> o[1].l and x.r <> o[1].r), o[1] from g where len(o) > 0) select best.l l, best.r r, best.wt wt from g where best is not null")
 def _(t):
     return I.greedy_pairs(t("select l_partkey l, l_suppkey r, cast(sum(l_quantity) as bigint) wt from {lineitem} group by 1, 2"))
 
@@ -529,7 +529,7 @@ def _(t):
     return G.no_go_nodes(t("edges"), t("select c_custkey id from {customer}"), 500)
 
 
-@query("weight_resolution")
+@query("weight_resolution", "with recursive p as (select src, dst, min(wt) wt from {edges} group by 1, 2), g as (select list(struct_pack(src := src, dst := dst, wt := wt) order by wt desc, src, dst) o, null::struct(src bigint, dst bigint, wt int) best from p union all select list_filter(o, lambda x: x.src <> o[1].src and x.dst <> o[1].dst), o[1] from g where len(o) > 0) select best.src src, best.dst dst, best.wt wt from g where best is not null")
 def _(t):
     return G.resolve_by_weight(t("select src, dst, min(wt) wt from {edges} group by src, dst"))
 
@@ -551,22 +551,43 @@ def _(t):
     return B.enclosed(B.natural(t("repeats")), 2000).groupBy("in_rep", "copy").agg(F.count("*").alias("n"), F.sum(c("key") % 1009).alias("s"))
 
 
-SMALL = "select s1, e1, s2, e2, ref, qry, c_custkey rep from (select *, cast(c_custkey * 900 + 1 as int) s1, cast(c_custkey * 900 + 700 + c_nationkey * 10 as int) e1, cast(c_custkey * 500 + case when c_acctbal < 0 then 600 else 1 end as int) s2, cast(c_custkey * 500 + case when c_acctbal < 0 then 1 else 600 end as int) e2, concat('Contig', cast(c_custkey % 61 as varchar(9))) ref, concat('Contig', cast(61 + c_custkey % 53 as varchar(9))) qry from {customer})"
+#: Repeats that lie within one another on both sides, some with ends nearer than a cluster's width, some turned.
+VIEWS["nested"] = """select cast(c_custkey * 37 % 6000 + 1 as int) s1, cast(c_custkey * 37 % 6000 + 1000 + c_nationkey * 40 as int) e1,
+    cast(c_custkey * 53 % 6000 + case when c_acctbal < 0 then 1000 + c_nationkey * 40 else 1 end as int) s2, cast(c_custkey * 53 % 6000 + case when c_acctbal < 0 then 1 else 1000 + c_nationkey * 40 end as int) e2,
+    concat('Contig', cast(c_custkey % 211 as varchar(9))) ref, concat('Contig', cast(c_custkey * 7 % 211 as varchar(9))) qry, c_custkey rep from {customer} where c_custkey % 211 <> c_custkey * 7 % 211"""
+NATURAL = "(select rep * 4 key, rep, 0 endpt, rep * 2 cluster, ref contig, s1 loc from {nested} union all select rep * 4 + 1, rep, 1, rep * 2 + 1, ref, e1 from {nested} union all select rep * 4 + 2, rep, case when s2 < e2 then 2 else 3 end, rep * 2, qry, s2 from {nested} union all select rep * 4 + 3, rep, case when s2 < e2 then 3 else 2 end, rep * 2 + 1, qry, e2 from {nested})"
+HIDDEN = f"""n as (select * from {NATURAL}),
+    k as (select rep in_rep, 0 copy, ref contig, s1 lo, e1 hi, s2 >= e2 turned from {{nested}} union all select rep, 1, qry, least(s2, e2), greatest(s2, e2), s2 >= e2 from {{nested}}),
+    i as (select k.in_rep, k.copy, lo, hi, turned, n.* from n join k on n.contig = k.contig and n.loc >= lo and n.loc <= hi),
+    m as (select i.*, o.contig to_contig, o.lo to_lo, o.hi to_hi from i join k o on o.in_rep = i.in_rep and o.copy = 1 - i.copy where not exists (select 1 from i j where j.in_rep = i.in_rep and j.copy = 1 - i.copy and j.rep = i.rep and j.cluster = i.cluster)),
+    p as (select in_rep, copy, rep, -2 - endpt endpt, cluster, to_contig contig, case when turned then hi - loc + to_lo else loc - lo + to_lo end loc, to_lo, to_hi from m),
+    q as (select *, coalesce(lag(loc) over (partition by in_rep, copy order by loc, rep, endpt, cluster), to_lo) b from p),
+    f as (select distinct null::bigint key, rep, endpt, cluster, contig, loc from q where abs(loc - b) >= 400 and abs(to_hi - loc) >= 400),
+    e as (select * from (select *, row_number() over (partition by contig, loc order by (key is null) desc, rep, endpt, cluster, key) w from (select key, rep, endpt, cluster, contig, loc from n union all select * from f)) where w = 1),
+    h as (select coalesce(key, (select max(key) from n) + row_number() over (partition by key is null order by contig, loc)) key, rep, cast(endpt as int) endpt, cluster, contig, cast(loc as int) loc from e)"""
 
 
-@query("hidden_breakpoints")
+@query("hidden_breakpoints", f"with {HIDDEN} select key, rep, endpt, cluster, contig, loc from h")
 def _(t):
-    return B.with_hidden(B.natural(t(SMALL)))
+    return B.with_hidden(B.natural(t("nested")))
 
 
-@query("break_clusters")
+@query("break_clusters", f"""with recursive {HIDDEN},
+    l as (select *, lag(cluster) over s pc, lag(loc) over s pl, lag(endpt) over s pe from h window s as (partition by contig order by loc, key)),
+    x as (select cluster a, pc b from l where loc - pl < 60 and (endpt % 2 + 2) % 2 = (pe % 2 + 2) % 2 and cluster <> pc), y as (select a, b from x union select b, a from x),
+    r as (select a id, a t from y union select r.id, y.b from r join y on y.a = r.t), g as (select id, min(t) m from r group by id),
+    z as (select key, rep, endpt, coalesce(m, cluster) cluster, contig, loc from h left join g on id = cluster),
+    v as (select *, lag(cluster) over s pc, lag(loc) over s pl from z window s as (partition by contig order by loc, key))
+    select key, rep, endpt, cluster, contig, loc from v where pc is null or pc <> cluster or loc - pl >= 60""")
 def _(t):
-    return B.clustered(B.with_hidden(B.natural(t(SMALL))))
+    from .plans.runtime import materialised
+
+    return B.clustered(materialised(B.with_hidden(B.natural(t("nested")))))
 
 
 @query("cut_choices")
 def _(t):
-    return B.break_intervals(t(SMALL))
+    return B.break_intervals(t("nested"))
 
 
 @query("succ_ctest", """with s as (select event_type contig, cast(floor(epoch(ts) / 3600) as int) seg_idx, count(*) x from events group by 1, 2), p as (select contig, seg_idx, x, x + lead(x) over (partition by contig order by seg_idx) n from s),
@@ -595,6 +616,15 @@ def _(t):
     return B.cut_list(rows, B.count_test(_segments(t)))
 
 
+MARKS = "select event_type contig, cast(floor(epoch(ts) / 3600) as int) seg_idx, cast(count(*) as double) total from events group by 1, 2"
+
+
+@query("cut_list_of_marks", f"with s as ({MARKS}) select contig, seg_idx * 60 cut from s where total > 8 union select contig, max(seg_idx) * 60 from s group by contig union select distinct contig, 0 from s")
+def _(t):
+    rows = _segments(t).withColumn("end", c("seg_idx") * 60)
+    return B.cut_list(rows, rows.select("contig", "seg_idx", (c("total") > 8).cast("int").alias("p"))).withColumnRenamed("at", "cut")
+
+
 # sets, order and limits
 
 
@@ -691,12 +721,12 @@ def _(t):
     return rows.groupBy("ref").agg(F.size(F.collect_set("qry")).cast("long").alias("n"))
 
 
-@query("read_expansion", "with recursive seed as (select distinct qry from {aln} where ref = 'Contig1'), c1 as (select distinct ref from {aln} where qry in (select qry from seed)) select distinct qry from {aln} where ref in (select ref from c1 where ref < 'Contig2')")
+@query("read_expansion", "with recursive seed as (select distinct qry from {aln} where ref = 'Contig1'), c1 as (select distinct ref from {aln} where qry in (select qry from seed)), r1 as (select distinct qry from {aln} where ref in (select ref from c1)), c2 as (select distinct ref from {aln} where qry in (select qry from r1)) select distinct qry from {aln} where ref in (select ref from c2)")
 def _(t):
     from .operators.resolve import expand_reads
 
     aln = t("aln")
-    return expand_reads(aln, aln.where("ref = 'Contig1'"), 1, among=c("ref") < "Contig2")  # the round and the contigs of the SQL
+    return expand_reads(aln, aln.where("ref = 'Contig1'"), 2)
 
 
 @query("unique_pairs", f"with p as (select distinct l, r from ({UNIQUE})) select l, r from p where l in (select l from p group by l having count(distinct r) = 1) and r in (select r from p group by r having count(distinct l) = 1)")
@@ -791,10 +821,17 @@ def _(t):
     return G.bipartite_resolve(edges, _repeats(t), t(REPS).select(c("i1").cast("long").alias("src"), c("o2").cast("long").alias("dst"), F.lit(0).alias("wt")))
 
 
-@query("containment", "with d as (select distinct text from {lines}) select count(*) texts, cast(sum(case when n > 1 then n - 1 else 0 end) as bigint) copies from (select text, count(*) n from {lines} group by text)")
+CONTAINED = """select s1, e1, s2, e2, ref, qry, lr, lq from (select 1 s1, l1 e1, 1 s2, l2 e2, a.name ref, b.name qry, cast(l1 as int) lr, cast(l2 as int) lq
+    from (select concat('Seq', cast(c_custkey as varchar(9))) name, c_nationkey k, c_custkey n, 100 + c_custkey % 3 l1 from {customer}) a
+    join (select concat('Seq', cast(c_custkey as varchar(9))) name, c_nationkey k, c_custkey n, 100 + c_custkey % 3 l2, c_acctbal v from {customer}) b on a.k = b.k and a.n + b.n = 1501 and b.v > 0) x"""
+
+
+@query("containment", f"with k as (select distinct qry small, ref large from ({CONTAINED}) where ref <> qry and s2 <= 10 and e2 >= lq - 10), m as (select small, large from k where (large, small) in (select small, large from k)), gone as (select small from k where (large, small) not in (select small, large from k) union select greatest(small, large) from m) select name from (select concat('Seq', cast(c_custkey as varchar)) name from customer) where name not in (select small from gone)")
 def _(t):
-    n = t("lines").groupBy("text").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("texts"), F.sum(F.when(c("n") > 1, c("n") - 1).otherwise(0)).alias("copies"))
+    """Copies in one another: pairs of which each is inside the other keep the smaller name, others go into the larger one."""
+    from .operators.resolve import without_redundant
+
+    return without_redundant(t("select concat('Seq', cast(c_custkey as varchar(9))) name from {customer}"), t(CONTAINED)).select("name")
 
 
 @query("redundant_sequences", "with f as (select * from {full}), k as (select distinct qry small, ref large from f where least(s2, e2) <= 10 and greatest(s2, e2) >= lq - 10) select name, len from {reads} where name not in (select small from k)")
@@ -810,3 +847,118 @@ def _(t):
 
     number = lambda n: F.regexp_extract(n, "([0-9]+)", 1).cast("long") * 2
     return overlap_edges(full(t), number("ref"), number("qry") + 1000, 60)
+
+
+# links in doubt, reads between contigs, repeats on both strands
+
+
+@query("single_links", f"select src, dst from (select src, dst, count(*) over (partition by src) o, count(*) over (partition by dst) i from {E}) where o = 1 and i = 1")
+def _(t):
+    return G.single_links(t("edges"))
+
+
+WALKS4 = f"w1 as (select src, dst from {E}), w2 as (select a.src, b.dst from w1 a join w1 b on a.dst = b.src), w3 as (select a.src, b.dst from w2 a join w1 b on a.dst = b.src), w4 as (select a.src, b.dst from w3 a join w1 b on a.dst = b.src), every as (select * from w2 union all select * from w3 union all select * from w4)"
+AHEAD = "select c_custkey src, c_custkey + 3 + c_nationkey % 3 dst from {customer}"
+
+
+@query("walk_counts", f"with {WALKS4}, k as (select src, dst, count(*) n from every group by 1, 2) select src, dst, cast(coalesce(n, 0) as bigint) n from ({AHEAD}) left join k using (src, dst)")
+def _(t):
+    return G.walk_counts(t("edges"), t(AHEAD), 4, 2).withColumn("n", c("n").cast("long"))
+
+
+ZONE = "select c_custkey id, 'R' side from {customer} where c_acctbal < 2000 union all select c_custkey, 'L' from {customer} where c_acctbal > 7000"
+
+
+@query("doubtful_links", f"with {WALKS4}, s as (select src, dst from (select src, dst, count(*) over (partition by src) o, count(*) over (partition by dst) i from {E}) where o = 1 and i = 1), k as (select src, dst, count(*) n from every group by 1, 2), w as (select s.src, s.dst from s left join k using (src, dst) where coalesce(n, 0) <= 1), z as ({ZONE}) select src, dst from w where src in (select id from z where side = 'R') or dst in (select id from z where side = 'L') or (src, dst) in (select src, dst from {{edges}} where wt > 20)")
+def _(t):
+    return G.doubtful_links(t("select distinct src, dst from {edges}"), t("edges"), t(ZONE), 1, 20, 4)
+
+
+@query("no_go_zone", f"with e as (select distinct src, dst from ({BRIDGES})), o as (select src id, 'R' side, dst read from e where src < 1000000 and dst >= 1000000 union select dst, 'L', src from e where dst < 1000000 and src >= 1000000), g as (select distinct src, dst from {{edges}}), d as (select id, 'R' side from (select distinct id from o) where id not in (select src from g) union all select id, 'L' from (select distinct id from o) where id not in (select dst from g)), s as (select d.id, d.side, x.id other, count(*) n from d join o a on a.id = d.id and a.side = d.side join o x on x.side = a.side and x.read = a.read and x.id <> a.id group by 1, 2, 3) select distinct other id, side from (select id, side, max_by(other, (n, other)) other from s group by 1, 2)")
+def _(t):
+    e = t(BRIDGES)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).where("id < 1000000").distinct()
+    return G.no_go_zone(e, t("edges"), nodes, 1000000)
+
+
+#: Every tenth customer is a contig, the others are reads.
+TENTH = "select case when src % 10 = 0 then cast(src / 10 as bigint) else src + 100000 end src, case when dst % 10 = 0 then cast(dst / 10 as bigint) else dst + 100000 end dst from {edges}"
+
+
+@query("sole_contig", f"with recursive e as (select distinct src, dst from ({TENTH})), r as (select src read, dst t from e where src >= 100000 union select r.read, e.dst from r join e on e.src = r.t where r.t >= 100000) select read, min(t) contig from r where t < 100000 group by read having count(distinct t) = 1")
+def _(t):
+    from .operators.resolve import sole_contig
+
+    return sole_contig(t(TENTH), 100000)
+
+
+#: Reads of one or two lines of an order: some hang on contigs of one repeat only.
+FEW = "select cast(l_suppkey % 25 * 100 + case when l_linenumber % 2 = 0 then 2 else 0 end as bigint) src, 1000000 + l_orderkey * 4 + l_linenumber % 4 dst from {lineitem} union all select 1000000 + l_orderkey * 4 + l_linenumber % 4, cast(l_suppkey % 25 * 100 + case when l_partkey % 2 = 0 then 4 else 6 end as bigint) from {lineitem}"
+
+
+@query("bridge_support_both_ways", f"with e as (select distinct src, dst from ({FEW})), a as (select rep_id, l, dst read from (select rep_id, unnest([i1, i2]) l from ({REPS})) join e on l = src), b as (select rep_id, r, src read from (select rep_id, unnest([o1, o2]) r from ({REPS})) join e on r = dst), a1 as (select rep_id, read, min(l) l from a group by 1, 2 having count(*) = 1), b1 as (select rep_id, read, min(r) r from b group by 1, 2 having count(*) = 1), u as (select read from (select dst read from e where src < 1000000 group by dst having count(*) = 1) join (select src read from e where dst < 1000000 group by src having count(*) = 1) using (read)) select rep_id, cast(l as bigint) l, cast(r as bigint) r, count(*) n from a1 join b1 using (rep_id, read) where read in (select read from u) group by 1, 2, 3 having count(*) >= 2")
+def _(t):
+    from .operators.resolve import bridge_match
+
+    return bridge_match(_repeats(t), t(FEW), 1000000, both_ways=True)
+
+
+@query("first_paths", f"with e as (select src, dst from {E}), a as ({AHEAD}), p as (select src, dst, [src, dst] path from a where (src, dst) in (select src, dst from e) union all select a.src, a.dst, [a.src, x.dst, a.dst] from a join e x on x.src = a.src join e y on y.src = x.dst and y.dst = a.dst where x.dst >= 500 and x.dst <> a.dst union all select a.src, a.dst, [a.src, x.dst, y.dst, a.dst] from a join e x on x.src = a.src join e y on y.src = x.dst join e z on z.src = y.dst and z.dst = a.dst where x.dst >= 500 and y.dst >= 500 and x.dst <> a.dst and y.dst <> a.dst) select src l, dst r, array_to_string(min(path), '-') path from p group by 1, 2")
+def _(t):
+    out = G.first_paths(t(AHEAD).select(c("src").alias("l"), c("dst").alias("r")), t("edges"), 500)
+    return out.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+
+
+BOTH = "select c_custkey rep_id, c_custkey % 60 * 4 a, c_custkey % 60 * 4 + 2 b, c_custkey % 12 * 6 + 2000 d, c_custkey % 12 * 6 + 2002 e, c_acctbal < 4500 back from {customer}"
+
+
+@query("one_strand_of_repeats", f"with p as (select rep_id, case when back then list_sort([xor(d, 1), xor(e, 1)]) else list_sort([a, b]) end i, case when back then list_sort([xor(a, 1), xor(b, 1)]) else list_sort([d, e]) end o from ({BOTH})), k as (select *, struct_pack(i := i, o := o) own, struct_pack(i := list_sort(list_transform(o, lambda x: xor(x, 1))), o := list_sort(list_transform(i, lambda x: xor(x, 1)))) other from p) select rep_id, array_to_string(i, ',') ins, array_to_string(o, ',') outs from (select *, row_number() over (partition by least(own, other) order by own > other, rep_id) n from k) where n = 1")
+def _(t):
+    from .operators.resolve import one_strand
+
+    rows = t(BOTH)
+    turn = lambda x: c(x).cast("long").bitwiseXOR(F.lit(1).cast("long"))
+    pick = lambda x, y: F.array_sort(F.array(x, y))
+    plain = lambda x: c(x).cast("long")
+    reps = rows.select("rep_id", F.when(c("back"), pick(turn("d"), turn("e"))).otherwise(pick(plain("a"), plain("b"))).alias("ins"), F.when(c("back"), pick(turn("a"), turn("b"))).otherwise(pick(plain("d"), plain("e"))).alias("outs"))
+    text = lambda k: F.array_join(F.transform(k, lambda x: x.cast("string")), ",").alias(k)
+    return one_strand(reps).select("rep_id", text("ins"), text("outs"))
+
+
+@query("separate_paths", "with p as (select distinct l_suppkey rep_id, l_partkey % 9 l, l_linenumber r from lineitem where l_returnflag = 'R') select rep_id, l1, r1, l2, r2 from (select a.rep_id, a.l l1, a.r r1, b.l l2, b.r r2, row_number() over (partition by a.rep_id order by a.l, a.r, b.l, b.r) n from p a join p b on a.rep_id = b.rep_id and a.l < b.l and a.r <> b.r) where n = 1")
+def _(t):
+    from .operators.resolve import separate_paths
+
+    return separate_paths(t("select l_suppkey rep_id, l_partkey % 9 l, l_linenumber r from {lineitem} where l_returnflag = 'R'"))
+
+
+@query("long_contig_edges", "with l as (select p_partkey idx, p_size len from part where p_size >= 25) select src, dst from {edges} where src // 2 <> dst // 2 and src // 2 in (select idx from l) and dst // 2 in (select idx from l)")
+def _(t):
+    from .operators.resolve import long_contig_edges
+
+    return long_contig_edges(t("edges"), t("select p_partkey idx, p_size len from {part}"), 25).select("src", "dst")
+
+
+@query("long_sequences", "select doc_id, length(text) > 1500 long from {lines}")
+def _(t):
+    long, short = S.by_length(t("lines").select("doc_id", c("text").alias("seq")), 1500)
+    return long.select("doc_id", F.lit(True).alias("long")).union(short.select("doc_id", F.lit(False)))
+
+
+@query("last_difference", "with p as (select o_orderkey, a, b, greatest(coalesce(list_max(list_filter(range(1, 8), lambda i: substr(a, i, 1) <> substr(b, i, 1))), 0) - 1, -1) d from (select o_orderkey, cast(1000000 + o_orderkey as varchar) a, cast(1000000 + o_custkey as varchar) b from orders)), q as (select *, greatest(d - 2, 0) s, greatest(least(d + 3, length(a)) - greatest(d - 2, 0), 0) n from p) select o_orderkey, substr(a, cast(s + 1 as int), cast(n as int)) x, substr(b, cast(s + 1 as int), cast(n as int)) y from q")
+def _(t):
+    rows = t("orders").select("o_orderkey", (c("o_orderkey") + 1000000).cast("string").alias("a"), (c("o_custkey") + 1000000).cast("string").alias("b"))
+    return rows.select("o_orderkey", S.around_last_difference("a", "b", 2).alias("k")).select("o_orderkey", c("k.a").alias("x"), c("k.b").alias("y"))
+
+
+@query("beside_run", "with p as (select o_orderkey, a, unnest(range(1, 8)) i from (select o_orderkey, cast(1000000 + o_custkey as varchar) a from orders)), q as (select *, substr(a, cast(i - 3 as int), 3) b, substr(a, cast(i + 1 as int), 3) f from p) select o_orderkey, cast(i as int) i from q where (i > 3 and length(replace(b, left(b, 1), '')) = 0) or (i + 3 <= length(a) and length(replace(f, left(f, 1), '')) = 0)")
+def _(t):
+    rows = t("orders").select("o_orderkey", (c("o_custkey") + 1000000).cast("string").alias("a")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return rows.where(S.beside_run("a", "i", 3)).select("o_orderkey", "i")
+
+
+@query("graph_report", "with e as (select c_custkey src, c_custkey + c_nationkey % 3 dst from customer union all select xor(c_custkey + 1, 1), xor(c_custkey, 1) from customer), d as (select distinct src, dst from e), n as (select c_custkey id from customer), x as (select src id from e union select dst from e) select (select count(*) from e) edges, (select count(*) from d where src = dst) loops, (select count(*) from e) - (select count(*) from d) repeated, (select count(*) from x where id not in (select id from n)) strange, (select count(*) from n where id not in (select id from x)) idle, (select count(*) from d where (xor(dst, 1), xor(src, 1)) not in (select src, dst from d)) one_sided")
+def _(t):
+    one = t("select c_custkey src, c_custkey + c_nationkey % 3 dst, c_custkey + 1 nxt from {customer}")
+    turned = one.select((c("nxt").bitwiseXOR(F.lit(1).cast("long"))).alias("src"), (c("src").bitwiseXOR(F.lit(1).cast("long"))).alias("dst"))
+    return G.report(one.select("src", "dst").union(turned), t("select c_custkey id from {customer}"))

@@ -100,3 +100,17 @@ def joined_pairs(nodes: DataFrame, stage: int, contigs: int) -> DataFrame:
     """(stage, src, dst): neighbouring members of each node, by name."""
     each = nodes.select(F.explode(F.arrays_zip(F.slice("members", F.lit(1), F.size("members") - 1).alias("a"), F.slice("members", F.lit(2), F.greatest(F.size("members") - 1, F.lit(0))).alias("b"))).alias("p"))
     return each.select(F.lit(stage).alias("stage"), name_of("p.a", contigs).alias("src"), name_of("p.b", contigs).alias("dst"))
+
+
+#: Tables of votes and of segments as CSV with a header.
+VOTES = "read string, pos long, kind string, offset int, base string, n long"
+SEGMENTS = "contig string, seg_idx int, total double, len int"
+
+
+def write_table(rows: DataFrame, path: str, schema: str = VOTES) -> None:
+    """The columns of schema as CSV with a header."""
+    rows.select(*(x.split()[0] for x in schema.split(", "))).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str = VOTES) -> DataFrame:
+    return spark.read.schema(schema).option("header", "true").csv(path)

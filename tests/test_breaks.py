@@ -6,6 +6,7 @@ from strandloom.operators import breaks as B
 from strandloom.schemas import BREAKPOINT
 
 ALN = "s1 int, e1 int, s2 int, e2 int, ref string, qry string, rep long"
+# Literal cases of the break model, here and in the tables of choices and clusters below.
 FIRST = (1001, 2001, 1001, 2001, "Contig1", "Contig2", 0)
 
 
