@@ -1,4 +1,4 @@
-"""Shared pieces of the training-data operators: words and hashes over whole Arrow buffers, shared folders, components.
+"""Shared pieces of the training-data operators: words and hashes over whole Arrow buffers, shared folders.
 
 Text is handled as UTF-8 bytes in numpy arrays, a bounded slice at a time, so that no
 Python code runs per byte or per word and a worker's memory does not depend on the batch.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from ..plans.runtime import shared_folder
 
 #: Bytes of text that are turned into arrays at once.
@@ -134,9 +136,23 @@ def materialised(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tidied = 0.0
+
+
+def tidy(spark: SparkSession, every: float = 5.0) -> None:
+    """Lets the driver's JVM collect what nothing refers to any more, once in so many seconds: with it Spark removes shuffle files and broadcasts of earlier
+    rounds from executors, which would else stay for as long as the driver's heap has room."""
+    global _tidied
+    if time.monotonic() - _tidied > every:
+        spark._jvm.System.gc()
+        release()
+        _tidied = time.monotonic()
+
+
 def release() -> None:
     """Gives memory that a Python worker has freed back to the system: workers are kept for later tasks, beside others."""
     gc.collect()
@@ -168,45 +184,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (a, b) of one partition as a star forest with the same components, a > b."""
-    for batch in batches:
-        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[: len(a)], at[len(a) :]
-        label = np.arange(len(nodes))
-        while True:  # minimum label with pointer jumping
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            while not np.array_equal(new, new[new]):
-                new = new[new]
-            if np.array_equal(new, label):
-                break
-            label = new
-        more = label != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[label[more]])], names=["a", "b"])
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for all nodes of edges (a long, b long); component is the smallest node reachable.
-
-    Partitions first shrink their edges to star forests. Then large-star and small-star
-    rounds alternate until nothing changes; each round's edges are materialised. A hot
-    node costs no skewed group: minima are pre-aggregated and joined back.
-    """
-    now = materialised(map_batches(edges.where("a <> b"), local_forest, "a long, b long").distinct())
-    state = None
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        now = materialised(small.distinct())
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.col("a") == F.col("b")).cast("int"))).first()
-        if new == state:
-            break
-        state = new
-    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    """(node, component) for all nodes of edges (a long, b long); component is the smallest node reachable."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "node")

@@ -32,7 +32,7 @@ from .anchors import Kind, coverage, prints, repeated_windows, runs, with_runs
 from .common import SEED, SLICE, U64, map_batches, mix, randoms, ranges, slice_hashes, text_slices, window_hashes, words
 
 #: Words of a text that are taken as one sequence; longer texts are handled in pieces that overlap by a window.
-PIECE = 1 << 22
+PIECE = 1 << 18
 #: Words from which on a symbol's length no longer counts, symbols that a window sees in a last round at most, distance of run rounds.
 LONG, FEW, RUNS = 8, 12, 6
 RUN, PAIR = randoms(2, 9) | U64(1)

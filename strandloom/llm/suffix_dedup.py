@@ -23,7 +23,7 @@ from .common import SEED, SLICE, U64, map_batches, mix, ranges, text_slices, win
 
 GRAM = 16
 #: Texts longer than this are handled in pieces that overlap by a window.
-PIECE = 1 << 23
+PIECE = 1 << 21
 LOW = U64((1 << 24) - 1)
 
 

@@ -24,7 +24,7 @@ TREES, DEPTH, RATE, LEAST_LEAF, BINS = 24, 3, 0.3, 5, 16
 BLOCK_FROM = 0.5
 RESULT = ("host", "path", "rule", "bad", "verdict")
 #: Words of hosts that label a URL as bad where no list of labelled URLs is given.
-BAD_WORDS = ("spam", "pills", "casino", "ads", "track", "win", "free", "xxx", "porn", "bet", "loan", "viagra", "malware", "phish")
+BAD_WORDS = ("spam", "pills", "casino", "ads", "track", "win", "free", "xxx", "porn", "bet", "loan", "viagra", "malware", "phish", "adult", "bets")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-."
 
 

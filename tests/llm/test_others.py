@@ -3,10 +3,12 @@ import hashlib
 import math
 import random
 import re
+import warnings
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strandloom.llm import bpe, mixing, quality_classifier, quality_rules, queries, url_filter, warc
 
@@ -261,6 +263,21 @@ def test_other_columns_stay(spark):
         assert len(got) == 3 and all(x[n] == n for x in got for n in inner) and sorted(x.page_id or 0 for x in got) == [0, 1, 1]
 
 
+def test_model_on_hosts_that_it_has_not_seen(spark):
+    """Fitted on URLs of one half of the hosts, the model finds the bad ones of the other half, which suffix shares alone can't tell apart."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    host = url_filter.split_url(F.col("url"))[0]
+    half = F.crc32(F.substring_index(host, ".", -3).cast("binary")) % 2
+    labelled = url_filter.labelled_urls(pages)
+    out = url_filter.judge(pages.where(half == 1), (), labelled=labelled.where(half == 0))
+    truth = url_filter.labelled_urls(pages.where(half == 1)).distinct()
+    got = out.join(truth.withColumnRenamed("bad", "label"), "url").groupBy("label", "verdict").count().collect()
+    n = {(x["label"], x.verdict): x["count"] for x in got}
+    assert n.get((1, "block"), 0) >= 20 and n.get((1, "allow"), 0) <= 0.1 * n[1, "block"] and n.get((0, "block"), 0) <= 0.02 * n[0, "allow"]
+    suffixes = out.groupBy(url_filter.suffix(F.col("host")).alias("s")).count().collect()
+    assert len(suffixes) <= 4  # each suffix has good hosts and bad ones
+
+
 def test_boosted_trees():
     r = random.Random(2)
     bins = [[r.randrange(8) for _ in range(600)] for _ in range(3)]
@@ -360,3 +377,30 @@ def test_pipeline(spark):
     assert not any(shared[:200] in x.text for x in seen[2].collect())
     assert seen[3].columns == docs.columns and 250 <= seen[3].count() <= 350
     assert corpus_pipeline.run(spark, path).count() == seen[4].count() == seen[3].count()
+
+
+def test_pipeline_on_hard_rows(spark):
+    """Null ids, texts and sources, empty texts, equal rows and a clashing column; then no rows at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    r = random.Random(4)
+    say = lambda k: " ".join("".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8))) for _ in range(k))
+    rows = [(i, say(50), "en", f"s{i % 2}", 0, "x") for i in range(40)]
+    rows += [rows[0], (None, rows[1][1], "en", "s0", 0, "x"), (None, None, None, None, None, None), (50, None, "en", None, 0, "x"), (51, "", "en", "s1", 0, "x")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, None, None)], "doc_id long, quality int, toxic int")
+    for data in (rows, []):
+        path = corpus_pipeline.shared_folder(spark)
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        now, seen = spark.read.parquet(f"{path}/documents.parquet"), []
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            for name, stage in corpus_pipeline.STAGES:
+                stage(spark, now, path).write.parquet(f"{path}/{name}")
+                now = spark.read.parquet(f"{path}/{name}")
+                seen.append(now)
+        kept = [x.doc_id for x in seen[1].collect()]
+        assert len(kept) == len([x for x in kept if x is not None and x < 40]) + sum(x is None or x >= 40 for x in kept) and kept.count(0) <= 1
+        assert seen[3].columns == spark.createDataFrame([], schema).columns
+        assert seen[4].count() == seen[3].count() and (data or not seen[4].count())
