@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import json
 import math
+import random
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000
-TREES, DEPTH, RATE, LEAST_LEAF, BINS = 24, 3, 0.3, 5, 16
+TREES, DEPTH, RATE, LEAST_LEAF, BINS, PART = 24, 3, 0.3, 3, 16, 0.5
 BLOCK_FROM = 0.5
 RESULT = ("host", "path", "rule", "bad", "verdict")
 #: Words of hosts that label a URL as bad where no list of labelled URLs is given.
@@ -82,28 +84,30 @@ def labelled_urls(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _cuts(values: list[float]) -> list[float]:
-    values = sorted(values)
-    out = sorted({values[len(values) * (k + 1) // BINS] for k in range(BINS - 1)}) if values else []
-    return [c for c in out if c > values[0]]
+    """Where bins begin, at equal steps through the distinct values, so that rare ones have a bin too."""
+    each = sorted(set(values))
+    return each[1:] if len(each) <= BINS else [each[len(each) * (k + 1) // BINS] for k in range(BINS - 1)]
 
 
-def grow(bins: list[list[int]], residual: list[float], hessian: list[float], rows: list[int], depth: int) -> dict:
-    """A tree on rows of binned features: {feature, bin, left, right} sends rows with bin < that to the left; or {value}."""
+def grow(bins: list[list[int]], residual: list[float], hessian: list[float], rows: list[int], depth: int, features: Sequence[int], mass: list[float], least: float) -> dict:
+    """A tree on rows of some binned features: {feature, bin, left, right} sends rows with bin < that to the left; or {value}. Each side of a split has the
+    least mass or more."""
     g, h = sum(residual[i] for i in rows), sum(hessian[i] for i in rows)
     best = (1e-6, None)
-    for f in range(len(bins) if depth else 0):
+    for f in features if depth else ():
         column = bins[f]
         sums: dict[int, list[float]] = {}
         for i in rows:
             s = sums.setdefault(column[i], [0.0, 0.0, 0])
             s[0] += residual[i]
             s[1] += hessian[i]
-            s[2] += 1
+            s[2] += mass[i]
+        whole = sum(s[2] for s in sums.values())
         a = b = n = 0.0
         order = sorted(sums)
         for k in order[:-1]:
             a, b, n = a + sums[k][0], b + sums[k][1], n + sums[k][2]
-            if min(n, len(rows) - n) >= LEAST_LEAF:
+            if min(n, whole - n) >= least - 1e-6:
                 gain = a * a / (b + 1) + (g - a) ** 2 / (h - b + 1) - g * g / (h + 1)
                 if gain > best[0]:
                     best = (gain, (f, k + 1))
@@ -112,13 +116,19 @@ def grow(bins: list[list[int]], residual: list[float], hessian: list[float], row
     f, k = best[1]
     left = [i for i in rows if bins[f][i] < k]
     right = [i for i in rows if bins[f][i] >= k]
-    return {"feature": f, "bin": k, "left": grow(bins, residual, hessian, left, depth - 1), "right": grow(bins, residual, hessian, right, depth - 1)}
+    return {"feature": f, "bin": k, "left": grow(bins, residual, hessian, left, depth - 1, features, mass, least), "right": grow(bins, residual, hessian, right, depth - 1, features, mass, least)}
 
 
-def boost(bins: list[list[int]], bad: list[int]) -> tuple[float, list[dict]]:
-    """Start and trees of a logistic model."""
+def boost(bins: list[list[int]], bad: list[int], mass: list[float] | None = None) -> tuple[float, list[dict]]:
+    """Start and trees of a logistic model of rows with a mass each (the weight is mass by its mean). Each tree sees a fixed choice of PART of the features, so that of features that tell the sample apart
+    equally well none decides alone."""
     n = len(bad)
-    mean = min(0.99, max(0.01, (sum(bad) + 0.5) / (n + 1)))
+    mass = [1.0] * n if mass is None else mass
+    w = [x * n / sum(mass) for x in mass]
+    of_bad = sum(x for x, y in zip(mass, bad, strict=True) if y)
+    least = min(LEAST_LEAF, max(1.0, min(of_bad, sum(mass) - of_bad)))  # less where a class has less
+    mean = min(0.99, max(0.01, (sum(x * y for x, y in zip(w, bad, strict=True)) + 0.5) / (sum(w) + 1)))
+    rng = random.Random(17)
     start = math.log(mean / (1 - mean))
     score, trees = [start] * n, []
 
@@ -129,7 +139,8 @@ def boost(bins: list[list[int]], bad: list[int]) -> tuple[float, list[dict]]:
 
     for _ in range(TREES if n else 0):
         p = [1 / (1 + math.exp(-x)) for x in score]
-        tree = grow(bins, [y - q for y, q in zip(bad, p, strict=True)], [q * (1 - q) for q in p], list(range(n)), DEPTH)
+        some = sorted(rng.sample(range(len(bins)), max(1, round(PART * len(bins)))))
+        tree = grow(bins, [x * (y - q) for x, y, q in zip(w, bad, p, strict=True)], [x * q * (1 - q) for x, q in zip(w, p, strict=True)], list(range(n)), DEPTH, some, mass, least)
         trees.append(tree)
         score = [x + value(tree, i) for i, x in enumerate(score)]
     return start, trees
@@ -150,7 +161,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Dat
     host, path = split_url(F.col("url"))
     sample = sample.withColumn("host", host).withColumn("path", path)
     numbers = lexical(F.col("url"), F.col("host"), F.col("path"))
-    rows = sample.select("bad", suffix(F.col("host")).alias("suffix"), *(c.alias(k) for k, c in numbers.items())).collect()
+    rows = sample.select("bad", "host", suffix(F.col("host")).alias("suffix"), *(c.alias(k) for k, c in numbers.items())).collect()
     sums: dict[str, list[int]] = {}
     for r in rows:
         s = sums.setdefault(r["suffix"], [0, 0])
@@ -161,7 +172,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labelled: Dat
     values = [[r[k] for r in rows] for k in numbers] + [[shares[r["suffix"]] for r in rows]]
     cuts = [_cuts(v) for v in values]
     binned = [[sum(x >= c for c in cut) for x in v] for v, cut in zip(values, cuts, strict=True)]
-    start, trees = boost(binned, [int(r["bad"]) for r in rows])
+    # a host counts as much as another one, however many URLs of it there are, and no leaf is for one host
+    urls = Counter(r["host"] for r in rows)
+    start, trees = boost(binned, [int(r["bad"]) for r in rows], [1 / urls[r["host"]] for r in rows])
     known = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"s": k, "v": v} for k, v in sorted(shares.items())])), "array<struct<s: string, v: double>>")).alias("p")).select(F.col("p.s").alias("_s"), F.col("p.v").alias("_share"))
     others = [n for n in pages.columns if n not in RESULT]
     host, path = split_url(F.col("url"))
