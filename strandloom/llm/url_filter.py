@@ -63,7 +63,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "host_length": F.length(host).cast("double"),
         "depth": count(path, "/[^/]+"),
         "digit_ratio": count(text, "[0-9]") / long,
-        "entropy": entropy,
+        "entropy": F.round(entropy, 9),  # equal for the same letters in any order
         "parameters": count(query, "[^&]+"),
         "hyphens": count(host, "-"),
         "labels": count(host, r"[^.]+"),

@@ -202,6 +202,36 @@ def test_quality_rules(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_verdicts_of_quality_rules(spark, tmp_path):
+    """The query's kept, row by row, against votes, rates and posteriors by plain code."""
+    import regex
+
+    folder = "/root/testdata/sf0.001"
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+    def votes(t):
+        w = brute.words(t)
+        n, chars, lines = max(1, len(w)), sum(map(len, w)), [y for y in t.split("\n") if brute.words(y)]
+        win = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        rep = sum(brute.covered(len(w), [k for k, v in enumerate(win) if win.count(v) > 1], 8))
+        dup, marks, symbols = len(lines) - len(set(lines)), len(regex.findall(r"[!?#*$%&]{2,}|\|", t)), len(re.findall(r"[#*$%&|<>]", t))
+        upper, letters = len(regex.findall(r"\p{Lu}", t)), len(regex.findall(r"\p{L}", t))
+        pick = lambda bad, good: -1 if bad else 1 if good else 0
+        v = (
+            pick(len(w) < 20, len(w) >= 60), pick(chars < 3 * n or chars > 12 * n, 4 * n <= chars <= 9 * n), pick(symbols * 10 > n, symbols * 50 <= n), pick(dup >= 3, dup == 0),
+            pick(100 * rep > 30 * n, 100 * rep <= 5 * n), pick(upper * 10 > letters * 4, upper * 10 <= letters), pick(marks * 20 > n, marks * 100 <= n),
+        )
+        return v, len(w) < 20 or 100 * rep > 30 * len(w)
+
+    seen = {i: votes(t) for i, t in texts.items()}
+    counts: dict = {}
+    for v, _ in seen.values():
+        counts[v] = counts.get(v, 0) + 1
+    good, rates = quality_rules.estimate(sorted(counts.items()))
+    got = {x.doc_id: (x.base_failed, x.kept) for x in queries.op7_quality_rules(spark, folder).collect()}
+    assert got == {i: (failed, not failed and quality_rules.posterior(v, good, rates) >= quality_rules.KEEP_FROM) for i, (v, failed) in seen.items()}
+
+
 def test_weak_supervision():
     """Rates of three rules that see a hidden class are found again."""
     r = random.Random(7)
@@ -230,6 +260,31 @@ def test_quality_classifier(spark):
     assert quality_classifier.classify(docs, labels.limit(0)).count() == len(rows)
 
 
+def test_scores_are_a_text_s_own(spark):
+    """A row's score depends on the model and its text alone, not on the rows that it is scored with, and a very long text has one too."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+    rows = ["", "a", "x " * 300_000, "é!? " * 50, "A|B\n" * 9] + ["".join(r.choice("ab c\nD1#") for _ in range(r.randint(0, 200))) for _ in range(60)]
+    model = np.array([r.uniform(-1, 1) for _ in range(276)]), np.zeros(276), np.ones(276)
+    score = lambda texts: np.concatenate([quality_classifier.scores(x, model) for _, _, x in quality_classifier.features(pa.array(texts, pa.string()))])
+    together, alone = score(rows), np.concatenate([score([t]) for t in rows])
+    assert np.allclose(together, alone, atol=1e-6) and len(together) == len(rows)
+
+
+def test_class_prior():
+    """The share of good rows among unlabelled ones is found from scores, whatever the share."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        n = int(3000 * share)
+        unlabelled = np.concatenate([rng.beta(8, 2, n), rng.beta(2, 8, 3000 - n)])
+        assert abs(quality_classifier.class_prior(rng.beta(8, 2, 3000), unlabelled) - share) < 0.08
+    assert quality_classifier.class_prior(np.zeros(0), np.zeros(3)) == 0.5
+
+
 def test_no_positive_labels(spark):
     import corpus_pipeline
 
@@ -263,6 +318,48 @@ def test_other_columns_stay(spark):
         assert len(got) == 3 and all(x[n] == n for x in got for n in inner) and sorted(x.page_id or 0 for x in got) == [0, 1, 1]
 
 
+def test_probabilities_of_the_fitted_model(spark, monkeypatch):
+    """op3's probability and verdict of each page, against plain code for features, bins and trees."""
+    folder, seen = "/root/testdata/sf0.01", {"cuts": []}
+    cuts, boost = url_filter._cuts, url_filter.boost
+    monkeypatch.setattr(url_filter, "_cuts", lambda v: seen["cuts"].append(cuts(v)) or seen["cuts"][-1])
+    monkeypatch.setattr(url_filter, "boost", lambda *a: seen.setdefault("model", boost(*a)))
+    got = queries.op3_url_filter(spark, folder).collect()
+    start, trees = seen["model"]
+    urls = {x.page_id: x.url for x in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()}
+    bad = re.compile("(^|[.-])(" + "|".join(url_filter.BAD_WORDS) + ")([.-]|$)")
+
+    def parts(url):
+        rest = (url or "").split("://", 1)
+        host = re.match(r"[^/?#]*", rest[1])[0] if len(rest) > 1 else ""
+        return brute.lower(host), re.match(r"[^/?#]*([^?#]*)", rest[1])[1] if len(rest) > 1 else ""
+
+    tail = lambda host: ".".join(host.split(".")[-2:])
+    labelled = [(tail(parts(u)[0]), int(bool(bad.search(parts(u)[0])))) for u in urls.values() if u and "://" in u]
+    base = (sum(y for _, y in labelled) + 1) / (len(labelled) + 2)
+    share = lambda s: (sum(y for t, y in labelled if t == s) + 10 * base) / (sum(t == s for t, _ in labelled) + 10) if any(t == s for t, _ in labelled) else base
+
+    def numbers(url):
+        host, text = parts(url)[0], url or ""
+        freq = [host.count(c) / max(1, len(host)) for c in url_filter.ALPHABET]
+        query = re.search(r"\?([^#]*)", text)
+        return [
+            len(text), len(host), len(re.findall(r"/[^/]+", parts(url)[1])), len(re.findall("[0-9]", text)) / max(1, len(text)), round(-sum(x * math.log2(x) for x in freq if x > 0), 9),
+            len(re.findall("[^&]+", query[1])) if query else 0, host.count("-"), len(re.findall(r"[^.]+", host)), max(map(len, host.split("."))), share(tail(host)),
+        ]
+
+    def value(tree, x):
+        while "value" not in tree:
+            tree = tree["left"] if x[tree["feature"]] < seen["cuts"][tree["feature"]][tree["bin"] - 1] - 1e-12 else tree["right"]
+        return tree["value"]
+
+    assert len(got) == len(urls)
+    for x in got:
+        p = 1 / (1 + math.exp(-start - sum(value(t, numbers(urls[x.page_id])) for t in trees)))
+        assert math.isclose(x.bad, p, abs_tol=1e-9), urls[x.page_id]
+        assert x.rule is not None or x.verdict == ("block" if p >= url_filter.BLOCK_FROM else "allow")
+
+
 def test_model_on_hosts_that_it_has_not_seen(spark):
     """Fitted on URLs of one half of the hosts, the model finds the bad ones of the other half, which suffix shares alone can't tell apart."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
