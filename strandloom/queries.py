@@ -962,3 +962,6 @@ def _(t):
     one = t("select c_custkey src, c_custkey + c_nationkey % 3 dst, c_custkey + 1 nxt from {customer}")
     turned = one.select((c("nxt").bitwiseXOR(F.lit(1).cast("long"))).alias("src"), (c("src").bitwiseXOR(F.lit(1).cast("long"))).alias("dst"))
     return G.report(one.select("src", "dst").union(turned), t("select c_custkey id from {customer}"))
+
+
+from . import queries_more  # noqa: E402, F401
