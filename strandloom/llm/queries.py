@@ -109,6 +109,11 @@ ORACLE: dict[str, str] = {
         e as (select a, b from p join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 80 * (u.n + v.n - c)),
         h as (select a, b from e union select b, a from e), r as (select a id, a r from h union select r.id, h.b from r join h on h.a = r.r), m as (select id, min(r) m from r group by id)
         select doc_id, cast(n as bigint) n_shingles, coalesce(m, doc_id) component_id, coalesce(m, doc_id) = doc_id kept from n left join m on id = doc_id""",
+    # at full recall, which the query tells
+    "op4_embedding_near_dedup": """with recursive v as (select vec_id, cast(embedding as double[]) x from embeddings), n as (select vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) l from v where x is not null and list_bool_and(list_transform(x, lambda y: y is not null and isfinite(y))) and list_sum(list_transform(x, lambda y: y * y)) > 0),
+        e as (select a.vec_id a, b.vec_id b from n a join n b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_dot_product(a.x, b.x) >= 0.9 * a.l * b.l),
+        r as (select a id, b r from e union select r.id, e.b from r join e on e.a = r.r), m as (select id, min(r) m from r group by id), c as (select a, count(*) n from e group by a)
+        select vec_id, coalesce(c.n, 0) n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept, case when exists (select 1 from e) then cast(1 as double) end recall from embeddings left join c on a = vec_id left join m on id = vec_id""",
     "op8_suffix_dedup": """with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
         b as (select doc_id, h, unnest(range(0, length(h) // 2)) i from d),
         s as (select doc_id, i, substr(h, 2 * i + 1, 2) x, case when 2 * i + 400 <= length(h) then md5(substr(h, 2 * i + 1, 400)) end k from b),
