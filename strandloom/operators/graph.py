@@ -83,24 +83,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Edges of a node from which it is joined by a broadcast: so many, or a share of all edges, so there are at most 2 * HEAVY_SHARE such nodes.
-HEAVY, HEAVY_SHARE = 1000, 10_000
+HEAVY, HEAVY_SHARE = 100_000, 10_000
 
 
 def _with_least(rows: DataFrame, edges: int, itself: bool) -> DataFrame:
     """rows (a, b) with m, the least b of a's rows (or a itself). Nodes with many rows, of which there are few, are joined by a broadcast."""
     least = F.least(F.min("b"), c("a")) if itself else F.min("b")
-    low = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
     many = max(HEAVY, edges // HEAVY_SHARE)
+    if edges < many:
+        return rows.join(rows.groupBy("a").agg(least.alias("m")), "a")
+    low = rows.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
     heavy = F.broadcast(low.where(c("n") >= many).drop("n"))
     return rows.join(heavy, "a").union(rows.join(heavy.select("a"), "a", "left_anti").join(low.where(c("n") < many).drop("n"), "a").select("a", "b", "m"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest node reachable in either direction. Edges are dealt by ranges of ids and shrunk to stars batch by
-    batch, which ends most chains; then large-star and small-star rounds until nothing changes. Minima are pre-aggregated
-    and joined back, so a hot node makes no large group, and those of the hottest are broadcast. A round's table goes when the next is written."""
-    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b")).distinct()
-    now = materialised(pairs.repartitionByRange("b").mapInArrow(_contract, "a long, b long"))
+def components(edges: DataFrame, ordered: bool = True) -> DataFrame:
+    """(id, component): the smallest node reachable in either direction. Edges are shrunk to stars batch by batch, dealt by ranges of ids before if
+    neighbours mostly have near ids (ordered), which ends most chains; then large-star and small-star rounds until nothing changes. Minima are
+    pre-aggregated and joined back, so a hot node makes no large group, and those of the hottest are broadcast. A round's table goes when the
+    next is written."""
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").cast("long").alias("a"), F.least("src", "dst").cast("long").alias("b"))
+    stars = lambda df: df.mapInArrow(_contract, "a long, b long")
+    now = materialised(stars(pairs.distinct().repartitionByRange("b")) if ordered else stars(pairs).distinct())
     loops = edges.where("src = dst").select(c("src").alias("id"), c("src").alias("component"))
     state = (now.count(),)
     while True:
