@@ -186,4 +186,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a long, b long); component is the smallest node reachable."""
-    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "node")
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), ordered=False).withColumnRenamed("id", "node")
