@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import group_count_test
+from ..plans.runtime import materialised
 from ..schemas import CLUSTER_APART, EXACT_CHOICES, HIDDEN_APART, MARK
 from .graph import components
 
@@ -46,7 +47,7 @@ def enclosed(points: DataFrame, width: int = 10_000) -> DataFrame:
 def with_hidden(points: DataFrame, apart: int = HIDDEN_APART, width: int = 10_000) -> DataFrame:
     """points and those that a copy has and the other copy lacks, projected on to the other one (mirrored if reversed). Projected points nearer than
     apart to the one before them or to the copy's end are dropped; of points at one place the first stays."""
-    inside = enclosed(points, width)
+    inside = materialised(enclosed(points, width))
     both = copies(points)
     other = both.select(c("rep").alias("in_rep"), (1 - c("copy")).alias("copy"), c("contig").alias("to"), c("lo").alias("to_lo"), c("hi").alias("to_hi"))
     has = inside.select("in_rep", (1 - c("copy")).alias("copy"), "rep", "cluster").distinct()
@@ -59,7 +60,7 @@ def with_hidden(points: DataFrame, apart: int = HIDDEN_APART, width: int = 10_00
     shown = shown.withColumn("far", far).where("far")
     new = shown.select(F.lit(None).cast("long").alias("key"), "rep", "endpt", "cluster", "contig", "loc")
     one = Window.partitionBy("contig", "loc").orderBy(c("key").isNull().desc(), "rep", "endpt", "cluster", "key")
-    every = points.unionByName(new.distinct()).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n")
+    every = materialised(points.unionByName(new.distinct()).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n"))
     # new keys follow the largest given one: per contig counts first, so no window holds all rows
     fresh = every.where("key is null")
     per = fresh.groupBy("contig").agg(F.count("*").alias("k"))
@@ -114,8 +115,8 @@ def non_repeat(pairs: DataFrame) -> DataFrame:
 def choices(points: DataFrame) -> DataFrame:
     """Candidate cuts (choice_id, option 0 or 1, keys): pairs of clusters that are neighbours somewhere, and on either side of which
     several clusters follow or a stretch outside of repeats, with several on one side at least. One has to cut all keys of an option."""
-    pairs = neighbours(points)
-    free = non_repeat(pairs)
+    pairs = materialised(neighbours(points))
+    free = materialised(non_repeat(pairs))
     inner = pairs.where("ki is not null and ko is not null")
     rev = inner.select(c("ko").alias("ki"), c("ki").alias("ko"), c("co").alias("ci"), c("ci").alias("co"), c("next").alias("prev"), c("prev").alias("next"))
     both = inner.select("ki", "ko", "ci", "co", "prev", "next").union(rev)
@@ -160,10 +161,8 @@ def marks(keys: DataFrame, points: DataFrame, width: int = MARK) -> DataFrame:
 
 def break_intervals(aln: DataFrame) -> DataFrame:
     """From repeat alignments (with rep) to break intervals."""
-    from ..plans.runtime import materialised
-
-    points = materialised(clustered(with_hidden(natural(aln))))
-    return marks(cuts(choices(points)), points)
+    points = materialised(clustered(materialised(with_hidden(natural(aln)))))
+    return marks(cuts(materialised(choices(points))), points)
 
 
 def _test(alpha: float) -> Callable:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import twin
-from ..plans.runtime import materialised
+from ..plans.runtime import added, materialised
 
 c = F.col
 
@@ -182,15 +182,13 @@ def reach_through_reads(edges: DataFrame, contigs: int | Column) -> DataFrame:
     """Edges src to dst between contigs (below `contigs`) with a direct edge or a way through reads only."""
     limit = F.lit(contigs)
     step = materialised(edges.select("src", "dst").distinct())
-    seen = materialised(step.where(c("src") < limit))
-    front = seen
+    front, seen = added(step.where(c("src") < limit))
     through = step.where(c("src") >= limit).select(c("src").alias("m"), c("dst").alias("n"))
     while True:
         new = front.where(c("dst") >= limit).join(through, c("dst") == c("m")).select("src", c("n").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
-        front = materialised(new)
+        front, seen = added(new, seen)
         if not front.limit(1).count():
             break
-        seen = materialised(seen.union(front))
     return seen.where(c("dst") < limit).where("src <> dst")
 
 
@@ -199,18 +197,17 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = No
     smallest. Nodes that can't be reached have no row. through: only nodes that fulfil it (a condition on id) are passed on from.
     wanted: (source, id) to be reached; a source without any that is still missing is searched no further."""
     step = edges.select(c("src").alias("m"), c("dst").alias("n")).distinct()
-    seen = materialised(sources.select(c("id").alias("source"), c("id"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent")))
-    front = seen
+    row = lambda source, id, dist, parent: [c(source).cast("long").alias("source"), c(id).cast("long").alias("id"), F.lit(dist).alias("dist"), parent.cast("long").alias("parent")]
+    front, seen = added(sources.select(*row("id", "id", 0, F.lit(None))))
     for k in count(1) if rounds is None else range(1, rounds + 1):
         go = front if through is None or k == 1 else front.where(through)
         if wanted is not None:
             missing = wanted.select("source", "id").join(seen.select("source", "id"), ["source", "id"], "left_anti")
             go = go.join(missing.select("source").distinct(), "source", "left_semi")
         new = go.join(step, go["id"] == step["m"]).groupBy("source", c("n").alias("id")).agg(F.min("m").alias("parent")).join(seen.select("source", "id"), ["source", "id"], "left_anti")
-        front = materialised(new.select("source", "id", F.lit(k).alias("dist"), "parent"))
+        front, seen = added(new.select(*row("source", "id", k, c("parent"))), seen)
         if not front.limit(1).count():
             break
-        seen = materialised(seen.union(front))
     return seen
 
 

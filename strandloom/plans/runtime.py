@@ -58,6 +58,18 @@ def materialised(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def added(df: DataFrame, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """df written beside what a table that this gave before holds: df read again, and the table with it. What is known is not written again, so the rounds
+    of a search write what they find."""
+    spark = df.sparkSession
+    folder = shared_folder(spark) if table is None else table._folder
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    every = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(folder)
+    every._folder = folder
+    return spark.read.schema(df.schema).parquet(path), every
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder wherever Spark can write."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
