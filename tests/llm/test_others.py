@@ -294,6 +294,8 @@ def test_no_positive_labels(spark):
     with pytest.warns(UserWarning, match="labelled 1"):
         assert {x.predicted for x in quality_classifier.classify(docs, spark.read.parquet(f"{path}/labels.parquet")).collect()} == {None}
         assert corpus_pipeline.quality(spark, docs, path).count() == 20
+        docs.write.parquet(f"{path}/documents.parquet")
+        assert {(x.score, x.predicted) for x in queries.op5_quality_classifier(spark, path).collect()} == {(0.5, 0)}
 
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
