@@ -91,7 +91,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import rearranged, restored
+
+    out = rearranged(table(spark, sf_dir, "documents").select("doc_id", "text"), units="lines", seed=7, rate=100, spm=50)
+    digest = lambda x: F.sha2(F.encode(x, "utf-8"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc, op11_fill_middle)}
 
 #: DuckDB SQL of the queries whose whole result the contract fixes.
 WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
@@ -126,4 +134,11 @@ ORACLE: dict[str, str] = {
     "op10_warc": """with p as (select page_id, coalesce(html, '') b from pages), s as (select page_id, cast(strlen(b) as bigint) n, sha1(b) h, max(page_id) over (partition by b) m from p),
         t as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, cast(5 * (i // 4) + 1 as int), 5) as int) >> cast(15 - 5 * (i % 4) as int)) & 31 as int) + 1, 1)), '') digest from s)
         select page_id, n payload_bytes, digest payload_digest, case when page_id = m then 'response' else 'revisit' end record_type, case when page_id <> m then m end refers_to from t""",
+    "op11_fill_middle": r"""with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) x from documents),
+        u as (select *, coalesce(regexp_extract_all(t, '[^\n]*\n|[^\n]+'), []) l, list_transform([0, 1, 2, 3], lambda i: cast('0x' || substr(x, cast(8 * i + 1 as int), 8) as bigint)) h from d),
+        c as (select *, len(l) n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end form from u),
+        p as (select *, array_to_string(list_slice(l, 1, a), '') pre, array_to_string(list_slice(l, a + 1, b), '') mid, array_to_string(list_slice(l, b + 1, n), '') suf from c)
+        select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(pre) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p""",
 }
