@@ -99,7 +99,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc, op11_fill_middle)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc, op11_fill_middle, op13_prefix_trie)}
 
 #: DuckDB SQL of the queries whose whole result the contract fixes.
 WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
@@ -141,4 +147,20 @@ ORACLE: dict[str, str] = {
         p as (select *, array_to_string(list_slice(l, 1, a), '') pre, array_to_string(list_slice(l, a + 1, b), '') mid, array_to_string(list_slice(l, b + 1, n), '') suf from c)
         select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(pre) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end middle_chars,
         sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p""",
+    # crc32 bit by bit; only its last two bits are asked for
+    "op13_prefix_trie": f"""with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) pos, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+        b as (select distinct c, list_transform(range(1, length(cast(c as varchar)) + 1), lambda i: [ascii(substr(cast(c as varchar), cast(i as int), 1)), -1, -1, -1, -1, -1, -1, -1, -1]) l from t),
+        h as (select c, c - c % 20 base, xor(list_reduce(list_prepend(4294967295, list_transform(flatten(l), lambda v: cast(v as bigint))), lambda a, v: case when v >= 0 then xor(a, v) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295) % 4 h from b),
+        own as (select c, pos, r, x, md5(r) || md5(x) s, cast(len({WORDS.format("x")}) as bigint) w from t),
+        k as (select h.c, h.h, count(own.pos) k from h left join own on own.c = h.base and own.pos <= h.h group by 1, 2),
+        u as (select h.c, own.pos depth, s, w from h join own on own.c = h.base and own.pos <= h.h union all select k.c, k.k + own.pos - k.h, s, w from k join own on own.c = k.c and own.pos > k.h),
+        p as (select c, depth, w, md5(string_agg(s, ' ') over (partition by c order by depth)) key from u),
+        e as (select c, 0 depth, 0 w, '' key from h union all select c, depth, w, key from p),
+        m as (select *, coalesce(lag(key) over (partition by c order by depth), '') up, depth = max(depth) over (partition by c) last from e),
+        n as (select depth, key, min(up) up, min(c) conv_id, count(*) n_convs, min(w) w, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (last), '') ends from m group by 1, 2),
+        ch as (select depth - 1 depth, up key, count(*) n_children from n where depth > 0 group by 1, 2),
+        v as (select n.*, coalesce(n_children, 0) n_children from n left join ch using (depth, key)),
+        s as (select m.depth, m.key, sum((v.n_convs - 1) * v.w) saved, count(*) filter (v.n_children = 0) leaves from v join m on m.c = v.conv_id and m.depth <= v.depth group by 1, 2)
+        select v.conv_id, cast(v.depth as bigint) depth, q.conv_id parent_conv_id, v.n_convs, v.n_children, s.leaves n_leaves, cast(s.saved as bigint) saved_tokens, sha256(v.ends) ends_sha256
+        from v join s using (depth, key) left join v q on q.depth = v.depth - 1 and q.key = v.up""",
 }
