@@ -99,13 +99,19 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored("output", "form")).alias("restored_sha256"))
 
 
+def op12_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hash_forest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import trie
 
     return trie(table(spark, sf_dir, "conversations"), family=20, heads=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc, op11_fill_middle, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_url_filter, op4_embedding_near_dedup, op5_quality_classifier, op6_source_mixing, op7_quality_rules, op8_suffix_dedup, op9_byte_bpe, op10_warc, op11_fill_middle, op12_hash_forest, op13_prefix_trie)}
 
 #: DuckDB SQL of the queries whose whole result the contract fixes.
 WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
@@ -147,6 +153,10 @@ ORACLE: dict[str, str] = {
         p as (select *, array_to_string(list_slice(l, 1, a), '') pre, array_to_string(list_slice(l, a + 1, b), '') mid, array_to_string(list_slice(l, b + 1, n), '') suf from c)
         select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(pre) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(mid) as bigint) end middle_chars,
         sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(t) restored_sha256 from p""",
+    # at full recall, which the query tells
+    "op12_hash_forest": """with v as (select vec_id, cast(embedding as double[]) x from embeddings), n as (select * from v where vec_id is not null and len(x) > 0 and list_bool_and(list_transform(x, lambda y: y is not null and isfinite(y))) and list_bool_or(list_transform(x, lambda y: y <> 0))),
+        p as (select a.vec_id query_id, b.vec_id, list_dot_product(a.x, b.x) score from n a join n b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 20 = 0)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) "rank", vec_id, score, cast(1 as double) recall from p qualify "rank" <= 20""",
     # crc32 bit by bit; only its last two bits are asked for
     "op13_prefix_trie": f"""with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) pos, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
         b as (select distinct c, list_transform(range(1, length(cast(c as varchar)) + 1), lambda i: [ascii(substr(cast(c as varchar), cast(i as int), 1)), -1, -1, -1, -1, -1, -1, -1, -1]) l from t),
