@@ -4,19 +4,20 @@
 2. Shards are made top down: a shard of more than SPLIT classes is split by centroids fitted on a bounded sample of its own (SAMPLE, by
    hash), FAN at most, and its classes are dealt in groups of ROUTED to be routed, so a shard may have any size and there may be any number of shards.
    Every class goes to the shards of its nearest centroids: OVERLAP of them, or as many more as it takes for a share of MEET of planted
-   pairs to meet in one. Planted pairs are sampled vectors that no centroid was fitted on, each with a partner at a cosine of
+   pairs to meet in one. A class that comes from several shards keeps as many of all its new ones, the nearest, so copies don't multiply from level to level. Planted pairs are sampled vectors that no centroid was fitted on, each with a partner at a cosine of
    exactly the threshold. A shard of more than LIMIT classes is dealt into blocks,
    and each pair of blocks is a cell of its own, so that no task holds an unbounded shard; shards that centroids can't split end so as well.
 3. In each cell every class gets the neighbours that robust pruning leaves of its nearest ones (found by a matrix product, which for so few
    vectors costs less than any search), and the reverse edges. The adjacency lists of a class from all its cells are united.
 4. In each cell all its classes search from the cell's medoids (the vector next to the mean, and ENTRIES - 1 that are far from each other): a greedy
    search with a beam, then expansion along edges
-   from vectors in range for as long as new ones are in range. Every hit is verified in double precision. A pair counts in one cell
+   from vectors in range for as long as new ones are in range. Every hit is verified in double precision. Rows within half the angle of the threshold of the medoid are all linked with one another,
+   so a cell of near copies counts them as a ball, without their pairs. A pair counts in one cell
    only, the first that both are in; counts and spanning links leave a task, never pairs.
 5. Recall is audited: classes by hash are compared with all others by brute force, AUDIT at first and then in growing blocks, until
    LINKED of them have links or AUDIT_MOST or a fiftieth of all classes (whichever is more) are done. Recall is the mean over audited classes
-   with links of the share found of each one's links; it is a column of the result (null if no audited class has a link). Below LEAST_RECALL the search is done again with twice the overlap; so
-   it is once if no audited class has a link, unless all classes were audited. If the last overlap does not reach it either, all pairs of every cell are compared.
+   with links of the share found of each one's links; it is a column of the result (null if no audited class has a link). Below LEAST_RECALL the search is done again with twice the overlap, AGAIN times at most, and then all classes are compared with all others, block
+   against block; so they are at once if no audited class has a link, unless all classes were audited. That is exact, and its recall is 1.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; so do vectors of different
 lengths. Rows with a null id take part but never name a component; rows that share an id are vectors of their own.
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, map_batches, materialised, shuffle_partitions, small_batches
@@ -46,6 +47,8 @@ ENTRIES = 8
 NEAREST, DEGREE, ALPHA, BEAM, STEPS = 64, 24, 1.2, 24, 48
 AUDIT, LINKED, AUDIT_MOST, AUDIT_BLOCK, LEAST_RECALL = 256, 200, 4096, 4096, 0.9
 PLANTED, MEET = 2000, 0.95
+#: Rows of a cell from which those around its medoid are linked as a ball.
+BALL = 64
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,19 +122,28 @@ def _fit(least: float, wanted: int) -> Callable:
 
 
 def _routed(rows: pa.Table, centres: pa.Table) -> pa.Table:
-    """Rows (shard, part, node, vec) of one part of a shard, once for each of its nearest children."""
-    empty = pa.table({"node": pa.array([], pa.int64()), "shard": pa.array([], pa.int64())})
+    """Rows (shard, part, node, vec) of one part of a shard, once for each of its nearest children, with the cosine of its centre."""
     if not len(rows) or not len(centres):
-        return empty
+        return pa.table({"node": pa.array([], pa.int64()), "parent": pa.array([], pa.int64()), "child": pa.array([], pa.int32()), "overlap": pa.array([], pa.int32()), "cosine": pa.array([], pa.float32())})
     centres = centres.sort_by("child")
     c, overlap, parent = matrix(centres.column("centre").combine_chunks()), centres.column("overlap")[0].as_py(), centres.column("shard")[0].as_py()
     x = matrix(rows.column("vec").combine_chunks())
     near = np.concatenate([np.argpartition(-(x[a : a + 2048] @ c.T), overlap - 1, 1)[:, :overlap] for a in range(0, len(x), 2048)]) if overlap < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-    return pa.table({"node": pa.array(np.repeat(rows.column("node").to_numpy(), near.shape[1])), "shard": pa.array(parent * FAN + 1 + near.ravel().astype(np.int64))})
+    n = near.size
+    cosine = np.concatenate([np.take_along_axis(x[a : a + 2048] @ c.T, near[a : a + 2048], 1) for a in range(0, len(x), 2048)])
+    return pa.table({
+        "node": pa.array(np.repeat(rows.column("node").to_numpy(), near.shape[1])), "parent": pa.array(np.full(n, parent)), "child": pa.array(near.ravel().astype(np.int32)),
+        "overlap": pa.array(np.full(n, overlap, np.int32)), "cosine": pa.array(cosine.ravel().astype(np.float32)),
+    })
+
+
+def named(parent: str, child: str) -> Column:
+    """The name of a shard's child."""
+    return F.xxhash64(parent, child)
 
 
 def shards(classes: DataFrame, least: float, overlap: int) -> DataFrame:
-    """(node, shard): the shards of each class (node, vec), several for most."""
+    """(node, shard): the shards of each class (node, vec), several for most. A shard is named by a hash of its parent and its number there, at any depth."""
     first = materialised(classes.select("node", (F.octet_length("vec") / 8).cast("long").alias("shard")))
     now, done = first, None
     given_up = None
@@ -150,15 +162,17 @@ def shards(classes: DataFrame, least: float, overlap: int) -> DataFrame:
         parts = F.ceil(F.col("size") / ROUTED).cast("int")
         dealt = rows.select("shard", F.pmod(F.xxhash64("node", F.lit(6)), parts).cast("int").alias("part"), "node", "vec")
         copies = centres.join(large, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("shard", "part", "child", "overlap", "centre")
-        routed = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_routed, "node long, shard long")
-        new = materialised(routed)
+        routed = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_routed, "node long, parent long, child int, overlap int, cosine float")
+        new = materialised(routed.withColumn("shard", named("parent", "child")))
         # shards of vectors that centroids can't tell apart stay as they are
-        child = new.groupBy("shard").agg(F.count("*").alias("n")).select(((F.col("shard") - 1) / FAN).cast("long").alias("parent"), "n")
+        child = new.groupBy("parent", "shard").agg(F.count("*").alias("n"))
         stuck = child.groupBy("parent").agg(F.max("n").alias("n")).join(large.withColumnRenamed("shard", "parent"), "parent").where(F.col("n") > F.col("size") * SHRINK).select(F.col("parent").alias("shard"))
         stuck = materialised(stuck)
         given_up = stuck if given_up is None else given_up.union(stuck)
         back = now.join(stuck, "shard").select("node", "shard")
-        kept = new.withColumn("parent", ((F.col("shard") - 1) / FAN).cast("long")).join(stuck.withColumnRenamed("shard", "parent"), "parent", "left_anti").select("node", "shard")
+        kept = new.join(stuck.withColumnRenamed("shard", "parent"), "parent", "left_anti")
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("cosine").desc(), "shard"))
+        kept = kept.withColumn("place", place).where("place <= overlap").select("node", "shard")
         now = materialised(back.union(kept))
 
 
@@ -252,15 +266,15 @@ def greedy(x: np.ndarray, table: np.ndarray, start: np.ndarray, queries: np.ndar
     return beam
 
 
-def range_search(x: np.ndarray, table: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, hit) with a cosine of least or more, found by expansion from what a greedy search reaches."""
+def range_search(x: np.ndarray, table: np.ndarray, least: float, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, hit) with a cosine of least or more for the rows asking, found by expansion from what a greedy search reaches."""
     f = x.astype(np.float32)
     start = medoids(f)
     links = np.zeros((len(x), len(x)), np.float32)
     u, k = np.nonzero(table >= 0)
     links[u, table[u, k]] = 1
-    for a in range(0, len(x), 256):
-        queries = np.arange(a, min(a + 256, len(x)))
+    for a in range(0, len(asking), 256):
+        queries = asking[a : a + 256]
         beam = greedy(f, table, start, queries)
         seen = np.zeros((len(queries), len(x)), bool)
         hit = np.zeros_like(seen)
@@ -280,10 +294,37 @@ def range_search(x: np.ndarray, table: np.ndarray, least: float) -> Iterator[tup
         yield queries[r[keep]], c[keep]
 
 
-def all_pairs(x: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for a in range(0, len(x), 256):
-        u, v = np.nonzero(x[a : a + 256] @ x.T >= least)
-        yield u[u + a != v] + a, v[u + a != v]
+def all_pairs(x: np.ndarray, least: float, asking: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a in range(0, len(asking), 256):
+        u, v = np.nonzero(x[asking[a : a + 256]] @ x.T >= least)
+        u = asking[a + u]
+        yield u[u != v], v[u != v]
+
+
+def ball(x: np.ndarray, least: float) -> np.ndarray:
+    """Whether a row is within half the angle of the threshold of the vector next to the mean: any two such rows are linked. All false if they are few."""
+    near = x @ x[int((x @ x.mean(0)).argmax())] >= np.cos(np.arccos(np.clip(least, -1, 1)) / 2) + 1e-9
+    return near if near.sum() >= BALL else np.zeros(len(x), bool)
+
+
+def first_common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least shard that both of each pair of lists (padded) hold."""
+    parts = len(p) // 65536 + 1
+    return np.concatenate([np.where((a[:, :, None] == b[:, None, :]).any(2), a, FAR).min(1) for a, b in zip(np.array_split(p, parts), np.array_split(q, parts), strict=True)])
+
+
+def ball_counts(member: np.ndarray, block: np.ndarray, rows: np.ndarray, shard: int, same_block: bool) -> np.ndarray:
+    """Numbers of linked rows among the members of a ball whose pairs count in this cell, by groups that have the same shards and block."""
+    kinds, of = np.unique(np.concatenate([member, block[:, None]], 1), axis=0, return_inverse=True)
+    of = of.ravel()
+    weight = np.bincount(of, rows, len(kinds)).astype(np.int64)
+    total, own = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), bool)
+    for g in range(len(kinds)):
+        ours = first_common(np.repeat(kinds[g : g + 1, :-1], len(kinds), 0), kinds[:, :-1]) == shard
+        if not same_block:
+            ours &= kinds[:, -1] != kinds[g, -1]
+        total[g], own[g] = weight[ours].sum(), ours[g]
+    return total[of] - np.where(own[of], rows, 0)
 
 
 FAR = np.iinfo(np.int64).max
@@ -321,17 +362,22 @@ def _search(least: float, every: bool = False) -> Callable:
                 table = np.full((n, max(1, int(size.max()))), -1, np.int64)
                 table[of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)] = to
                 count = np.zeros(n, np.int64)
-                us, vs = [], []
-                for u, v in all_pairs(x, least) if every else range_search(x, table, least):
+                dense = ball(x, least)
+                asking = np.flatnonzero(~dense)
+                us, vs = [asking[:0]], [asking[:0]]
+                for u, v in all_pairs(x, least, asking) if every else range_search(x, table, least, asking):
                     us.append(u), vs.append(v)
                 u, v = np.concatenate(us), np.concatenate(vs)
                 pair = np.unique(np.minimum(u, v) * n + np.maximum(u, v))
                 u, v = pair // n, pair % n
-                common = np.concatenate([np.where((member[p][:, :, None] == member[q][:, None, :]).any(2), member[p], FAR).min(1) for p, q in zip(np.array_split(u, len(u) // 65536 + 1), np.array_split(v, len(u) // 65536 + 1), strict=True)])
-                ours = (common == shard[a]) & ((i[a] == j[a]) | (block[a:b][u] != block[a:b][v]))
+                ours = (first_common(member[u], member[v]) == shard[a]) & ((i[a] == j[a]) | (block[a:b][u] != block[a:b][v]))
                 u, v = u[ours], v[ours]
                 np.add.at(count, u, rows[v])
                 np.add.at(count, v, rows[u])
+                held = np.flatnonzero(dense)
+                if len(held):
+                    count[held] += ball_counts(member[held], block[a:b][held], rows[held], int(shard[a]), bool(i[a] == j[a]))
+                    u, v = np.concatenate([u, np.full(len(held) - 1, held[0])]), np.concatenate([v, held[1:]])
                 label = forest(n, u, v)
                 some, more = np.flatnonzero(count), np.flatnonzero(label != np.arange(n))
                 yield pa.RecordBatch.from_arrays([
@@ -403,27 +449,32 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     total = classes.count()
     exact, everything = audit(classes, total, least)
     again, every = 0, False
+    cell = ["shard", "i", "j"]
     while True:
-        if not every:
-            member = materialised(shards(classes, least, overlap))
-            lists = member.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-            member = member.join(lists, "node").join(classes.select("node", "rows", "vec"), "node")
-            size = member.groupBy("shard").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
-            member = member.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            cells = member.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "vec", "rows", "shards")
-            cell = ["shard", "i", "j"]
+        # all classes of one length are one shard if all are compared
+        member = materialised(classes.select("node", (F.octet_length("vec") / 8).cast("long").alias("shard")) if every else shards(classes, least, overlap))
+        lists = member.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+        member = member.join(lists, "node").join(classes.select("node", "rows", "vec"), "node")
+        size = member.groupBy("shard").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
+        member = member.join(size, "shard").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = member.select("shard", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "vec", "rows", "shards")
+        if every:
+            joined = cells.withColumn("near", F.lit(None).cast("array<long>"))
+        else:
             cells = materialised(cells.repartition(parts, *cell))
             built = map_batches(cells.select(*cell, "block", "node", "vec").repartition(parts, *cell).sortWithinPartitions(*cell), _build, "node long, near array<long>")
             union = materialised(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-        searched = cells.join(union, "node", "left").select(*cell, "block", "node", "vec", "rows", "shards", "near").repartition(parts, *cell).sortWithinPartitions(*cell)
-        found = materialised(map_batches(searched, _search(least, every), "kind int, node long, value long"))
+            joined = cells.join(union, "node", "left").select(*cell, "block", "node", "vec", "rows", "shards", "near")
+        found = materialised(map_batches(joined.repartition(parts, *cell).sortWithinPartitions(*cell), _search(least, every), "kind int, node long, value long"))
         counts = found.where("kind = 0").groupBy("node").agg(F.sum("value").alias("n"))
         got = {r["node"]: r["n"] for r in counts.where(F.col("node").isin(list(exact))).collect()} if exact else {}
         recall = mean_recall(exact, got)
-        if every or (recall is not None and recall >= LEAST_RECALL) or (recall is None and (everything or again)):
+        if every or (recall is not None and recall >= LEAST_RECALL) or (recall is None and everything):
             break
-        every = again == AGAIN
+        every = recall is None or again == AGAIN
         again, overlap = again + 1, overlap * 2
+    if every and recall is None and counts.limit(1).count():
+        recall = 1.0
     links = found.where("kind = 1").select(F.col("node").alias("a"), F.col("value").alias("b"))
     joined = classes.select("node", "rows", "first").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = joined.groupBy("component").agg(F.min("first").alias("component_id"))

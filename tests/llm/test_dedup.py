@@ -284,14 +284,89 @@ def test_embedding_shards_that_nothing_splits(spark, monkeypatch):
     assert {r.recall for r in got} and got[0].recall >= 0.9 and len({r.component_id for r in got[:150]}) == 1
 
 
-def test_embedding_exact_way_out(spark, monkeypatch):
-    """If the search stays below the recall asked for, the pairs of all cells are compared."""
-    monkeypatch.setattr(embedding_dedup, "range_search", lambda x, table, least: iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
-    monkeypatch.setattr(embedding_dedup, "AGAIN", 0)
+def cosine_links(x, least=0.9):
+    """Numbers of links and least reachable rows, by brute force."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(1))
+        if (new == label).all():
+            return near.sum(1), label
+        label = new
+
+
+def embedding_rows(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def same_as_brute_force(got, x, least=0.9):
+    links, label = cosine_links(x, least)
+    rows = {r.vec_id: r for r in got}
+    assert [rows[i].n_links for i in range(len(x))] == links.tolist() and [rows[i].component_id for i in range(len(x))] == label.tolist()
+
+
+@pytest.mark.parametrize("why", ["recall", "no link seen"])
+def test_embedding_exact_way_out(spark, monkeypatch, why):
+    """If the search stays below the recall asked for, or recall can't be told, all classes are compared, also those that share no shard."""
+    for name, value in {"SHARD": 4, "FAN": 30, "SPLIT": 10, "LIMIT": 7, "AGAIN": 0, "PLANTED": 1, "MEET": 0.0, "OVERLAP": 1}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    monkeypatch.setattr(embedding_dedup, "range_search", lambda x, table, least, asking: iter([(np.zeros(0, np.int64), np.zeros(0, np.int64))]))
+    if why != "recall":
+        monkeypatch.setattr(embedding_dedup, "audit", lambda classes, total, least: ({}, False))
     rng = np.random.default_rng(4)
-    x = np.repeat(rng.normal(size=(30, 8)), 2, 0) + 1e-3 * rng.normal(size=(60, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    assert all(r.n_links >= 1 and r.recall == 1 and r.component_id == r.vec_id // 2 * 2 for r in embedding_dedup.near_duplicates(df).collect())
+    x = rng.normal(size=(90, 8))
+    got = embedding_dedup.near_duplicates(embedding_rows(spark, x), 0.6).collect()
+    assert cosine_links(x, 0.6)[0].sum() > 50 and {r.recall for r in got} == {1.0}
+    same_as_brute_force(got, x, 0.6)
+
+
+def test_embedding_depth(spark, monkeypatch):
+    """Shards of any depth have names of their own, and a vector has a bounded number of copies at all depths."""
+    for name, value in {"SHARD": 3, "FAN": 4, "SPLIT": 8, "LIMIT": 8, "SHRINK": 0.98, "WIDEST": 0.5}.items():
+        monkeypatch.setattr(embedding_dedup, name, value)
+    names = []
+    named = embedding_dedup.named
+    monkeypatch.setattr(embedding_dedup, "named", lambda *x: (names.append(x), named(*x))[1])
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 6))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(unit)], "node long, vec binary")
+    got = embedding_dedup.shards(classes, 0.95, 1).collect()
+    assert len(names) >= 4 and {r.node for r in got} == set(range(700)) and len({r.shard for r in got}) > 60
+    copies = np.bincount([r.node for r in got])
+    assert copies.max() <= 2 * len(names) and copies.mean() < 8
+
+
+def test_embedding_many_near_copies(spark):
+    """A shard of 20,000 near copies: no pair of them is enumerated, counts are exact."""
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=16) + 0.001 * rng.normal(size=(20_000, 16)), rng.normal(size=(300, 16))])
+    got = embedding_dedup.near_duplicates(embedding_rows(spark, x)).collect()
+    assert {r.recall for r in got} == {1.0}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert min(r.n_links for r in got if r.vec_id < 20_000) >= 19_999 and {r.component_id for r in got if r.vec_id < 20_000} == {0}
+    want = [int((unit @ unit[i] >= 0.9).sum()) - 1 for i in range(20_000, 20_300)]
+    assert [r.n_links for r in sorted(got) if r.vec_id >= 20_000] == want
+
+
+def test_embeddings_of_the_tables_at_a_lower_threshold(spark):
+    """The given tables have no pair at 0.9; at 0.4 they have links, which are the same as by brute force."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()], float)
+    assert cosine_links(x, 0.4)[0].sum() > 100
+    same_as_brute_force(embedding_dedup.near_duplicates(df, 0.4).collect(), x, 0.4)
+
+
+def test_ball_counts():
+    """Pairs of a ball count in their first common shard, and between blocks only where the cell is one of two blocks."""
+    far = embedding_dedup.FAR
+    member, block, rows = np.array([[1, 5], [1, 5], [5, far], [5, far], [3, 5]]), np.array([0, 1, 0, 1, 1]), np.array([1, 2, 3, 4, 5])
+    pair = lambda u, v, apart: min(set(member[u]) & set(member[v])) == 5 and (not apart or block[u] != block[v])
+    for apart in (False, True):
+        want = [sum(int(rows[v]) for v in range(5) if u != v and pair(u, v, apart)) for u in range(5)]
+        assert embedding_dedup.ball_counts(member, block, rows, 5, not apart).tolist() == want
 
 
 def test_embedding_audit(spark, monkeypatch):
