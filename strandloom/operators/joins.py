@@ -1,4 +1,4 @@
-"""Joins: as-of, band, stab and two-hop joins, suffix-prefix overlap, and the similarity join of sequences."""
+"""Joins: as-of, band, stab and two-hop joins, suffix-prefix overlap, k-mers; the similarity join of sequences is in similarity.py."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.sequence import reverse_complement, twin
+from ..functions.sequence import twin
 from ..schemas import OVERLAP_CLIP, OVERLAP_END
+from .similarity import align  # noqa: F401
 
 c = F.col
 
@@ -136,7 +137,7 @@ def exact_overlap(a: Column, b: Column, most: int) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.coalesce(F.array_max(sizes), F.lit(0))).otherwise(0)
 
 
-# similarity join
+# k-mers
 
 
 def _kmers(k: int, step: int) -> Callable:
@@ -169,42 +170,3 @@ def seeds(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
     if k > 31:
         raise ValueError("k is at most 31")
     return seqs.select("name", "seq").mapInPandas(_kmers(k, step), "name string, pos int, kmer long")
-
-
-def align(refs: DataFrame, queries: DataFrame, k: int = 20, gap: int = 100, least: int = 40, drift: int = 30) -> DataFrame:
-    """Alignment rows of queries on refs, both strands: the similarity join.
-
-    Seeds are joined on k-mers (both sides shuffle on the k-mer), grouped by strand and pair, chained by gaps and
-    islands on diagonal and place, and each chain is one row: its extent, and as identity the
-    share of its span that seeds cover. Each k-mer of refs is indexed, every one of queries looked up; k-mers that are frequent
-    are kept, as their seeds are dealt by pair after the join.
-    """
-    r = seeds(refs, k).select(c("name").alias("ref"), c("pos").alias("p1"), "kmer")
-    forward = seeds(queries, k).withColumn("strand", F.lit("p"))
-    turned = queries.select("name", reverse_complement("seq").alias("seq"), F.length("seq").alias("len"))
-    back = seeds(turned.select("name", "seq"), k).withColumn("strand", F.lit("d"))
-    q = forward.union(back).select(c("name").alias("qry"), c("pos").alias("p2"), "kmer", "strand")
-    hits = r.join(q, "kmer").select("ref", "qry", "strand", "p1", "p2", (c("p1") - c("p2")).alias("diag"))
-    # runs of adjacent seeds on one diagonal first: maximal exact matches
-    d = Window.partitionBy("ref", "qry", "strand", "diag").orderBy("p1")
-    marked = hits.withColumn("new", F.coalesce(c("p1") - F.lag("p1").over(d) > 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(d))
-    exact = marked.groupBy("ref", "qry", "strand", "diag", "run").agg(F.min("p1").alias("a1"), (F.max("p1") + k).alias("b1"))
-    exact = exact.withColumn("a2", c("a1") - c("diag")).withColumn("b2", c("b1") - c("diag"))
-    # exact matches whose diagonals are near, in order of place: chains
-    band = Window.partitionBy("ref", "qry", "strand").orderBy("diag")
-    exact = exact.withColumn("shift", (F.coalesce(c("diag") - F.lag("diag").over(band), F.lit(0)) > drift).cast("int"))
-    exact = exact.withColumn("band", F.sum("shift").over(band.rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("ref", "qry", "strand", "band").orderBy("a1", "b1")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    exact = exact.withColumn("new", F.coalesce(c("a1") > F.max("b1").over(before) + gap, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(w))
-    exact = exact.withColumn("cover", F.greatest(F.lit(0), c("b1") - F.greatest(c("a1"), F.coalesce(F.max("b1").over(before), c("a1")))))
-    rows = exact.groupBy("ref", "qry", "strand", "band", "chain").agg(F.min("a1").alias("a1"), F.max("b1").alias("b1"), F.min("a2").alias("a2"), F.max("b2").alias("b2"), F.sum("cover").alias("cover"))
-    rows = rows.where(c("b1") - c("a1") >= least).join(queries.select(c("name").alias("qry"), F.length("seq").alias("lq")), "qry")
-    p = c("strand") == "p"
-    idy = F.round(F.least(F.lit(100.0), c("cover") * 100.0 / (c("b1") - c("a1"))), 2)
-    return rows.select(
-        (c("a1") + 1).cast("int").alias("s1"), c("b1").cast("int").alias("e1"),
-        F.when(p, c("a2") + 1).otherwise(c("lq") - c("a2")).cast("int").alias("s2"), F.when(p, c("b2")).otherwise(c("lq") - c("b2") + 1).cast("int").alias("e2"),
-        (c("b1") - c("a1")).cast("int").alias("len1"), (c("b2") - c("a2")).cast("int").alias("len2"), idy.alias("idy"), "ref", "qry",
-    )
-

@@ -20,6 +20,7 @@ from .operators import breaks as B
 from .operators import graph as G
 from .operators import intervals as I
 from .operators import joins as J
+from .operators.similarity import maximal_matches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -436,13 +437,40 @@ def _(t):
     return J.seeds(rows, 12).select(c("name").cast("long").alias("name"), "pos", letters.alias("kmer"))
 
 
+LETTERS = "regexp_replace(translate(lower(text), 'etaoinsrhldcu', 'ACGTACGTACGTA'), '[^ACGT]', '', 'g')"
+#: All k-mers of items and of documents on both strands, joined; runs of neighbours on a diagonal are the maximal matches.
+MATCHES = f"""with s as (select 'Contig' || item_id name, {LETTERS} seq from benchmark), q as (select 'Read' || doc_id name, {LETTERS} seq from documents where text is not null),
+    d as (select name, 'p' strand, seq from q union all select name, 'd', translate(reverse(seq), 'ACGT', 'TGCA') from q),
+    r as (select name ref, p1, substr(seq, cast(p1 + 1 as int), 24) m from (select name, seq, unnest(range(0, length(seq) - 23)) p1 from s)),
+    t as (select name qry, strand, p2, substr(seq, cast(p2 + 1 as int), 24) m from (select name, strand, seq, unnest(range(0, length(seq) - 23)) p2 from d)),
+    h as (select ref, qry, strand, p1, p2, p1 - row_number() over (partition by ref, qry, strand, p1 - p2 order by p1) g from r join t using (m)),
+    x as (select ref, qry, strand, cast(min(p1) as int) a1, cast(max(p1) + 24 as int) b1, cast(min(p2) as int) a2, cast(max(p2) + 24 as int) b2 from h group by ref, qry, strand, p1 - p2, g)"""
+
+
+def _sequences(t):
+    """Benchmark items and documents, their letters read as bases."""
+    base = F.regexp_replace(F.translate(F.lower("text"), "etaoinsrhldcu", "ACGTACGTACGTA"), "[^ACGT]", "")
+    docs = t("lines").select(F.concat(F.lit("Read"), "doc_id").alias("name"), base.alias("seq"))
+    return t("benchmark").select(F.concat(F.lit("Contig"), "item_id").alias("name"), base.alias("seq")), docs
+
+
+@query("maximal_matches", MATCHES + " select * from x")
+def _(t):
+    """All maximal exact matches of 24 letters or more of all texts, on both strands."""
+    return maximal_matches(*_sequences(t), k=24)
+
+
+@query("match_totals", MATCHES + " select ref, strand, count(*) n, cast(sum(b1 - a1) as bigint) letters, cast(max(b1 - a1) as int) longest from x group by ref, strand")
+def _(t):
+    """What each item has in common with all documents."""
+    size = c("b1") - c("a1")
+    return maximal_matches(*_sequences(t), k=24).groupBy("ref", "strand").agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("letters"), F.max(size).alias("longest"))
+
+
 @query("seed_join")
 def _(t):
     """The similarity join on all texts, their letters read as bases."""
-    base = F.regexp_replace(F.translate(F.lower("text"), "etaoinsrhldcu", "ACGTACGTACGTA"), "[^ACGT]", "")
-    docs = t("lines").select(F.concat(F.lit("Read"), "doc_id").alias("name"), base.alias("seq"))
-    items = t("benchmark").select(F.concat(F.lit("Contig"), "item_id").alias("name"), base.alias("seq"))
-    return J.align(items, docs, k=24, least=40)
+    return J.align(*_sequences(t), k=24, least=40)
 
 
 # graph
