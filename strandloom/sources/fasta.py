@@ -1,4 +1,4 @@
-"""FASTA as a DataFrame source and sink. Files are split at '>' by the text reader, so large files are read in parallel."""
+"""FASTA as a DataFrame source and sink. Files are split at each '>' that begins a line by the text reader, so large files are read in parallel."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ c = F.col
 def read(spark: SparkSession, path: str, set_id: str = "", full_header: bool = False) -> DataFrame:
     """set_id, seq_idx (in order of files and places), name (first token of the header, or all of it), seq, len. Blank lines are
     skipped, records without a sequence kept with length 0."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", c("_metadata.file_path").alias("_f"), c("_metadata.file_block_start").alias("_s"))
-    raw = raw.withColumn("_i", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", c("_metadata.file_path").alias("_f"), c("_metadata.file_block_start").alias("_s"))
+    raw = raw.withColumn("_i", F.monotonically_increasing_id())
+    # the first record of a file has its '>' still; what stands before a file's first '>' is no record
+    first = (c("_s") == 0) & (c("_i") == F.min("_i").over(Window.partitionBy("_f", "_s")))
+    raw = raw.withColumn("_1", first).where(~c("_1") | F.startswith("value", F.lit(">"))).withColumn("value", F.when(c("_1"), F.substr("value", F.lit(2))).otherwise(c("value")))
+    raw = raw.where(F.trim("value") != "")
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     name = F.trim(head) if full_header else F.regexp_extract(F.trim(head), r"^(\S*)", 1)
     seq = F.regexp_replace(F.substr("value", F.length(head) + 2), r"\s", "")

@@ -29,6 +29,36 @@ def test_many_files_keep_order(spark, tmp_path):
     assert [r.name for r in rows] == [f"s{i}_{j}" for i in range(5) for j in range(20)]
 
 
+def plain_fasta(text):
+    out = []
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if line.startswith(">"):
+            out.append([line[1:].strip().split(" ")[0].split("\t")[0], ""])
+        elif out:
+            out[-1][1] += "".join(line.split())
+    return [(n, s) for n, s in out]
+
+
+def test_records_begin_at_lines_only(spark, tmp_path):
+    """'>' within a header, line ends of two characters, text before the first record, over several partitions of a file."""
+    parts = [f">read{i} 5'->3' end >x\r\n" + "ACGT\r\n" * (i % 7) + ("AC GT\r\n\r\n" if i % 3 else "") for i in range(400)]
+    (tmp_path / "a.fa").write_bytes("".join(parts).encode())
+    (tmp_path / "b.fa").write_bytes(b"; a comment\nACGT\n>first >>second\nAC\n>>odd\nGG\n>last")
+    (tmp_path / "c.fa").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for name in "abc":
+            rows = fasta.read(spark, f"file://{tmp_path}/{name}.fa").orderBy("seq_idx").collect()
+            assert [(r.name, r.seq) for r in rows] == plain_fasta((tmp_path / f"{name}.fa").read_bytes().decode())
+            assert [r.seq_idx for r in rows] == list(range(len(rows)))
+        assert spark.read.text(f"file://{tmp_path}/a.fa").rdd.getNumPartitions() > 2
+        both = fasta.read(spark, f"file://{tmp_path}/*.fa").orderBy("seq_idx").collect()
+        assert [r.name for r in both] == [f"read{i}" for i in range(400)] + ["first", ">odd", "last"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_alignments(spark, tmp_path):
     text = "header\nsecond\n\n    [S1]     [E1]  |\n=====\n       1     1000  |     1000        1  |     1000     1000  |    99.50  | Contig1\tRead2\n"
     (tmp_path / "x.coords").write_text(text)
