@@ -4,8 +4,8 @@ Seeds are minimizers: of each `w` consecutive s-mers the one with the least hash
 seed in it. A seed carries the w letters before and behind it, 2 bits each: its match reaches no farther than that without holding the next seed, so a match is the union of its seeds'
 stretches on one diagonal and no sequence is read again. All maximal exact matches of k letters or more come out, and no others.
 
-A seed that is frequent on both sides (OFTEN pairs or more) isn't joined on its s letters but on each whole window of k letters that chose it, so every pair that is made
-belongs to a match in the result; nothing is left out.
+A seed that refs have more than OFTEN times isn't joined on its s letters but on each whole window of k letters that chose it, so every pair that is made
+belongs to a match in the result, and other seeds make OFTEN pairs for each of the queries' at most; nothing is left out.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from ..functions.sequence import reverse_complement
 from ..plans.runtime import materialised
 
 c = F.col
-#: Letters that are turned into seeds at once, and pairs of one seed from which whole windows are joined.
-PIECE, OFTEN = 1 << 20, 10_000
+#: Letters that are turned into seeds at once, and places of a seed in refs above which whole windows are joined.
+PIECE, OFTEN = 1 << 20, 64
 CODE = np.full(256, 4, np.uint8)
 CODE[list(b"ACGT")] = range(4)
 
@@ -127,15 +127,13 @@ def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bo
     for d, side in zip(strands, sides, strict=True):
         one = sketch(side, k).select(c("name").alias("qry"), c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"), F.lit(d).alias("strand"))
         q = one if q is None else q.union(one)
-    q = materialised(q)
-    times = r.groupBy("mer").agg(F.count("*").alias("n"))
-    if unique:
-        r = r.join(times.where("n > 1"), "mer", "left_anti")
-    often = times.join(q.groupBy("mer").agg(F.count("*").alias("m")), "mer").where(c("n") * c("m") >= OFTEN).select("mer")
-    often = materialised(often)
-    if unique or not often.limit(1).count():
+    often = materialised(r.groupBy("mer").agg(F.count("*").alias("n")).where(c("n") > (1 if unique else OFTEN)).select("mer"))
+    if not often.limit(1).count():
         hits = r.join(q, "mer")
+    elif unique:
+        hits = r.join(often, "mer", "left_anti").join(q, "mer")
     else:
+        q = materialised(q)
         hits = r.join(often, "mer", "left_anti").join(q, "mer")
         wr = _windows(r.join(often, "mer", "left_semi"), s, w, "nl1", "nr1", "l1", "r1")
         wq = _windows(q.join(often, "mer", "left_semi"), s, w, "nl2", "nr2", "l2", "r2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import twin
 from ..operators import aggregates as A
+from ..operators import em
 from ..operators import graph as G
 from ..operators import intervals as I
 from ..operators import joins as J
@@ -54,6 +55,24 @@ def inherited(aln: DataFrame, edges: DataFrame, contigs: int, end: int = DOVETAI
     return edges.select("src", "dst", "wt").union(more).groupBy("src", "dst").agg(F.max("wt").alias("wt"))
 
 
+def reads_of_repeats(repeats: DataFrame, edges: DataFrame, contigs: int) -> DataFrame:
+    """(rep_id, id): read nodes that overlap an in or an out of a repeat on the side of the repeat."""
+    ins, outs = repeats.select("rep_id", F.explode("ins").alias("src")), repeats.select("rep_id", F.explode("outs").alias("dst"))
+    behind = edges.where((c("src") < contigs) & (c("dst") >= contigs)).join(ins, "src").select("rep_id", c("dst").alias("id"))
+    before = edges.where((c("dst") < contigs) & (c("src") >= contigs)).join(outs, "dst").select("rep_id", c("src").alias("id"))
+    return behind.union(before).distinct()
+
+
+def em_match(repeats: DataFrame, edges: DataFrame, contigs: int, seqs: DataFrame, depth: DataFrame) -> DataFrame:
+    """(rep_id, l, r) that reads decide by expectation-maximisation. seqs (id, seq): oriented contigs and reads. What lies between an in and an out is the shortest way through
+    reads; pairs without one are no templates. A repeat is taken on one strand, as the other has the same reads."""
+    repeats = materialised(R.one_strand(repeats))
+    pairs = em.every_pair(repeats)
+    middles = materialised(R.gap_contents(R.paths_between(materialised(pairs.select("l", "r").distinct()), edges, contigs), seqs))
+    reads = reads_of_repeats(repeats, edges, contigs).join(seqs, "id").select("rep_id", c("id").alias("read"), "seq")
+    return em.resolve_by_em(repeats, seqs.where(c("id") < contigs), middles, reads, depth)
+
+
 def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOptions(), k: int = 20) -> DataFrame:  # noqa: B008
     """Joined contigs (node, seq)."""
     con, rd = materialised(numbered(contigs, "Contig")), materialised(numbered(reads, "Read"))
@@ -72,6 +91,8 @@ def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOpt
             found.append(R.abundance_match(inner, node_depth, float(sd), options.AbunLower, options.AbunUpper))
         if options.BRB:
             found.append(R.bridge_match(inner, edges, n, int(options.BRThres), both_ways=True))
+        if options.EMB:
+            found.append(em_match(inner, edges, n, materialised(R.oriented(con).union(R.oriented(rd).select((c("id") + n).alias("id"), "seq"))), node_depth))
         if found:
             pairs = materialised(R.resolved_pairs(*found).select(c("l").alias("src"), c("r").alias("dst"), F.lit(0).alias("wt")))
             touched = inner.join(pairs, F.array_contains("ins", c("src")), "left_semi")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .functions import sequence as S
 from .functions.alignment import aligned, edit_distance
+from .functions.forward import alignment_sums
 from .operators import breaks as B
+from .operators import em
 from .operators import graph as G
 from .operators import joins as J
+from .operators import partial_order
 from .operators import phasing as H
 from .operators import resolve as R
 from .plans import evaluate
@@ -268,3 +271,74 @@ def _(t):
     k = c("o_orderkey")
     a = F.when(k % 3 == 0, "AC-GT-A").when(k % 3 == 1, "A--CGTA").otherwise("ACGTACG")
     return H.coordinate_map(t("orders").select("o_orderkey", a.alias("a1"), F.when(k % 2 == 0, "-CAGTCA").otherwise("A-CC-TA").alias("a2")), "o_orderkey")
+
+
+# expectation-maximisation and matchings
+
+#: Reads (orders) of repeats (suppliers) with two ins and two outs: log likelihoods by keys.
+READ_SCORES = """select cast(l_suppkey % 200 as bigint) rep_id, l, r, l_orderkey read, sum(l_quantity) bases, -0.05 * max((l_partkey * (l + 2) + l_orderkey * (r + 1)) % 61) ll from {lineitem}
+    join (select cast(0 as bigint) l union all select 2) x on true join (select cast(4 as bigint) r union all select 6) y on true group by 1, 2, 3, 4"""
+ROUNDS = 4
+
+
+def _rounds() -> str:
+    parts = [f"s as ({READ_SCORES})", "h0 as (select rep_id, l, r, 1.0 / count(*) over (partition by rep_id) share from (select distinct rep_id, l, r from s))"]
+    for k in range(ROUNDS):
+        parts += [
+            f"x{k} as (select s.*, s.ll + ln(share) x, max(s.ll + ln(share)) over (partition by rep_id, read) m from s join h{k} using (rep_id, l, r))",
+            f"g{k} as (select *, exp(x - m) / sum(exp(x - m)) over (partition by rep_id, read) e, bases * (m + ln(sum(exp(x - m)) over (partition by rep_id, read))) t, row_number() over (partition by rep_id, read order by l, r) f from x{k})",
+            f"w{k} as (select rep_id, l, r, sum(bases * e) weight, sum(case when f = 1 then t else 0 end) ll from g{k} group by 1, 2, 3)",
+            f"h{k + 1} as (select rep_id, l, r, weight, weight / sum(weight) over (partition by rep_id) share, sum(ll) over (partition by rep_id) ll from w{k})",
+        ]
+    return f"with {', '.join(parts)} select rep_id, l, r, round(weight, 4) weight, round(share, 6) share, round(ll, 2) ll from h{ROUNDS}"
+
+
+@query("em_shares", _rounds())
+def _(t):
+    """Rounds of expectation-maximisation over the pairs of all repeats at once."""
+    out = em.fitted(t(READ_SCORES), rounds=ROUNDS)
+    return out.select("rep_id", "l", "r", F.round("weight", 4).alias("weight"), F.round("share", 6).alias("share"), F.round("ll", 2).alias("ll"))
+
+
+#: Weights of three ins and outs of each customer's repeat.
+PAIR_WEIGHTS = """select c_custkey rep_id, l, r, cast((c_nationkey * (l + 3) + c_custkey * (r + 5) * (l + 1)) % 97 as double) weight from {customer}
+    join (select cast(0 as bigint) l union all select 1 union all select 2) x on true join (select cast(0 as bigint) r union all select 1 union all select 2) y on true"""
+
+
+@query("best_matchings", f"with w as ({PAIR_WEIGHTS}), p as (select a.rep_id, a.weight + b.weight + d.weight score from w a join w b on a.rep_id = b.rep_id and a.l = 0 and b.l = 1 and a.r <> b.r join w d on d.rep_id = a.rep_id and d.l = 2 and d.r <> a.r and d.r <> b.r), k as (select *, row_number() over (partition by rep_id order by score desc) - 1 n from p) select rep_id, cast(n as int) \"rank\", score from k where n < 2")
+def _(t):
+    """The two matchings of most weight of every repeat."""
+    return em.best_matchings(t(PAIR_WEIGHTS)).select("rep_id", "rank", "score").distinct()
+
+
+# sums over all alignments, consensus
+
+#: Two strings of digits of each customer.
+DIGITS = "select c_custkey id, cast(c_custkey * 7919 % 100000 as varchar(9)) a, cast(c_custkey * 104729 % 10000000 as varchar(9)) b from {customer}"
+ERR = 0.1
+
+
+@query("alignment_sums", f"""with recursive d as ({DIGITS}),
+    r as (select id, a, b, 0 i, list_transform(range(0, length(b) + 1), lambda j: cast(0 as double)) f, list_transform(range(0, length(b) + 1), lambda j: cast(0 as double)) g, list_transform(range(0, length(b) + 1), lambda j: cast(1 as double)) n from d
+    union all select id, a, b, i + 1,
+        list_reduce(list_prepend([f[1] + ln({ERR})], list_transform(range(1, length(b) + 1), lambda j: [cast(j as double)])), lambda t, x: list_append(t, ln(exp(f[cast(x[1] as int)] + case when a[i + 1] = b[cast(x[1] as int)] then 2 * ln(1 - {ERR}) else ln({ERR} * {ERR} / 3) end) + exp(f[cast(x[1] as int) + 1] + ln({ERR})) + exp(t[len(t)] + ln({ERR} / 3))))),
+        list_reduce(list_prepend([g[1] + ln({ERR})], list_transform(range(1, length(b) + 1), lambda j: [cast(j as double)])), lambda t, x: list_append(t, greatest(g[cast(x[1] as int)] + case when a[i + 1] = b[cast(x[1] as int)] then 2 * ln(1 - {ERR}) else ln({ERR} * {ERR} / 3) end, g[cast(x[1] as int) + 1] + ln({ERR}), t[len(t)] + ln({ERR} / 3)))),
+        list_reduce(list_prepend([n[1]], list_transform(range(1, length(b) + 1), lambda j: [cast(j as double)])), lambda t, x: list_append(t, n[cast(x[1] as int)] + n[cast(x[1] as int) + 1] + t[len(t)]))
+    from r where i < length(a))
+    select id, round(ln(list_sum(list_transform(f, lambda v: exp(v)))), 6) total, round(list_max(g), 6) best, round(ln(list_sum(n)), 6) ways from r where i = length(a)""")
+def _(t):
+    """Likelihood over all alignments, the best one, and how many there are."""
+    x = t(DIGITS).withColumn("s", alignment_sums()("a", "b", F.lit(ERR)))
+    return x.select("id", F.round("s.total", 6).alias("total"), F.round("s.best", 6).alias("best"), F.round("s.ways", 6).alias("ways"))
+
+
+#: Segments of each supplier's bin: eight letters that its key gives, one of them changed in each segment, which one and to what by the order.
+BIN_LETTERS = """select l_suppkey bin, l_orderkey read, concat(substr(w, 1, k), x, substr(w, k + 2, 9)) seg from (select l_suppkey, l_orderkey, cast((l_orderkey + l_linenumber) % 8 as int) k, substr('ACGT', cast(l_partkey % 4 + 1 as int), 1) x,
+    concat(substr('ACGTTGCA', cast(l_suppkey % 8 + 1 as int), 1), substr('CATGACTG', cast(l_suppkey % 7 + 1 as int), 1), substr('GTACCATG', cast(l_suppkey % 5 + 1 as int), 1), substr('TGCAGTAC', cast(l_suppkey % 6 + 1 as int), 1),
+    substr('ACTGGTCA', cast(l_suppkey % 3 + 1 as int), 1), substr('CGATTAGC', cast(l_suppkey % 4 + 1 as int), 1), substr('GATCCTAG', cast(l_suppkey % 2 + 1 as int), 1), substr('TCAGAGCT', cast(l_suppkey % 8 + 1 as int), 1)) w from {lineitem}) z"""
+
+
+@query("segment_consensus", f"with s as ({BIN_LETTERS}), v as (select bin, i, substr(seg, cast(i as int), 1) x, count(*) n from (select bin, seg, unnest(range(1, 9)) i from s) group by 1, 2, 3), b as (select bin, i, arg_max(x, n) x from v group by 1, 2) select bin, string_agg(x, '' order by i) seq from b group by bin")
+def _(t):
+    """Partial order consensus of bins whose segments differ by letters only: the letter that most have at each place."""
+    return partial_order.bin_consensus(t(BIN_LETTERS), ["bin"])

@@ -71,6 +71,7 @@ class SplitOptions(Options):
     AbunB: bool = True
     BRX: bool = True
     AbunX: bool = True
+    EMB: bool = False
     RThres: float = 5
 
     def __post_init__(self):
