@@ -7,6 +7,8 @@ most bases wins if it has clearly more than the next one. Both matchings are exa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -148,20 +150,39 @@ def best_two(cost: np.ndarray) -> list[tuple[float, np.ndarray]]:
     return [best] + ([second] if second else [])
 
 
-def _matched(pdf: pd.DataFrame) -> pd.DataFrame:
-    ins, outs = sorted(set(pdf["l"])), sorted(set(pdf["r"]))
-    rows: list[tuple] = []
-    if len(ins) == len(outs):
-        cost = np.full((len(ins), len(outs)), np.inf)
-        cost[np.searchsorted(ins, pdf["l"]), np.searchsorted(outs, pdf["r"])] = -pdf["weight"].to_numpy(float)
-        for rank, (total, to) in enumerate(best_two(cost)):
-            rows += [(pdf["rep_id"].iloc[0], rank, -total, ins[i], outs[j]) for i, j in enumerate(to.tolist())]
-    return pd.DataFrame(rows, columns=["rep_id", "rank", "score", "l", "r"])
+def _matched(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (rep_id, l, r, weight) sorted by repeat: the best two matchings of each."""
+
+    def done(pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, left, right, weight = (pdf[x].to_numpy() for x in ("rep_id", "l", "r", "weight"))
+        edge = np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1], [True]]))
+        rows: list[tuple] = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            ins, outs = np.unique(left[a:b]), np.unique(right[a:b])
+            if len(ins) == len(outs):
+                cost = np.full((len(ins), len(outs)), np.inf)
+                cost[np.searchsorted(ins, left[a:b]), np.searchsorted(outs, right[a:b])] = -weight[a:b]
+                for rank, (total, to) in enumerate(best_two(cost)):
+                    rows += [(rep[a], rank, -total, ins[i], outs[j]) for i, j in enumerate(to.tolist())]
+        return pd.DataFrame(rows, columns=["rep_id", "rank", "score", "l", "r"])
+
+    held = None
+    for pdf in pdfs:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if len(held):
+            # the last repeat may go on in the next batch
+            last = held["rep_id"].to_numpy() == held["rep_id"].iloc[-1]
+            if not last.all():
+                yield done(held[~last])
+                held = held[last].reset_index(drop=True)
+    if held is not None and len(held):
+        yield done(held)
 
 
 def best_matchings(weights: DataFrame) -> DataFrame:
     """(rep_id, rank, score, l, r): the matchings of most weight and second most (rank 0 and 1), exact at any size. weights (rep_id, l, r, weight): pairs that may be matched, finite."""
-    return weights.select("rep_id", "l", "r", c("weight").cast("double").alias("weight")).groupBy("rep_id").applyInPandas(_matched, "rep_id long, rank int, score double, l long, r long")
+    rows = weights.select("rep_id", "l", "r", c("weight").cast("double").alias("weight")).repartition("rep_id").sortWithinPartitions("rep_id")
+    return rows.mapInPandas(_matched, "rep_id long, rank int, score double, l long, r long")
 
 
 def decided(matchings: DataFrame, accept: float = ACCEPT) -> DataFrame:

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
 from ..plans.runtime import materialised
 
 c = F.col
@@ -42,23 +41,44 @@ def _order(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sliding(f: Callable, x: np.ndarray, w: int) -> np.ndarray:
+    """f (minimum or maximum) over each w consecutive values, by doubling."""
+    span = 1
+    while span * 2 <= w:
+        x = f(x[:-span], x[span:])
+        span *= 2
+    return x if span == w else f(x[: len(x) - (w - span)], x[w - span :])
+
+
+def _mers(two: np.ndarray, s: int) -> np.ndarray:
+    """s consecutive letters as one number, by doubling."""
+    out, size = np.zeros(len(two) + 1, np.uint64), 0
+    part, span = two, 1
+    while s:
+        if s & 1:
+            n = len(two) - size - span + 1
+            out, size = out[:n] << np.uint64(2 * span) | part[size : size + n], size + span
+        s >>= 1
+        if s:
+            part = part[:-span] << np.uint64(2 * span) | part[span:]
+            span *= 2
+    return out
+
+
 def minimizers(x: np.ndarray, s: int, w: int) -> tuple[np.ndarray, ...]:
-    """Place, s-mer, letters before and behind (w of each, the nearest in the highest bits) and how many of these are there, for each minimizer of codes x (4: no letter)."""
+    """Place, s-mer, letters before and behind (w of each, the nearest in the highest bits) and how many of these are there, for each minimizer of codes x (4: no letter).
+    Of equal s-mers in a window all are taken."""
     n = len(x) - s - w + 2
     if n <= 0:
         return (np.zeros(0, np.int64),) * 6
-    bad = np.concatenate([[0], np.cumsum(x == 4)])
+    bad = np.concatenate([[0], np.cumsum(x == 4, dtype=np.int64)])
     two = (x & 3).astype(np.uint64)
-    mers = np.zeros(len(x) - s + 1, np.uint64)
-    for i in range(s):
-        mers = mers << np.uint64(2) | two[i : i + len(mers)]
-    rank = _order(mers)
-    least, at = rank[:n].copy(), np.arange(n)
-    for i in range(1, w):
-        better = rank[i : i + n] < least
-        least[better] = rank[i : i + n][better]
-        at[better] = np.flatnonzero(better) + i
-    chosen = np.unique(at[bad[s + w - 1 :][:n] == bad[:n]])
+    mers = _mers(two, s)
+    rank = _order(mers) | np.uint64(1)
+    # of each window its least rank, none if it holds a place without a letter; a seed is chosen if the largest of its windows' is its own
+    least = np.where(bad[s + w - 1 :][:n] == bad[:n], _sliding(np.minimum, rank, w), np.uint64(0))
+    edge = np.zeros(w - 1, np.uint64)
+    chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), w) == rank)
     last = np.maximum.accumulate(np.where(x == 4, np.arange(len(x)), -1))
     following = np.minimum.accumulate(np.where(x == 4, np.arange(len(x)), len(x))[::-1])[::-1]
     padded = np.concatenate([np.zeros(w, np.uint64), two, np.zeros(w, np.uint64)])
@@ -71,8 +91,8 @@ def minimizers(x: np.ndarray, s: int, w: int) -> tuple[np.ndarray, ...]:
     return chosen, mers[chosen], left, right, n_left, n_right
 
 
-def _seeds(s: int, w: int) -> Callable:
-    """(name, seq) to seeds, a bounded piece of all letters of a batch at a time."""
+def _seeds(s: int, w: int, strands: str) -> Callable:
+    """(name, seq) to seeds of the strands, a bounded piece of all letters of a batch at a time."""
     margin = s + 2 * w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,26 +102,31 @@ def _seeds(s: int, w: int) -> Callable:
             size = np.array([len(t) + 1 for t in texts], np.int64)
             begin = np.cumsum(size) - size
             # a place without a letter behind each sequence: no seed spans two
-            x = CODE[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
-            for a in range(0, len(x), PIECE):
-                low = max(0, a - margin)
-                at, *rest = minimizers(x[low : a + PIECE + margin], s, w)
-                keep = (at + low >= a) & (at + low < a + PIECE)
-                at, (mer, left, right, n_left, n_right) = at[keep] + low, (v[keep] for v in rest)
-                if not len(at):
-                    continue
-                row = np.searchsorted(begin, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([
-                    name.take(pa.array(row)), pa.array((at - begin[row]).astype(np.int32)), *(pa.array(v.view(np.int64)) for v in (mer, left, right)), *(pa.array(v.astype(np.int32)) for v in (n_left, n_right)),
-                ], names=["name", "pos", "mer", "left", "right", "n_left", "n_right"])
+            forward = CODE[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+            for strand in strands:
+                # the complement read backwards: sequences come in reversed order, each behind its place without a letter
+                x = forward if strand == "p" else np.where(forward == 4, 4, 3 - forward)[::-1]
+                for a in range(0, len(x), PIECE):
+                    low = max(0, a - margin)
+                    at, *rest = minimizers(x[low : a + PIECE + margin], s, w)
+                    keep = (at + low >= a) & (at + low < a + PIECE)
+                    at, (mer, left, right, n_left, n_right) = at[keep] + low, (v[keep] for v in rest)
+                    if not len(at):
+                        continue
+                    row = np.searchsorted(begin, at if strand == "p" else len(x) - 1 - at, "right") - 1
+                    pos = at - begin[row] if strand == "p" else at - (len(x) - begin[row] - size[row]) - 1
+                    yield pa.RecordBatch.from_arrays([
+                        name.take(pa.array(row)), pa.array([strand] * len(row)), pa.array(pos.astype(np.int32)),
+                        *(pa.array(v.view(np.int64)) for v in (mer, left, right)), *(pa.array(v.astype(np.int32)) for v in (n_left, n_right)),
+                    ], names=["name", "strand", "pos", "mer", "left", "right", "n_left", "n_right"])
 
     return run
 
 
-def sketch(seqs: DataFrame, k: int) -> DataFrame:
-    """(name, pos, mer, left, right, n_left, n_right): minimizers of sequences (name, seq) for matches of k letters."""
+def sketch(seqs: DataFrame, k: int, strands: str = "p") -> DataFrame:
+    """(name, strand, pos, mer, left, right, n_left, n_right): minimizers of sequences (name, seq) for matches of k letters; strand d: of the reversed complement."""
     kind = seqs.schema["name"].dataType.simpleString()
-    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k)), f"name {kind}, pos int, mer long, left long, right long, n_left int, n_right int")
+    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k), strands), f"name {kind}, strand string, pos int, mer long, left long, right long, n_left int, n_right int")
 
 
 def _equal(a: str, b: str, na: str, nb: str, w: int) -> Column:
@@ -122,11 +147,7 @@ def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bo
     reversed complement of the query, whose places a2 and b2 are. unique: only matches that hold a seed which all refs together have once."""
     s, w = seed_size(k)
     r = materialised(sketch(refs, k).select(c("name").alias("ref"), c("pos").alias("p1"), "mer", c("left").alias("l1"), c("right").alias("r1"), c("n_left").alias("nl1"), c("n_right").alias("nr1")))
-    sides = [queries.select("name", reverse_complement("seq").alias("seq") if d == "d" else c("seq")) for d in strands]
-    q = None
-    for d, side in zip(strands, sides, strict=True):
-        one = sketch(side, k).select(c("name").alias("qry"), c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"), F.lit(d).alias("strand"))
-        q = one if q is None else q.union(one)
+    q = sketch(queries, k, strands).select(c("name").alias("qry"), "strand", c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"))
     often = materialised(r.groupBy("mer").agg(F.count("*").alias("n")).where(c("n") > (1 if unique else OFTEN)).select("mer"))
     if not often.limit(1).count():
         hits = r.join(q, "mer")
