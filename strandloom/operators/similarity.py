@@ -22,6 +22,8 @@ from ..plans.runtime import materialised
 c = F.col
 #: Letters that are turned into seeds at once, and places of a seed in refs above which whole windows are joined.
 PIECE, OFTEN = 1 << 20, 64
+#: Different seeds of refs up to which tasks of the queries know them all (8 bytes each) and give no others; beyond, the join alone selects.
+KNOWN = 1 << 20
 CODE = np.full(256, 4, np.uint8)
 CODE[list(b"ACGT")] = range(4)
 
@@ -65,9 +67,9 @@ def _mers(two: np.ndarray, s: int) -> np.ndarray:
     return out
 
 
-def minimizers(x: np.ndarray, s: int, w: int) -> tuple[np.ndarray, ...]:
+def minimizers(x: np.ndarray, s: int, w: int, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Place, s-mer, letters before and behind (w of each, the nearest in the highest bits) and how many of these are there, for each minimizer of codes x (4: no letter).
-    Of equal s-mers in a window all are taken."""
+    Of equal s-mers in a window all are taken. known: only these s-mers (in order) are given."""
     n = len(x) - s - w + 2
     if n <= 0:
         return (np.zeros(0, np.int64),) * 6
@@ -79,6 +81,9 @@ def minimizers(x: np.ndarray, s: int, w: int) -> tuple[np.ndarray, ...]:
     least = np.where(bad[s + w - 1 :][:n] == bad[:n], _sliding(np.minimum, rank, w), np.uint64(0))
     edge = np.zeros(w - 1, np.uint64)
     chosen = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, least, edge]), w) == rank)
+    if known is not None:
+        own = mers[chosen]
+        chosen = chosen[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own] if len(known) else chosen[:0]
     last = np.maximum.accumulate(np.where(x == 4, np.arange(len(x)), -1))
     following = np.minimum.accumulate(np.where(x == 4, np.arange(len(x)), len(x))[::-1])[::-1]
     padded = np.concatenate([np.zeros(w, np.uint64), two, np.zeros(w, np.uint64)])
@@ -91,7 +96,7 @@ def minimizers(x: np.ndarray, s: int, w: int) -> tuple[np.ndarray, ...]:
     return chosen, mers[chosen], left, right, n_left, n_right
 
 
-def _seeds(s: int, w: int, strands: str) -> Callable:
+def _seeds(s: int, w: int, strands: str, known: np.ndarray | None) -> Callable:
     """(name, seq) to seeds of the strands, a bounded piece of all letters of a batch at a time."""
     margin = s + 2 * w
 
@@ -108,7 +113,7 @@ def _seeds(s: int, w: int, strands: str) -> Callable:
                 x = forward if strand == "p" else np.where(forward == 4, 4, 3 - forward)[::-1]
                 for a in range(0, len(x), PIECE):
                     low = max(0, a - margin)
-                    at, *rest = minimizers(x[low : a + PIECE + margin], s, w)
+                    at, *rest = minimizers(x[low : a + PIECE + margin], s, w, known)
                     keep = (at + low >= a) & (at + low < a + PIECE)
                     at, (mer, left, right, n_left, n_right) = at[keep] + low, (v[keep] for v in rest)
                     if not len(at):
@@ -123,10 +128,10 @@ def _seeds(s: int, w: int, strands: str) -> Callable:
     return run
 
 
-def sketch(seqs: DataFrame, k: int, strands: str = "p") -> DataFrame:
+def sketch(seqs: DataFrame, k: int, strands: str = "p", known: np.ndarray | None = None) -> DataFrame:
     """(name, strand, pos, mer, left, right, n_left, n_right): minimizers of sequences (name, seq) for matches of k letters; strand d: of the reversed complement."""
     kind = seqs.schema["name"].dataType.simpleString()
-    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k), strands), f"name {kind}, strand string, pos int, mer long, left long, right long, n_left int, n_right int")
+    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k), strands, known), f"name {kind}, strand string, pos int, mer long, left long, right long, n_left int, n_right int")
 
 
 def _equal(a: str, b: str, na: str, nb: str, w: int) -> Column:
@@ -147,7 +152,11 @@ def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bo
     reversed complement of the query, whose places a2 and b2 are. unique: only matches that hold a seed which all refs together have once."""
     s, w = seed_size(k)
     r = materialised(sketch(refs, k).select(c("name").alias("ref"), c("pos").alias("p1"), "mer", c("left").alias("l1"), c("right").alias("r1"), c("n_left").alias("nl1"), c("n_right").alias("nr1")))
-    q = sketch(queries, k, strands).select(c("name").alias("qry"), "strand", c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"))
+    different = r.select("mer").distinct()
+    if unique:
+        different = r.groupBy("mer").agg(F.count("*").alias("n")).where("n = 1").select("mer")
+    few = different.limit(KNOWN + 1).toPandas()["mer"].to_numpy(np.int64).view(np.uint64)
+    q = sketch(queries, k, strands, np.sort(few) if len(few) <= KNOWN else None).select(c("name").alias("qry"), "strand", c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"))
     often = materialised(r.groupBy("mer").agg(F.count("*").alias("n")).where(c("n") > (1 if unique else OFTEN)).select("mer"))
     if not often.limit(1).count():
         hits = r.join(q, "mer")

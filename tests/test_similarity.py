@@ -36,11 +36,12 @@ def tables(spark, refs, queries):
     return (spark.createDataFrame(x, "name string, seq string").repartition(2) for x in (refs, queries))
 
 
-@pytest.mark.parametrize("often", [64, 0])
+@pytest.mark.parametrize("often,known", [(64, 1 << 20), (0, 3)])
 @pytest.mark.parametrize("k", [8, 20])
-def test_matches_against_all_places(spark, monkeypatch, k, often):
-    """Repeats, runs of one letter, other letters, short and empty sequences; the same when every seed is joined by whole windows."""
+def test_matches_against_all_places(spark, monkeypatch, k, often, known):
+    """Repeats, runs of one letter, other letters, short and empty sequences; the same when every seed is joined by whole windows, and when tasks don't know the refs' seeds."""
     monkeypatch.setattr(similarity, "OFTEN", often)
+    monkeypatch.setattr(similarity, "KNOWN", known)
     monkeypatch.setattr(similarity, "PIECE", 64)
     r = random.Random(k)
     unit = "".join(r.choice("ACGT") for _ in range(60))
