@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialised
+
 c = F.col
 
 
@@ -86,13 +88,72 @@ def cover_fold(spans: Column, tolerance: int = 0) -> Column:
     return F.aggregate(F.array_sort(spans).cast(many), start, step, last)
 
 
+def running_max(rows: DataFrame, by: list[str], value: str, out: str, group: str = "g") -> DataFrame:
+    """rows with out, the largest value of the rows before in the group (null: none), in an order that `by` fixes. Rows are dealt by ranges of group and order, and what
+    earlier ranges hold is carried over, so a group of any size is spread over tasks."""
+    told = materialised(rows.repartitionByRange(group, *by).sortWithinPartitions(group, *by).withColumn("_i", F.monotonically_increasing_id()).withColumn("_p", F.spark_partition_id()))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    carry = told.groupBy(group, "_p").agg(F.max(value).alias("_m")).select(group, "_p", F.max("_m").over(before(group, "_p")).alias("_c"))
+    here = told.withColumn("_h", F.max(value).over(before(group, "_p", "_i")))
+    return here.join(carry, [group, "_p"]).withColumn(out, F.greatest("_c", "_h")).drop("_i", "_p", "_c", "_h")
+
+
+def outer_of_large(spans: DataFrame) -> DataFrame:
+    """Intervals (g, s, e) that lie within no other of their group: begins and ends both grow."""
+    rows = running_max(spans.distinct().withColumn("x", -c("e")), ["s", "x"], "e", "top")
+    return rows.where(c("top").isNull() | (c("e") > c("top"))).select("g", "s", "e")
+
+
+def cover_by_jumps(spans: DataFrame, tolerance: int = 0) -> DataFrame:
+    """A minimal cover (g, s, e) of groups of any size, the same as cover_fold's. Each interval knows the next one of a cover that holds it: the last that begins within its reach,
+    else the last that begins with the next interval. Jumps of twice the length come from joining jumps, and those from the first interval mark the cover, longest first:
+    a job for each power of two, no array and no task that holds a group."""
+    rows = materialised(outer_of_large(spans))
+    after = running_max(rows.withColumn("x", -c("s")), ["x"], "x", "n").select("g", "s", "e", (-c("n")).alias("n"))
+    # begins, and places at which the last begin up to there is asked for: by reach, behind a gap, and for the first of a group
+    begins = rows.select("g", c("s").alias("at"), F.lit(0).alias("kind"), c("s").alias("s"), c("s").alias("v"))
+    asks = [(c("e") + tolerance, 1, F.lit(True)), (c("n") + tolerance, 2, c("n").isNotNull())]
+    after = materialised(after)
+    told = begins
+    for at, kind, which in asks:
+        told = told.union(after.where(which).select("g", at.alias("at"), F.lit(kind).alias("kind"), "s", F.lit(None).cast("bigint").alias("v")))
+    told = told.union(rows.groupBy("g").agg(F.min("s").alias("s")).select("g", (c("s") + tolerance).alias("at"), F.lit(3).alias("kind"), "s", F.lit(None).cast("bigint").alias("v")))
+    found = materialised(running_max(told, ["at", "kind", "s"], "v", "to").where("kind > 0").select("g", "s", "kind", "to"))
+    jump = found.where("kind < 3").groupBy("g", "s").agg(F.max(F.when(c("kind") == 1, c("to"))).alias("a"), F.max(F.when(c("kind") == 2, c("to"))).alias("b"))
+    jump = materialised(jump.select("g", "s", F.when(c("a") > c("s"), c("a")).otherwise(c("b")).alias("to")).where("to is not null"))
+    levels = [jump]
+    while True:
+        last = levels[-1]
+        new = materialised(last.join(last.select("g", c("s").alias("to"), c("to").alias("far")), ["g", "to"]).select("g", "s", c("far").alias("to")))
+        if not new.limit(1).count():
+            break
+        levels.append(new)
+    marked = materialised(found.where("kind = 3").select("g", c("to").alias("s")))
+    for level in reversed(levels):
+        marked = materialised(marked.union(marked.join(level, ["g", "s"]).select("g", c("to").alias("s"))))
+    return marked.join(rows, ["g", "s"]).select("g", "s", "e")
+
+
+#: Intervals of a group up to which its cover is folded in one row.
+LARGE = 100_000
+
+
 def minimal_cover(spans: DataFrame, group: str, start: str, end: str, tolerance: int = 0) -> DataFrame:
-    """A minimal cover of each group. Intervals within one that begins no later are left out first, by a running maximum, so only the others meet in a row."""
+    """A minimal cover of each group. Intervals within one that begins no later are left out first, by a running maximum, so only the others meet in a row; groups of more than
+    LARGE intervals are covered by jumps."""
+    size = materialised(spans.groupBy(group).agg(F.count("*").alias("_n")).where(c("_n") > LARGE).select(group))
+    rest = spans
+    if size.limit(1).count():
+        # at most one of LARGE rows names such a group
+        rest = spans.join(size, spans[group].eqNullSafe(size[group]), "left_anti")
     before = Window.partitionBy(group).orderBy(c(start), c(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(end).over(before)
-    outer = spans.withColumn("_t", top).where(c("_t").isNull() | (c(end) > c("_t")))
+    outer = rest.withColumn("_t", F.max(end).over(before)).where(c("_t").isNull() | (c(end) > c("_t")))
     rows = outer.groupBy(group).agg(F.collect_set(F.struct(c(start).cast("long").alias("start"), c(end).cast("long").alias("end"))).alias("_s"))
-    return rows.select(group, F.explode(cover_fold(c("_s"), tolerance)).alias("_c")).select(group, c("_c.start").alias(start), c("_c.end").alias(end))
+    out = rows.select(group, F.explode(cover_fold(c("_s"), tolerance)).alias("_c")).select(group, c("_c.start").alias(start), c("_c.end").alias(end))
+    if rest is spans:
+        return out
+    hot = spans.join(size, spans[group].eqNullSafe(size[group]), "left_semi").select(c(group).alias("g"), c(start).cast("long").alias("s"), c(end).cast("long").alias("e"))
+    return out.union(cover_by_jumps(hot, tolerance).select(c("g").alias(group), c("s").alias(start), c("e").alias(end)))
 
 
 def gaps(cover: DataFrame, group: str, start: str, end: str) -> DataFrame:
