@@ -13,6 +13,7 @@ from .plans import evaluate
 from .plans.repair import fix, fix_with_short
 from .plans.runtime import session
 from .plans.splitter import fill_gaps, finish, split
+from .plans.stages import Stages
 from .schemas import RepairOptions, SplitOptions
 from .sources import fasta, tables
 
@@ -26,6 +27,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("-op", default="", help="options as key=value, separated by blanks")
     p.add_argument("-k", type=int, default=20, help="seed length of the similarity join")
     p.add_argument("-scale", type=float, default=1.0, help="factor of lengths that repeats must have")
+    p.add_argument("-resume", help="split: folder that all executors share, where stages are kept and read back from")
     p.add_argument("-contigs", help="short: contigs of short reads")
     p.add_argument("-reads", help="short: short reads")
     p.add_argument("-ends", help="fill: list of contigs without a neighbour before or behind; only these ends are joined")
@@ -44,7 +46,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "repair":
         out = fix(one, two, RepairOptions.parse(a.op), a.scale, a.k)
     elif a.command == "split":
-        out = split(one, two, SplitOptions.parse(a.op), a.k)
+        out = split(one, two, SplitOptions.parse(a.op), a.k, Stages(spark, a.resume) if a.resume else None)
     elif a.command == "fill":
         out = fill_gaps(one, two, tables.read_open_ends(spark, a.ends) if a.ends else None, a.k)
     elif a.command == "short":

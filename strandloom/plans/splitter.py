@@ -14,6 +14,7 @@ from ..operators import joins as J
 from ..operators import resolve as R
 from ..schemas import DOVETAIL, EDGE_LENGTH, EDGE_OVERLAP, EDGE_PATHS, SplitOptions
 from .runtime import materialised
+from .stages import Stages, unkept
 
 c = F.col
 
@@ -73,16 +74,17 @@ def em_match(repeats: DataFrame, edges: DataFrame, contigs: int, seqs: DataFrame
     return em.resolve_by_em(repeats, seqs.where(c("id") < contigs), middles, reads, depth)
 
 
-def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOptions(), k: int = 20) -> DataFrame:  # noqa: B008
-    """Joined contigs (node, seq)."""
-    con, rd = materialised(numbered(contigs, "Contig")), materialised(numbered(reads, "Read"))
+def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOptions(), k: int = 20, stages: Stages | None = None) -> DataFrame:  # noqa: B008
+    """Joined contigs (node, seq). stages: where alignments and graphs are kept, so that a run that was stopped goes on behind the last one finished."""
+    stage = stages or unkept
+    con, rd = stage("contigs", lambda: numbered(contigs, "Contig"), contigs), stage("reads", lambda: numbered(reads, "Read"), reads)
     n = 2 * con.count()
-    cc, cr = materialised(aligned(con, con, k)), materialised(aligned(con, rd, k))
-    edges = materialised(inherited(cr, R.string_graph(cc, cr, n), n))
-    depth = materialised(A.abundance(A.best_hit(cr), con.select("name", "len")))
+    cc, cr = stage("contig_overlaps", lambda: aligned(con, con, k), con, options=k), stage("read_hits", lambda: aligned(con, rd, k), con, rd, options=k)
+    edges = stage("string_graph", lambda: inherited(cr, R.string_graph(cc, cr, n), n), cc, cr)
+    depth = stage("abundance", lambda: A.abundance(A.best_hit(cr), con.select("name", "len")), cr, con)
     node_depth = depth.withColumn("num", F.regexp_extract("contig", "([0-9]+)$", 1).cast("long")).select(F.explode(F.array(c("num") * 2, c("num") * 2 + 1)).alias("id"), "depth")
     sd = A.distinct_std(depth, "depth").first()["sd"] or 0.0
-    graph = surgery(edges, n, options) if options.runGraphSurgery else G.reach_through_reads(edges, n).withColumn("wt", F.lit(0))
+    graph = stage("contig_graph", lambda: surgery(edges, n, options) if options.runGraphSurgery else G.reach_through_reads(edges, n).withColumn("wt", F.lit(0)), edges, options=options)
     if options.runBResolve:
         repeats = materialised(G.bipartite_repeats(graph).where("size(ins) > 0 and size(outs) > 0"))
         inner = repeats.where("size(ins) > 1 or size(outs) > 1")
