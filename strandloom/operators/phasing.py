@@ -23,7 +23,7 @@ LONG, REPEATED = 15_000, 10
 
 def matchings(repeats: DataFrame, most: int = 7) -> DataFrame:
     """(rep_id, matching, l, r): every way to pair ins with outs one to one. Repeats with more than `most` of a side have factorially
-    many and are left out; abundance and bridging reads resolve those."""
+    many and are left out; em.best_matchings has the best two of those at any size."""
 
     def run(batches):
         for pdf in batches:
@@ -195,20 +195,6 @@ def variant_paths(choices: DataFrame, key: str, most: int = 30) -> DataFrame:
     return choices.groupBy(key).applyInPandas(lambda p: pd.DataFrame([(p[key].iloc[0], v) for v in base_graph_paths(p, most)], columns=[key, "variant"]), f"{key} {kind}, variant string")
 
 
-def in_long_run(seq: str, pos: int, least: int = 5) -> bool:
-    """Whether a place (1-based) is in or next to a run of so many equal letters."""
-    for i in (pos - 2, pos - 1, pos):
-        if 0 <= i < len(seq):
-            a = b = i
-            while a > 0 and seq[a - 1] == seq[i]:
-                a -= 1
-            while b + 1 < len(seq) and seq[b + 1] == seq[i]:
-                b += 1
-            if b - a + 1 >= least:
-                return True
-    return False
-
-
 def coordinate_map(pairs: DataFrame, key: str, a1: str = "a1", a2: str = "a2") -> DataFrame:
     """(key, pos, other): for each letter of a1 (1-based, gaps left out) the place of the letter of a2 aligned to it, null at a gap. One row of pairs a key."""
     z = F.arrays_zip(F.split(c(a1), "").alias("x"), F.split(c(a2), "").alias("y"))

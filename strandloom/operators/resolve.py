@@ -259,14 +259,6 @@ def unique_partners(pairs: DataFrame) -> DataFrame:
     return pairs.join(bad_l, "l", "left_anti").join(bad_r, "r", "left_anti").select(*pairs.columns)
 
 
-def filled(pairs: DataFrame, seqs: DataFrame, reads: DataFrame) -> DataFrame:
-    """(l, r, seq): contig, bridging read and contig joined by their overlaps. pairs (l, r, read) by name."""
-    s = lambda df, key, out: df.select(c("name").alias(key), c("seq").alias(out))
-    rows = pairs.join(s(seqs, "l", "sl"), "l").join(s(reads, "read", "sm"), "read").join(s(seqs, "r", "sr"), "r")
-    rows = rows.withColumn("o1", overlaps("sl", "sm")["right"]).withColumn("o2", overlaps("sm", "sr")["right"])
-    return rows.select("l", "r", F.concat("sl", F.substr(c("sm"), c("o1") + 1), F.substr(c("sr"), c("o2") + 1)).alias("seq"))
-
-
 # labels around a repeat
 
 

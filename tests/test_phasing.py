@@ -50,7 +50,6 @@ def test_phase(spark):
 
 def test_small_parts(spark):
     assert P.base_graph_paths(pd.DataFrame({"pos": [1, 1, 2], "base": ["A", "C", "G"]})) == ["AG", "CG"]
-    assert P.in_long_run("ACCCCCG", 7) and not P.in_long_run("ACGTACG", 4)
     assert P.tandem_cycle([(0, 10), (10, 11), (11, 12), (12, 10), (12, 2)], 0, 4) == [10, 11, 12]
     assert P.tandem_cycle([(0, 10), (10, 2)], 0, 4) is None
     aln = spark.createDataFrame([("a", 100), ("a", 60), ("b", 200)], "qry string, len1 int")
