@@ -103,7 +103,7 @@ def _seeds(s: int, w: int, strands: str, known: np.ndarray | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name = batch.column(0)
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            texts = [(t or "").encode("ascii", "replace") for t in batch.column(1).to_pylist()]
             size = np.array([len(t) + 1 for t in texts], np.int64)
             begin = np.cumsum(size) - size
             # a place without a letter behind each sequence: no seed spans two
@@ -122,16 +122,17 @@ def _seeds(s: int, w: int, strands: str, known: np.ndarray | None) -> Callable:
                     pos = at - begin[row] if strand == "p" else at - (len(x) - begin[row] - size[row]) - 1
                     yield pa.RecordBatch.from_arrays([
                         name.take(pa.array(row)), pa.array([strand] * len(row)), pa.array(pos.astype(np.int32)),
-                        *(pa.array(v.view(np.int64)) for v in (mer, left, right)), *(pa.array(v.astype(np.int32)) for v in (n_left, n_right)),
-                    ], names=["name", "strand", "pos", "mer", "left", "right", "n_left", "n_right"])
+                        *(pa.array(v.view(np.int64)) for v in (mer, left, right)), *(pa.array(v.astype(np.int32)) for v in (n_left, n_right, size[row] - 1)),
+                    ], names=["name", "strand", "pos", "mer", "left", "right", "n_left", "n_right", "len"])
 
     return run
 
 
 def sketch(seqs: DataFrame, k: int, strands: str = "p", known: np.ndarray | None = None) -> DataFrame:
-    """(name, strand, pos, mer, left, right, n_left, n_right): minimizers of sequences (name, seq) for matches of k letters; strand d: of the reversed complement."""
+    """(name, strand, pos, mer, left, right, n_left, n_right, len): minimizers of sequences (name, seq) of len letters for matches of k letters; strand d: of the reversed
+    complement."""
     kind = seqs.schema["name"].dataType.simpleString()
-    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k), strands, known), f"name {kind}, strand string, pos int, mer long, left long, right long, n_left int, n_right int")
+    return seqs.select("name", "seq").mapInArrow(_seeds(*seed_size(k), strands, known), f"name {kind}, strand string, pos int, mer long, left long, right long, n_left int, n_right int, len int")
 
 
 def _equal(a: str, b: str, na: str, nb: str, w: int) -> Column:
@@ -147,16 +148,15 @@ def _windows(seeds: DataFrame, s: int, w: int, n_left: str, n_right: str, left:
     return rows.withColumn("wl", F.expr(f"shiftright({left}, 2 * ({w} - before))")).withColumn("wr", F.expr(f"shiftright({right}, 2 * (1 + before))"))
 
 
-def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bool = False, strands: str = "pd") -> DataFrame:
-    """(ref, qry, strand, a1, b1, a2, b2): all maximal exact matches of k letters or more between refs and queries (name, seq), as half-open places. Strand d: of the
-    reversed complement of the query, whose places a2 and b2 are. unique: only matches that hold a seed which all refs together have once."""
+def sized_matches(refs: DataFrame, queries: DataFrame, k: int, unique: bool, strands: str) -> DataFrame:
+    """The maximal matches with lq, the letters of the query."""
     s, w = seed_size(k)
     r = materialised(sketch(refs, k).select(c("name").alias("ref"), c("pos").alias("p1"), "mer", c("left").alias("l1"), c("right").alias("r1"), c("n_left").alias("nl1"), c("n_right").alias("nr1")))
     different = r.select("mer").distinct()
     if unique:
         different = r.groupBy("mer").agg(F.count("*").alias("n")).where("n = 1").select("mer")
     few = different.limit(KNOWN + 1).toPandas()["mer"].to_numpy(np.int64).view(np.uint64)
-    q = sketch(queries, k, strands, np.sort(few) if len(few) <= KNOWN else None).select(c("name").alias("qry"), "strand", c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"))
+    q = sketch(queries, k, strands, np.sort(few) if len(few) <= KNOWN else None).select(c("name").alias("qry"), "strand", c("pos").alias("p2"), "mer", c("left").alias("l2"), c("right").alias("r2"), c("n_left").alias("nl2"), c("n_right").alias("nr2"), c("len").alias("lq"))
     often = materialised(r.groupBy("mer").agg(F.count("*").alias("n")).where(c("n") > (1 if unique else OFTEN)).select("mer"))
     if not often.limit(1).count():
         hits = r.join(q, "mer")
@@ -169,12 +169,18 @@ def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bo
         wq = _windows(q.join(often, "mer", "left_semi"), s, w, "nl2", "nr2", "l2", "r2")
         hits = hits.unionByName(wr.join(wq, ["mer", "before", "wl", "wr"]).drop("before", "wl", "wr"))
     hits = hits.withColumn("x", _equal("l1", "l2", "nl1", "nl2", w)).withColumn("y", _equal("r1", "r2", "nr1", "nr2", w)).where(c("x") + c("y") + s >= k)
-    hits = hits.select("ref", "qry", "strand", (c("p1") - c("p2")).alias("diag"), (c("p1") - c("x")).alias("a"), (c("p1") + s + c("y")).alias("b"))
+    hits = hits.select("ref", "qry", "strand", "lq", (c("p1") - c("p2")).alias("diag"), (c("p1") - c("x")).alias("a"), (c("p1") + s + c("y")).alias("b"))
     d = Window.partitionBy("ref", "qry", "strand", "diag").orderBy("a")
     reach = F.max("b").over(d.rowsBetween(Window.unboundedPreceding, -1))
     runs = hits.withColumn("run", F.coalesce(c("a") > reach, F.lit(True)).cast("int")).withColumn("run", F.sum("run").over(d.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy("ref", "qry", "strand", "diag", "run").agg(F.min("a").alias("a1"), F.max("b").alias("b1"))
-    return out.select("ref", "qry", "strand", "a1", "b1", (c("a1") - c("diag")).alias("a2"), (c("b1") - c("diag")).alias("b2"))
+    out = runs.groupBy("ref", "qry", "strand", "diag", "run").agg(F.min("a").alias("a1"), F.max("b").alias("b1"), F.min("lq").alias("lq"))
+    return out.select("ref", "qry", "strand", "a1", "b1", (c("a1") - c("diag")).alias("a2"), (c("b1") - c("diag")).alias("b2"), "lq")
+
+
+def maximal_matches(refs: DataFrame, queries: DataFrame, k: int = 20, unique: bool = False, strands: str = "pd") -> DataFrame:
+    """(ref, qry, strand, a1, b1, a2, b2): all maximal exact matches of k letters or more between refs and queries (name, seq), as half-open places. Strand d: of the
+    reversed complement of the query, whose places a2 and b2 are. unique: only matches that hold a seed which all refs together have once."""
+    return sized_matches(refs, queries, k, unique, strands).drop("lq")
 
 
 def collinear(a1: list[int], a2: list[int], size: list[int]) -> list[int]:
@@ -249,13 +255,13 @@ def clusters(matches: DataFrame, gap: int, drift: int) -> DataFrame:
     w = Window.partitionBy("ref", "qry", "strand", "band").orderBy("a1", "b1")
     reach = F.max("b1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.coalesce(c("a1") > reach + gap, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("ref", "qry", "strand", "band", "chain", "a1", "b1", "a2", "b2")
+    return rows.drop("diag", "shift", "new")
 
 
 def chained(matches: DataFrame, gap: int = 100, drift: int = 30) -> DataFrame:
-    """(ref, qry, strand, a1, b1, a2, b2, cover) of chains of matches: clusters of near matches, each split into collinear chains. cover: letters of the ref's stretch
+    """(ref, qry, strand, lq, a1, b1, a2, b2, cover) of chains of matches (with lq): clusters of near matches, each split into collinear chains. cover: letters of the ref's stretch
     that matches hold. Clusters of one match never leave the JVM."""
-    key = ["ref", "qry", "strand", "band", "chain"]
+    key = ["ref", "qry", "strand", "lq", "band", "chain"]
     rows = clusters(matches, gap, drift).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
     several = rows.where("n > 1").withColumn("g", F.xxhash64(*key)).repartition("g").sortWithinPartitions("g", "a1", "a2", "b1")
     linked = several.mapInArrow(_chained, several.select("*", F.lit(0).alias("link")).schema)
@@ -263,15 +269,14 @@ def chained(matches: DataFrame, gap: int = 100, drift: int = 30) -> DataFrame:
     own = c("b1") - F.greatest(c("a1"), F.coalesce(F.max("b1").over(w), c("a1")))
     linked = linked.withColumn("cover", F.greatest(F.lit(0), own))
     joined = linked.groupBy(*key, "link").agg(F.min("a1").alias("a1"), F.max("b1").alias("b1"), F.min("a2").alias("a2"), F.max("b2").alias("b2"), F.sum("cover").alias("cover"))
-    alone = rows.where("n = 1").select("ref", "qry", "strand", "a1", "b1", "a2", "b2", (c("b1") - c("a1")).cast("long").alias("cover"))
+    alone = rows.where("n = 1").select("ref", "qry", "strand", "lq", "a1", "b1", "a2", "b2", (c("b1") - c("a1")).cast("long").alias("cover"))
     return alone.union(joined.select(*alone.columns))
 
 
 def align(refs: DataFrame, queries: DataFrame, k: int = 20, gap: int = 100, least: int = 40, drift: int = 30, unique: bool = False) -> DataFrame:
     """Alignment rows of queries on refs, both strands: maximal exact matches of k letters or more, in collinear chains. Each chain of `least` letters or more is
     one row: its extent, and as identity the share of it that matches cover. unique: matches hold a seed that refs have once."""
-    rows = chained(maximal_matches(refs, queries, k, unique), gap, drift)
-    rows = rows.where(c("b1") - c("a1") >= least).join(queries.select(c("name").alias("qry"), F.length("seq").alias("lq")), "qry")
+    rows = chained(sized_matches(refs, queries, k, unique, "pd"), gap, drift).where(c("b1") - c("a1") >= least)
     p = c("strand") == "p"
     idy = F.round(F.least(F.lit(100.0), c("cover") * 100.0 / (c("b1") - c("a1"))), 2)
     return rows.select(

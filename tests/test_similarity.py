@@ -129,6 +129,12 @@ def test_crossing_matches_are_two_rows(spark):
     assert len(rows) == 1 and (rows[0].s1, rows[0].e1, rows[0].s2, rows[0].e2) == (1, 100, 1, 103)
 
 
+def test_letters_outside_bases_count_as_one_place(spark):
+    a, b = tables(spark, [("r", "é中" + "ACGTTGCAAGGCTTAACCGT" * 2)], [("q", "中" + "ACGTTGCAAGGCTTAACCGT" * 2 + "é")])
+    row = align(a, b, 20, least=40).orderBy("s1", "s2").where("len1 = 40").first()
+    assert (row.s1, row.e1, row.s2, row.e2) == (3, 42, 2, 41)
+
+
 def test_empty(spark):
     a, b = tables(spark, [("r", None), ("s", "ACGT")], [("q", "")])
     assert maximal_matches(a, b).count() == 0 and align(a, b).count() == 0
