@@ -131,7 +131,12 @@ def chains(edges: DataFrame) -> DataFrame:
     size = label.groupBy("component").agg(F.count("*").alias("n"))
     ring = closed.groupBy("component").agg(F.count("*").alias("k")).join(size, "component").where("n = k").select("component")
     step = step.join(ring, step["dst"] == ring["component"], "left_anti")
-    now = materialised(nodes.join(step.select(c("dst").alias("id"), c("src").alias("up")), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.when(c("up").isNull(), 0).otherwise(1).cast("long").alias("d")))
+    return jumped(nodes.join(step.select(c("dst").alias("id"), c("src").alias("up")), "id", "left"))
+
+
+def jumped(rows: DataFrame) -> DataFrame:
+    """(id, head, pos): where rows (id, up: null at a head) lead in the end, and after how many steps. Each job doubles the distance twice."""
+    now = materialised(rows.select("id", F.coalesce("up", "id").alias("up"), F.when(c("up").isNull(), 0).otherwise(1).cast("long").alias("d")))
     while True:
         up = now.select(c("id").alias("up"), c("up").alias("up2"), c("d").alias("d2"))
         once = now.join(up, "up").select("id", c("up2").alias("up"), (c("d") + c("d2")).alias("d"))
@@ -178,18 +183,20 @@ def transitive_reduction(edges: DataFrame, depth: int = 3) -> DataFrame:
     return edges.join(longer.distinct(), ["src", "dst"], "left_anti")
 
 
-def reach_through_reads(edges: DataFrame, contigs: int | Column) -> DataFrame:
-    """Edges src to dst between contigs (below `contigs`) with a direct edge or a way through reads only."""
+def reach_through_reads(edges: DataFrame, contigs: int | Column, rounds: int | None = None) -> DataFrame | None:
+    """Edges src to dst between contigs (below `contigs`) with a direct edge or a way through reads only. A round per step of the longest way; None if so
+    many rounds don't end it (contraction.reach shortens ways first then)."""
     limit = F.lit(contigs)
     step = materialised(edges.select("src", "dst").distinct())
     front, seen = added(step.where(c("src") < limit))
     through = step.where(c("src") >= limit).select(c("src").alias("m"), c("dst").alias("n"))
-    while True:
+    for k in count(1):
         new = front.where(c("dst") >= limit).join(through, c("dst") == c("m")).select("src", c("n").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
         front, seen = added(new, seen)
         if not front.limit(1).count():
-            break
-    return seen.where(c("dst") < limit).where("src <> dst")
+            return seen.where(c("dst") < limit).where("src <> dst")
+        if k == rounds:
+            return None
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int | None = None, through: Column | None = None, wanted: DataFrame | None = None) -> DataFrame:

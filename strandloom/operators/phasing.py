@@ -13,6 +13,7 @@ from ..functions.alignment import global_alignment, read_likelihood
 from ..functions.sequence import beside_run
 from ..plans.runtime import materialised
 from .aggregates import mixing_shares, votes
+from .contraction import cycles
 
 c = F.col
 #: Error rate, prior of a difference, bin of templates, thresholds of votes.
@@ -223,30 +224,10 @@ def cleaned(reads: DataFrame, rounds: int = 2) -> DataFrame:
 # tandem repeats
 
 
-def tandem_cycle(edges: list[tuple[int, int]], start: int, contigs: int) -> list[int] | None:
-    """A cycle of reads that can be reached from start, found by depth-first search (on a collected subgraph); None without one."""
-    out: dict[int, list[int]] = {}
-    for a, b in sorted(edges):
-        out.setdefault(a, []).append(b)
-    state: dict[int, int] = {}
-    path: list[int] = []
-    stack = [(start, iter(out.get(start, [])))]
-    state[start] = 1
-    path.append(start)
-    while stack:
-        node, it = stack[-1]
-        nxt = next(it, None)
-        if nxt is None:
-            stack.pop()
-            state[path.pop()] = 2
-        elif nxt >= contigs or nxt == start:
-            if state.get(nxt) == 1:
-                return path[path.index(nxt) :]
-            if nxt not in state:
-                state[nxt] = 1
-                path.append(nxt)
-                stack.append((nxt, iter(out.get(nxt, []))))
-    return None
+def tandem_cycles(edges: DataFrame, contigs: int) -> DataFrame:
+    """(component, pos, id): the cycles of reads (ids from contigs on) that tandem repeats make: of reads that lead to one another a shortest one through
+    the smallest of them."""
+    return cycles(edges, c("id") >= contigs)
 
 
 def copies(matched: DataFrame, unit: int, depth: float) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.sequence import reverse_complement, twin
 from ..plans.runtime import materialised
 from ..schemas import DOVETAIL, PHASE_CONTIG, REDUNDANT
 from .aggregates import conflict_free
+from .contraction import contracted
 from .graph import components, shortest_paths
 from .joins import overlaps
 
@@ -91,8 +92,8 @@ def abundance_match(repeats: DataFrame, depth: DataFrame, sd: float | Column, lo
 
 def sole_contig(edges: DataFrame, contigs: int) -> DataFrame:
     """(read, contig): reads from which ways through reads lead to one contig only, however long. Each read passes on the least and the largest
-    contig that it knows of, until nothing changes."""
-    step = edges.select("src", "dst").distinct()
+    contig that it knows of, until nothing changes; reads that lead to the same are contracted before."""
+    place, step = contracted(edges, contigs)
     now = materialised(step.where((c("src") >= contigs) & (c("dst") < contigs)).groupBy(c("src").alias("id")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")))
     links = materialised(step.where((c("src") >= contigs) & (c("dst") >= contigs)))
     state = None
@@ -103,7 +104,7 @@ def sole_contig(edges: DataFrame, contigs: int) -> DataFrame:
         if new == state:
             break
         state = new
-    return now.where("lo = hi").select(c("id").alias("read"), c("lo").alias("contig"))
+    return place.join(now.where("lo = hi").select(c("id").alias("at"), c("lo").alias("contig")), "at").select(c("id").alias("read"), "contig")
 
 
 def bridge_match(repeats: DataFrame, edges: DataFrame, contigs: int, least: int = 2, both_ways: bool = False) -> DataFrame:
@@ -263,14 +264,17 @@ def unique_partners(pairs: DataFrame) -> DataFrame:
 
 
 def reach_labels(edges: DataFrame, repeats: DataFrame, contigs: int) -> DataFrame:
-    """(rep_id, id, from_ins, to_outs): reads on the way from ins and to outs of a repeat, with the sets they are reached from and lead to."""
+    """(rep_id, id, from_ins, to_outs): reads on the way from ins and to outs of a repeat, with the sets they are reached from and lead to.
+    The searches go over contracted reads, and the labels of each go to all reads that it stands for."""
+    place, edges = contracted(edges, contigs)
     ins, outs = repeats.select("rep_id", F.explode("ins").alias("x")), repeats.select("rep_id", F.explode("outs").alias("x"))
     through = c("id") >= contigs
     ahead = shortest_paths(edges, ins.select(c("x").alias("id")).distinct(), through=through)
     back = shortest_paths(edges.select(c("dst").alias("src"), c("src").alias("dst")), outs.select(c("x").alias("id")).distinct(), through=through)
     a = ins.join(ahead.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("from_ins"))
     b = outs.join(back.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("to_outs"))
-    return a.join(b, ["rep_id", "id"], "full_outer")
+    both = a.join(b, ["rep_id", "id"], "full_outer").withColumnRenamed("id", "at")
+    return both.join(place, "at").select("rep_id", "id", "from_ins", "to_outs")
 
 
 def interior(labels: DataFrame, repeats: DataFrame) -> DataFrame:

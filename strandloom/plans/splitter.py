@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import twin
 from ..operators import aggregates as A
+from ..operators import contraction as K
 from ..operators import em
 from ..operators import graph as G
 from ..operators import intervals as I
@@ -36,7 +37,7 @@ def aligned(refs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def surgery(edges: DataFrame, contigs: int, options: SplitOptions) -> DataFrame:
     """The contig graph: reach through reads, then the filters of edges in turn."""
-    now = G.reach_through_reads(edges, contigs).withColumn("wt", F.lit(0))
+    now = K.reach(edges, contigs).withColumn("wt", F.lit(0))
     now = materialised(G.without_adaptor_pairs(now))
     zone = materialised(G.no_go_zone(edges, now, edges.sparkSession.range(contigs), contigs))
     now = materialised(G.symmetric(now))
@@ -84,7 +85,7 @@ def split(contigs: DataFrame, reads: DataFrame, options: SplitOptions = SplitOpt
     depth = stage("abundance", lambda: A.abundance(A.best_hit(cr), con.select("name", "len")), cr, con)
     node_depth = depth.withColumn("num", F.regexp_extract("contig", "([0-9]+)$", 1).cast("long")).select(F.explode(F.array(c("num") * 2, c("num") * 2 + 1)).alias("id"), "depth")
     sd = A.distinct_std(depth, "depth").first()["sd"] or 0.0
-    graph = stage("contig_graph", lambda: surgery(edges, n, options) if options.runGraphSurgery else G.reach_through_reads(edges, n).withColumn("wt", F.lit(0)), edges, options=options)
+    graph = stage("contig_graph", lambda: surgery(edges, n, options) if options.runGraphSurgery else K.reach(edges, n).withColumn("wt", F.lit(0)), edges, options=options)
     if options.runBResolve:
         repeats = materialised(G.bipartite_repeats(graph).where("size(ins) > 0 and size(outs) > 0"))
         inner = repeats.where("size(ins) > 1 or size(outs) > 1")

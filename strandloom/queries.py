@@ -17,6 +17,7 @@ from .functions import sequence as S
 from .functions.stats import binomial_test
 from .operators import aggregates as A
 from .operators import breaks as B
+from .operators import contraction as K
 from .operators import graph as G
 from .operators import intervals as I
 from .operators import joins as J
@@ -537,7 +538,26 @@ def _(t):
 
 @query("reach_via", f"with recursive r as (select src, dst from {E} where src < 300 union select r.src, e.dst from r join {E} e on e.src = r.dst where r.dst >= 300) select src, dst from r where dst < 300 and src <> dst")
 def _(t):
-    return G.reach_through_reads(t("edges"), 300)
+    return K.reach(t("edges"), 300)
+
+
+# rings of twelve customers, with shortcuts, and links to the ring behind; ten rings hang together
+VIEWS["rings"] = """select c_custkey src, c_custkey - c_custkey % 12 + (c_custkey + 1 + c_nationkey % 3) % 12 dst from {customer} where c_mktsegment <> 'BUILDING'
+        union all select c_custkey, c_custkey + 12 from {customer} where c_acctbal < 0 and c_custkey % 120 < 108"""
+MUTUAL = "with recursive e as (select distinct src, dst from {rings}), r as (select src a, dst b from e union select r.a, e.dst from r join e on e.src = r.b)"
+
+
+@query("strong_components", f"{MUTUAL} select id, least(id, coalesce(m, id)) component from (select src id from e union select dst from e) n left join (select x.a, min(x.b) m from r x join r y on x.a = y.b and x.b = y.a group by x.a) g on a = id")
+def _(t):
+    return K.strong_components(t("rings"))
+
+
+@query("tandem_cycles", f"""{MUTUAL}, k as (select x.a id, min(x.b) c from r x join r y on x.a = y.b and x.b = y.a group by x.a), i as (select p.c, src, dst from e join k p on p.id = src join k q on q.id = dst where p.c = q.c),
+    f as (select distinct c, c id, 0 d from k union select f.c, i.dst, d + 1 from f join i on i.c = f.c and i.src = f.id where d < 12), b as (select c, id, min(d) d from f group by c, id),
+    z as (select i.c, min((b.d, i.src)) x from i join b on b.c = i.c and b.id = i.src where i.dst = i.c group by i.c), w as (select z.c, b.id, b.d from z join b on b.c = z.c and (b.d, b.id) = z.x
+    union select * from (select w.c, min(i.src) id, w.d - 1 d from w join i on i.c = w.c and i.dst = w.id join b on b.c = w.c and b.id = i.src and b.d = w.d - 1 group by w.c, w.d)) select c component, cast(d as int) pos, id from w""")
+def _(t):
+    return K.cycles(t("rings"))
 
 
 @query("shortest_path", f"with recursive b as (select 1::bigint id, 0 dist union select e.dst, b.dist + 1 from b join {E} e on e.src = b.id where b.dist < 25) select id, cast(min(dist) as int) dist from b group by id")

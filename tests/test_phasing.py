@@ -50,8 +50,9 @@ def test_phase(spark):
 
 def test_small_parts(spark):
     assert P.base_graph_paths(pd.DataFrame({"pos": [1, 1, 2], "base": ["A", "C", "G"]})) == ["AG", "CG"]
-    assert P.tandem_cycle([(0, 10), (10, 11), (11, 12), (12, 10), (12, 2)], 0, 4) == [10, 11, 12]
-    assert P.tandem_cycle([(0, 10), (10, 2)], 0, 4) is None
+    ring = spark.createDataFrame([(0, 10), (10, 11), (11, 12), (12, 10), (12, 2)], "src long, dst long")
+    assert [r.id for r in P.tandem_cycles(ring, 4).orderBy("pos").collect()] == [10, 11, 12]
+    assert P.tandem_cycles(spark.createDataFrame([(0, 10), (10, 2)], "src long, dst long"), 4).count() == 0
     aln = spark.createDataFrame([("a", 100), ("a", 60), ("b", 200)], "qry string, len1 int")
     assert P.copies(aln, 10, 10.0).first().copies == 3.0
     temps = spark.createDataFrame([(0, "A" * 120)], "t int, seq string")
