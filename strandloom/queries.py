@@ -653,18 +653,38 @@ def _segments(t) -> DataFrame:
     return t("events").groupBy(c("event_type").alias("contig"), F.floor(F.unix_timestamp("ts") / 3600).cast("int").alias("seg_idx")).agg(F.count("*").cast("double").alias("total")).withColumn("len", F.lit(60))
 
 
-@query("group_ctest")
+# the grouped count test in SQL: groups between boundaries are merged where the exact binomial test finds no difference, until none is merged any more
+GROUPED = """with recursive s as ({marks}), b as (select contig, seg_idx, total, row_number() over (partition by contig order by seg_idx) i, count(*) over (partition by contig) n from s),
+        t as (select contig, list(case when i < n then 1 else 0 end order by i) m, 0 turn from b group by contig
+    union all select contig, list(case when m[i] = 1 and i < n and pv < 0.05 then 1 else 0 end order by i), turn + 1 from (
+        select b.contig, b.i, b.n, t.m, t.turn, g.pv from t join b on b.contig = t.contig
+        left join (select contig, last, turn, (select least(1.0, sum(case when q <= qx + ln(1 + 1e-7) then exp(q) else 0 end)) from (select lgamma(y + 1) - lgamma(k + 1) - lgamma(y - k + 1) + k * ln(pr) + (y - k) * ln(1 - pr) q,
+            lgamma(y + 1) - lgamma(x + 1) - lgamma(y - x + 1) + x * ln(pr) + (y - x) * ln(1 - pr) qx from range(0, y + 1) r(k))) pv from (
+            select contig, turn, last, x, x + lead(x) over w y, cast(k as double) / (k + lead(k) over w) pr from (
+                select contig, turn, grp, max(i) last, cast(sum(total) as bigint) x, count(*) k from (
+                    select t.contig, t.turn, b.i, b.total, coalesce(list_sum(t.m[1:b.i - 1]), 0) grp from t join b on b.contig = t.contig) group by contig, turn, grp)
+            window w as (partition by contig order by grp)) where y is not null) g on g.contig = b.contig and g.last = b.i)
+    group by contig, m, turn having list(case when m[i] = 1 and i < n and pv < 0.05 then 1 else 0 end order by i) <> m),
+    p as (select contig, max_by(m, turn) m from t group by contig), d as (select b.contig, seg_idx, cast(m[i] as int) p from b join p on p.contig = b.contig)"""
+MARKS = "select event_type contig, cast(floor(epoch(ts) / 3600) as int) seg_idx, cast(count(*) as double) total from events group by 1, 2"
+# lines of suppliers in sixty classes of parts, every other ten of which weigh more: levels that differ clearly, hardly, or not
+LEVELS = "select concat('Contig', cast(l_suppkey % 25 as varchar(9))) contig, cast(l_partkey % 60 as int) seg_idx, cast(sum(case when cast(floor((l_partkey % 60) / 10) as int) % 2 = 1 and l_linenumber <= l_suppkey % 5 then 3 else 1 end) as double) total from {lineitem} group by 1, 2"
+
+
+@query("group_ctest", GROUPED.replace("{marks}", MARKS) + " select contig, seg_idx, p from d")
 def _(t):
     return B.count_test(_segments(t))
 
 
-@query("cut_list")
+@query("group_ctest_levels", GROUPED.replace("{marks}", LEVELS) + " select contig, seg_idx, p from d")
 def _(t):
-    rows = _segments(t).withColumn("end", c("seg_idx") * 60)
-    return B.cut_list(rows, B.count_test(_segments(t)))
+    return B.count_test(t(LEVELS).withColumn("len", F.lit(60)))
 
 
-MARKS = "select event_type contig, cast(floor(epoch(ts) / 3600) as int) seg_idx, cast(count(*) as double) total from events group by 1, 2"
+@query("cut_list", GROUPED.replace("{marks}", MARKS) + " select contig, seg_idx * 60 \"at\" from d where p = 1 union select contig, max(seg_idx) * 60 from s group by contig union select distinct contig, 0 from s")
+def _(t):
+    rows = _segments(t).withColumn("end", c("seg_idx") * 60)
+    return B.cut_list(rows, B.count_test(_segments(t)))
 
 
 @query("cut_list_of_marks", f"with s as ({MARKS}) select contig, seg_idx * 60 cut from s where total > 8 union select contig, max(seg_idx) * 60 from s group by contig union select distinct contig, 0 from s")
