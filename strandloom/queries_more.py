@@ -24,6 +24,7 @@ from .plans import evaluate
 from .plans.repair import adaptor_breaks
 from .plans.runtime import shared_folder
 from .queries import FEW, REPS, VIEWS, E, _repeats, full, query
+from .sources import fasta_format
 from .sources import tables as T
 
 c = F.col
@@ -46,6 +47,16 @@ def _(t):
     return T.read_alignments(t("aln").sparkSession, path)
 
 
+@query("fasta_format", "select concat('Doc', doc_id) name, regexp_replace(upper(text), '[^ACGTN]', '', 'g') seq, cast(length(regexp_replace(upper(text), '[^ACGTN]', '', 'g')) as int) len from {lines}")
+def _(t):
+    """Written and read again by the data source, in lines of 60 letters."""
+    rows = t("lines").select(F.concat(F.lit("Doc"), "doc_id").alias("name"), S.clean("text").alias("seq"))
+    spark = fasta_format.register(rows.sparkSession)
+    path = shared_folder(spark)
+    rows.write.format("fasta").mode("append").option("width", 60).save(path)
+    return spark.read.format("fasta").schema("name string, seq string, len int").load(path)
+
+
 LISTED = f"select src, dst, cast(src % 90 + 1 as int) wt, cast(row_number() over (partition by src order by dst) - 1 as bigint) ord from {E}"
 
 
