@@ -238,9 +238,11 @@ def bipartite_resolve(edges: DataFrame, repeats: DataFrame, pairs: DataFrame) ->
 
 def split_nodes(edges: DataFrame, pairs: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (node, src, dst) give node a copy with a new id from first_id on, reached from src and leading to dst. Returns the edges
-    and (copy, node). Used edges of the node go."""
-    number = F.row_number().over(Window.orderBy("node", "src", "dst")) - 1 + first_id  # one row per resolved pair
-    copies = materialised(pairs.distinct().withColumn("copy", number.cast("long")))
+    and (copy, node). Used edges of the node go. Copies are numbered in order of (node, src, dst), counted per range of nodes first."""
+    rows = materialised(pairs.select("node", "src", "dst").distinct().withColumn("_b", F.floor(c("node") / 4096)))
+    base = rows.groupBy("_b").agg(F.count("*").alias("_k")).withColumn("_base", F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    number = c("_base") + F.row_number().over(Window.partitionBy("_b").orderBy("node", "src", "dst")) - 1 + first_id
+    copies = materialised(rows.join(base, "_b").select("node", "src", "dst", number.cast("long").alias("copy")))
     gone = copies.select(c("src"), c("node").alias("dst")).union(copies.select(c("node").alias("src"), "dst"))
     new = copies.select("src", c("copy").alias("dst")).union(copies.select(c("copy").alias("src"), "dst"))
     kept = remove(edges, gone).select("src", "dst", "wt")

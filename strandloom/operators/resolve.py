@@ -140,11 +140,17 @@ def one_strand(repeats: DataFrame) -> DataFrame:
 
 
 def separate_paths(paths: DataFrame) -> DataFrame:
-    """(rep_id, l1, r1, l2, r2): of the paths (rep_id, l, r) of a repeat the first two, in order of l and r, that differ at both ends."""
-    a = paths.select("rep_id", c("l").alias("l1"), c("r").alias("r1")).distinct()
-    b = paths.select("rep_id", c("l").alias("l2"), c("r").alias("r2")).distinct()
-    both = a.join(b, "rep_id").where("l1 < l2 and r1 <> r2")  # ins times outs of one repeat
-    return both.groupBy("rep_id").agg(F.min(F.struct("l1", "r1", "l2", "r2")).alias("m")).select("rep_id", "m.*")
+    """(rep_id, l1, r1, l2, r2): of the paths (rep_id, l, r) of a repeat the first two, in order of l and r, that differ at both ends. The first begins at the
+    least l of all, or there are none: if all others end where a path from there does, they do so from there too, or it has another end. So no path meets
+    another, only the least of its repeat."""
+    row = lambda cond: F.min(F.when(cond, F.struct("l", "r")))
+    first = paths.groupBy("rep_id").agg(F.min(F.struct("l", "r")).alias("a"))
+    behind, other = c("l") > c("a.l"), c("r") != c("a.r")
+    found = paths.join(first, "rep_id").groupBy("rep_id").agg(F.first("a").alias("a"), row(behind & other).alias("far"), row(behind).alias("next"), F.min(F.when(~behind & other, c("r"))).alias("second"))
+    plain = c("far").isNotNull()
+    out = found.where(plain | (c("next").isNotNull() & c("second").isNotNull()))
+    partner = F.when(plain, c("far")).otherwise(c("next"))
+    return out.select("rep_id", c("a.l").alias("l1"), F.when(plain, c("a.r")).otherwise(c("second")).alias("r1"), partner["l"].alias("l2"), partner["r"].alias("r2"))
 
 
 def resolved_pairs(*found: DataFrame) -> DataFrame:

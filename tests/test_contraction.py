@@ -111,3 +111,17 @@ def test_long_rows_of_reads_take_few_jobs(spark, ahead=3):
         for m in (K, G, R):
             m.materialised = real
     assert got == [(0, 2)] and len(writes) <= 30
+
+
+def test_separate_paths_are_the_first_of_all_pairs(spark):
+    """All sets of up to six paths of a small repeat, and some larger ones."""
+    r = random.Random(5)
+    rows = [(k, r.randrange(1 + k % 4), r.randrange(1 + k % 3)) for k in range(300) for _ in range(1 + k % 6)]
+    want = {}
+    for k in range(300):
+        own = {(a, b) for i, a, b in rows if i == k}
+        both = sorted((a, b, x, y) for a, b in own for x, y in own if a < x and b != y)
+        if both:
+            want[k] = both[0]
+    got = R.separate_paths(spark.createDataFrame(rows, "rep_id long, l long, r long")).collect()
+    assert {x.rep_id: tuple(x)[1:] for x in got} == want and len(want) > 50
