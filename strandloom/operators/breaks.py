@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import group_count_test
@@ -44,20 +46,99 @@ def enclosed(points: DataFrame, width: int = 10_000) -> DataFrame:
     return points.join(bins, (c("contig") == c("on")) & (F.floor(c("loc") / width) == c("bin")) & (c("loc") >= c("lo")) & (c("loc") <= c("hi"))).drop("on", "bin")
 
 
-def with_hidden(points: DataFrame, apart: int = HIDDEN_APART, width: int = 10_000) -> DataFrame:
-    """points and those that a copy has and the other copy lacks, projected on to the other one (mirrored if reversed). Projected points nearer than
-    apart to the one before them or to the copy's end are dropped; of points at one place the first stays."""
-    inside = materialised(enclosed(points, width))
+def enclosed_totals(points: DataFrame, value: Column, width: int = 10_000) -> DataFrame:
+    """(in_rep, copy, n, s): number of the points that enclosed() gives for a copy, and their sum of value (a whole number). Sums run along the contig, so no pair is made:
+    a copy has what was summed at its end less what was before its begin. Bins of a contig are summed apart, and what earlier bins hold is carried over."""
+    both = copies(points).select(c("rep").alias("in_rep"), "copy", "contig", F.explode(F.array(F.struct(c("lo").alias("loc"), F.lit(0).alias("kind")), F.struct(c("hi").alias("loc"), F.lit(2).alias("kind")))).alias("x"))
+    ends = both.select("contig", "x.loc", "x.kind", "in_rep", "copy", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("v"))
+    own = points.select("contig", "loc", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("in_rep"), F.lit(None).cast("int").alias("copy"), F.lit(1).cast("long").alias("one"), F.coalesce(value.cast("long"), F.lit(0)).alias("v"))
+    rows = ends.union(own).where("contig is not null and loc is not null").withColumn("bin", F.floor(c("loc") / width))
+    w = Window.partitionBy("contig", "bin").orderBy("loc", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = rows.withColumn("n", F.sum("one").over(w)).withColumn("s", F.sum("v").over(w)).where("kind <> 1")
+    before = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("contig", "bin").agg(F.sum("one").alias("n"), F.sum("v").alias("s"))
+    carry = carry.select("contig", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    sign = c("kind") - 1
+    got = here.join(carry, ["contig", "bin"]).groupBy("in_rep", "copy").agg(F.sum(sign * (c("n") + c("n0"))).alias("n"), F.sum(sign * (c("s") + c("s0"))).alias("s"))
+    return got.where("n > 0")
+
+
+#: Copies of a group that one task looks at.
+COPIES = 65_536
+
+
+def _projected(apart: int) -> Callable:
+    """Copies (lo, hi, turned, to, to_lo, to_hi) of a group and the points among which theirs are (rep, cluster, endpt, loc, members: places of the points that
+    the match aligns, itself included): (rep, endpt, cluster, contig, loc) of points to show. A copy at a time, so pairs are not kept."""
+
+    def run(both: pa.Table, points: pa.Table) -> pa.Table:
+        schema = pa.schema([("rep", pa.int64()), ("endpt", pa.int32()), ("cluster", pa.int64()), ("contig", pa.string()), ("loc", pa.int32())])
+        if not len(both) or not len(points):
+            return schema.empty_table()
+        rep, cluster, endpt, loc = (points.column(k).to_numpy().astype(np.int64) for k in ("rep", "cluster", "endpt", "loc"))
+        lists = points.column("members").combine_chunks()
+        size = lists.value_lengths().fill_null(0).to_numpy()
+        flat = lists.flatten()
+        name, to = flat.field("contig").to_pylist(), both.column("to").to_pylist()
+        number = {n: k for k, n in enumerate(dict.fromkeys(to))}
+        begin = np.cumsum(size) - size
+        most = int(size.max())
+        on, at = np.full((most, len(loc)), -1), np.zeros((most, len(loc)), np.int64)
+        names, places = np.array([number.get(n, -1) for n in name], np.int64), flat.field("loc").to_numpy(zero_copy_only=False).astype(np.int64)
+        for k in range(most):
+            has = np.flatnonzero(size > k)
+            on[k, has], at[k, has] = names[begin[has] + k], places[begin[has] + k]
+        shown = -2 - endpt
+        ways = []
+        for sign in (1, -1):
+            order = np.lexsort((cluster, shown, rep, sign * loc))
+            ways.append((order, sign * loc[order], on[:, order], at[:, order]))
+        lo, hi, to_lo, to_hi = (both.column(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "to_lo", "to_hi"))
+        turned, target = both.column("turned").to_pylist(), [number[n] for n in to]
+        rows, where, place = [], [], []
+        for i in range(len(both)):
+            order, key, on, at = ways[int(turned[i])]
+            a, b = (np.searchsorted(key, -hi[i], "left"), np.searchsorted(key, -lo[i], "right")) if turned[i] else (np.searchsorted(key, lo[i], "left"), np.searchsorted(key, hi[i], "right"))
+            there = np.zeros(b - a, bool)
+            for k in range(most):
+                there |= (on[k, a:b] == target[i]) & (at[k, a:b] >= to_lo[i]) & (at[k, a:b] <= to_hi[i])
+            missing = np.flatnonzero(~there)
+            # keys grow in the order of the other copy, mirrored ones as well
+            x = key[a:b][missing] + (hi[i] if turned[i] else -lo[i]) + to_lo[i]
+            far = np.flatnonzero((np.abs(np.diff(x, prepend=to_lo[i])) >= apart) & (np.abs(to_hi[i] - x) >= apart))
+            rows.append(order[a:b][missing[far]]), place.append(x[far]), where.append(np.full(len(far), i))
+        r, i = np.concatenate(rows), np.concatenate(where)
+        out = [pa.array(rep[r]), pa.array(shown[r].astype(np.int32)), pa.array(cluster[r]), both.column("to").combine_chunks().take(pa.array(i)), pa.array(np.concatenate(place).astype(np.int32))]
+        return pa.Table.from_arrays(out, schema=schema)
+
+    return run
+
+
+def projected(points: DataFrame, apart: int, width: int) -> DataFrame:
+    """(rep, endpt, cluster, contig, loc) of the points that a copy has and the other lacks, on the other one. A copy meets the points of two bins, which are as long as it is (width
+    times a power of two), so what a task holds is a few times what one copy encloses, and pairs of a copy and a point leave no task."""
     both = copies(points)
-    other = both.select(c("rep").alias("in_rep"), (1 - c("copy")).alias("copy"), c("contig").alias("to"), c("lo").alias("to_lo"), c("hi").alias("to_hi"))
-    has = inside.select("in_rep", (1 - c("copy")).alias("copy"), "rep", "cluster").distinct()
-    missing = inside.join(has, ["in_rep", "copy", "rep", "cluster"], "left_anti").join(other, ["in_rep", "copy"])
-    loc = F.when(c("turned"), c("hi") - c("loc") + c("to_lo")).otherwise(c("loc") - c("lo") + c("to_lo"))
-    shown = missing.select("in_rep", c("copy"), "rep", (-2 - c("endpt")).alias("endpt"), "cluster", c("to").alias("contig"), loc.cast("int").alias("loc"), "to_lo", "to_hi")
-    w = Window.partitionBy("in_rep", "copy").orderBy("loc", "rep", "endpt", "cluster")
-    before = F.coalesce(F.lag("loc").over(w), c("to_lo"))
-    far = (F.abs(c("loc") - before) >= apart) & (F.abs(c("to_hi") - c("loc")) >= apart)
-    shown = shown.withColumn("far", far).where("far")
+    other = both.select("rep", (1 - c("copy")).alias("copy"), c("contig").alias("to"), c("lo").alias("to_lo"), c("hi").alias("to_hi"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2((c("hi") - c("lo") + 1) / width)).cast("int"))
+    span = F.expr(f"shiftleft({int(width)}L, level)")
+    group = ["contig", "level", "bin"]
+    both = both.join(other, ["rep", "copy"]).withColumn("level", level).withColumn("bin", F.floor(c("lo") / span))
+    both = materialised(both.withColumn("name", F.xxhash64("rep", "copy")).drop("rep", "copy"))
+    met = both.groupBy(*group).agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts"))
+    members = points.where("contig is not null and loc is not null").groupBy("rep", "cluster").agg(F.collect_list(F.struct("contig", "loc")).alias("members"))
+    placed = points.where("contig is not null and loc is not null").join(members, ["rep", "cluster"], "left").join(both.select("contig", "level").distinct(), "contig")
+    placed = placed.withColumn("bin", F.explode(F.array(*(F.floor(c("loc") / span) - k for k in (0, 1)))))
+    placed = placed.join(met, group).withColumn("part", F.explode(F.sequence(F.lit(0), c("parts") - 1)))
+    dealt = both.join(met, group).withColumn("part", F.pmod("name", "parts").cast("int"))
+    left = dealt.select(*group, "part", "lo", "hi", "turned", "to", "to_lo", "to_hi").groupBy(*group, "part")
+    right = placed.select(*(c(k).alias(k) for k in group), "part", "rep", "cluster", "endpt", "loc", "members").groupBy(*group, "part")
+    return left.cogroup(right).applyInArrow(_projected(apart), "rep long, endpt int, cluster long, contig string, loc int")
+
+
+def with_hidden(points: DataFrame, apart: int = HIDDEN_APART, width: int = 10_000) -> DataFrame:
+    """points (as natural() gives them) and those that a copy has and the other copy lacks, projected on to the other one (mirrored if reversed). Projected points nearer
+    than apart to the one before them or to the copy's end are dropped; of points at one place the first stays."""
+    shown = projected(points, apart, width)
     new = shown.select(F.lit(None).cast("long").alias("key"), "rep", "endpt", "cluster", "contig", "loc")
     one = Window.partitionBy("contig", "loc").orderBy(c("key").isNull().desc(), "rep", "endpt", "cluster", "key")
     every = materialised(points.unionByName(new.distinct()).withColumn("n", F.row_number().over(one)).where("n = 1").drop("n"))

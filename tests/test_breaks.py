@@ -103,3 +103,64 @@ def test_binomial():
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], ALN)
     assert rows(B.break_intervals(empty)) == []
+
+
+def _random_repeats(n, seed, contigs=3):
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        a, b, size, turned = r.randrange(1, 900), r.randrange(1, 900), r.randrange(1, 300), r.random() < 0.4
+        out.append((a, a + size, b + size if turned else b, b if turned else b + size, f"C{r.randrange(contigs)}", f"C{r.randrange(contigs)}", k))
+    return out
+
+
+@pytest.mark.parametrize(("n", "apart", "width"), [(12, 20, 64), (12, 5, 1000), (40, 5, 16), (2, 0, 100)])
+def test_projected_points_against_pairs(spark, n, apart, width):
+    """Points shown on the other copy, counted out over all pairs of a copy and a point, copies of one contig and turned ones included."""
+    points = B.natural(spark.createDataFrame(_random_repeats(n, n + apart), ALN))
+    table = [tuple(r) for r in points.collect()]
+    copy = {}
+    for r in B.copies(points).collect():
+        copy[r.rep, r.copy] = r
+    want = set()
+    for (rep, side), x in copy.items():
+        y = copy[rep, 1 - side]
+        within = lambda p, z: p[4] == z.contig and z.lo <= p[5] <= z.hi
+        has = {(p[1], p[3]) for p in table if within(p, y)}
+        seen = [((x.hi - p[5] if x.turned else p[5] - x.lo) + y.lo, p[1], -2 - p[2], p[3]) for p in table if within(p, x) and (p[1], p[3]) not in has]
+        last = y.lo
+        for loc, r, e, k in sorted(seen):
+            if abs(loc - last) >= apart and abs(y.hi - loc) >= apart:
+                want.add((r, e, k, y.contig, loc))
+            last = loc
+    assert {tuple(r) for r in B.projected(points, apart, width).collect()} == want
+    assert want or n == 2
+
+
+def test_hidden_points_keep_no_pairs(spark, monkeypatch):
+    """600 repeats over one another: some 300,000 pairs of a copy and a point, of which none is written."""
+    sizes, keep = [], B.materialised
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "materialised", counted)
+    points = B.natural(spark.createDataFrame(_random_repeats(600, 1, 2), ALN))
+    assert B.enclosed(points).count() > 100_000
+    B.with_hidden(points, 5).count()
+    assert max(sizes) <= 4 * 2400
+
+
+@pytest.mark.parametrize("width", [7, 10_000])
+def test_enclosed_totals(spark, width):
+    from pyspark.sql import functions as F
+
+    points = B.natural(spark.createDataFrame(_random_repeats(40, 3), ALN))
+    want = B.enclosed(points, 100).groupBy("in_rep", "copy").agg(F.count("*").alias("n"), F.sum(F.col("key") % 11).alias("s"))
+    got = B.enclosed_totals(points, F.col("key") % 11, width)
+    assert rows(got) == rows(want)
+    assert "BroadcastNestedLoop" not in got._jdf.queryExecution().toString() and "hi" not in got.columns
