@@ -188,7 +188,7 @@ def prefix(code: str, length) -> F.Column:
 
 
 def leaves(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """(node, width, tree, length, prefix, block) of every row in every tree, and the leaves (width, tree, length, prefix, n, blocks)."""
+    """(node, width, tree, leaf) of every row in every tree, and the leaves (width, tree, length, prefix, n, blocks, first)."""
     key = ["width", "tree", "length", "prefix"]
     begin = 0
     while begin < LETTERS and total >= LEAF * (1 << LETTER) ** (begin + 1):
@@ -199,16 +199,23 @@ def leaves(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         size = materialised(size.withColumn("blocks", F.when(c("length") >= LETTERS, F.ceil(c("n") / LIMIT)).otherwise(F.lit(1)).cast("int")))
         large = size.where((c("n") > LIMIT) & (c("length") < LETTERS)).select(*key, F.lit(True).alias("split"))
         if not large.limit(1).count():
-            placed = now.join(size.select(*key, "blocks"), key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-            return placed.select("node", *key, "block"), size
+            size = materialised(numbered(size))
+            placed = now.join(size.select(*key, "blocks", "first"), key).withColumn("leaf", c("first") + F.pmod(F.xxhash64("node"), "blocks"))
+            return placed.select("node", "width", "tree", "leaf"), size
         deeper = F.when(c("split"), F.least(c("length") + STEP, F.lit(LETTERS))).otherwise(c("length"))
         now = materialised(now.join(large, key, "left").withColumn("length", deeper).withColumn("prefix", prefix("code", "length")).drop("split"))
 
 
+def numbered(size: DataFrame) -> DataFrame:
+    """Leaves with the number of their first block (first), in the order of their strings within a tree: those below any prefix are a range of numbers."""
+    w = Window.partitionBy("width", "tree").orderBy(F.expr(f"shiftleft(prefix, {LETTER} * ({LETTERS} - length))")).rowsBetween(Window.unboundedPreceding, -1)
+    return size.withColumn("first", F.coalesce(F.sum(c("blocks").cast("long")).over(w), F.lit(0)))
+
+
 def levels(tree: DataFrame) -> DataFrame:
-    """Each leaf once for each prefix of its own: (width, tree, level, at, length, prefix, blocks, n)."""
-    rows = tree.withColumn("level", F.explode(F.sequence(F.lit(0), c("length"))))
-    return rows.select("width", "tree", "level", F.expr(f"shiftright(prefix, {LETTER} * (length - level))").alias("at"), "length", "prefix", "blocks", "n")
+    """The prefixes of all leaves, each once (some 4/3 of the leaves, not one row per leaf and level): (width, tree, level, at, n rows below, first, last: the leaves below)."""
+    rows = tree.withColumn("level", F.explode(F.sequence(F.lit(0), c("length")))).withColumn("at", F.expr(f"shiftright(prefix, {LETTER} * (length - level))"))
+    return rows.groupBy("width", "tree", "level", "at").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max(c("first") + c("blocks") - 1).alias("last"))
 
 
 def ascents(seen: DataFrame, totals: DataFrame, quota: int | None) -> DataFrame:
@@ -267,10 +274,11 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     queries = classes.where("asked is not null").select(c("node").alias("q"), "width", "vec", "norm", "asked")
     queries = materialised(map_batches(queries, strings(models, True), "q long, width int, vec binary, norm double, asked long, codes array<long>"))
     placed, tree = leaves(forest, count)
-    placed, below = materialised(placed), materialised(levels(tree))
-    counts = below.groupBy("width", "tree", "level", "at").agg(F.sum("n").alias("n"))
-    steps = queries.select("q", "width", F.posexplode("codes").alias("tree", "code")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LETTERS)))).withColumn("at", prefix("code", "level"))
-    steps = materialised(steps.join(counts, ["width", "tree", "level", "at"]).select("q", "width", "tree", "level", "at", "n"))
+    placed, counts = materialised(placed), materialised(levels(tree))
+    deepest = tree.agg(F.max("length")).first()[0] or 0
+    steps = queries.select("q", "width", F.posexplode("codes").alias("tree", "code")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("at", prefix("code", "level"))
+    # files of prefixes are small for their rows, so Spark would send them all to the driver and broadcast them
+    steps = materialised(steps.join(counts.hint("merge"), ["width", "tree", "level", "at"]).select("q", "width", "tree", "level", "n", "first", "last"))
     # audit
     asked = queries.orderBy(F.xxhash64("q", F.lit(9)), "q").limit(AUDIT).select("q", "width", "vec", "codes", "asked").collect()
     audited = {w: (np.array([r.q for r in asked if r.width == w]), np.stack([np.frombuffer(bytes(r.vec), np.float64) for r in asked if r.width == w]), np.array([r.codes for r in asked if r.width == w], np.int64)) for w in {r.width for r in asked}}
@@ -279,17 +287,16 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     truth = {r.q: [(x.id, x.shared) for x in r.near if x.id != own[r.q]][:k] for r in top(exact, k + 1).collect()}
     truth = {q: near for q, near in truth.items() if near}
     looked: dict[int, list] = {}
-    for r in steps.where(c("q").isin(list(truth))).collect() if truth else []:
+    for r in steps.where(c("q").isin(list(truth))).select("q", "width", "tree", "level", "n").collect() if truth else []:
         looked.setdefault(r.q, []).append((r.width, r.tree, r.level, r.n))
     of_width = {w.width: w.total for w in widths.where(c("width").isin(list(audited))).collect()} if audited else {}
     quota = calibrated(truth, looked, of_width)
     # search; the forest is read by leaves, the queries by what they visit
-    leaf = ["width", "tree", "length", "prefix", "block"]
+    leaf = ["width", "tree", "leaf"]
     held = materialised(placed.join(forest.select("node", "vec", "ids"), "node").select(*leaf, "vec", "ids"))
     while True:
-        way = ascents(steps.select("q", "width", "tree", "level", "n"), widths.select("width", "total"), quota).join(steps.select("q", "tree", "level", "at"), ["q", "tree", "level"])
-        visits = way.join(below.drop("n"), ["width", "tree", "level", "at"]).withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).select("q", *leaf)
-        visits = materialised(visits)
+        way = ascents(steps.select("q", "width", "tree", "level", "n"), widths.select("width", "total"), quota).join(steps.select("q", "tree", "level", "first", "last").hint("merge"), ["q", "tree", "level"])
+        visits = materialised(way.withColumn("leaf", F.explode(F.sequence("first", "last"))).select("q", *leaf))
         met = visits.groupBy(*leaf).agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("parts"))
         left = held.join(met, leaf).withColumn("part", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
         right = visits.join(met, leaf).withColumn("part", F.pmod(F.xxhash64("q", F.lit(2)), "parts").cast("int")).join(queries.select("q", c("vec").alias("qvec")), "q").select(*leaf, "part", "q", "qvec")

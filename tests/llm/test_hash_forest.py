@@ -116,3 +116,15 @@ def test_letters_shared():
     assert normal.shape == (hash_forest.TREES * hash_forest.BITS, 7) and longest == 1.0
     side = hash_forest.extended(x, np.ones(50), 1.0) @ normal.T > offset
     assert abs(side.mean() - 0.5) < 0.05
+
+
+def test_leaves_below_a_prefix_are_a_range(spark):
+    """The table of prefixes has each one once, whatever the number of leaves below it, and names those as a range of numbers."""
+    leaves = [(1, 0, 3, p, 10 + p, 1 + p % 3) for p in range(48)] + [(1, 0, 1, 3, 5, 1)]
+    tree = hash_forest.numbered(spark.createDataFrame(leaves, "width int, tree int, length int, prefix long, n long, blocks int")).collect()
+    got = hash_forest.levels(spark.createDataFrame(tree)).collect()
+    assert len(got) == 1 + 4 + 12 + 48
+    for x in got:
+        below = [t for t in tree if t.length >= x.level and t.prefix >> 2 * (t.length - x.level) == x.at]
+        assert x.n == sum(t.n for t in below)
+        assert sorted(k for t in below for k in range(t.first, t.first + t.blocks)) == list(range(x.first, x.last + 1))
