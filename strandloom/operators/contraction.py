@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialised
-from .graph import jumped, reach_through_reads, shortest_paths
+from .graph import components, jumped, reach_through_reads, shortest_paths
 
 c = F.col
 
@@ -99,12 +99,13 @@ def _least_ahead(nodes: DataFrame, step: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     """(id, component): the smallest node of each one's strongly connected component, for all nodes of edges (src, dst).
 
-    Classes of nodes that hold whole components are searched in one task each once they have `local` edges at most. A larger one is split: each node
+    Classes of nodes that hold whole components are searched in one task each once they have `local` edges at most. More edges than that are split by what
+    hangs together in either direction, which ends it where the graph is made of many small parts. A class that is still larger is split by labels: each node
     learns the node of least rank (a hash, new in each round) that leads to it and that it leads to. Where both are the same, that node's component is
     found; edges between nodes that differ in one of them lie in no cycle and go. Each round finds a component of every class, however large."""
     nodes = edges.select(F.explode(F.array(c("src").cast("long"), c("dst").cast("long"))).alias("id")).distinct()
     rest = materialised(edges.where("src <> dst").select(c("src").cast("long"), c("dst").cast("long"), F.lit(0).cast("long").alias("cls")).distinct())
-    found, turn = [], 0
+    found, turn, joined = [], 0, False
     while True:
         size = materialised(rest.groupBy("cls").agg(F.count("*").alias("n")))
         n, most = size.agg(F.sum(F.when(c("n") <= local, c("n"))), F.max("n")).first()
@@ -114,6 +115,10 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         if most is None or most <= local:
             break
         large = rest.join(size.where(c("n") > local).select("cls"), "cls", "left_semi")
+        if not joined:
+            joined = True
+            rest = materialised(large.drop("cls").join(components(large).select(c("id").alias("src"), c("component").alias("cls")), "src").select("src", "dst", "cls"), rest)
+            continue
         ends = materialised(large.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("rank", F.xxhash64("id", F.lit(turn))))
         ahead = _least_ahead(ends, large.select("src", "dst"))
         behind = _least_ahead(ends, large.select(c("dst").alias("src"), c("src").alias("dst")))

@@ -67,6 +67,20 @@ def test_cycles(spark, local):
         assert len(nodes) == dist + 1
 
 
+def test_many_small_rings_take_few_jobs(spark):
+    """3,000 rings of four, each linked to one more node, beyond what one task searches: split by what hangs together, not label by label."""
+    edges = [(10 * k + i, 10 * k + (i + 1) % 4) for k in range(3000) for i in range(4)] + [(10 * k, 10 * k + 5) for k in range(3000)]
+    rows = spark.createDataFrame(edges, EDGES)
+    labels = []
+    real = K._least_ahead
+    K._least_ahead = lambda *a: labels.append(1) or real(*a)
+    try:
+        got = {r.id: r.component for r in K.strong_components(rows, 1000).collect()}
+    finally:
+        K._least_ahead = real
+    assert got == {x: x - x % 10 if x % 10 < 4 else x for e in edges for x in e} and not labels
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], EDGES)
     assert K.strong_components(none).count() == 0 and K.cycles(none).count() == 0
