@@ -187,7 +187,7 @@ CONTEXT = "lead1 long, lead2 long, doc long, rk long, lo int, hi int, weight int
 
 
 def _contexts(kind: Kind) -> Callable:
-    """Cuts the payloads of a row's open records from its text: (text, list of records)."""
+    """Cuts the payloads of a row's open records from its text: (text, list of records, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +304,9 @@ def _salted(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
     """Runs of repeated windows (doc, rk, lo, hi: first and last start) in rows (doc long, rk long, text); doc and rk are equal for rows
-    of one key and text only."""
+    of one key and text only. Other columns of rows are kept where texts are shuffled: with_runs on the same rows then reuses that exchange."""
     spark = rows.sparkSession
+    whole, rows = rows, rows.select("doc", "rk", "text")
     small_batches(spark)
     parts = shuffle_partitions(spark)
     fractions = F.array(*(F.lit((i + 1) / parts) for i in range(parts - 1))) if parts > 1 else F.array(F.lit(0.5))
@@ -331,7 +332,7 @@ def repeated_windows(rows: DataFrame, kind: Kind) -> DataFrame:
         open_ = open_.unionByName(rest.select(*open_.columns))
     # equal rows have one list, with each record once
     lists = open_.groupBy("doc", "rk").agg(F.collect_set(F.struct("lead1", "lead2", "doc", "rk", "lo", "hi", "weight")).alias("list"))
-    texts = rows.select("doc", "rk", "text").join(lists.hint("shuffle_hash"), ["doc", "rk"]).select("text", "list")
+    texts = whole.join(lists.hint("shuffle_hash"), ["doc", "rk"]).select("text", "list", *(n for n in whole.columns if n not in rows.columns))
     contexts = map_batches(texts, _contexts(kind), CONTEXT)
     if not len(hot):
         return done.union(map_batches(contexts.repartition(parts, "lead1", "lead2").sortWithinPartitions("lead1", "lead2"), _compare(kind), "doc long, rk long, lo int, hi int"))

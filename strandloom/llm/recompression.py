@@ -175,8 +175,7 @@ def remove_shared(docs: DataFrame, window: int = 50, key: str = "doc_id", column
     extra = ["kept", "n_words", "n_removed"]
     names = [n for n in docs.columns if n not in extra]
     rows = docs.select(F.struct(*(docs[n] for n in names if n != column)).alias("rest"), F.coalesce(docs[key].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(docs[key], docs[column]).alias("rk"), docs[column].alias("text"))
-    found = repeated_windows(rows.select("doc", "rk", "text"), word_kind(window))
-    joined = with_runs(rows.select("doc", "rk", "rest", "text"), found).select("rest", "text", "runs")
+    joined = with_runs(rows, repeated_windows(rows, word_kind(window))).select("rest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -381,3 +381,13 @@ def test_embedding_audit(spark, monkeypatch):
     assert embedding_dedup.audit(classes, 303, 0.9) == ({i: n for i, n in want.items() if n}, True)
     assert embedding_dedup.audit(classes.where("node between 3 and 299"), 297, 0.95) == ({}, True)
     assert embedding_dedup.mean_recall({1: 1000, 2: 1}, {1: 1000}) == 0.5 and embedding_dedup.mean_recall({}, {}) is None
+
+
+def test_texts_are_shuffled_once(spark):
+    """Cutting windows from texts and joining the runs found to them share one exchange of texts (op1, op8)."""
+    part = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, f"a{k} " * 30 + part + f" b{k}" * 30, "x") for k in range(20)], "doc_id long, text string, source string")
+    for out in (remove_shared(docs), remove_repeats(docs)):
+        rows = out.collect()
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+        assert all(r.n_removed for r in rows if r.doc_id) and {r.source for r in rows} == {"x"}
