@@ -87,10 +87,10 @@ def _least_ahead(nodes: DataFrame, step: DataFrame) -> DataFrame:
     node named so far: what is known of it is known from here as well, so ways are followed in growing leaps."""
     now = materialised(nodes.select("id", F.struct("rank", "id").alias("m"), F.lit(True).alias("moved")))
     while True:
-        told = step.join(now.select(c("id").alias("dst"), "m"), "dst").groupBy(c("src").alias("id")).agg(F.min("m").alias("told"))
-        once = now.join(told, "id", "left").select("id", c("m").alias("old"), F.least("m", "told").alias("m"))
+        told = step.join(now.select(c("id").alias("dst"), "m").hint("merge"), "dst").groupBy(c("src").alias("id")).agg(F.min("m").alias("told"))
+        once = now.join(told.hint("merge"), "id", "left").select("id", c("m").alias("old"), F.least("m", "told").alias("m"))
         leap = once.select(c("id").alias("via"), c("m").alias("leap"))
-        new = once.join(leap, c("m.id") == c("via")).select("id", F.least("m", "leap").alias("m"), (F.least("m", "leap") < c("old")).alias("moved"))
+        new = once.join(leap.hint("merge"), c("m.id") == c("via")).select("id", F.least("m", "leap").alias("m"), (F.least("m", "leap") < c("old")).alias("moved"))
         now = materialised(new, now)
         if not now.where("moved").limit(1).count():
             return now.select("id", c("m.id").alias("m"))
@@ -117,16 +117,16 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         large = rest.join(size.where(c("n") > local).select("cls"), "cls", "left_semi")
         if not joined:
             joined = True
-            rest = materialised(large.drop("cls").join(components(large).select(c("id").alias("src"), c("component").alias("cls")), "src").select("src", "dst", "cls"), rest)
+            rest = materialised(large.drop("cls").join(components(large).select(c("id").alias("src"), c("component").alias("cls")).hint("merge"), "src").select("src", "dst", "cls"), rest)
             continue
         ends = materialised(large.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("rank", F.xxhash64("id", F.lit(turn))))
         ahead = _least_ahead(ends, large.select("src", "dst"))
         behind = _least_ahead(ends, large.select(c("dst").alias("src"), c("src").alias("dst")))
-        label = materialised(ahead.withColumnRenamed("m", "to").join(behind.withColumnRenamed("m", "by"), "id"))
+        label = materialised(ahead.withColumnRenamed("m", "to").join(behind.withColumnRenamed("m", "by").hint("merge"), "id"))
         found.append(label.where(c("to") == c("by")).select("id", c("to").alias("root")))
         left = label.where(c("to") != c("by"))
         s, d = left.select(c("id").alias("src"), "to", "by"), left.select(c("id").alias("dst"), "to", "by")
-        rest = materialised(large.select("src", "dst").join(s, "src").join(d, ["dst", "to", "by"]).select("src", "dst", F.xxhash64("to", "by").alias("cls")), rest)
+        rest = materialised(large.select("src", "dst").join(s.hint("merge"), "src").join(d.hint("merge"), ["dst", "to", "by"]).select("src", "dst", F.xxhash64("to", "by").alias("cls")), rest)
         turn += 1
     if not found:
         return nodes.select("id", c("id").alias("component"))
@@ -134,7 +134,7 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     for f in found[1:]:
         every = every.union(f)
     names = every.groupBy("root").agg(F.min("id").alias("component"))
-    return nodes.join(every.join(names, "root").select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.join(every.join(names.hint("merge"), "root").select("id", "component").hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 # cycles
@@ -208,37 +208,39 @@ def _less(links: DataFrame, reads: Callable[[str], Column]) -> DataFrame:
     reads has no cycles, so all may go at once."""
     inner = links.where(reads("src") & reads("dst"))
     few = lambda k: inner.groupBy(c(k).alias("via")).agg(F.count("*").alias("n")).where(c("n") <= DEGREE).select("via")
-    via = few("src").join(few("dst"), "via")
-    two = inner.withColumnRenamed("dst", "via").join(via, "via").join(inner.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
-    return links.join(two, ["src", "dst"], "left_anti")
+    via = few("src").join(few("dst").hint("merge"), "via")
+    two = inner.withColumnRenamed("dst", "via").join(via.hint("merge"), "via").join(inner.withColumnRenamed("src", "via").hint("merge"), "via").select("src", "dst").distinct()
+    return links.join(two.hint("merge"), ["src", "dst"], "left_anti")
 
 
 def contracted(edges: DataFrame, contigs: int | Column, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
     """(id, at) for all reads (ids from `contigs` on), and edges (src, dst) between contigs and what reads became: ways through reads join the same contigs.
-    All reads with one `at` are reached from the same contigs and lead to the same."""
+    All reads with one `at` are reached from the same contigs and lead to the same. Tables here grow with the reads, so they are joined by merging: a
+    broadcast in every round would send them to the driver."""
     reads = lambda k: c(k) >= (F.lit(contigs) if isinstance(contigs, int) else contigs)
     step = materialised(edges.select(c("src").cast("long"), c("dst").cast("long")).distinct())
     place = step.select(F.explode(F.array("src", "dst")).alias("id")).where(reads("id")).distinct()
-    part = strong_components(step.where(reads("src") & reads("dst")), local)
-    place = materialised(place.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("at")))
+    inner = step.where(reads("src") & reads("dst"))
+    part = strong_components(inner, local)
+    place = materialised(place.join(part.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("at")))
 
     def moved(links: DataFrame, to: DataFrame) -> DataFrame:
         """links between the places of their nodes; to (id, at) has those that move."""
         s, d = to.select(c("id").alias("src"), c("at").alias("s")), to.select(c("id").alias("dst"), c("at").alias("d"))
-        both = links.join(s, "src", "left").join(d, "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"))
+        both = links.join(s.hint("merge"), "src", "left").join(d.hint("merge"), "dst", "left").select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"))
         return both.where((c("src") != c("dst")) | ~reads("src")).distinct()
 
     links = materialised(moved(step, place.where("id <> at")))
     while True:
         links = materialised(_less(links, reads), links)
         one = lambda k, to: links.groupBy(k).agg(F.min(to).alias(to), F.count("*").alias("n")).where("n = 1").select("src", "dst")  # noqa: E731, B023
-        row = materialised(one("src", "dst").join(one("dst", "src"), ["src", "dst"]).where(reads("src") & reads("dst")))
+        row = materialised(one("src", "dst").join(one("dst", "src").hint("merge"), ["src", "dst"]).where(reads("src") & reads("dst")))
         if not row.limit(1).count():
             return place, links
         ends = row.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        start = ends.join(row.select(c("dst").alias("id"), c("src").alias("up")), "id", "left")
+        start = ends.join(row.select(c("dst").alias("id"), c("src").alias("up")).hint("merge"), "id", "left")
         head = jumped(start).where("id <> head").select("id", c("head").alias("at"))
-        place = materialised(place.join(head.select(c("id").alias("at"), c("at").alias("head")), "at", "left").select("id", F.coalesce("head", "at").alias("at")), place)
+        place = materialised(place.join(head.select(c("id").alias("at"), c("at").alias("head")).hint("merge"), "at", "left").select("id", F.coalesce("head", "at").alias("at")), place)
         links = materialised(moved(links, head), links)
 
 

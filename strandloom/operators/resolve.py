@@ -98,13 +98,13 @@ def sole_contig(edges: DataFrame, contigs: int) -> DataFrame:
     links = materialised(step.where((c("src") >= contigs) & (c("dst") >= contigs)))
     state = None
     while True:
-        told = links.join(now.withColumnRenamed("id", "dst"), "dst").select(c("src").alias("id"), "lo", "hi")
+        told = links.join(now.withColumnRenamed("id", "dst").hint("merge"), "dst").select(c("src").alias("id"), "lo", "hi")
         now = materialised(now.union(told).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         new = now.agg(F.count("*"), F.sum((c("hi") - c("lo")).cast("decimal(38,0)"))).first()  # both only grow
         if new == state:
             break
         state = new
-    return place.join(now.where("lo = hi").select(c("id").alias("at"), c("lo").alias("contig")), "at").select(c("id").alias("read"), "contig")
+    return place.join(now.where("lo = hi").select(c("id").alias("at"), c("lo").alias("contig")).hint("merge"), "at").select(c("id").alias("read"), "contig")
 
 
 def bridge_match(repeats: DataFrame, edges: DataFrame, contigs: int, least: int = 2, both_ways: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from strandloom.operators import contraction as K
 from strandloom.operators import graph as G
 from strandloom.operators import resolve as R
+from strandloom.plans.runtime import materialised
 
 EDGES = "src long, dst long"
 
@@ -139,3 +140,18 @@ def test_separate_paths_are_the_first_of_all_pairs(spark):
             want[k] = both[0]
     got = R.separate_paths(spark.createDataFrame(rows, "rep_id long, l long, r long")).collect()
     assert {x.rep_id: tuple(x)[1:] for x in got} == want and len(want) > 50
+
+
+def test_contraction_sends_no_table_to_the_driver(spark, monkeypatch):
+    """No round of the contraction plans a broadcast of a table that grows with the reads, however small it is here."""
+    plans = []
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialised(df, *args)
+
+    for module in (K, G, R):
+        monkeypatch.setattr(module, "materialised", seen)
+    rows = spark.createDataFrame([(100 + i, 101 + i) for i in range(20)] + [(120, 3), (300, 100), (300, 5), (100, 102)], EDGES)
+    assert {tuple(x) for x in R.sole_contig(rows, 10).collect()} == {(100 + i, 3) for i in range(21)}
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
