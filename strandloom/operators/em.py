@@ -72,9 +72,21 @@ def em_round(scores: DataFrame, shares: DataFrame) -> DataFrame:
     return told.select(*PAIR, "weight", (c("weight") / F.sum("weight").over(of)).alias("share"), F.sum("ll").over(of).alias("ll"))
 
 
+def added_up(scores: DataFrame) -> DataFrame:
+    """scores with reads of a repeat that say the same (the same ll under the same pairs, bases in the same proportion) as one read of all their bases. Rounds give
+    them the same shares and count them by their bases, so nothing changes by it; reads get new numbers."""
+    each = scores.select(*PAIR, "read", c("bases").cast("double").alias("bases"), "ll").dropna(subset=PAIR)
+    rows = each.repartition("rep_id", "read").groupBy("rep_id", "read").agg(F.sort_array(F.collect_list(F.struct("l", "r", "ll", "bases"))).alias("v"))
+    first = c("v")[0]["bases"]
+    rows = rows.withColumn("w", F.when(first > 0, first).otherwise(1.0))
+    rows = rows.select("rep_id", "w", F.transform("v", lambda e: F.struct(e["l"].alias("l"), e["r"].alias("r"), e["ll"].alias("ll"), (e["bases"] / c("w")).alias("f"))).alias("v"))
+    rows = rows.groupBy("rep_id", "v").agg(F.sum("w").alias("w")).withColumn("read", F.monotonically_increasing_id())
+    return rows.select("rep_id", "read", "w", F.inline("v")).select(*PAIR, "read", (c("w") * c("f")).alias("bases"), "ll")
+
+
 def fitted(scores: DataFrame, shares: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """(rep_id, l, r, weight, share, ll, rounds): pairs when their repeat's likelihood stands still, or after just so many rounds. Pairs that no read supports are gone."""
-    scores = materialised(scores)
+    scores = materialised(added_up(scores))
     now = materialised(shares if shares is not None else even_shares(scores))
     done, last, k = None, None, 0
     while True:

@@ -143,3 +143,16 @@ def test_match_in_a_graph(spark):
     assert {x.id for x in reads_of_repeats(repeats, links, 8).collect()} == {8, 9, 10, 11, 12, 13}
     got = em_match(repeats, links, 8, spark.createDataFrame(list(seqs.items()), "id long, seq string"), spark.createDataFrame([(k, 1.0) for k in side], "id long, depth double"))
     assert {(x.l, x.r) for x in got.collect()} == {(0, 4), (2, 6)}
+
+
+def test_reads_that_say_the_same_are_added_up(spark):
+    """Copies of a read leave for the rounds as one read of all their bases, however many; shares and likelihood are those of the single reads."""
+    r = random.Random(5)
+    few = some_scores(r, 1, 3)
+    scores = [(rep, a, b, f"{read}-{k}", bases, ll) for rep, a, b, read, bases, ll in few for k in range(40)]
+    df = spark.createDataFrame(scores, SCORES)
+    assert em.added_up(df).count() == len(few)
+    got = {(x.l, x.r): x for x in em.fitted(df, rounds=3).collect()}
+    shares, weight, total = plain_em(scores, dict.fromkeys(((a, b) for a in (0, 2) for b in (4, 6)), 0.25), 3)
+    for k, x in got.items():
+        assert math.isclose(x.share, shares[k]) and math.isclose(x.weight, weight[k]) and math.isclose(x.ll, total)
