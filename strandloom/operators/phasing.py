@@ -161,12 +161,19 @@ def differing_places(rows: DataFrame, key: str, low: float = 0.15, least: int =
 def hypothesis(scored: DataFrame, prior: float = PRIOR) -> DataFrame:
     """(key, choice): one or two variants. scored (key, read, variant, ll): a read's ln likelihood under each variant. Two variants explain a read
     by the mean of both and cost the prior; the larger total wins, ties to one variant, then to the smaller name."""
-    single = scored.groupBy("key", "variant").agg((F.sum("ll") + F.ln(F.lit(1 - prior))).alias("s"))
-    a, b = scored.select("key", "read", c("variant").alias("v"), c("ll").alias("x")), scored.select("key", "read", c("variant").alias("w"), c("ll").alias("y"))
-    m = F.greatest("x", "y")
-    mixed = m + F.ln((F.exp(c("x") - m) + F.exp(c("y") - m)) / 2)
-    pair = a.join(b, ["key", "read"]).where("v < w").groupBy("key", "v", "w").agg((F.sum(mixed) + F.ln(F.lit(prior))).alias("s"))
-    every = single.select("key", F.array("variant").alias("choice"), "s").union(pair.select("key", F.array("v", "w"), "s"))
+    # a row for each read with all its variants, from which its singles and pairs are told without a join
+    rows = scored.groupBy("key", "read").agg(F.collect_list(F.struct(c("variant").alias("v"), c("ll").alias("x"))).alias("a"))
+    told = rows.withColumn("b", F.when(c("key").isNotNull() & c("read").isNotNull(), c("a"))).select("key", "b", F.explode("a").alias("a"))
+    # each variant alone (o is null), then with those after it
+    told = told.select("key", c("a.v").alias("v"), c("a.x").alias("x"), "b")
+    later = F.coalesce(F.filter("b", lambda e: c("v") < e["v"]), F.array().cast(told.schema["b"].dataType))
+    told = told.select("key", "v", "x", F.explode(F.concat(F.array(F.lit(None).cast(told.schema["b"].dataType.elementType)), later)).alias("o"))
+    m = F.greatest("x", "o.x")
+    mixed = m + F.ln((F.exp(c("x") - m) + F.exp(c("o.x") - m)) / 2)
+    alone = c("o").isNull()
+    told = told.select("key", "v", alone.alias("alone"), c("o.v").alias("w"), F.when(alone, c("x")).otherwise(mixed).alias("s"))
+    every = told.groupBy("key", "v", "alone", "w").agg((F.sum("s") + F.when(c("alone"), F.ln(F.lit(1 - prior))).otherwise(F.ln(F.lit(prior)))).alias("s"))
+    every = every.select("key", F.when(c("alone"), F.array("v")).otherwise(F.array("v", "w")).alias("choice"), "s")
     return every.groupBy("key").agg(F.min(F.struct((-c("s")).alias("m"), F.size("choice").alias("k"), c("choice"))).alias("t")).select("key", "t.choice")
 
 

@@ -59,3 +59,11 @@ def test_small_parts(spark):
     assert [len(r.seq) for r in P.binned(temps).orderBy("bin").collect()] == [50, 50, 20]
     assert P.variant_paths(spark.createDataFrame([(1, 1, "A"), (1, 1, "C"), (1, 2, "G")], "k int, pos int, base string"), "k").count() == 2
     assert F
+
+
+def test_hypothesis_without_joins(spark):
+    """A read's variants are told from one row; rows without a read count for single variants only."""
+    rows = [("k", i, v, ll) for i in range(4) for v, ll in (("a", -1.0 - i % 2 * 9), ("b", -1.0 - (i + 1) % 2 * 9), ("c", -8.0))] + [("k", None, "c", -0.5), ("n", None, "x", -1.0)]
+    out = P.hypothesis(spark.createDataFrame(rows, "key string, read int, variant string, ll double"))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.key: r.choice for r in out.collect()} == {"k": ["a", "b"], "n": ["x"]}
