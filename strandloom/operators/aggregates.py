@@ -114,10 +114,16 @@ def mixing_shares(matched: DataFrame, template: str, bases: str) -> DataFrame:
 def votes(pairs: DataFrame, key: str, a1: str = "a1", a2: str = "a2") -> DataFrame:
     """Votes (key, pos on a1 without gaps, kind sub, ins, del or same, offset in an insertion, base, n) of aligned pairs (gap: -)."""
     z = F.arrays_zip(F.split(c(a1), "").alias("x"), F.split(c(a2), "").alias("y"))
-    numbered = pairs.withColumn("_id", F.monotonically_increasing_id())
-    each = numbered.select(key, "_id", F.posexplode(z).alias("i", "z")).select(key, "_id", "i", c("z.x").alias("x"), c("z.y").alias("y"))
-    w = Window.partitionBy("_id").orderBy("i")
-    each = each.withColumn("pos", F.count_if(c("x") != "-").over(w)).withColumn("offset", F.when(c("x") == "-", F.row_number().over(Window.partitionBy("_id", "pos").orderBy("i")) - 1).otherwise(0))
+    # places are counted within the row: a piece begins at each letter of a1 (the first one, with place 0, at the begin) and goes up to the next
+    rows = pairs.select(key, z.alias("z"), F.contains(c(a1), F.lit("-")).alias("gaps"))
+    starts = F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(0), F.size("z") - 1), lambda i: c("z")[i]["x"] != "-"), F.array(F.size("z")))
+    vote = lambda e, pos, offset: F.struct(pos.cast("long").alias("pos"), offset.alias("offset"), e["x"].alias("x"), e["y"].alias("y"))
+    piece = lambda a, k: F.transform(F.slice("z", a + 1, c("at")[k + 1] - a), lambda e, o: vote(e, k, F.when(e["x"] == "-", o).otherwise(0)))
+    pieces = F.flatten(F.transform(F.slice("at", F.lit(1), F.size("at") - 1), piece))
+    plain = F.transform("z", lambda e, i: vote(e, i + 1, F.lit(0)))
+    # without gaps a letter's place is its number; a1 that ends before a2 has pieces as well
+    rows = rows.where(F.size("z") > 0).withColumn("at", F.when(c("gaps") | F.element_at("z", -1)["x"].isNull(), starts))
+    each = rows.select(key, F.explode(F.when(c("at").isNull(), plain).otherwise(pieces)).alias("e")).select(key, "e.*")
     kind = F.when(c("x") == "-", "ins").when(c("y") == "-", "del").when(c("x") == c("y"), "same").otherwise("sub")
     return each.groupBy(key, "pos", kind.alias("kind"), "offset", c("y").alias("base")).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandloom.functions.alignment import aligned, edit_distance, log_likelihood, normalised
+from strandloom.operators import aggregates as A
 from strandloom.operators import phasing as P
 
 
@@ -67,3 +68,21 @@ def test_hypothesis_without_joins(spark):
     out = P.hypothesis(spark.createDataFrame(rows, "key string, read int, variant string, ll double"))
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.key: r.choice for r in out.collect()} == {"k": ["a", "b"], "n": ["x"]}
+
+
+def test_votes_without_windows(spark):
+    """Places within a row: gaps at the begin, in the middle and at the end, and sequences of different length."""
+    pairs = [("k", "--AC--G-", "TTACGTGA"), ("k", "ACG", "A-GT"), ("k", "ACGT", "ACG"), ("k", "A-C", "AGCT"), ("k", "--", "AC"), ("k", None, "AC"), ("k", "AC", None)]
+    out = A.votes(spark.createDataFrame(pairs, "key string, a1 string, a2 string"), "key")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for _, a, b in pairs:
+        place, start = 0, 0
+        for i in range(max(len(a), len(b)) if a is not None and b is not None else 0):
+            x, y = (s[i] if i < len(s) else None for s in (a, b))
+            if x not in ("-", None):
+                place, start = place + 1, i
+            kind = "ins" if x == "-" else "del" if y == "-" else "same" if x == y else "sub"
+            k = (place, kind, i - start if x == "-" else 0, y)
+            want[k] = want.get(k, 0) + 1
+    assert {(r.pos, r.kind, r.offset, r.base): r.n for r in out.collect()} == want
