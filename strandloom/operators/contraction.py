@@ -221,6 +221,8 @@ def contracted(edges: DataFrame, contigs: int | Column, local: int = LOCAL) -> t
     step = materialised(edges.select(c("src").cast("long"), c("dst").cast("long")).distinct())
     place = step.select(F.explode(F.array("src", "dst")).alias("id")).where(reads("id")).distinct()
     inner = step.where(reads("src") & reads("dst"))
+    if not inner.limit(1).count():
+        return place.select("id", c("id").alias("at")), step
     part = strong_components(inner, local)
     place = materialised(place.join(part.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("at")))
 

@@ -92,7 +92,10 @@ def abundance_match(repeats: DataFrame, depth: DataFrame, sd: float | Column, lo
 
 def sole_contig(edges: DataFrame, contigs: int) -> DataFrame:
     """(read, contig): reads from which ways through reads lead to one contig only, however long. Each read passes on the least and the largest
-    contig that it knows of, until nothing changes; reads that lead to the same are contracted before."""
+    contig that it knows of, until nothing changes; reads that lead to the same are contracted before. Without edges between reads none is passed on."""
+    if not edges.where((c("src") >= contigs) & (c("dst") >= contigs)).limit(1).count():
+        last = edges.where((c("src") >= contigs) & (c("dst") < contigs)).groupBy(c("src").cast("long").alias("read"))
+        return last.agg(F.min(c("dst").cast("long")).alias("contig"), F.max("dst").alias("hi")).where("contig = hi").drop("hi")
     place, step = contracted(edges, contigs)
     now = materialised(step.where((c("src") >= contigs) & (c("dst") < contigs)).groupBy(c("src").alias("id")).agg(F.min("dst").alias("lo"), F.max("dst").alias("hi")))
     links = materialised(step.where((c("src") >= contigs) & (c("dst") >= contigs)))
@@ -271,16 +274,24 @@ def unique_partners(pairs: DataFrame) -> DataFrame:
 
 def reach_labels(edges: DataFrame, repeats: DataFrame, contigs: int) -> DataFrame:
     """(rep_id, id, from_ins, to_outs): reads on the way from ins and to outs of a repeat, with the sets they are reached from and lead to.
-    The searches go over contracted reads, and the labels of each go to all reads that it stands for."""
-    place, edges = contracted(edges, contigs)
+    The searches go over contracted reads, and the labels of each go to all reads that it stands for. Without edges between reads the edges of ins and outs
+    say it all."""
     ins, outs = repeats.select("rep_id", F.explode("ins").alias("x")), repeats.select("rep_id", F.explode("outs").alias("x"))
+    turned = lambda df: df.select(c("dst").alias("src"), c("src").alias("dst"))
     through = c("id") >= contigs
-    ahead = shortest_paths(edges, ins.select(c("x").alias("id")).distinct(), through=through)
-    back = shortest_paths(edges.select(c("dst").alias("src"), c("src").alias("dst")), outs.select(c("x").alias("id")).distinct(), through=through)
-    a = ins.join(ahead.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("from_ins"))
-    b = outs.join(back.select(c("source").alias("x"), "id"), "x").where(through).groupBy("rep_id", "id").agg(F.array_sort(F.collect_set("x")).alias("to_outs"))
-    both = a.join(b, ["rep_id", "id"], "full_outer").withColumnRenamed("id", "at")
-    return both.join(place, "at").select("rep_id", "id", "from_ins", "to_outs")
+    place = None
+    if edges.where((c("src") >= contigs) & (c("dst") >= contigs)).limit(1).count():
+        place, edges = contracted(edges, contigs)
+        # what lies behind a contig is not asked for
+        reached = lambda step, ends: shortest_paths(step.where(c("dst") >= contigs), ends.select(c("x").alias("id")).distinct(), through=through).select(c("source").alias("x"), "id")
+    else:
+        reached = lambda step, ends: step.select(c("src").alias("x"), c("dst").alias("id"))
+    ahead = ins.join(reached(edges, ins), "x").where(through).select("rep_id", c("id").cast("long").alias("id"), c("x").alias("i"), F.lit(None).cast("long").alias("o"))
+    back = outs.join(reached(turned(edges), outs), "x").where(through).select("rep_id", c("id").cast("long").alias("id"), F.lit(None).cast("long").alias("i"), c("x").alias("o"))
+    labels = lambda k: F.array_sort(F.collect_set(k))
+    both = ahead.union(back).groupBy("rep_id", "id").agg(labels("i").alias("i"), labels("o").alias("o"))
+    both = both.select("rep_id", "id", F.when(F.size("i") > 0, c("i")).alias("from_ins"), F.when(F.size("o") > 0, c("o")).alias("to_outs"))
+    return both if place is None else both.withColumnRenamed("id", "at").join(place.hint("merge"), "at").select("rep_id", "id", "from_ins", "to_outs")
 
 
 def interior(labels: DataFrame, repeats: DataFrame) -> DataFrame:

@@ -155,3 +155,13 @@ def test_contraction_sends_no_table_to_the_driver(spark, monkeypatch):
     rows = spark.createDataFrame([(100 + i, 101 + i) for i in range(20)] + [(120, 3), (300, 100), (300, 5), (100, 102)], EDGES)
     assert {tuple(x) for x in R.sole_contig(rows, 10).collect()} == {(100 + i, 3) for i in range(21)}
     assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_without_edges_between_reads_nothing_is_contracted(spark, monkeypatch):
+    """Reads that hang on contigs only: labels and sole contigs come from the edges as they are, without a round."""
+    for name in ("contracted", "shortest_paths"):
+        monkeypatch.setattr(R, name, None)
+    rows = spark.createDataFrame([(0, 100), (0, 100), (2, 100), (100, 4), (0, 101), (101, 6), (101, 4), (102, 6), (4, 103)], EDGES)
+    repeats = spark.createDataFrame([(0, [0, 2], [4, 6])], "rep_id long, ins array<long>, outs array<long>")
+    assert {r.id: (r.from_ins, r.to_outs) for r in R.reach_labels(rows, repeats, 10).collect()} == {100: ([0, 2], [4]), 101: ([0], [4, 6]), 102: (None, [6])}
+    assert {tuple(x) for x in R.sole_contig(rows, 10).collect()} == {(100, 4), (102, 6)}
