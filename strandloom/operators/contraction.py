@@ -117,7 +117,7 @@ def strong_components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         large = rest.join(size.where(c("n") > local).select("cls"), "cls", "left_semi")
         if not joined:
             joined = True
-            rest = materialised(large.drop("cls").join(components(large).select(c("id").alias("src"), c("component").alias("cls")).hint("merge"), "src").select("src", "dst", "cls"), rest)
+            rest = materialised(large.drop("cls").join(components(large, merge=True).select(c("id").alias("src"), c("component").alias("cls")).hint("merge"), "src").select("src", "dst", "cls"), rest)
             continue
         ends = materialised(large.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("rank", F.xxhash64("id", F.lit(turn))))
         ahead = _least_ahead(ends, large.select("src", "dst"))
