@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import forward
 from strandloom.functions.alignment import log_likelihood
+from strandloom.operators import partial_order
 from strandloom.operators.partial_order import bin_consensus, consensus
 
 
@@ -99,3 +100,63 @@ def test_insertion_that_votes_on_a_template_miss(spark):
     assert got[1] == truth and got[2] in ("AAA", "")
     voted = P.bin_consensus(rows.where("bin = 1"), ["bin"]).first().seq
     assert voted != truth
+
+
+def test_segments_near_the_graph_need_no_rows(monkeypatch):
+    """Every letter of a word wrong in every way, as in the query's bins: cells near the way of least cost are enough, and other bounds give the same graph."""
+    r = random.Random(4)
+    bins = []
+    for _ in range(20):
+        word = "".join(r.choice("ACGT") for _ in range(8))
+        bins.append([(word, 9)] + [(word[:i] + x + word[i + 1 :], r.randrange(1, 9)) for i in range(8) for x in "ACGT" if x != word[i]])
+    monkeypatch.setattr(partial_order, "CELLS", 0)
+    want = [consensus(b) for b in bins]
+    monkeypatch.undo()
+    monkeypatch.setattr(partial_order.Graph, "rows", lambda *_: pytest.fail("all cells were computed"))
+    assert [consensus(b) for b in bins] == want
+
+
+@pytest.mark.parametrize("cells", [0, 3, 8, 10**6])
+def test_alignment_costs_least(monkeypatch, cells):
+    """Of any segment with any graph, by a plain table; the graph is the same whatever is searched."""
+    monkeypatch.setattr(partial_order, "CELLS", cells)
+    r = random.Random(5)
+    for _ in range(60):
+        graph, word = partial_order.Graph(), "".join(r.choice("ACG") for _ in range(r.randrange(12)))
+        for _ in range(8):
+            seq = "".join(r.choice(["", x, x, x, x, x + r.choice("ACG"), r.choice("ACG")]) for x in word)
+            if graph.last:
+
+                @lru_cache(None)
+                def least(v, j, seq=seq, graph=graph):
+                    if not v:
+                        return 2 * j
+                    out = [least(u, j) + 1 for u in graph.before[v]] + ([least(v, j - 1) + 2] if j else [])
+                    return min(out + [least(u, j - 1) + (0 if graph.letter[v] == seq[j - 1] else 2) for u in graph.before[v] if j])
+
+                pairs = graph.aligned(seq)
+                assert [j for _, j in pairs if j >= 0] == list(range(len(seq)))
+                way = [v for v, _ in pairs if v]
+                assert all(u in graph.before[v] for u, v in zip([0] + way, way, strict=False)) and (way or [0])[-1] in graph.last
+                paid = sum(2 if not v else 1 if j < 0 else 0 if graph.letter[v] == seq[j] else 2 for v, j in pairs)
+                assert paid == min(least(v, len(seq)) for v in graph.last)
+            graph.add(seq, r.randrange(1, 4))
+
+
+def test_bins_over_tasks_and_batches(spark):
+    """Bins of few bytes are dealt over tasks, and one may go on in the next batch; keys may be null."""
+    r = random.Random(6)
+    bins = {}
+    for k in [(None, "x"), (None, None), (1, None)] + [(b, "y") for b in range(30)]:
+        word = "".join(r.choice("ACGT") for _ in range(9))
+        bins[k] = [word[:i] + r.choice("ACGT") + word[i + 1 :] for i in range(9) for _ in range(r.randrange(3))] + [word, word]
+    rows = spark.createDataFrame([(*k, s) for k, segs in bins.items() for s in segs], "bin int, side string, seg string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, 3)
+    try:
+        got = bin_consensus(rows, ["bin", "side"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, kept)
+    assert {(x.bin, x.side): x.seq for x in got} == {k: consensus([(s, segs.count(s)) for s in set(segs)]) for k, segs in bins.items()} and len(got) == len(bins)
+    assert len({x.task for x in got}) > 1
