@@ -182,6 +182,11 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("_r", "score", "id", *(["shared"] if "shared" in found.columns else [])))).alias("near"))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """A table that grows with the rows, to be joined by merging: its files are small for what they hold, so Spark would send it to the driver and broadcast it."""
+    return df.hint("merge")
+
+
 def prefix(code: str, length) -> F.Column:
     """The first letters of a hash string."""
     return F.expr(f"shiftright({code}, {LETTER} * ({LETTERS} - {length}))")
@@ -200,10 +205,10 @@ def leaves(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
         large = size.where((c("n") > LIMIT) & (c("length") < LETTERS)).select(*key, F.lit(True).alias("split"))
         if not large.limit(1).count():
             size = materialised(numbered(size))
-            placed = now.join(size.select(*key, "blocks", "first"), key).withColumn("leaf", c("first") + F.pmod(F.xxhash64("node"), "blocks"))
+            placed = now.join(merged(size.select(*key, "blocks", "first")), key).withColumn("leaf", c("first") + F.pmod(F.xxhash64("node"), "blocks"))
             return placed.select("node", "width", "tree", "leaf"), size
         deeper = F.when(c("split"), F.least(c("length") + STEP, F.lit(LETTERS))).otherwise(c("length"))
-        now = materialised(now.join(large, key, "left").withColumn("length", deeper).withColumn("prefix", prefix("code", "length")).drop("split"))
+        now = materialised(now.join(merged(large), key, "left").withColumn("length", deeper).withColumn("prefix", prefix("code", "length")).drop("split"))
 
 
 def numbered(size: DataFrame) -> DataFrame:
@@ -260,7 +265,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     few = told.select("id", "node").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(c("_r") <= k + 1)
     few = few.groupBy("node").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     facts = told.groupBy("node").agg(F.min("vec").alias("vec"), F.min("norm").alias("norm"), F.count("*").alias("rows"), F.min(F.when(c("id") % every == 0, c("id"))).alias("asked"))
-    classes = materialised(facts.join(few, "node").withColumn("width", (F.octet_length("vec") / 8).cast("int")))
+    classes = materialised(facts.join(merged(few), "node").withColumn("width", (F.octet_length("vec") / 8).cast("int")))
     widths = classes.groupBy("width").agg(F.count("*").alias("total"), F.max("norm").alias("longest"))
     common = widths.orderBy(c("total").desc(), "width").limit(WIDTHS).collect()
     count = classes.count()
@@ -277,8 +282,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     placed, counts = materialised(placed), materialised(levels(tree))
     deepest = tree.agg(F.max("length")).first()[0] or 0
     steps = queries.select("q", "width", F.posexplode("codes").alias("tree", "code")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("at", prefix("code", "level"))
-    # files of prefixes are small for their rows, so Spark would send them all to the driver and broadcast them
-    steps = materialised(steps.join(counts.hint("merge"), ["width", "tree", "level", "at"]).select("q", "width", "tree", "level", "n", "first", "last"))
+    steps = materialised(steps.join(merged(counts), ["width", "tree", "level", "at"]).select("q", "width", "tree", "level", "n", "first", "last"))
     # audit
     asked = queries.orderBy(F.xxhash64("q", F.lit(9)), "q").limit(AUDIT).select("q", "width", "vec", "codes", "asked").collect()
     audited = {w: (np.array([r.q for r in asked if r.width == w]), np.stack([np.frombuffer(bytes(r.vec), np.float64) for r in asked if r.width == w]), np.array([r.codes for r in asked if r.width == w], np.int64)) for w in {r.width for r in asked}}
@@ -293,13 +297,13 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     quota = calibrated(truth, looked, of_width)
     # search; the forest is read by leaves, the queries by what they visit
     leaf = ["width", "tree", "leaf"]
-    held = materialised(placed.join(forest.select("node", "vec", "ids"), "node").select(*leaf, "vec", "ids"))
+    held = materialised(placed.join(merged(forest.select("node", "vec", "ids")), "node").select(*leaf, "vec", "ids"))
     while True:
-        way = ascents(steps.select("q", "width", "tree", "level", "n"), widths.select("width", "total"), quota).join(steps.select("q", "tree", "level", "first", "last").hint("merge"), ["q", "tree", "level"])
+        way = ascents(steps.select("q", "width", "tree", "level", "n"), widths.select("width", "total"), quota).join(merged(steps.select("q", "tree", "level", "first", "last")), ["q", "tree", "level"])
         visits = materialised(way.withColumn("leaf", F.explode(F.sequence("first", "last"))).select("q", *leaf))
         met = visits.groupBy(*leaf).agg(F.ceil(F.count("*") / QUERIES_AT_ONCE).cast("int").alias("parts"))
-        left = held.join(met, leaf).withColumn("part", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
-        right = visits.join(met, leaf).withColumn("part", F.pmod(F.xxhash64("q", F.lit(2)), "parts").cast("int")).join(queries.select("q", c("vec").alias("qvec")), "q").select(*leaf, "part", "q", "qvec")
+        left = held.join(merged(met), leaf).withColumn("part", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
+        right = visits.join(merged(met), leaf).withColumn("part", F.pmod(F.xxhash64("q", F.lit(2)), "parts").cast("int")).join(merged(queries.select("q", c("vec").alias("qvec"))), "q").select(*leaf, "part", "q", "qvec")
         found = left.groupBy(*leaf, "part").cogroup(right.groupBy(*leaf, "part")).applyInArrow(_score(k + 1), "q long, score double, id long")
         results = materialised(top(found, k + 1))
         got = {r.q: {x.id for x in r.near if x.id != own[r.q]} for r in results.where(c("q").isin(list(truth))).collect()} if truth else {}
@@ -309,9 +313,9 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
         quota = quota * 4 if quota * 4 < TREES * max(of_width.values()) else None
     # each row that asks takes its class's list without its own id
     limit = max(HOT, count // 10_000)
-    hot = materialised(results.join(classes.where(c("rows") > limit).select(c("node").alias("q")), "q"))
+    hot = materialised(results.join(merged(classes.where(c("rows") > limit).select(c("node").alias("q"))), "q"))
     asks = told.where(c("id") % every == 0).select(c("id").alias("query_id"), c("node").alias("q")).distinct()
-    lists = asks.join(F.broadcast(hot), "q").union(asks.join(F.broadcast(hot.select("q")), "q", "left_anti").join(results, "q"))
+    lists = asks.join(F.broadcast(hot), "q").union(asks.join(F.broadcast(hot.select("q")), "q", "left_anti").join(merged(results), "q"))
     others = F.slice(F.filter("near", lambda x: x["id"] != c("query_id")), 1, k)
     out = lists.select("query_id", F.posexplode(others).alias("_r", "x"))
     return out.select("query_id", (c("_r") + 1).cast("int").alias("rank"), c("x.id").alias("vec_id"), c("x.score").alias("score"), F.lit(recall).cast("double").alias("recall"))

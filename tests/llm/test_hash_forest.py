@@ -128,3 +128,19 @@ def test_leaves_below_a_prefix_are_a_range(spark):
         below = [t for t in tree if t.length >= x.level and t.prefix >> 2 * (t.length - x.level) == x.at]
         assert x.n == sum(t.n for t in below)
         assert sorted(k for t in below for k in range(t.first, t.first + t.blocks)) == list(range(x.first, x.last + 1))
+
+
+def test_no_growing_table_is_broadcast(spark, small, monkeypatch):
+    """Only the totals of widths, a row each, and the results of hot classes go through the driver: every other join merges, however small its files are."""
+    plans, keep = [], hash_forest.materialised
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *more)
+
+    monkeypatch.setattr(hash_forest, "materialised", seen)
+    out = nearest(spark.createDataFrame(clusters(600, 30), SCHEMA))
+    rounds = sum("BroadcastHashJoin" in p for p in plans)
+    assert rounds == sum("total" in p and "SortMergeJoin" in p and "BroadcastHashJoin" in p for p in plans) and sum(p.count("BroadcastHashJoin") for p in plans) == rounds
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
