@@ -5,12 +5,13 @@ End codes: 0 and 1 begin and end the copy on ref, 2 and 3 that on qry; -2 - code
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,21 +47,114 @@ def enclosed(points: DataFrame, width: int = 10_000) -> DataFrame:
     return points.join(bins, (c("contig") == c("on")) & (F.floor(c("loc") / width) == c("bin")) & (c("loc") >= c("lo")) & (c("loc") <= c("hi"))).drop("on", "bin")
 
 
+#: Widths of a bin of running sums; rows that Python holds at once, but for those of one bin.
+WIDTHS_OF_BIN, ROWS_AT_ONCE = 64, 1 << 18
+
+
 def enclosed_totals(points: DataFrame, value: Column, width: int = 10_000) -> DataFrame:
-    """(in_rep, copy, n, s): number of the points that enclosed() gives for a copy, and their sum of value (a whole number). Sums run along the contig, so no pair is made:
-    a copy has what was summed at its end less what was before its begin. Bins of a contig are summed apart, and what earlier bins hold is carried over."""
-    both = copies(points).select(c("rep").alias("in_rep"), "copy", "contig", F.explode(F.array(F.struct(c("lo").alias("loc"), F.lit(0).alias("kind")), F.struct(c("hi").alias("loc"), F.lit(2).alias("kind")))).alias("x"))
-    ends = both.select("contig", "x.loc", "x.kind", "in_rep", "copy", F.lit(0).cast("long").alias("one"), F.lit(0).cast("long").alias("v"))
-    own = points.select("contig", "loc", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("in_rep"), F.lit(None).cast("int").alias("copy"), F.lit(1).cast("long").alias("one"), F.coalesce(value.cast("long"), F.lit(0)).alias("v"))
-    rows = ends.union(own).where("contig is not null and loc is not null").withColumn("bin", F.floor(c("loc") / width))
-    w = Window.partitionBy("contig", "bin").orderBy("loc", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = rows.withColumn("n", F.sum("one").over(w)).withColumn("s", F.sum("v").over(w)).where("kind <> 1")
+    """(in_rep, copy, n, s): number of the points that enclosed() gives for a copy, and their sum of value (a whole number; null if it has none). Sums run along the contig, so
+    no pair is made: a copy has what was summed at its end less what was before its begin."""
+    side = (c("endpt") >= 2).cast("int").alias("copy")
+    return _totals(points.repartition("rep").select("rep", side, "contig", F.array(F.struct("loc", value.cast("long").alias("v"))).alias("at")), width)
+
+
+def enclosed_totals_of(aln: DataFrame, value: Callable[[Column], Column], width: int = 10_000) -> DataFrame:
+    """enclosed_totals of natural(aln), with value a function of a point's key; an alignment is sent once, not as its four points."""
+
+    def half(copy, contig, *ends):
+        return F.struct(F.lit(copy).alias("copy"), c(contig).alias("contig"), F.array(*(F.struct(c(loc).alias("loc"), value(c("rep") * 4 + 2 * copy + k).cast("long").alias("v")) for k, loc in enumerate(ends))).alias("at"))
+
+    rows = aln.select("rep", "s1", "e1", "s2", "e2", "ref", "qry").repartition("rep")
+    return _totals(rows.select("rep", F.explode(F.array(half(0, "ref", "s1", "e1"), half(1, "qry", "s2", "e2"))).alias("h")).select("rep", "h.*"), width)
+
+
+def _totals(parts: DataFrame, width: int) -> DataFrame:
+    """Totals of copies given by parts (rep, copy, contig, at: points as (loc, v)), where rows of a rep are in one task. A copy is sent to the bins of its points, with these points alone, and is
+    counted there; one of several bins gets what earlier bins of the contig hold by its begin and by its end. Bins have WIDTHS_OF_BIN widths, so most copies lie in one."""
+    span = int(width) * WIDTHS_OF_BIN
+    bin_of = lambda x: F.floor(x / span)
+    parts = parts.withColumn("at", F.filter("at", lambda x: x["loc"].isNotNull())).where("contig is not null and size(at) > 0")
+    own = parts.select("contig", F.explode("at").alias("x")).groupBy("contig", bin_of(c("x.loc")).alias("bin")).agg(F.count("*").alias("n"), F.coalesce(F.sum("x.v"), F.lit(0)).alias("s"), F.count("x.v").alias("m"))
     before = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    carry = rows.groupBy("contig", "bin").agg(F.sum("one").alias("n"), F.sum("v").alias("s"))
-    carry = carry.select("contig", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
-    sign = c("kind") - 1
-    got = here.join(carry, ["contig", "bin"]).groupBy("in_rep", "copy").agg(F.sum(sign * (c("n") + c("n0"))).alias("n"), F.sum(sign * (c("s") + c("s0"))).alias("s"))
-    return got.where("n > 0")
+    carry = own.select("contig", "bin", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in ("n", "s", "m")))
+    carry = carry.select("contig", "bin", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("int").alias("copy"), F.lit(-1).cast("byte").alias("ends"), F.array().cast("array<long>").alias("loc"), F.array("n", "s", "m").alias("v"))
+    both = parts.groupBy("rep", "copy", "contig").agg(F.flatten(F.collect_list("at")).alias("at"))
+    both = both.withColumn("lo", bin_of(F.array_min("at.loc"))).withColumn("hi", bin_of(F.array_max("at.loc")))
+    within = c("lo") == c("hi")
+    both = both.withColumn("bin", F.explode(F.when(within, F.array("lo")).otherwise(F.array_distinct(F.transform("at.loc", bin_of)))))
+    both = both.withColumn("at", F.when(within, c("at")).otherwise(F.filter("at", lambda x: bin_of(x["loc"]) == c("bin"))))
+    ends = (F.when(c("lo") == c("bin"), 1).otherwise(0) + F.when(c("hi") == c("bin"), 2).otherwise(0)).cast("byte")
+    both = both.select("contig", "bin", c("rep").cast("long").alias("rep"), "copy", ends.alias("ends"), F.transform("at.loc", lambda x: (x - c("bin") * span).cast("long")).alias("loc"), c("at.v").alias("v"))
+    group = ["contig", "bin"]
+    rows = both.union(carry).repartition(*group).sortWithinPartitions(F.xxhash64(*group), *group)
+    counted = rows.mapInArrow(_counted(span), "in_rep long, copy int, n long, s long, m long")
+    got = counted.groupBy("in_rep", "copy").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m").alias("m"))
+    return got.where("n > 0").select("in_rep", "copy", "n", F.when(c("m") > 0, c("s")).alias("s"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (contig, bin) of rows in order, of ROWS_AT_ONCE rows or of one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        new = _first_rows(batch)
+        last = int(new[-1])
+        fresh = held and any(batch.column(k)[0] != held[-1].column(k)[len(held[-1]) - 1] for k in (0, 1))
+        if held and (fresh or last) and sum(map(len, held)) + last >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _first_rows(rows) -> np.ndarray:
+    """Places of rows whose contig or bin differs from that of the row before."""
+    change = np.zeros(len(rows), bool)
+    change[:1] = True
+    for k in (0, 1):
+        x = rows.column(k)
+        change[1:] |= pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(change)
+
+
+def _counted(span: int) -> Callable:
+    """Of rows (contig, bin, rep, copy, ends, loc, v) in groups: for each copy (rep, copy, n, s, m) in all if it has both ends in the bin (ends 3), else its end's sums (2) or its
+    begin's with a minus (1), what earlier bins hold included, which a row of its own (-1) says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            rows = rows.combine_chunks()
+            first = _first_rows(rows)
+            group = np.repeat(np.arange(len(first)), np.diff(first, append=len(rows)))
+            ends, lists, values = rows.column("ends").to_numpy(), rows.column("loc").combine_chunks(), rows.column("v").combine_chunks()
+            carry = np.zeros((len(first), 3), np.int64)
+            told = ends < 0
+            carry[group[told]] = values.filter(pa.array(told)).flatten().to_numpy().reshape(-1, 3)
+            real = np.flatnonzero(~told)
+            if not len(real):
+                continue
+            at, group, ends = pa.array(real), group[real], ends[real]
+            lists, flat = lists.take(at), values.take(at).flatten()
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            key = np.repeat(group * span, size) + lists.flatten().to_numpy()
+            begin = np.cumsum(size) - size
+            lo, hi = np.minimum.reduceat(key, begin), np.maximum.reduceat(key, begin)
+            order = np.argsort(key)
+            key = key[order]
+            sums = [np.concatenate([[0], np.cumsum(x[order])]) for x in (flat.fill_null(0).to_numpy(), flat.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))]
+            a, b, zero = (np.searchsorted(key, x, way) for x, way in ((lo, "left"), (hi, "right"), (group * span, "left")))
+            a, b = np.where(ends & 1, a, zero), np.where(ends & 2, b, zero)
+            # ends 2: b - zero + carry; ends 1: zero - a - carry
+            sign = np.where(ends == 2, 1, np.where(ends == 1, -1, 0))
+            out = [b - a + sign * carry[group, 0], *(x[b] - x[a] + sign * carry[group, k] for k, x in enumerate(sums, 1))]
+            some = np.flatnonzero(ends > 0)
+            names = [rows.column(k).combine_chunks().take(pa.array(real[some])) for k in ("rep", "copy")]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array(x[some]) for x in out)], names=["in_rep", "copy", "n", "s", "m"])
+
+    return run
 
 
 #: Copies of a group that one task looks at.

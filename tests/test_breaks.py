@@ -164,3 +164,45 @@ def test_enclosed_totals(spark, width):
     got = B.enclosed_totals(points, F.col("key") % 11, width)
     assert rows(got) == rows(want)
     assert "BroadcastNestedLoop" not in got._jdf.queryExecution().toString() and "hi" not in got.columns
+
+
+def _plain_totals(aln, value):
+    """in_rep, copy, n, s by looking at all pairs; None stands for null, as SQL has it."""
+    points = [(r, side, contig, loc, None if r is None else r * 4 + 2 * side + k) for r, ref, qry, *x in aln for side, contig in enumerate((ref, qry)) for k, loc in enumerate(x[2 * side : 2 * side + 2])]
+    both, out = {}, {}
+    for r, side, contig, loc, _ in points:
+        if loc is not None and contig is not None:
+            both.setdefault((r, side, contig), []).append(loc)
+    for (r, side, contig), at in both.items():
+        here = [k for _, _, x, loc, k in points if x == contig and loc is not None and min(at) <= loc <= max(at)]
+        n, known = out.setdefault((r, side), ([], []))
+        n += here
+        known += [value(k) for k in here if k is not None]
+    return sorted(((*k, len(n), sum(known) if known else None) for k, (n, known) in out.items()), key=str)
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 1 << 18])
+@pytest.mark.parametrize("width", [1, 10_000])
+def test_totals_of_odd_copies(spark, monkeypatch, width, rows_at_once):
+    """Rows that share a rep, on one contig or on several, copies over many bins, negative places, nulls, and a rep that is null."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(B, "ROWS_AT_ONCE", rows_at_once)
+    draw = random.Random(5)
+    aln = [(draw.randrange(40), draw.choice("AB"), draw.choice("BCD"), *(draw.randrange(-300, 300) for _ in range(4))) for _ in range(120)]
+    aln += [(None, "N", "A", 5, 9, -20, 20), (None, "N", "E", 7, 12, 1, 2), (50, None, "A", 1, 2, None, 4), (51, "A", "B", None, None, 3, 3)] + aln[:3]
+    df = spark.createDataFrame(aln, "rep long, ref string, qry string, s1 int, e1 int, s2 int, e2 int").repartition(3)
+    want = _plain_totals(aln, lambda k: k % 11)
+    assert any(r is None and s is None for r, _, _, s in want)
+    assert sorted(map(tuple, B.enclosed_totals_of(df, lambda key: key % 11, width).collect()), key=str) == want
+    assert sorted(map(tuple, B.enclosed_totals(B.natural(df), F.col("key") % 11, width).collect()), key=str) == want
+
+
+def test_alignments_are_sent_before_their_points(spark):
+    """Of the query's rows an alignment goes through the first exchange as one row, not as four points and the ends of two copies."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["enclosed_points"](spark, entry.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("Generate") and "Join" not in plan
