@@ -178,3 +178,61 @@ def test_containment_joins_on_both_equations(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
     keys = [x.split("]")[0] for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.startswith("Join") or "Join Inner" in x]
     assert any("k#" in x and "n#" in x for x in keys)
+
+
+@pytest.mark.parametrize("states", [1, 1 << 26])
+def test_distances_of_many_strings(monkeypatch, states):
+    """Strings of no letter to several words of bits, of letters of one to four bytes, beside one another."""
+    import random
+
+    from strandloom.functions import distances as D
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
+            row = now
+        return row[-1]
+
+    monkeypatch.setattr(D, "STATES", states)
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("ab€😀") for _ in range(n))
+    short = ["", *(word(r.randrange(20)) for _ in range(12)), word(31), word(32)]
+    texts = ["", short[3], *(word(r.randrange(90)) for _ in range(8))]
+    for patterns in (short, [*short, word(33)], [*short, *(word(n) for n in (63, 64, 65, 128, 129))]):
+        assert D.edits(patterns, texts).tolist() == [[plain(p, t) for p in patterns] for t in texts]
+        assert D.differing(patterns, texts).tolist() == [[sum(x != y for x, y in zip(p, t, strict=False)) for p in patterns] for t in texts]
+    assert D.edits([], ["a"]).shape == (1, 0) and D.differing(["a"], []).shape == (0, 1)
+
+
+def test_pair_distances_are_dealt_by_cells(spark, monkeypatch):
+    """All pairs of a group, null strings and keys included, from cells of bounded size; a call sees no more, whatever a group holds, and no distance is taken pair by pair."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from strandloom.functions import distances as D
+    from strandloom.functions import sequence as S
+    from strandloom.operators import joins as J
+
+    monkeypatch.setattr(J, "CELL", (64, 16))
+    left = spark.createDataFrame([(None if i % 50 == 0 else i % 3, None if i % 41 == 0 else i, None if i % 17 == 0 else "ab€"[: i % 4] + str(i * i)) for i in range(400)], "g int, id long, x string")
+    right = spark.createDataFrame([(i % 4, i, None if i % 13 == 0 else "a" * (i % 3) + str(i)) for i in range(90)], "g int, k int, y string")
+    plain = left.join(right, "g")
+    for f, want in ((D.edits, F.levenshtein("x", "y")), (D.differing, F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), S.hamming_prefix("x", "y")))):
+        got = J.pair_distances(left.coalesce(1), right.coalesce(1), "g", f)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, plain.select("id", "k", want).collect()), key=str)
+        assert got.dtypes == [("id", "bigint"), ("k", "int"), ("d", "int")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def small(a, b):
+        seen.add(1)
+        assert len(a) <= 150 and len(b) <= 50
+        return D.edits(a, b)
+
+    assert J.pair_distances(left, right, "g", small).count() == plain.count() and seen.value >= 12
+    assert J.pair_distances(left.limit(0), right, "g", D.edits).count() == 0
+    for name, slow in (("levenshtein_pairs", "levenshtein("),):
+        plan = entry.queries()[name](spark, entry.DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert slow not in plan and "FlatMapCoGroupsInArrow" in plan
