@@ -233,6 +233,6 @@ def test_pair_distances_are_dealt_by_cells(spark, monkeypatch):
 
     assert J.pair_distances(left, right, "g", small).count() == plain.count() and seen.value >= 12
     assert J.pair_distances(left.limit(0), right, "g", D.edits).count() == 0
-    for name, slow in (("levenshtein_pairs", "levenshtein("),):
+    for name, slow in (("levenshtein_pairs", "levenshtein("), ("hamming_prefix", "zip_with")):
         plan = entry.queries()[name](spark, entry.DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert slow not in plan and "FlatMapCoGroupsInArrow" in plan
